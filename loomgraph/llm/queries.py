@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.common import table
 from loomgraph.llm.exact_dedup import exact_groups
+from loomgraph.llm.mpeg_audio import audio_features, with_audio
+from loomgraph.llm.token_counts import token_counts
+from loomgraph.llm.warc import through_archives
+
+#: Where the public tokenizer files lie.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_archives(table(spark, sf_dir, "pages"))
+
+
+def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_features(with_audio(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op5_warc": op5_warc,
+    "op10_mpeg_audio": op10_mpeg_audio,
 }
 
 ORACLE_SQL: dict[str, str] = {
