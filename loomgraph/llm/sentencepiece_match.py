@@ -44,10 +44,16 @@ class Pieces:
         for i, k in enumerate(kinds):
             if k in (CONTROL, UNKNOWN):
                 self.out[i] = b" \xe2\x81\x87 " if k == UNKNOWN else b""
-        self.fits: dict[tuple[str, str], bool] = {}
         usable = [p for p in self.normal if not bpe or self.merged(p) == [p]]
-        self.longest = max(map(len, usable), default=1)
         self.usable = sorted(usable)
+        self.lengths = np.array([len(p) for p in self.usable], np.int64)
+        self.ids = np.array([self.normal[p] for p in self.usable], np.int64)
+        self.weights = np.array([scores[i] for i in self.ids])
+        width = -(-int(self.lengths.max(initial=1)) // 8) * 8
+        self.grid = np.zeros((len(self.usable), width), np.int64)  # code points, 0 behind the end
+        for row, p in zip(self.grid, self.usable):
+            row[: len(p)] = [ord(c) for c in p]
+        self.table = _Fits(self)
 
     def merged(self, text: str) -> list[str]:
         """text by merging: the neighbours whose joint string has the highest score, the leftmost of equals."""
@@ -64,12 +70,7 @@ class Pieces:
         return parts
 
     def follows(self, a: str, b: str) -> bool:
-        ok = self.fits.get((a, b))
-        if ok is None:
-            if len(self.fits) > 400_000:
-                self.fits.clear()
-            ok = self.fits[a, b] = self.merged(a + b) == [a, b]
-        return ok
+        return self.merged(a + b) == [a, b]
 
     def ids_of(self, piece: str) -> list[int]:
         i = self.normal.get(piece)
@@ -93,17 +94,18 @@ def load_pieces(model_file: str) -> tuple[list[str], list[float], list[int], boo
     return [model.id_to_piece(i) for i in ids], scores, [kind(i) for i in ids], all(s == int(s) for s in whole)
 
 
-def _keys(codes: np.ndarray, n: int, width: int) -> list[np.ndarray]:
-    """For each of n positions its next characters, four to a word, up to width of them."""
-    ends = np.concatenate([codes, np.zeros(width + 4, np.uint64)])
-    step = [ends[i : i + n + width] for i in range(4)]
-    four = step[0] << np.uint64(48) | step[1] << np.uint64(32) | step[2] << np.uint64(16) | step[3]
-    return [four[i : i + n] for i in range(0, width, 4)]
+def _keys(codes: np.ndarray, n: int, width: int, per: int) -> list[np.ndarray]:
+    """For each of n positions its next characters, per of them to a word, up to width of them."""
+    ends = np.concatenate([codes, np.zeros(width + per, np.uint64)])
+    packed = np.zeros(n + width, np.uint64)
+    for i in range(per):
+        packed |= ends[i : i + n + width] << np.uint64(64 // per * (per - 1 - i))
+    return [packed[i : i + n] for i in range(0, width, per)]
 
 
-def suffix_array(codes: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def suffix_array(codes: np.ndarray, width: int, per: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Positions in the order of the width characters from there on, and those characters as sorted words."""
-    keys = _keys(codes, len(codes), width)
+    keys = _keys(codes, len(codes), width, per)
     order = np.lexsort(keys[::-1])
     return order, [k[order] for k in keys]
 
@@ -125,88 +127,121 @@ def _bounds(rows: list[np.ndarray], wanted: list[np.ndarray]) -> np.ndarray:
     return lo
 
 
-def edges(text: str, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Start and piece (its number in model.usable) of every occurrence in text, by start."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def edges(points: np.ndarray, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Start and piece (its number in model.usable) of every occurrence in a text, given its code points."""
     alphabet = np.unique(points)
-    codes = (np.searchsorted(alphabet, points) + 1).astype(np.uint64)
     if len(alphabet) > 65_000:
         raise ValueError("more characters than the packed keys can tell apart")
-    width = -(-model.longest // 4) * 4
-    order, rows = suffix_array(codes, width)
-    index = {chr(c): i + 1 for i, c in enumerate(alphabet.tolist())}
-    lows, tops, which = [], [], []
-    for k, p in enumerate(model.usable):
-        if all(c in index for c in p):
-            own = [index[c] for c in p]
-            lows.append(own + [0] * (width - len(own)))
-            tops.append(own + [0xFFFF] * (width - len(own)))
-            which.append(k)
-    if not which:
+    codes = (np.searchsorted(alphabet, points) + 1).astype(np.uint64)
+    width, per = model.grid.shape[1], 8 if len(alphabet) < 255 else 4
+    order, rows = suffix_array(codes, width, per)
+    place = np.minimum(np.searchsorted(alphabet, model.grid), len(alphabet) - 1)
+    there = (alphabet[place] == model.grid) | (model.grid == 0)
+    which = np.flatnonzero(there.all(axis=1))
+    if not len(which):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def packed(x: list[list[int]]) -> list[np.ndarray]:
-        a = np.array(x, np.uint64).reshape(len(x), width // 4, 4)
-        four = a[:, :, 0] << np.uint64(48) | a[:, :, 1] << np.uint64(32) | a[:, :, 2] << np.uint64(16) | a[:, :, 3]
-        return [np.ascontiguousarray(four[:, i]) for i in range(width // 4)]
-
-    low, top = _bounds(rows, packed(lows)), _bounds(rows, packed(tops))
+    own, pad = (place[which] + 1).astype(np.uint64), model.grid[which] == 0
+    low, top = (_bounds(rows, _packed(np.where(pad, np.uint64(x), own), per)) for x in (0, (1 << 64 // per) - 1))
     many = top - low
     at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    starts, pieces = order[at], np.repeat(np.array(which), many)
-    by = np.argsort(starts, kind="stable")
-    return starts[by], pieces[by]
-
-
-def relax(word: str, ways: list[tuple[int, str]], model: Pieces) -> list[str]:
-    """The pieces of a word, given its edges (start, piece) by start; characters without a piece stay alone."""
-    n, at = len(word), 0
-    last: list[str | None] = [None] * (n + 1)
-    best = [0.0] + [float("-inf")] * n
-    for i in range(n):
-        here, alone = last[i], True
-        if i and here is None:
-            while at < len(ways) and ways[at][0] == i:
-                at += 1
-            continue
-        while at < len(ways) and ways[at][0] == i:
-            p = ways[at][1]
-            at, j = at + 1, i + len(p)
-            alone &= len(p) > 1
-            if not model.bpe:
-                if (s := best[i] + model.scores[model.normal[p]]) > best[j]:
-                    best[j], last[j] = s, p
-            elif last[j] is None and (not i or model.follows(here, p)):
-                last[j] = p
-        if alone and last[i + 1] is None:  # a character without a piece of its own
-            c = word[i]
-            if not model.bpe or not i or model.follows(here, c):
-                last[i + 1], best[i + 1] = c, best[i] + min(model.scores) - 10
-    out, i = [], n
-    while i:
-        out.append(last[i])
-        i -= len(last[i])
-    return out[::-1]
-
-
-def encode_words(words: list[str], model: Pieces) -> list[list[int]]:
-    """The ids of each word; the words are matched together, as one text."""
+    return order[at], np.repeat(which, many)
+
+
+def _packed(a: np.ndarray, per: int) -> list[np.ndarray]:
+    out = [np.zeros(len(a), np.uint64) for _ in range(0, a.shape[1], per)]
+    for i in range(a.shape[1]):
+        out[i // per] |= a[:, i] << np.uint64(64 // per * (per - 1 - i % per))
+    return out
+
+
+class _Fits:
+    """Whether a piece may follow another, for arrays of both; what was found is kept in a sorted table."""
+
+    def __init__(self, model: Pieces, most: int = 3_000_000):
+        self.model, self.most = model, most
+        self.codes, self.ok = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, name) -> np.ndarray:
+        if not len(a):
+            return np.zeros(0, bool)
+        code = a * (1 << 32) + b
+        distinct, back = np.unique(code, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.codes, distinct), max(0, len(self.codes) - 1))
+        known = self.codes[at] == distinct if len(self.codes) else np.zeros(len(distinct), bool)
+        ok = np.zeros(len(distinct), bool)
+        ok[known] = self.ok[at[known]] if len(self.codes) else False
+        new = np.flatnonzero(~known)
+        if len(new):
+            ok[new] = [self.model.follows(name(x >> 32), name(x & 0xFFFFFFFF)) for x in distinct[new].tolist()]
+            if len(self.codes) > self.most:
+                self.codes, self.ok = self.codes[:0], self.ok[:0]
+            codes, oks = np.concatenate([self.codes, distinct[new]]), np.concatenate([self.ok, ok[new]])
+            by = np.argsort(codes, kind="stable")
+            self.codes, self.ok = codes[by], oks[by]
+        return ok[back]
+
+
+def encode_words(words: list[str], model: Pieces) -> list[bytes]:
+    """The ids of each word, four bytes each. The words are matched together, as one text, and relaxed in step.
+
+    Characters without a usable piece are edges of their own, numbered behind the pieces.
+    """
     if not words:
         return []
-    text = "\n".join(words) + "\n"
-    starts, pieces = edges(text, model)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    cut = np.searchsorted(starts, ends).tolist()
-    names, starts, pieces = model.usable, starts.tolist(), pieces.tolist()
-    out, base, first = [], 0, 0
-    for w, end, stop in zip(words, ends.tolist(), cut):
-        if w == "\n":
-            got = [w]
-        else:
-            got = relax(w, [(starts[k] - base, names[pieces[k]]) for k in range(first, stop)], model)
-        out.append([i for p in got for i in model.ids_of(p)])
-        base, first = end, stop
-    return out
+    points = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    firsts = np.cumsum(lengths + 1) - lengths - 1
+    starts, pieces = edges(points, model)
+    base, count = np.repeat(firsts, lengths + 1), len(model.usable)
+    inside = np.ones(len(points), bool)
+    inside[firsts + lengths] = False
+    inside[starts[model.lengths[pieces] == 1]] = False
+    alone = np.flatnonzero(inside)
+    starts, pieces = np.concatenate([starts, alone]), np.concatenate([pieces, count + points[alone]])
+    ends = starts + np.where(pieces < count, model.lengths[np.minimum(pieces, count - 1)], 1)
+    step = starts - base[starts]
+    by = np.argsort(step, kind="stable")
+    starts, pieces, ends, step = starts[by], pieces[by], ends[by], step[by]
+    name = lambda k: model.usable[k] if k < count else chr(k - count)
+    last = np.full(len(points) + 1, -1, np.int64)
+    best = np.full(len(points) + 1, -np.inf)
+    best[firsts] = 0
+    cuts = np.flatnonzero(np.diff(step, prepend=-1, append=-2))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        s, p, e = starts[lo:hi], pieces[lo:hi], ends[lo:hi]
+        if not model.bpe:
+            value = best[s] + np.where(p < count, model.weights[np.minimum(p, count - 1)], model.weights.min() - 10)
+            np.maximum.at(best, e, value)
+            won = value == best[e]
+            last[e[won]] = p[won]
+            continue
+        before = last[s]
+        ok = np.full(len(s), step[lo] == 0)
+        if step[lo]:
+            there = np.flatnonzero(before >= 0)
+            ok[there] = model.table(before[there], p[there], name)
+        last[e[ok]] = p[ok]
+    taken = np.zeros(len(points) + 1, bool)
+    at, stop = firsts + lengths, firsts
+    while len(at):
+        taken[at] = True
+        p = last[at]
+        at = at - np.where(p < count, model.lengths[np.minimum(p, count - 1)], 1)
+        at, stop = at[at > stop], stop[at > stop]
+    where = np.flatnonzero(taken)
+    chosen = last[where]
+    plain = chosen < count
+    sizes = np.ones(len(chosen), np.int64)
+    spelled = {int(k): model.ids_of(name(int(k))) for k in np.unique(chosen[~plain])}
+    sizes[~plain] = [len(spelled[k]) for k in chosen[~plain].tolist()]
+    ids = np.zeros(int(sizes.sum()), "<u4")
+    at = np.cumsum(sizes) - sizes
+    ids[at[plain]] = model.ids[chosen[plain]]
+    for i, k in zip(at[~plain].tolist(), chosen[~plain].tolist()):
+        ids[i : i + len(spelled[k])] = spelled[k]
+    tops = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(where, firsts + lengths, side="right")]
+    raw, tops = ids.tobytes(), (4 * tops).tolist()
+    return [raw[i:j] for i, j in zip([0, *tops], tops)]
 
 
 WORDS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -219,23 +254,23 @@ def words_of(text: str | None) -> list[str]:
 class Encoder:
     """Encodes batches of texts; remembers the ids of up to so many words."""
 
-    def __init__(self, model: Pieces, remembered: int = 300_000):
-        self.model, self.remembered, self.known = model, remembered, {}
+    def __init__(self, model: Pieces, remembered: int = 500_000):
+        self.model, self.remembered, self.known = model, remembered, {"\n": np.array(model.ids_of("\n"), "<u4").tobytes()}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, four bytes each, the lowest first."""
         split = [words_of(t) for t in texts]
         if len(self.known) > self.remembered:
-            self.known.clear()
+            self.known = {"\n": self.known["\n"]}
         known = self.known
         new = list({w: None for words in split for w in words if w not in known})
         while new:  # in parts, so that the index stays small
             held = n = 0
-            while n < len(new) and held < 400_000:
+            while n < len(new) and held < 600_000:
                 held += len(new[n])
                 n += 1
             part, new = new[:n], new[n:]
-            known.update(zip(part, (np.array(x, "<u4").tobytes() for x in encode_words(part, self.model))))
+            known.update(zip(part, encode_words(part, self.model)))
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in [w for words in split for w in words if len(w) > 64]:
             known.pop(w, None)
