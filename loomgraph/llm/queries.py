@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm.common import table
 from loomgraph.llm.exact_dedup import exact_groups
 from loomgraph.llm.mpeg_audio import audio_features, with_audio
+from loomgraph.llm.quality_vote import fit_quality, quality_scores
 from loomgraph.llm.sentencepiece_match import encoded
 from loomgraph.llm.token_counts import token_counts
 from loomgraph.llm.warc import through_archives
@@ -30,6 +31,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_archives(table(spark, sf_dir, "pages"))
 
 
+def op7_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model").drop("ids")
 
@@ -42,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op5_warc": op5_warc,
+    "op7_quality_vote": op7_quality_vote,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
