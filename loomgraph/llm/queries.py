@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm.common import table
 from loomgraph.llm.exact_dedup import exact_groups
 from loomgraph.llm.mpeg_audio import audio_features, with_audio
+from loomgraph.llm.near_dedup import Settings as NearSettings
+from loomgraph.llm.near_dedup import near_groups
 from loomgraph.llm.quality_vote import fit_quality, quality_scores
 from loomgraph.llm.sentencepiece_match import encoded
 from loomgraph.llm.token_counts import token_counts
@@ -27,6 +29,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), NearSettings(words=2))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_archives(table(spark, sf_dir, "pages"))
 
@@ -47,6 +53,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_warc": op5_warc,
     "op7_quality_vote": op7_quality_vote,
     "op9_sentencepiece": op9_sentencepiece,
