@@ -6,14 +6,18 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm.common import table
 from loomgraph.llm.exact_dedup import exact_groups
 from loomgraph.llm.mpeg_audio import audio_features, with_audio
+from loomgraph.llm.mixing import Settings as MixSettings
+from loomgraph.llm.mixing import mixture
 from loomgraph.llm.near_dedup import Settings as NearSettings
 from loomgraph.llm.near_dedup import near_groups
 from loomgraph.llm.quality_vote import fit_quality, quality_scores
 from loomgraph.llm.sentencepiece_match import encoded
+from loomgraph.llm.sharding import sharded
 from loomgraph.llm.token_counts import token_counts
 from loomgraph.llm.warc import through_archives
 
@@ -33,10 +37,33 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), NearSettings(words=2))
 
 
+#: The mixture: weights of domains and of languages within them; sources weigh the same.
+MIX = MixSettings(
+    weights={("web",): 0.5, ("books",): 0.3, ("forum",): 0.2}
+    | {(d, lang): w for d in ("web", "books", "forum") for lang, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))},
+    share=0.6,
+    epochs=3,
+)
+
+
+def domain_of():
+    """The domain of a row of documents: sources are dealt to three by their number."""
+    n = F.regexp_extract("source", "(\\d+)$", 1)
+    return F.when(n == "", "web").otherwise(F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("forum")), (n.cast("long") % 3).cast("int") + 1))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), MIX, domain_of())
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_archives(table(spark, sf_dir, "pages"))
 
 
+def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -54,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_mix_sources": op4_mix_sources,
     "op5_warc": op5_warc,
+    "op6_shard": op6_shard,
     "op7_quality_vote": op7_quality_vote,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mpeg_audio": op10_mpeg_audio,
