@@ -16,6 +16,7 @@ from loomgraph.llm.mixing import mixture
 from loomgraph.llm.near_dedup import Settings as NearSettings
 from loomgraph.llm.near_dedup import near_groups
 from loomgraph.llm.quality_vote import fit_quality, quality_scores
+from loomgraph.llm.repeated_bytes import repeated_bytes
 from loomgraph.llm.sentencepiece_match import encoded
 from loomgraph.llm.sharding import sharded
 from loomgraph.llm.token_counts import token_counts
@@ -69,6 +70,10 @@ def op7_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model").drop("ids")
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_shard": op6_shard,
     "op7_quality_vote": op7_quality_vote,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mpeg_audio": op10_mpeg_audio,
 }
