@@ -1,14 +1,14 @@
-"""The engine's queries over the star-schema tables, by name, and their SQL."""
+"""The engine's queries by name, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from loomgraph.plans import star_queries
+
+QUERIES = dict(star_queries.QUERIES)
+ORACLE_SQL = dict(star_queries.ORACLE_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return star_queries.impact_callers_d3(spark, sf_dir)
