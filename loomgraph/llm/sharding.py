@@ -22,7 +22,7 @@ class Settings:
     """buckets: parts into which a shard's documents are split to number them."""
 
     shards: int = 24
-    rounds: int = 4
+    rounds: int = 5
     seed: int = 11
     buckets: int = 1024
 
@@ -58,7 +58,8 @@ def _round(linked: DataFrame, room: list[int], s: Settings, turn: int) -> tuple[
     load = [sum(n for (f, _), n in flows.items() if f == k) for k in range(s.shards)]
     wish = {ft: n for ft, n in flows.items() if ft[0] != ft[1]}
     share = F.element_at(F.array(*map(F.lit, admitted(load, room, wish))), F.col("to") + 1)
-    lucky = F.pmod(F.xxhash64("doc_id", F.lit(s.seed + 1), F.lit(turn)), F.lit(1_000_003)) / F.lit(1_000_003)
+    together = F.when(F.col("group_size") > min(room), F.xxhash64("doc_id")).otherwise(F.xxhash64("text_key"))
+    lucky = F.pmod(F.xxhash64(together, F.lit(s.seed + 1), F.lit(turn)), F.lit(1_000_003)) / F.lit(1_000_003)
     return wishing.withColumn("shard", F.when(lucky < share, F.col("to")).otherwise(F.col("shard"))).drop("to"), sum(wish.values())
 
 
