@@ -4,9 +4,10 @@ A document's set of word shingles gives a signature of chunks x slots values of
 pigeonhole principle two signatures that differ in fewer than chunks x (errors + 1) slots have a chunk
 with at most `errors` differing slots; enumerating which slots those are gives the keys under which such
 signatures certainly meet. Documents with equal sets are one node. Under each key the nodes are paired
-with the key's smallest node only, in rows that grow with the nodes and not with their pairs; then the
-keys whose nodes still lie in different components are gone through block by block, so that no pair
-that shares a key is left out unless its two ends are already connected.
+with the key's smallest node only, in rows that grow with the nodes and not with their pairs. What such pairs connect
+is a candidate part; any two nodes that share a key are in one. Parts are gone through block by block: of
+the pairs with close signatures those are confirmed on full sets that join what isn't joined yet, so a
+block gives fewer links than it has nodes, however many pairs are similar.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ class Settings:
     """words: of a shingle; percent: least 100 x shared / joint shingles of a link.
 
     chunks, slots and errors shape the index: a link of exactly 80 percent is missed with a probability
-    of about 1e-7. far: signatures that differ in more slots aren't confirmed in the second round; a
-    link has so many with a probability of about 1e-8. block bounds the nodes compared at once there.
+    of about 1e-7. far: signatures that differ in more slots aren't compared on full sets; a link has
+    so many with a probability of about 1e-8. block bounds the nodes of one part in one comparison, which
+    takes two blocks; a part of n nodes is dealt out n / block times.
     few: the largest number of ids that is broadcast to fetch texts; beyond it texts are joined.
     """
 
@@ -41,7 +43,7 @@ class Settings:
     slots: int = 5
     errors: int = 1
     far: int = 30
-    block: int = 256
+    block: int = 512
     few: int = 1_000_000
 
 
@@ -153,7 +155,7 @@ def _keyed(nodes: DataFrame, s: Settings) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, few: int) -> DataFrame:
-    """doc_id and raw (UTF-8) of the documents in ids (distinct, column `node`).
+    """doc_id and raw (UTF-8) of the documents in ids (distinct and written, column `node`).
 
     Up to `few` ids are broadcast and nothing else moves; more are met by a shuffle of both sides.
     """
@@ -163,64 +165,90 @@ def texts_of(docs: DataFrame, ids: DataFrame, few: int) -> DataFrame:
     return rows.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; pairs is read more than once."""
-    ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-ids")
-    texts = written(texts_of(docs, ids, s.few), "near-texts")
-    right = texts.select(F.col("doc_id").alias("b"), F.col("raw").alias("raw_b"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("raw").alias("raw_a"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "raw_a", "raw_b")
+def links_of(sets: list[np.ndarray], sig: np.ndarray, part: np.ndarray, own: np.ndarray | None, s: Settings) -> list[tuple[int, int]]:
+    """Pairs of rows that join all rows of a part that links among them join; no more than rows.
 
-    def run(batches):
-        hashes, held, own = _Hashes(), None, None
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x = x.as_py() or b""
-                if x != held:
-                    held, own = x, shingle_set(x, s.words, hashes)
-                other = shingle_set(y.as_py() or b"", s.words, hashes)
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                ok.append(100 * shared >= s.percent * (len(own) + len(other) - shared) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _left_over(members: DataFrame, nodes: DataFrame, parts: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) that share a key but no component, close by signature; hot keys go block by block.
-
-    members: key, node, first, many. Keys of two nodes were settled by their one pair, and of keys with
-    the same nodes one is enough.
+    The closest signatures come first, and rows that are joined already aren't compared again. Where
+    many comparisons fail, all shared counts are taken at once, as a product of incidence matrices.
+    own: the block of each row, if only pairs across the two count.
     """
-    labelled = members.filter("many > 2").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    open_keys = (
-        labelled.groupBy("key")
-        .agg(F.min("part").alias("least"), F.max("part").alias("most"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"), F.max("many").alias("of"))
-        .filter("least <> most")
-        .groupBy("mark", "of")
-        .agg(F.min("key").alias("open"))
-    )
-    rows = labelled.join(open_keys.select("open", "of"), F.col("key") == F.col("open")).join(nodes, "node")
-    blocks = F.ceil(F.col("of") / F.lit(s.block)).cast("int")
+    n = len(sets)
+    far = np.zeros((n, n), np.uint8)
+    for column in sig.T:
+        far += column[:, None] != column[None, :]
+    ok = np.triu((far <= s.far) & (part[:, None] == part[None, :]), 1)
+    if own is not None:
+        ok &= own[:, None] != own[None, :]
+    left, right = np.nonzero(ok)
+    order = np.argsort(far[left, right], kind="stable")
+    group, sizes, out, failed, shared = list(range(n)), [len(x) for x in sets], [], 0, None
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    for i, j in zip(left[order].tolist(), right[order].tolist()):
+        a, b = root(i), root(j)
+        if a == b:
+            continue
+        if shared is None and failed > 2000:
+            shared = shared_counts(sets)
+        n = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if shared is None else int(shared[i, j])
+        if 100 * n >= s.percent * (sizes[i] + sizes[j] - n):
+            group[max(a, b)] = min(a, b)
+            out.append((i, j))
+        else:
+            failed += 1
+    return out
+
+
+def shared_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """How many elements each two sets share, from dense products over some columns at a time."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, many = np.unique(flat, return_inverse=True, return_counts=True)
+    common = many > 1
+    place = np.cumsum(common) - 1
+    row, column = row[common[column]], place[column[common[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(common.sum()), width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        dense = np.zeros((len(sets), width), np.float32)
+        dense[row[lo:hi], column[lo:hi] - at] = 1
+        out += dense @ dense.T
+    return out
+
+
+def confirmed(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) on full sets that join what all links within each candidate part (node, part) join.
+
+    Small parts are packed together; a part larger than a block is split, and each two of its blocks meet.
+    """
+    sizes = candidates.groupBy(F.col("part").alias("of")).agg(F.count(F.lit(1)).alias("many"))
+    texts = texts_of(docs, candidates.select("node"), s.few)
+    rows = candidates.join(sizes, F.col("part") == F.col("of")).join(nodes, "node").join(texts, F.col("node") == F.col("doc_id"))
+    packs = max(1, candidates.count() // s.block)
+    blocks = F.when(F.col("many") > s.block, F.ceil(F.col("many") / F.lit(s.block))).otherwise(1).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    dealt = rows.select("key", "node", "part", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "node", "part", "sig")
+    rows = rows.withColumn("pack", F.when(F.col("blocks") > 1, F.xxhash64("part", F.lit(2))).otherwise(F.pmod(F.xxhash64("part", F.lit(3)), F.lit(packs))))
+    dealt = rows.select("pack", "node", "part", "sig", "raw", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("pack", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "node", "part", "sig", "raw")
 
     def compare(t: pd.DataFrame) -> pd.DataFrame:
+        hashes = _Hashes()
+        sets = [shingle_set(x or b"", s.words, hashes) for x in t["raw"]]
         sig = np.frombuffer(b"".join(t["sig"]), np.uint16).reshape(len(t), -1)
-        part, node, own = t["part"].to_numpy(), t["node"].to_numpy(), t["own"].to_numpy()
-        across, found = bool(t["x"].iloc[0] != t["y"].iloc[0]), []
-        for i in range(len(t) - 1):
-            ok = ((sig[i + 1 :] != sig[i]).sum(axis=1) <= s.far) & (part[i + 1 :] != part[i])
-            if across:
-                ok &= own[i + 1 :] != own[i]
-            found += [sorted((node[i], other)) for other in node[i + 1 :][ok]]
+        across = t["own"].to_numpy() if t["x"].iloc[0] != t["y"].iloc[0] else None
+        node = t["node"].to_numpy()
+        found = [(node[i], node[j]) for i, j in links_of(sets, sig, t["part"].to_numpy(), across, s)]
         return pd.DataFrame(found, columns=["a", "b"]).astype(t["node"].dtype)
 
     kind = nodes.schema["node"].dataType.simpleString()
-    return dealt.groupBy("key", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return dealt.groupBy("pack", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -241,13 +269,9 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
     keyed = _keyed(nodes, s)
     firsts = keyed.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    members = written(keyed.join(firsts, F.col("key") == F.col("of")).select("key", "node", "first", "many"), "near-members")
-    stars = written(members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
-    links = written(confirmed(stars, docs, s), "near-links")
-    parts = components(links)
-    rest = written(_left_over(members, nodes.select("node", "sig"), parts, s).join(stars, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        parts = components(links.union(confirmed(rest, docs, s)))
+    stars = keyed.join(firsts, F.col("key") == F.col("of")).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    candidates = written(components(stars), "near-candidates")
+    parts = components(confirmed(candidates, nodes.select("node", "sig"), docs, s))
     of_set = nodes.select(F.col("digest").alias("of"), "node").join(parts, "node", "left").select("of", F.coalesce("part", "node").alias("part"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id"))
     return signed.join(of_set, F.col("digest") == F.col("of"), "left").select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
