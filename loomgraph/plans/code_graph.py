@@ -19,6 +19,7 @@ from loomgraph.operators import resolve, traverse
 from loomgraph.sources.python_facts import facts_of
 from loomgraph.storage import cut
 
+SCRIPTS = (".ts", ".tsx", ".js", ".jsx")
 DEFINITION = "struct<qualified:string,name:string,kind:string,parent:string,start:int,end:int,signature:string,docstring:string,decorators:array<string>,base_classes:array<string>,calls:array<string>,is_async:boolean,is_generator:boolean,is_exported:boolean,param_count:int>"
 FACTS = (
     "path string, lines int, error string, "
@@ -27,7 +28,8 @@ FACTS = (
     "references array<struct<caller:string,call:string,seq:int,kind:string,module:string,symbol:string,member:string>>, "
     "base_refs array<struct<child:string,ord:int,module:string,symbol:string>>, "
     "routes array<struct<url:string,methods:array<string>,handler:string,line:int,kind:string>>, "
-    "relations array<struct<owner:string,type:string,model:string>>"
+    "relations array<struct<owner:string,type:string,model:string>>, "
+    "exports array<struct<exported:string,kind:string,local:string,module:string,imported:string>>"
 )
 
 
@@ -48,15 +50,25 @@ def facts(files: DataFrame) -> DataFrame:
 def modules(requested: DataFrame, files: DataFrame) -> DataFrame:
     """module, module_file: the file of each requested module; a whole path first, else the one path that ends so.
 
-    A module that starts with ./ is taken from the workspace's root only. What several files could be is left out.
+    A module that starts with ./ is taken from the workspace's root only, and so are those of scripts, marked
+    script:, which stand for a file, for one with an extension, or for a folder's index file. What several
+    files could be is left out.
     """
+    every = requested.filter("module IS NOT NULL AND module <> ''").select("module").distinct()
+    script = every.filter(F.startswith("module", F.lit("script:"))).withColumn("base", F.expr("substring(module, 8)"))
+    bare = F.regexp_replace("base", r"\.jsx?$", "")
+    guesses = [F.concat(c, F.lit(e)) for c in (F.col("base"), F.concat("base", F.lit("/index"))) for e in SCRIPTS]
+    swapped = [F.when(F.col("base").rlike(r"\.jsx?$"), F.concat(bare, F.lit(e))) for e in (".ts", ".tsx")]
+    tried = script.select("module", F.posexplode(F.array_distinct(F.array_compact(F.array(F.col("base"), *guesses, *swapped)))).alias("nth", "as"))
+    there = tried.join(files.select(F.col("path").alias("as")), "as").withColumn("tier", F.least("nth", F.lit(1)))
+    scripts = resolve.unique_target(resolve.lowest_tier(there, ["module"], "tier").select("module", F.col("as").alias("module_file")), ["module"], "module_file")
     own = files.filter(F.endswith("path", F.lit(".py"))).select(F.col("path").alias("module_file"), F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), r"(^|/)__init__$", "").alias("as"))
-    wanted = requested.filter("module IS NOT NULL AND module <> ''").select("module").distinct()
+    wanted = every.filter(~F.startswith("module", F.lit("script:")))
     fixed = wanted.filter(F.startswith("module", F.lit("./"))).join(own, F.expr("substring(module, 3)") == F.col("as"))
     open_ = resolve.suffix_match(wanted.filter(~F.startswith("module", F.lit("./"))), "module", own.filter("as <> ''"), "as")
     named = open_.withColumnRenamed("file", "as").join(own, "as").withColumn("tier", resolve.unless(F.col("exact")))
     best = resolve.lowest_tier(named.select("module", "module_file", "tier"), ["module"], "tier").select("module", "module_file")
-    return resolve.unique_target(best.union(fixed.select("module", "module_file")), ["module"], "module_file")
+    return resolve.unique_target(best.union(fixed.select("module", "module_file")), ["module"], "module_file").union(scripts)
 
 
 def nodes_of(found: DataFrame) -> DataFrame:
@@ -83,11 +95,39 @@ def nodes_of(found: DataFrame) -> DataFrame:
     return files.unionByName(folders).unionByName(definitions).unionByName(routes)
 
 
-def _refs(rows: DataFrame, where: DataFrame, nodes: DataFrame) -> DataFrame:
+def exported(found: DataFrame, where: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
+    """file, name, node: what the names that scripts export mean, through re-exports and stars.
+
+    A round follows each re-export by one file. A name that several stars give different meanings has none;
+    a name of the file's own goes before stars, and stars don't pass on the default.
+    """
+    e = found.select("path", F.explode("exports").alias("e")).select("path", "e.*")
+    e = cut(e.join(where, "module", "left"))
+    own = e.filter("kind = 'local'").select(F.col("path").alias("file"), F.col("exported").alias("name"), F.concat("path", F.lit(":"), "local").alias("node"))
+    known = cut(own.join(nodes.select(F.col("id").alias("node")), "node").select("file", "name", "node").distinct())
+    passed = e.filter("kind = 'reexport' AND module_file IS NOT NULL").select("path", "exported", "module_file", "imported")
+    stars = e.filter("kind = 'star' AND module_file IS NOT NULL").select("path", "module_file")
+    if passed.union(stars.withColumns({"exported": F.lit(""), "imported": F.lit("")}).select(passed.columns)).isEmpty():
+        return known
+    explicit = e.filter("kind <> 'star'").select(F.col("path").alias("file"), F.col("exported").alias("name")).distinct()
+    n = known.count()
+    for _ in range(rounds):
+        one = passed.join(known, (F.col("module_file") == F.col("file")) & (F.col("imported") == F.col("name"))).select(F.col("path").alias("file"), F.col("exported").alias("name"), "node")
+        all_ = stars.join(known, F.col("module_file") == F.col("file")).filter("name <> 'default'").select(F.col("path").alias("file"), "name", "node")
+        known = cut(known.union(one).union(all_.join(explicit, ["file", "name"], "left_anti")).distinct())
+        if (more := known.count()) == n:
+            break
+        n = more
+    return resolve.unique_target(known, ["file", "name"], "node")
+
+
+def _refs(rows: DataFrame, where: DataFrame, nodes: DataFrame, out: DataFrame) -> DataFrame:
     """rows (path, module, symbol) with ref, the node that they name; those that name none are left out."""
+    script = F.coalesce(F.startswith("module", F.lit("script:")), F.lit(False))
+    named = rows.join(where, "module", "left").join(out.select(F.col("file").alias("module_file"), F.col("name").alias("symbol"), F.col("node").alias("meant")), ["module_file", "symbol"], "left")
     file = F.when(F.col("module").isNull(), F.col("path")).otherwise(F.col("module_file"))
-    named = rows.join(where, "module", "left").withColumn("ref", F.concat(file, F.lit(":"), "symbol")).drop("module_file")
-    return named.join(nodes.filter(F.col("kind").isin("Class", "Function")).select(F.col("id").alias("ref"), F.col("kind").alias("ref_kind")), "ref")
+    named = named.withColumn("ref", F.when(script, F.col("meant")).otherwise(F.concat(file, F.lit(":"), "symbol"))).drop("module_file", "meant")
+    return named.join(nodes.filter(F.col("kind").isin("Class", "Function", "Declaration")).select(F.col("id").alias("ref"), F.col("kind").alias("ref_kind")), "ref")
 
 
 def edges_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -95,7 +135,8 @@ def edges_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
     imports = found.select("path", F.explode("imports").alias("i")).select("path", "i.*")
     references = found.select("path", F.explode("references").alias("r")).select("path", "r.*")
     bases = found.select("path", F.explode("base_refs").alias("b")).select("path", "b.*")
-    asked = imports.select("module").union(references.select("module")).union(bases.select("module"))
+    again = found.select(F.explode("exports").alias("e")).select("e.module")
+    asked = imports.select("module").union(references.select("module")).union(bases.select("module")).union(again)
     deeper = imports.filter("symbol IS NOT NULL").select(F.concat(F.regexp_replace("module", "/$", ""), F.lit("/"), "symbol").alias("module"))
     where = cut(modules(asked.union(deeper), found))
     seq = F.lit(0).cast("long")
@@ -112,8 +153,9 @@ def edges_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
     named = relations.join(models, "model").withColumn("tier", resolve.unless(F.startswith("owner", F.concat("model_file", F.lit(":")))))
     related = resolve.unique_target(resolve.lowest_tier(named, ["owner", "model"], "tier"), ["owner", "model"], "id").filter("id <> owner").select(F.col("id").alias("src"), F.col("owner").alias("dst")).distinct().withColumn("seq", seq)
 
-    calls = cut(_refs(references, where, nodes).withColumn("caller", F.concat("path", F.lit(":"), "caller")))
-    parents = _refs(bases, where, nodes).filter("ref_kind = 'Class'").select(F.concat("path", F.lit(":"), "child").alias("child"), F.col("ref").alias("parent"))
+    out = cut(exported(found, where, nodes))
+    calls = cut(_refs(references, where, nodes, out).withColumn("caller", F.concat("path", F.lit(":"), "caller")))
+    parents = _refs(bases, where, nodes, out).filter("ref_kind = 'Class'").select(F.concat("path", F.lit(":"), "child").alias("child"), F.col("ref").alias("parent"))
     above = traverse.closure(parents)
     line = nodes.filter("kind = 'Class'").select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("distance")).unionByName(above)
     members = calls.filter("kind IN ('member', 'super') AND ref_kind = 'Class'").join(line, F.col("ref") == F.col("node")).filter("kind = 'member' OR distance > 0")
@@ -129,8 +171,9 @@ def edges_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
     fits = routed.join(views, F.col("name") == tail).withColumn("tier", F.when((F.col("view_file") == F.col("file")) & (F.col("qualified") == F.col("handler")), 0).when(F.col("view_file") == F.col("file"), 1).otherwise(2))
     handled = resolve.unique_target(resolve.lowest_tier(fits, ["src", "handler"], "tier"), ["src", "handler"], "view").select("src", F.col("view").alias("dst")).distinct().withColumn("seq", seq)
 
+    python = F.contains("src", F.lit(".py:"))
     kind = lambda df, name: df.select("src", "dst", F.lit(name).alias("edge_class"), "seq")
-    return kind(structural.union(imported).union(related), "structural").union(kind(called, "executable")).union(kind(handled, "generated")).dropDuplicates(["src", "dst", "edge_class"])
+    return kind(structural.union(imported).union(related), "structural").union(kind(called.filter(python), "executable")).union(kind(called.filter(~python).union(handled), "generated")).dropDuplicates(["src", "dst", "edge_class"])
 
 
 @dataclass

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.columns import is_under, last_segment
+from loomgraph.functions.columns import CALLBACK, display_name, is_under, last_segment
 from loomgraph.operators import traverse
 from loomgraph.plans.code_graph import Graph
 
@@ -56,11 +56,24 @@ def _bounded(key: str, items: list, limit: int) -> dict:
     return {key: items[:limit]} | ({f"{key}_omitted": len(items) - limit} if len(items) > limit else {})
 
 
+def transparent(graph: Graph) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges without inline callbacks: what one calls or holds belongs to the definition around it."""
+    around = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.callback_L\d+_C\d+)+$", ""), r":callback_L\d+_C\d+$", "")
+    rows = graph.nodes.withColumn("owner", around("id"))
+    calls = rows.filter("calls IS NOT NULL").groupBy(F.col("owner").alias("id")).agg(F.array_sort(F.collect_list(F.struct("start", F.col("id").alias("of"), "calls"))).alias("c"))
+    calls = calls.select("id", F.filter(F.array_distinct(F.flatten(F.transform("c", lambda x: x["calls"]))), lambda x: ~x.rlike(CALLBACK)).alias("calls"))
+    named = rows.filter("owner = id").drop("owner", "calls").join(calls, "id", "left")
+    named = named.withColumn("parent", around("parent")).withColumn("qualified", F.when(F.col("kind").isin(*DOTTED), display_name(F.col("qualified"))).otherwise(F.col("qualified")))
+    edges = graph.edges.select(around("src").alias("src"), around("dst").alias("dst"), "edge_class", "seq").filter("src <> dst")
+    return named, edges.groupBy("src", "dst", "edge_class").agg(F.min("seq").alias("seq"))
+
+
 class CodeStructure:
     """Answers over one graph. stale: whether its files have changed since; health: further warnings."""
 
     def __init__(self, graph: Graph, workspace: str = "", stale: bool = False, health: tuple[str, ...] = ()):
-        self.nodes, self.edges, self.workspace, self.stale, self.health = graph.nodes, graph.edges, workspace, stale, health
+        self.workspace, self.stale, self.health = workspace, stale, health
+        self.nodes, self.edges = transparent(graph)
 
     # shared
 

@@ -12,6 +12,8 @@ import ast
 import re
 from dataclasses import dataclass, field
 
+from loomgraph.sources.script_facts import script_facts
+
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
 RELATIONS = ("ForeignKey", "OneToOneField", "ManyToManyField")
 
@@ -434,8 +436,14 @@ def outline(source: str) -> list[dict]:
 
 
 def facts_of(path: str, content: bytes) -> dict:
-    """All facts of one file; for files that aren't Python only its lines. error tells what went wrong."""
-    empty = {"path": path, "lines": 0, "error": None, "definitions": [], "imports": [], "references": [], "base_refs": [], "routes": [], "relations": []}
+    """All facts of one file; for files that hold no code only its lines. error tells what went wrong."""
+    empty = {"path": path, "lines": 0, "error": None, "definitions": [], "imports": [], "references": [], "base_refs": [], "routes": [], "relations": [], "exports": []}
+    if path.endswith((".js", ".jsx", ".ts", ".tsx")):
+        try:
+            text = content.decode("utf-8")
+        except UnicodeDecodeError as e:
+            return empty | {"error": f"not UTF-8: {e.reason}"}
+        return empty | {"lines": text.count("\n") + bool(text and not text.endswith("\n"))} | script_facts(path, text)
     if not path.endswith(".py"):
         text = content.decode("utf-8", "ignore")
         return empty | {"lines": text.count("\n") + bool(text and not text.endswith("\n"))}
