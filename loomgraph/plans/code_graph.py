@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.columns import ancestors
+from loomgraph.functions.columns import ancestors, normalize_url, url_score
 from loomgraph.operators import resolve, traverse
+from loomgraph.operators.urls import url_candidates
 from loomgraph.sources.python_facts import facts_of
 from loomgraph.storage import cut
 
@@ -29,7 +30,8 @@ FACTS = (
     "base_refs array<struct<child:string,ord:int,module:string,symbol:string>>, "
     "routes array<struct<url:string,methods:array<string>,handler:string,line:int,kind:string>>, "
     "relations array<struct<owner:string,type:string,model:string>>, "
-    "exports array<struct<exported:string,kind:string,local:string,module:string,imported:string>>"
+    "exports array<struct<exported:string,kind:string,local:string,module:string,imported:string>>, "
+    "http array<struct<url:string,method:string,lib:string,line:int>>"
 )
 
 
@@ -88,7 +90,7 @@ def nodes_of(found: DataFrame) -> DataFrame:
     d = resolve.latest(d.withColumn("id", F.concat("path", F.lit(":"), "qualified")), ["id"], ["nth"])
     parent = F.when(F.col("parent").isNull(), p).otherwise(F.concat(p, F.lit(":"), "parent"))
     definitions = d.select("id", "kind", "name", "qualified", p.alias("file"), parent.alias("parent"), "start", "end", *shown, *route_columns)
-    r = found.select("path", F.posexplode("routes").alias("nth", "r")).select("path", "nth", "r.*").filter(~F.startswith(F.coalesce("handler", F.lit("")), F.lit("include:")))
+    r = found.select("path", F.posexplode("routes").alias("nth", "r")).select("path", "nth", "r.*").filter(~F.startswith(F.coalesce("handler", F.lit("")), F.lit("include:")) & F.col("url").isNotNull())
     ordered = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", c))), lambda x: x[c])))
     grouped = r.withColumn("one", F.array("handler")).groupBy("path", "url").agg(ordered("methods").alias("methods"), ordered("one").alias("handlers"), F.min("line").alias("start"))
     routes = grouped.select(F.concat("path", F.lit(":"), "url").alias("id"), F.lit("Route").alias("kind"), F.col("url").alias("name"), F.col("url").alias("qualified"), p.alias("file"), p.alias("parent"), "start", F.col("start").alias("end"), *empty, "url", "methods", F.array_compact("handlers").alias("handlers"))
@@ -130,6 +132,22 @@ def _refs(rows: DataFrame, where: DataFrame, nodes: DataFrame, out: DataFrame) -
     return named.join(nodes.filter(F.col("kind").isin("Class", "Function", "Declaration")).select(F.col("id").alias("ref"), F.col("kind").alias("ref_kind")), "ref")
 
 
+def requests(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src, dst, seq: HTTP calls to the one route that fits their URL and method best; ties stay open.
+
+    A call belongs to its file and to every function whose lines hold it.
+    """
+    http = found.select(F.col("path").alias("file"), F.posexplode("http").alias("seq", "h")).select("file", "seq", "h.*")
+    inside = resolve.in_intervals(http, nodes.filter("kind IN ('Function', 'File')").select("file", F.col("id").alias("src"), "start", "end"), ["file"], "line", "start", "end")
+    calls = inside.select("src", "seq", "method", normalize_url(F.col("url")).alias("call"), normalize_url(F.col("url"), True).alias("folded"))
+    routes = nodes.filter("kind = 'Route'").select(F.col("id").alias("dst"), normalize_url(F.col("url")).alias("route"), F.when(F.size("methods") > 0, F.col("methods")).otherwise(F.array(F.lit("GET"))).alias("methods"))
+    asked = calls.select("method", "call", "folded").distinct()
+    fits = url_candidates(asked, routes).withColumn("score", url_score(F.col("call"), F.col("folded"), F.col("route"))).filter("score IS NOT NULL")
+    allowed = F.array_contains("methods", F.col("method")) | (F.col("method") == "HEAD") & F.array_contains("methods", F.lit("GET"))
+    best = resolve.best_scored(fits.filter(allowed), ["method", "call"], "score", "dst").filter("dst IS NOT NULL")
+    return calls.join(best, ["method", "call"]).filter("src <> dst").groupBy("src", "dst").agg(F.min("seq").cast("long").alias("seq"))
+
+
 def edges_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """All edges, from the facts and the nodes of the same files."""
     imports = found.select("path", F.explode("imports").alias("i")).select("path", "i.*")
@@ -171,9 +189,10 @@ def edges_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
     fits = routed.join(views, F.col("name") == tail).withColumn("tier", F.when((F.col("view_file") == F.col("file")) & (F.col("qualified") == F.col("handler")), 0).when(F.col("view_file") == F.col("file"), 1).otherwise(2))
     handled = resolve.unique_target(resolve.lowest_tier(fits, ["src", "handler"], "tier"), ["src", "handler"], "view").select("src", F.col("view").alias("dst")).distinct().withColumn("seq", seq)
 
+    asked_for = requests(found, nodes)
     python = F.contains("src", F.lit(".py:"))
     kind = lambda df, name: df.select("src", "dst", F.lit(name).alias("edge_class"), "seq")
-    return kind(structural.union(imported).union(related), "structural").union(kind(called.filter(python), "executable")).union(kind(called.filter(~python).union(handled), "generated")).dropDuplicates(["src", "dst", "edge_class"])
+    return kind(structural.union(imported).union(related), "structural").union(kind(called.filter(python), "executable")).union(kind(called.filter(~python).union(handled).union(asked_for), "generated")).dropDuplicates(["src", "dst", "edge_class"])
 
 
 @dataclass

@@ -163,6 +163,37 @@ class CodeStructure:
         close = self._close(names, probe, 0.6) or self._close(self.nodes.select(F.col("id").alias("text"), "id"), text, 0.5)
         return [r["id"] for r in close]
 
+    # the graph by id
+
+    def callers(self, node: str) -> list[str]:
+        return self._ends(node, "callers")
+
+    def callees(self, node: str) -> list[str]:
+        return self._ends(node, "callees")
+
+    def dependents(self, node: str) -> list[str]:
+        """Sources of edges of any class into a node; dependencies() are the other ends of those out of it."""
+        return self._ends(node, "callers", None)
+
+    def dependencies(self, node: str) -> list[str]:
+        return self._ends(node, "callees", None)
+
+    def blast_radius(self, node: str, max_depth: int = 0) -> DataFrame:
+        """node, hop of everything that reaches a node in so many steps, 0: in any number."""
+        return traverse.bfs(self.edges, self.nodes.sparkSession.createDataFrame([(node,)], "node string"), max_depth, "callers")
+
+    def recursive_callees(self, node: str, max_depth: int = 0) -> DataFrame:
+        return traverse.bfs(self.edges, self.nodes.sparkSession.createDataFrame([(node,)], "node string"), max_depth, "callees")
+
+    def search(self, keyword: str) -> DataFrame:
+        """Nodes whose name holds a keyword in any case, whole matches first, then by file and line."""
+        word = keyword.strip().lower()
+        hits = self.nodes.filter(F.contains(F.lower("name"), F.lit(word))) if word else self.nodes.limit(0)
+        return hits.withColumn("rank", F.when(F.lower("name") == word, 0).otherwise(1)).orderBy("rank", "file", F.coalesce("start", F.lit(0)), "id")
+
+    def stats(self) -> dict:
+        return {"nodes": self.nodes.count(), "edges": self.edges.count()}
+
     # questions
 
     def lookup_symbol(self, symbol: str, path: str | None = None) -> dict:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import columns as C
 from loomgraph.operators import changes, resolve, rollup, traverse
+from loomgraph.operators.urls import url_candidates
 from loomgraph.plans.star_graph import EDGES_SQL, PATHS_SQL, URL_PATH_SQL, edges, node, paths, table, url_path
 from loomgraph.streaming.debounce import debounced
 
@@ -266,22 +269,11 @@ def url_match_scored(spark, sf_dir):
     path = url_path(F.col("url"))
     calls = table(spark, sf_dir, "pages").select("page_id", C.normalize_url(path).alias("call"), C.normalize_url(path, True).alias("folded"))
     routes = calls.select(F.col("folded").alias("route")).union(calls.filter("page_id % 7 = 0").select("call")).distinct()
-    wide = _url_candidates(calls, routes)
+    wide = url_candidates(calls, routes)
     scored = wide.withColumn("score", C.url_score(F.col("call"), F.col("folded"), F.col("route"))).filter("score IS NOT NULL")
     return resolve.best_scored(scored, ["page_id"], "score", "route")
 
 
-def _url_candidates(calls: DataFrame, routes: DataFrame) -> DataFrame:
-    """Calls with the routes they could fit. A fit by whole segments shares the leading or the trailing
-    segment, so candidates meet through an equi-join on those instead of all with all."""
-    first = lambda c: F.concat(F.lit("<"), F.split_part(c, F.lit("/"), F.lit(2)))
-    last = lambda c: F.concat(F.lit(">"), F.element_at(F.split(c, "/"), -1))
-    ends = lambda *cs: F.array_distinct(F.array(*[f(F.col(c)) for c in cs for f in (first, last)]))
-    left = calls.withColumn("__end", F.explode(ends("call", "folded")))
-    right = routes.withColumn("__end", F.explode(ends("route")))
-    return left.join(right, "__end").drop("__end").distinct()
-
-
 @query("""
     WITH c AS (
       SELECT l_orderkey AS src, l_suppkey AS target, CASE WHEN s_nationkey = c_nationkey THEN 10 ELSE 0 END + CASE WHEN l_quantity > 25 THEN 4 ELSE 0 END AS score
@@ -458,3 +450,24 @@ def framework_signals(spark, sf_dir):
 def regex_extract_calls(spark, sf_dir):
     calls = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
     return table(spark, sf_dir, "pages").select("page_id", calls.alias("c")).select("page_id", F.size("c").cast("long").alias("calls"), F.size(F.array_distinct("c")).cast("long").alias("distinct_calls"), F.array_join(F.slice("c", 1, 5), " ").alias("first_calls"))
+
+
+_PROBE = "small rnig"
+
+
+@query()
+def fuzzy_suggestions(spark, sf_dir):
+    """The five part names most like a mistyped one, by the ratio of matching blocks."""
+
+    @F.pandas_udf("double")
+    def ratio(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: difflib.SequenceMatcher(None, t, _PROBE).ratio())
+
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    return names.withColumn("ratio", ratio("name")).filter("ratio >= 0.6").orderBy(F.desc("ratio"), "name").limit(5)
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'red widget' THEN 0 ELSE 1 END AS rank FROM part WHERE contains(lower(p_name), 'widget')")
+def keyword_search(spark, sf_dir):
+    hits = table(spark, sf_dir, "part").filter(F.contains(F.lower("p_name"), F.lit("widget")))
+    return hits.select("p_partkey", "p_name", F.when(F.lower("p_name") == "red widget", 0).otherwise(1).alias("rank"))

@@ -437,7 +437,7 @@ def outline(source: str) -> list[dict]:
 
 def facts_of(path: str, content: bytes) -> dict:
     """All facts of one file; for files that hold no code only its lines. error tells what went wrong."""
-    empty = {"path": path, "lines": 0, "error": None, "definitions": [], "imports": [], "references": [], "base_refs": [], "routes": [], "relations": [], "exports": []}
+    empty = {"path": path, "lines": 0, "error": None, "definitions": [], "imports": [], "references": [], "base_refs": [], "routes": [], "relations": [], "exports": [], "http": []}
     if path.endswith((".js", ".jsx", ".ts", ".tsx")):
         try:
             text = content.decode("utf-8")

@@ -127,6 +127,7 @@ class Reader:
         self._statements(0, self.n, self.module, "")
         while self.later:  # bodies are read when all names of the scopes around them are known
             self.later.pop(0)()
+        self._web()
         exported = {e["local"] for e in self.exports if e["kind"] == "local"}
         for d in self.definitions:
             d["is_exported"] = d["qualified"] in exported
@@ -688,6 +689,42 @@ class Reader:
             return False
         return any(self.is_(x, "const", "let", "var") for x in range(max(0, k - 12), k))
 
+    # routes and requests
+
+    def _web(self) -> None:
+        """Calls like fetch('/x'), axios.post('/x') and app.get('/x', handler), by line.
+
+        With a handler behind the URL it is a route, without one a request; results of routes aren't assigned.
+        """
+        for i in range(self.n):
+            if self.t[i].kind != "word" or self.is_(i - 1, ".", "?.") or self.t[i].text in KEYWORDS and self.t[i].text != "this":
+                continue
+            end = self._chain_end(i)
+            name = self._text(i, end).replace(" ", "").split(".")
+            at = self._angles(end) if self.is_(end, "<") else end
+            if not self.is_(at, "("):
+                continue
+            args, verb = self.parts(at + 1, self.close.get(at, self.n)), name[-1]
+            if not args or not (name == ["fetch"] or name == ["axios"] or len(name) > 1 and verb in VERBS):
+                continue
+            url, method = self.string(args[0][0]), verb.upper() if verb in VERBS else "GET"
+            if name in (["fetch"], ["axios"]):
+                a, b = args[0][0], args[-1][1]
+                keys = {self.word(k): self.string(k + 2) for k in range(a, b) if self.word(k) in ("method", "url") and self.is_(k + 1, ":")}
+                url, method = url or keys.get("url"), (keys.get("method") or method).upper()
+            if not url:
+                continue
+            url = re.sub(r"^https?://[^/]+", "", re.sub(r"^\$\{\}(?=/)", "", url)).replace("${}", "{id}")
+            handlers = [x for x in args[1:] if self.word(x[0]) or self.literal(x[0])]
+            if not url.startswith("/"):
+                continue
+            if len(name) > 1 and name[0] != "axios" and handlers and not self.is_(i - 1, "=", "await", "return"):
+                last = handlers[-1]
+                handler = None if self.literal(last[0]) else self._text(*last).replace(" ", "")
+                self.routes.append({"url": url, "methods": [] if verb == "all" else [method], "handler": handler, "line": self.t[i].line, "kind": "call"})
+            else:
+                self.http.append({"url": re.sub(r"\?.*$", "", url), "method": method, "lib": name[0], "line": self.t[i].line})
+
     # references
 
     def _find(self, scope: Scope | None, name: str):
@@ -748,4 +785,4 @@ class Reader:
 
 def script_facts(path: str, text: str) -> dict:
     r = Reader(text, path)
-    return {"definitions": r.definitions, "imports": r.imports, "references": r.references, "base_refs": r.base_refs, "exports": r.exports}
+    return {"definitions": r.definitions, "imports": r.imports, "references": r.references, "base_refs": r.base_refs, "exports": r.exports, "routes": r.routes, "http": r.http}

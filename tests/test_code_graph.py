@@ -260,3 +260,13 @@ def test_code_map(ask):
     assert [s["name"] for s in file["symbols"]] == ["goal", "outer"] and file["symbols"][1]["members"][0]["name"] == "deep"
     assert ask.code_map("shop/stok.py")["suggestions"][0] == "shop/stock.py"
     assert "tool: code_map" in as_yaml(whole)
+
+
+def test_graph_by_id(ask):
+    assert ask.callers("shop/stock.py:reserve") == ["use.py:by_alias", "use.py:dotted_stock"]
+    assert ask.callees("top.py:main") == ["use.py:by_alias"]
+    assert "shop/stock.py" in ask.dependents("shop") and "inner.py:outer" in ask.dependencies("inner.py:outer.deep")
+    assert {r["node"]: r["hop"] for r in ask.blast_radius("shop/stock.py:reserve").collect()} == {"use.py:by_alias": 1, "use.py:dotted_stock": 1, "top.py:main": 2}
+    assert [r["node"] for r in ask.recursive_callees("top.py:main", 1).collect()] == ["use.py:by_alias"]
+    assert [r["id"] for r in ask.search("STORE").collect()] == ["shop/store.py:Store", "shop/store.py"]
+    assert ask.stats()["nodes"] > 50

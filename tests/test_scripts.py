@@ -103,3 +103,25 @@ def test_reader_takes_anything():
     assert [t.text for t in tokens("a?.b ?? /x/ // c\n+ 1.5")] == ["a", "?.", "b", "??", "/x/", "+", "1.5"]
     d = {x["qualified"]: x for x in script_facts("n.ts", "namespace N { export function f(a, {b}, ...c) {} }\nexport const client = axios.create({})\n")["definitions"]}
     assert d["N.f"]["param_count"] == 3 and d["client"]["kind"] == "Declaration"
+
+
+def test_requests_meet_the_one_route_that_fits(spark):
+    graph = build_from(
+        spark,
+        {
+            "back/api.py": "from fastapi import APIRouter\nrouter = APIRouter(prefix='/api/items')\n\n@router.get('/{item_id}')\ndef one(item_id):\n    return 1\n\n@router.post('/')\ndef add():\n    return 1\n\n@router.get('/static/7')\ndef seven():\n    return 7\n",
+            "back/twice.py": "from fastapi import APIRouter\nrouter = APIRouter()\n\n@router.get('/twice')\ndef a():\n    return 1\n",
+            "back/again.py": "from fastapi import APIRouter\nrouter = APIRouter()\n\n@router.get('/twice')\ndef b():\n    return 1\n",
+            "back/server.js": "app.get('/health', check)\nfunction check() {}\napp.use('/x', other)\n",
+            "front/client.ts": "export function load(id) { return fetch(`/api/items/${id}`) }\nexport const save = () => axios.post('/api/items', {})\nexport function seven() { return fetch('/api/items/static/7', { method: 'GET' }) }\nexport function wrong() { return fetch('/api/items/static/7', { method: 'DELETE' }) }\nexport function twice() { return fetch('/twice') }\nexport async function health() { const r = await http.get('http://host/health'); return r }\n",
+        },
+    )
+    got = {(r["src"], r["dst"]) for r in graph.edges.filter("edge_class = 'generated' AND contains(src, 'client.ts:')").collect()}
+    assert got == {
+        ("front/client.ts:load", "back/api.py:/api/items/{item_id}"),
+        ("front/client.ts:save", "back/api.py:/api/items/"),
+        ("front/client.ts:seven", "back/api.py:/api/items/static/7"),
+        ("front/client.ts:health", "back/server.js:/health"),
+    }
+    assert CodeStructure(graph).impact("back/api.py:one", depth=3)["meta"]["total"] == 3
+    assert {r["dst"] for r in graph.edges.filter("src = 'back/server.js:/health' AND edge_class = 'generated'").collect()} == {"back/server.js:check"}
