@@ -22,7 +22,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     points in the original text stays, then that with the smallest id.
 
     Edge cases: a null text is an empty one, and all texts without other characters are equal. A
-    null id counts as larger than all others. Rows that repeat an id within a group all get that
+    null id counts as larger than all others, and is kept only where a group has no other. Rows that repeat an id within a group all get that
     group's keep_id and count in group_size; if it is the id that stays, they all have kept = true.
     An empty table gives no rows. Other columns of docs are not looked at.
     """
@@ -41,11 +41,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     members = rows.select("doc_id", "n_chars", "hash", sha.alias("text_sha256"))
     return members.join(groups, ["hash", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", F.col("n_chars").cast("long").alias("n_chars")
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.col("n_chars").cast("long").alias("n_chars")
     )
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all its columns kept; repeated rows go too."""
-    keep = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(keep, docs[id_col] == keep["__kept_id"], "left_semi").dropDuplicates([id_col])
+    """docs with one row of each group of equal texts, all its columns kept; repeated rows go too.
+
+    Rows without an id can't be told apart by it and all stay.
+    """
+    named, others = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull())
+    keep = exact_groups(named, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return named.join(keep, named[id_col] == keep["__kept_id"], "left_semi").dropDuplicates([id_col]).unionByName(others)

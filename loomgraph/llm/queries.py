@@ -105,6 +105,6 @@ ORACLE_SQL: dict[str, str] = {
                  first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(s) DESC, doc_id NULLS LAST) AS keep_id,
                  count(*) OVER (PARTITION BY norm) AS group_size
           FROM t)
-        SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, sha256(norm) AS text_sha256, n_chars
+        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256, n_chars
         FROM r""",
 }

@@ -14,7 +14,7 @@ def test_exact_groups_equal_plain_grouping(spark):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     for r in got:
         if r["doc_id"] is None:
-            assert r["kept"] is False and r["keep_id"] is None
+            assert r["kept"] is True and r["keep_id"] is None
             continue
         text = next(t for i, t, *_ in ODD if i == r["doc_id"])
         mates = [(-len(t or ""), i) for i, t, *_ in ODD if i is not None and norm(t) == norm(text)]
@@ -26,6 +26,7 @@ def test_exact_groups_equal_plain_grouping(spark):
 
 def test_without_copies_keeps_one_of_each(spark):
     assert sorted(r["doc_id"] for r in rows(without_copies(documents(spark))) if r["doc_id"]) == [2, 3, 6, 7, 9, 10, 11]
+    assert [r["text"] for r in rows(without_copies(documents(spark))) if r["doc_id"] is None] == ["no id"]
     assert rows(exact_groups(empty(spark))) == []
 
 
