@@ -25,13 +25,14 @@ DEFINITION = "struct<qualified:string,name:string,kind:string,parent:string,star
 FACTS = (
     "path string, lines int, error string, "
     f"definitions array<{DEFINITION}>, "
-    "imports array<struct<module:string,symbol:string,text:string,line:int>>, "
+    "imports array<struct<module:string,symbol:string,text:string,line:int,alias:string>>, "
     "references array<struct<caller:string,call:string,seq:int,kind:string,module:string,symbol:string,member:string>>, "
     "base_refs array<struct<child:string,ord:int,module:string,symbol:string>>, "
-    "routes array<struct<url:string,methods:array<string>,handler:string,line:int,kind:string>>, "
+    "routes array<struct<url:string,methods:array<string>,handler:string,line:int,kind:string,var:string>>, "
     "relations array<struct<owner:string,type:string,model:string>>, "
     "exports array<struct<exported:string,kind:string,local:string,module:string,imported:string>>, "
-    "http array<struct<url:string,method:string,lib:string,line:int>>"
+    "http array<struct<url:string,method:string,lib:string,line:int>>, "
+    "mounts array<struct<prefix:string,module:string,symbol:string>>"
 )
 
 
@@ -78,7 +79,7 @@ def nodes_of(found: DataFrame) -> DataFrame:
     shown = ["signature", "docstring", "decorators", "base_classes", "calls", "is_async", "is_generator", "is_exported", "param_count"]
     kinds = {"signature": "string", "docstring": "string", "decorators": "array<string>", "base_classes": "array<string>", "calls": "array<string>", "is_async": "boolean", "is_generator": "boolean", "is_exported": "boolean", "param_count": "int"}
     empty = [text(kinds[c]).alias(c) for c in shown]
-    route_columns = [text("string").alias("url"), text("array<string>").alias("methods"), text("array<string>").alias("handlers")]
+    route_columns = [text("string").alias("url"), text("array<string>").alias("methods"), text("array<string>").alias("handlers"), text("string").alias("var")]
     folder_of = lambda c: F.when(F.contains(c, F.lit("/")), F.regexp_replace(c, "/[^/]*$", ""))
     last = lambda c: F.element_at(F.split(c, "/"), -1)
     p = F.col("path")
@@ -92,22 +93,28 @@ def nodes_of(found: DataFrame) -> DataFrame:
     definitions = d.select("id", "kind", "name", "qualified", p.alias("file"), parent.alias("parent"), "start", "end", *shown, *route_columns)
     r = found.select("path", F.posexplode("routes").alias("nth", "r")).select("path", "nth", "r.*").filter(~F.startswith(F.coalesce("handler", F.lit("")), F.lit("include:")) & F.col("url").isNotNull())
     ordered = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", c))), lambda x: x[c])))
-    grouped = r.withColumn("one", F.array("handler")).groupBy("path", "url").agg(ordered("methods").alias("methods"), ordered("one").alias("handlers"), F.min("line").alias("start"))
-    routes = grouped.select(F.concat("path", F.lit(":"), "url").alias("id"), F.lit("Route").alias("kind"), F.col("url").alias("name"), F.col("url").alias("qualified"), p.alias("file"), p.alias("parent"), "start", F.col("start").alias("end"), *empty, "url", "methods", F.array_compact("handlers").alias("handlers"))
+    grouped = r.withColumn("one", F.array("handler")).groupBy("path", "url").agg(ordered("methods").alias("methods"), ordered("one").alias("handlers"), F.min("line").alias("start"), F.min("var").alias("var"))
+    routes = grouped.select(F.concat("path", F.lit(":"), "url").alias("id"), F.lit("Route").alias("kind"), F.col("url").alias("name"), F.col("url").alias("qualified"), p.alias("file"), p.alias("parent"), "start", F.col("start").alias("end"), *empty, "url", "methods", F.array_compact("handlers").alias("handlers"), "var")
     return files.unionByName(folders).unionByName(definitions).unionByName(routes)
 
 
 def exported(found: DataFrame, where: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
-    """file, name, node: what the names that scripts export mean, through re-exports and stars.
+    """file, name, node: what the names that files offer to others mean, through re-exports and stars.
 
+    Scripts offer what they export, Python files their top-level definitions and what they import from others.
     A round follows each re-export by one file. A name that several stars give different meanings has none;
     a name of the file's own goes before stars, and stars don't pass on the default.
     """
     e = found.select("path", F.explode("exports").alias("e")).select("path", "e.*")
     e = cut(e.join(where, "module", "left"))
     own = e.filter("kind = 'local'").select(F.col("path").alias("file"), F.col("exported").alias("name"), F.concat("path", F.lit(":"), "local").alias("node"))
-    known = cut(own.join(nodes.select(F.col("id").alias("node")), "node").select("file", "name", "node").distinct())
-    passed = e.filter("kind = 'reexport' AND module_file IS NOT NULL").select("path", "exported", "module_file", "imported")
+    python = nodes.filter(F.endswith("file", F.lit(".py")) & F.col("kind").isin("Class", "Function") & ~F.contains("qualified", F.lit(".")))
+    known = own.join(nodes.select(F.col("id").alias("node")), "node").select("file", "name", "node").distinct()
+    known = cut(known.union(python.select("file", "qualified", "id")))
+    brought = found.select("path", F.explode("imports").alias("i")).select("path", "i.*").filter("alias IS NOT NULL").join(where, "module")
+    taken = python.select(F.col("file").alias("path"), F.col("qualified").alias("alias"))
+    brought = brought.join(taken, ["path", "alias"], "left_anti").select("path", F.col("alias").alias("exported"), "module_file", F.col("symbol").alias("imported"))
+    passed = e.filter("kind = 'reexport' AND module_file IS NOT NULL").select("path", "exported", "module_file", "imported").union(brought)
     stars = e.filter("kind = 'star' AND module_file IS NOT NULL").select("path", "module_file")
     if passed.union(stars.withColumns({"exported": F.lit(""), "imported": F.lit("")}).select(passed.columns)).isEmpty():
         return known
@@ -128,10 +135,36 @@ def _refs(rows: DataFrame, where: DataFrame, nodes: DataFrame, out: DataFrame) -
     script = F.coalesce(F.startswith("module", F.lit("script:")), F.lit(False))
     named = rows.join(where, "module", "left").join(out.select(F.col("file").alias("module_file"), F.col("name").alias("symbol"), F.col("node").alias("meant")), ["module_file", "symbol"], "left")
     file = F.when(F.col("module").isNull(), F.col("path")).otherwise(F.col("module_file"))
-    named = named.withColumn("ref", F.when(script, F.col("meant")).otherwise(F.concat(file, F.lit(":"), "symbol"))).drop("module_file", "meant")
+    named = named.withColumn("ref", F.coalesce("meant", F.when(~script, F.concat(file, F.lit(":"), "symbol")))).drop("module_file", "meant")
     return named.join(nodes.filter(F.col("kind").isin("Class", "Function", "Declaration")).select(F.col("id").alias("ref"), F.col("kind").alias("ref_kind")), "ref")
 
 
+def mounted(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
+    """nodes with full_url: a route's URL under the one prefix that its router is mounted at, if there is one.
+
+    Segments that the prefix ends with and the URL begins with count once.
+    """
+    m = found.select("path", F.explode("mounts").alias("m")).select("path", "m.*").join(where, "module", "left")
+    of = m.select(F.when(F.col("module").isNull(), F.col("path")).otherwise(F.col("module_file")).alias("file"), F.col("symbol").alias("var"), "prefix").filter("file IS NOT NULL")
+    both = nodes.join(resolve.unique_target(of, ["file", "var"], "prefix"), ["file", "var"], "left")
+    clean = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
+    a, b = clean(F.col("prefix")), clean(F.col("url"))
+    shared = F.filter(F.sequence(F.lit(1), F.lit(4)), lambda n: (n <= F.size(a)) & (n <= F.size(b)) & (F.slice(a, -n, n) == F.slice(b, 1, n)))
+    rest = F.slice(b, F.coalesce(F.array_max(shared), F.lit(0)) + 1, 1 << 20)
+    full = F.concat(F.lit("/"), F.array_join(F.concat(a, rest), "/"), F.when(F.endswith("url", F.lit("/")), "/").otherwise(""))
+    return both.withColumn("full_url", F.when(F.col("prefix").isNotNull() & (F.col("kind") == "Route"), full)).drop("prefix", "var")
+
+
+def modules_of(found: DataFrame) -> DataFrame:
+    """module, module_file for every module that any fact of the files names."""
+    asked = None
+    for c in ("imports", "references", "base_refs", "exports", "mounts"):
+        one = found.select(F.explode(c).alias("x")).select("x.module")
+        asked = one if asked is None else asked.union(one)
+    deeper = found.select(F.explode("imports").alias("x")).filter("x.symbol IS NOT NULL").select(F.concat(F.regexp_replace("x.module", "/$", ""), F.lit("/"), "x.symbol").alias("module"))
+    return modules(asked.union(deeper), found)
+
+
 def requests(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """src, dst, seq: HTTP calls to the one route that fits their URL and method best; ties stay open.
 
@@ -140,7 +173,7 @@ def requests(found: DataFrame, nodes: DataFrame) -> DataFrame:
     http = found.select(F.col("path").alias("file"), F.posexplode("http").alias("seq", "h")).select("file", "seq", "h.*")
     inside = resolve.in_intervals(http, nodes.filter("kind IN ('Function', 'File')").select("file", F.col("id").alias("src"), "start", "end"), ["file"], "line", "start", "end")
     calls = inside.select("src", "seq", "method", normalize_url(F.col("url")).alias("call"), normalize_url(F.col("url"), True).alias("folded"))
-    routes = nodes.filter("kind = 'Route'").select(F.col("id").alias("dst"), normalize_url(F.col("url")).alias("route"), F.when(F.size("methods") > 0, F.col("methods")).otherwise(F.array(F.lit("GET"))).alias("methods"))
+    routes = nodes.filter("kind = 'Route'").select(F.col("id").alias("dst"), normalize_url(F.coalesce("full_url", "url")).alias("route"), F.when(F.size("methods") > 0, F.col("methods")).otherwise(F.array(F.lit("GET"))).alias("methods"))
     asked = calls.select("method", "call", "folded").distinct()
     fits = url_candidates(asked, routes).withColumn("score", url_score(F.col("call"), F.col("folded"), F.col("route"))).filter("score IS NOT NULL")
     allowed = F.array_contains("methods", F.col("method")) | (F.col("method") == "HEAD") & F.array_contains("methods", F.lit("GET"))
@@ -148,15 +181,11 @@ def requests(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return calls.join(best, ["method", "call"]).filter("src <> dst").groupBy("src", "dst").agg(F.min("seq").cast("long").alias("seq"))
 
 
-def edges_of(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All edges, from the facts and the nodes of the same files."""
+def edges_of(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
+    """All edges, from the facts, the nodes and the modules of the same files."""
     imports = found.select("path", F.explode("imports").alias("i")).select("path", "i.*")
     references = found.select("path", F.explode("references").alias("r")).select("path", "r.*")
     bases = found.select("path", F.explode("base_refs").alias("b")).select("path", "b.*")
-    again = found.select(F.explode("exports").alias("e")).select("e.module")
-    asked = imports.select("module").union(references.select("module")).union(bases.select("module")).union(again)
-    deeper = imports.filter("symbol IS NOT NULL").select(F.concat(F.regexp_replace("module", "/$", ""), F.lit("/"), "symbol").alias("module"))
-    where = cut(modules(asked.union(deeper), found))
     seq = F.lit(0).cast("long")
 
     inside = nodes.filter("parent IS NOT NULL").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
@@ -207,8 +236,9 @@ class Graph:
 def build(files: DataFrame) -> Graph:
     """The graph of files (path, content). Facts, nodes and edges are each written once."""
     found = cut(facts(files))
-    nodes = cut(nodes_of(found))
-    return Graph(nodes, cut(edges_of(found, nodes)), found.filter("error IS NOT NULL").select("path", "error"))
+    where = cut(modules_of(found))
+    nodes = cut(mounted(found, nodes_of(found), where))
+    return Graph(nodes, cut(edges_of(found, nodes, where)), found.filter("error IS NOT NULL").select("path", "error"))
 
 
 def build_from(spark: SparkSession, sources: dict[str, str]) -> Graph:

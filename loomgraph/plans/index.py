@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.changes import without_files
-from loomgraph.plans.code_graph import FACTS, Graph, edges_of, facts, nodes_of
+from loomgraph.plans.code_graph import FACTS, Graph, edges_of, facts, modules_of, mounted, nodes_of
 from loomgraph.plans.questions import CodeStructure
 from loomgraph.sources.workspace import CODE, TEXT, listing, read_workspace
+from loomgraph.storage import cut
 
 VERSION = "1"
 
@@ -110,10 +111,11 @@ class WorkspaceIndex:
             whole = without_files(self._table(meta["state"], "facts"), replaced, "path").unionByName(good)
         whole.write.parquet(f"{self.folder}/{state}/facts")
         own = self._table(state, "facts")
-        nodes_of(own).write.parquet(f"{self.folder}/{state}/nodes")
+        where = cut(modules_of(own))
+        mounted(own, nodes_of(own), where).write.parquet(f"{self.folder}/{state}/nodes")
         nodes = self._table(state, "nodes")
         relink = not usable or any(p.endswith(CODE) for p in changed | removed)
-        edges = edges_of(own, nodes)
+        edges = edges_of(own, nodes, where)
         if not relink:  # calls and imports stay; only what holds what can have changed
             edges = edges.filter("edge_class = 'structural'").unionByName(self._table(meta["state"], "edges").filter("edge_class <> 'structural'"))
         edges.write.parquet(f"{self.folder}/{state}/edges")

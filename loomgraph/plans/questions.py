@@ -216,7 +216,7 @@ class CodeStructure:
         if r["kind"] == "Function" and r["param_count"] is not None:
             out["param_count"] = r["param_count"]
         if r["kind"] == "Route":
-            out["url"] = r["url"]
+            out["url"] = r["full_url"] or r["url"]
             for key in ("methods", "handlers"):
                 out |= _bounded(key, list(r[key]), 20) if r[key] else {}
         if r["kind"] == "File":
@@ -376,7 +376,7 @@ class CodeStructure:
             name = r["qualified"].rsplit(".", 1)[-1] if r["kind"] in DOTTED else r["qualified"]
             item = {"name": name, "kind": r["kind"]} | ({"lines": s} if (s := _span(r)) else {}) | ({"signature": r["signature"][:160]} if r["signature"] else {})
             if r["kind"] == "Route":
-                item |= {"url": r["url"]} | (_bounded("methods", list(r["methods"]), 20) if r["methods"] else {}) | (_bounded("handlers", list(r["handlers"]), 20) if r["handlers"] else {})
+                item |= {"url": r["full_url"] or r["url"]} | (_bounded("methods", list(r["methods"]), 20) if r["methods"] else {}) | (_bounded("handlers", list(r["handlers"]), 20) if r["handlers"] else {})
             for k in ("decorators", "base_classes"):
                 item |= _bounded(k, list(r[k]), 20) if r[k] else {}
             item |= {"is_async": True} if r["is_async"] else {}

@@ -68,8 +68,10 @@ class Extractor:
         self.module = Scope("module", "", None)
         self._bind(self.tree.body, self.module)
         self._visit(self.tree.body, self.module, None)
+        self.mounts: list[dict] = []
         for statement in self.tree.body:
             self._url_patterns(statement)
+        self._mounts()
         self._calls_of(self.tree, self.module, None, [s for s in self.tree.body if not isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))])
 
     # names
@@ -377,7 +379,7 @@ class Extractor:
             if url is None or verb not in (*METHODS, "route", "api_route"):
                 continue
             methods = [verb.upper()] if verb in METHODS else [m for k in d.keywords if k.arg == "methods" and isinstance(k.value, (ast.List, ast.Tuple)) for m in map(literal, k.value.elts) if m]
-            self.routes.append({"url": self._prefix(var) + url, "methods": methods or ["GET"], "handler": qualified, "line": node.lineno, "kind": "decorator"})
+            self.routes.append({"url": self._prefix(var) + url, "methods": methods or ["GET"], "handler": qualified, "line": node.lineno, "kind": "decorator", "var": var})
 
     def _prefix(self, var: str) -> str:
         if not self.prefixes:
@@ -402,17 +404,33 @@ class Extractor:
                     handler = "include:" + (literal(view.args[0]) or dotted(view.args[0]) or "") if view.args else "include:"
                 else:
                     handler = dotted(view.func.value) if isinstance(view, ast.Call) and isinstance(view.func, ast.Attribute) and view.func.attr == "as_view" else dotted(view)
-                self.routes.append({"url": literal(call.args[0]) or "/", "methods": [], "handler": handler, "line": call.lineno, "kind": "pattern"})
+                self.routes.append({"url": literal(call.args[0]) or "/", "methods": [], "handler": handler, "line": call.lineno, "kind": "pattern", "var": "urlpatterns"})
+                if handler and handler.startswith("include:"):
+                    self.mounts.append({"prefix": literal(call.args[0]) or "/", "module": module_path(handler[8:], 0, self.file), "symbol": "urlpatterns"})
+
+    def _mounts(self) -> None:
+        """Routers that are mounted under a prefix: by a call on an application or another router."""
+        for call in (n for n in ast.walk(self.tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in ("include_router", "register_blueprint")):
+            prefix = next((literal(k.value) for k in call.keywords if k.arg in ("prefix", "url_prefix")), None)
+            name = dotted(call.args[0]) if call.args else None
+            got = self._find(self.module, name.split(".")[0]) if name else None
+            if not prefix or not name:
+                continue
+            ref = self._module_symbol(got[0][1], name) if got and isinstance(got[0], tuple) and got[0][0] == "import" else None
+            if ref:
+                self.mounts.append({"prefix": prefix, "module": ref[1], "symbol": ref[2]})
+            elif "." not in name:
+                self.mounts.append({"prefix": prefix, "module": None, "symbol": name})
 
     def import_facts(self) -> list[dict]:
         out = []
         for node in ast.walk(self.tree):
             if isinstance(node, ast.Import):
                 for a in node.names:
-                    out.append({"module": module_path(a.name, 0, self.file), "symbol": None, "text": ast.unparse(node), "line": node.lineno})
+                    out.append({"module": module_path(a.name, 0, self.file), "symbol": None, "text": ast.unparse(node), "line": node.lineno, "alias": None})
             elif isinstance(node, ast.ImportFrom):
                 for a in node.names:
-                    out.append({"module": module_path(node.module, node.level, self.file), "symbol": a.name, "text": ast.unparse(node), "line": node.lineno})
+                    out.append({"module": module_path(node.module, node.level, self.file), "symbol": a.name, "text": ast.unparse(node), "line": node.lineno, "alias": (a.asname or a.name) if node in self.tree.body else None})
         return out
 
 
@@ -437,7 +455,7 @@ def outline(source: str) -> list[dict]:
 
 def facts_of(path: str, content: bytes) -> dict:
     """All facts of one file; for files that hold no code only its lines. error tells what went wrong."""
-    empty = {"path": path, "lines": 0, "error": None, "definitions": [], "imports": [], "references": [], "base_refs": [], "routes": [], "relations": [], "exports": [], "http": []}
+    empty = {"path": path, "lines": 0, "error": None, "definitions": [], "imports": [], "references": [], "base_refs": [], "routes": [], "relations": [], "exports": [], "http": [], "mounts": []}
     if path.endswith((".js", ".jsx", ".ts", ".tsx")):
         try:
             text = content.decode("utf-8")
@@ -456,4 +474,4 @@ def facts_of(path: str, content: bytes) -> dict:
         x = Extractor(text, path)
     except (SyntaxError, ValueError, RecursionError) as e:
         return empty | {"error": f"{type(e).__name__}: {e}", "definitions": outline(text)}
-    return empty | {"definitions": x.definitions, "imports": x.import_facts(), "references": x.references, "base_refs": x.base_refs, "routes": x.routes, "relations": x.relations}
+    return empty | {"definitions": x.definitions, "imports": x.import_facts(), "references": x.references, "base_refs": x.base_refs, "routes": x.routes, "relations": x.relations, "mounts": x.mounts}

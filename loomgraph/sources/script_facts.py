@@ -331,7 +331,7 @@ class Reader:
 
     def _imported(self, source: str, line: int) -> None:
         base = self.base(source)
-        self.imports.append({"module": base, "symbol": None, "text": source, "line": line})
+        self.imports.append({"module": base, "symbol": None, "text": source, "line": line, "alias": None})
 
     def _add_export(self, exported: str, kind: str, local=None, source=None, imported=None) -> None:
         self.exports.append({"exported": exported, "kind": kind, "local": local, "module": self.base(source) if source else None, "imported": imported})
@@ -721,7 +721,7 @@ class Reader:
             if len(name) > 1 and name[0] != "axios" and handlers and not self.is_(i - 1, "=", "await", "return"):
                 last = handlers[-1]
                 handler = None if self.literal(last[0]) else self._text(*last).replace(" ", "")
-                self.routes.append({"url": url, "methods": [] if verb == "all" else [method], "handler": handler, "line": self.t[i].line, "kind": "call"})
+                self.routes.append({"url": url, "methods": [] if verb == "all" else [method], "handler": handler, "line": self.t[i].line, "kind": "call", "var": name[0]})
             else:
                 self.http.append({"url": re.sub(r"\?.*$", "", url), "method": method, "lib": name[0], "line": self.t[i].line})
 

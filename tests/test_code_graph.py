@@ -270,3 +270,25 @@ def test_graph_by_id(ask):
     assert [r["node"] for r in ask.recursive_callees("top.py:main", 1).collect()] == ["use.py:by_alias"]
     assert [r["id"] for r in ask.search("STORE").collect()] == ["shop/store.py:Store", "shop/store.py"]
     assert ask.stats()["nodes"] > 50
+
+
+def test_mounts_and_package_files(spark):
+    graph = build_from(
+        spark,
+        {
+            "app.py": "from api.users import router\nimport api.items as items\n\napp = make()\napp.include_router(router, prefix='/v1')\napp.include_router(items.router, prefix='/v1/items')\n",
+            "api/__init__.py": "from .users import who as name_of\n",
+            "api/users.py": "router = APIRouter()\n\n@router.get('/users')\ndef who():\n    return 1\n",
+            "api/items.py": "router = APIRouter()\n\n@router.get('/items/all')\ndef all_items():\n    return 1\n",
+            "site/urls.py": "urlpatterns = [path('shop/', include('site.shop'))]\n",
+            "site/shop.py": "urlpatterns = [path('cart/<int:pk>/', cart)]\n\ndef cart(request, pk):\n    return 1\n",
+            "use.py": "from api import name_of\n\ndef ask():\n    return name_of()\n",
+            "web.ts": "export const a = () => fetch('/v1/users')\nexport const b = () => fetch('/shop/cart/5')\n",
+        },
+    )
+    urls = {r["id"]: r["full_url"] for r in graph.nodes.filter("kind = 'Route'").collect()}
+    assert urls == {"api/users.py:/users": "/v1/users", "api/items.py:/items/all": "/v1/items/all", "site/shop.py:cart/<int:pk>/": "/shop/cart/<int:pk>/"}
+    edges = {(r["src"], r["dst"]) for r in graph.edges.filter("edge_class <> 'structural'").collect()}
+    assert ("use.py:ask", "api/users.py:who") in edges
+    assert ("web.ts:a", "api/users.py:/users") in edges and ("web.ts:b", "site/shop.py:cart/<int:pk>/") in edges
+    assert ("site/shop.py:cart/<int:pk>/", "site/shop.py:cart") in edges
