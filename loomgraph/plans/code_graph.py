@@ -18,7 +18,7 @@ from loomgraph.functions.columns import ancestors, normalize_url, url_score
 from loomgraph.operators import resolve, traverse
 from loomgraph.operators.urls import url_candidates
 from loomgraph.sources.python_facts import facts_of
-from loomgraph.storage import cut
+from loomgraph.storage import cut, reachable
 
 SCRIPTS = (".ts", ".tsx", ".js", ".jsx")
 DEFINITION = "struct<qualified:string,name:string,kind:string,parent:string,start:int,end:int,signature:string,docstring:string,decorators:array<string>,base_classes:array<string>,calls:array<string>,is_async:boolean,is_generator:boolean,is_exported:boolean,param_count:int>"
@@ -30,7 +30,7 @@ FACTS = (
     "base_refs array<struct<child:string,ord:int,module:string,symbol:string>>, "
     "routes array<struct<url:string,methods:array<string>,handler:string,line:int,kind:string,var:string>>, "
     "relations array<struct<owner:string,type:string,model:string>>, "
-    "exports array<struct<exported:string,kind:string,local:string,module:string,imported:string>>, "
+    "exports array<struct<exported:string,kind:string,local:string,module:string,imported:string,source:string>>, "
     "http array<struct<url:string,method:string,lib:string,line:int>>, "
     "mounts array<struct<prefix:string,module:string,symbol:string>>"
 )
@@ -47,6 +47,7 @@ def facts(files: DataFrame) -> DataFrame:
             rows = [facts_of(p.as_py(), c.as_py() or b"") for p, c in zip(batch.column(0), batch.column(1))]
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
+    reachable(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, FACTS)
 
 
@@ -83,18 +84,27 @@ def nodes_of(found: DataFrame) -> DataFrame:
     folder_of = lambda c: F.when(F.contains(c, F.lit("/")), F.regexp_replace(c, "/[^/]*$", ""))
     last = lambda c: F.element_at(F.split(c, "/"), -1)
     p = F.col("path")
-    files = found.select(p.alias("id"), F.lit("File").alias("kind"), last(p).alias("name"), p.alias("qualified"), p.alias("file"), folder_of(p).alias("parent"), F.lit(1).alias("start"), F.col("lines").alias("end"), *empty, *route_columns)
+    lists = [text("array<string>").alias("imports"), text("array<string>").alias("exports")]
+    brought = F.array_distinct(F.transform(F.array_sort(F.transform("imports", lambda i: F.struct(i["line"].alias("line"), i["text"].alias("text")))), lambda i: F.trim(F.regexp_replace(i["text"], r"\s+", " "))))
+
+    def offer(e):
+        local = F.when(e["local"].rlike("^anonymous_L") | (e["local"] == e["exported"]), e["exported"]).otherwise(F.concat_ws(" as ", e["local"], e["exported"]))
+        again = F.when(e["imported"] == e["exported"], e["exported"]).otherwise(F.concat_ws(" as ", e["imported"], e["exported"]))
+        return F.when(e["kind"] == "star", F.concat(F.lit("* from "), e["source"])).when(e["kind"] == "reexport", F.concat(again, F.lit(" from "), e["source"])).otherwise(local)
+
+    own_lists = [brought.alias("imports"), F.array_distinct(F.transform("exports", offer)).alias("exports")]
+    files = found.select(p.alias("id"), F.lit("File").alias("kind"), last(p).alias("name"), p.alias("qualified"), p.alias("file"), folder_of(p).alias("parent"), F.lit(1).alias("start"), F.col("lines").alias("end"), *empty, *route_columns, *own_lists)
     folder = found.select(F.explode(ancestors(p)).alias("f")).distinct()
     f = F.col("f")
-    folders = folder.select(f.alias("id"), F.lit("Folder").alias("kind"), last(f).alias("name"), f.alias("qualified"), f.alias("file"), folder_of(f).alias("parent"), text("int").alias("start"), text("int").alias("end"), *empty, *route_columns)
+    folders = folder.select(f.alias("id"), F.lit("Folder").alias("kind"), last(f).alias("name"), f.alias("qualified"), f.alias("file"), folder_of(f).alias("parent"), text("int").alias("start"), text("int").alias("end"), *empty, *route_columns, *lists)
     d = found.select("path", F.posexplode("definitions").alias("nth", "d")).select("path", "nth", "d.*")
     d = resolve.latest(d.withColumn("id", F.concat("path", F.lit(":"), "qualified")), ["id"], ["nth"])
     parent = F.when(F.col("parent").isNull(), p).otherwise(F.concat(p, F.lit(":"), "parent"))
-    definitions = d.select("id", "kind", "name", "qualified", p.alias("file"), parent.alias("parent"), "start", "end", *shown, *route_columns)
+    definitions = d.select("id", "kind", "name", "qualified", p.alias("file"), parent.alias("parent"), "start", "end", *shown, *route_columns, *lists)
     r = found.select("path", F.posexplode("routes").alias("nth", "r")).select("path", "nth", "r.*").filter(~F.startswith(F.coalesce("handler", F.lit("")), F.lit("include:")) & F.col("url").isNotNull())
     ordered = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", c))), lambda x: x[c])))
     grouped = r.withColumn("one", F.array("handler")).groupBy("path", "url").agg(ordered("methods").alias("methods"), ordered("one").alias("handlers"), F.min("line").alias("start"), F.min("var").alias("var"))
-    routes = grouped.select(F.concat("path", F.lit(":"), "url").alias("id"), F.lit("Route").alias("kind"), F.col("url").alias("name"), F.col("url").alias("qualified"), p.alias("file"), p.alias("parent"), "start", F.col("start").alias("end"), *empty, "url", "methods", F.array_compact("handlers").alias("handlers"), "var")
+    routes = grouped.select(F.concat("path", F.lit(":"), "url").alias("id"), F.lit("Route").alias("kind"), F.col("url").alias("name"), F.col("url").alias("qualified"), p.alias("file"), p.alias("parent"), "start", F.col("start").alias("end"), *empty, "url", "methods", F.array_compact("handlers").alias("handlers"), "var", *lists)
     return files.unionByName(folders).unionByName(definitions).unionByName(routes)
 
 

@@ -21,6 +21,17 @@ RELATED, UNRESOLVED, POSSIBLE, REACHED, DEPTH = 50, 30, 30, 300, 25
 DOTTED = ("Class", "Function", "Declaration")
 SYMBOLS = (*DOTTED, "Route", "Middleware")
 
+# The texts of answers.
+STALE = "Index is stale or a graph update was interrupted; allow pending retries or restart to rescan."
+FIND_HINT = "Try the bare name (create_sale), a qualified name (SalesAPI.create_sale), or <file>:<name> (api.py:create_sale). Unindexed files are excluded."
+CHOOSE_HINT = "Several definitions match; call again with the exact `id` (or restrict with `path`)."
+STOPPED = "Traversal stopped after {} nodes; lower depth or start from a narrower symbol."
+BEYOND = "Nodes at depth {} still have unexplored {}; raise depth to continue."
+BY_NAME = "{} possible_callers reach '{}' through a receiver the resolver could not type (see 'via'); they are matched by name only, are not in 'affected', and must be verified by reading the call site."
+OPEN_CALLS = "{} calls made by the target could not be resolved to a symbol (unresolved_callees); their dependencies are not in 'affected'."
+HEURISTIC = "Route/File/Middleware entries come from framework and HTTP-call linking, which is heuristic."
+CAPPED = "Listing capped at {} entries; map a sub-folder or lower depth."
+
 # Calls that tell nothing about dependencies.
 BUILTINS = frozenset(
     "abs aiter all anext any ascii bin bool breakpoint bytearray bytes callable chr classmethod compile complex delattr dict dir divmod "
@@ -78,7 +89,7 @@ class CodeStructure:
     # shared
 
     def _meta(self) -> dict:
-        warnings = ["Index is stale or a graph update was interrupted; allow pending retries or restart to rescan."] * self.stale + list(self.health)
+        warnings = [STALE] * self.stale + list(self.health)
         return {"workspace": self.workspace, "index_stale": self.stale, "graph_built": True} | ({"warnings": warnings} if warnings else {})
 
     def _clean(self, text: str | None) -> str:
@@ -133,11 +144,10 @@ class CodeStructure:
         if not rows:
             out = {"ok": False, "tool": tool, "error": f"No indexed symbol matches '{(symbol or '').strip()}'", "meta": self._meta()}
             close = self._suggest(self._clean(symbol))
-            hint = "Try the bare name (create_sale), a qualified name (SalesAPI.create_sale), or <file>:<name> (api.py:create_sale). Unindexed files are excluded."
-            return None, out | ({"suggestions": close} if close else {}) | {"status": "not_found", "hint": hint}
+            return None, out | ({"suggestions": close} if close else {}) | {"status": "not_found", "hint": FIND_HINT}
         total = found.count()
         out = {"ok": True, "tool": tool, "status": "ambiguous", "meta": self._meta() | {"candidates": total}, "candidates": [self._brief(r) for r in rows[:RELATED]]}
-        out["hint"] = "Several definitions match; call again with the exact `id` (or restrict with `path`)."
+        out["hint"] = CHOOSE_HINT
         return None, out | ({"candidates_omitted": total - RELATED} if total > RELATED else {})
 
     def _close(self, names: DataFrame, probe: str, cutoff: float) -> list:
@@ -295,15 +305,15 @@ class CodeStructure:
         meta |= {"possible": len(possible)} if direction == "callers" else {}
         warnings = meta.pop("warnings", [])
         if truncated:
-            warnings.append(f"Traversal stopped after {REACHED} nodes; lower depth or start from a narrower symbol.")
+            warnings.append(STOPPED.format(REACHED))
         if beyond:
-            warnings.append(f"Nodes at depth {depth} still have unexplored {direction}; raise depth to continue.")
+            warnings.append(BEYOND.format(depth, direction))
         if possible:
-            warnings.append(f"{len(possible)} possible_callers reach '{target['name']}' through a receiver the resolver could not type (see 'via'); they are matched by name only, are not in 'affected', and must be verified by reading the call site.")
+            warnings.append(BY_NAME.format(len(possible), target["name"]))
         if open_:
-            warnings.append(f"{len(open_)} calls made by the target could not be resolved to a symbol (unresolved_callees); their dependencies are not in 'affected'.")
+            warnings.append(OPEN_CALLS.format(len(open_)))
         if any(r["kind"] in ("Route", "File", "Middleware") for r in shown):
-            warnings.append("Route/File/Middleware entries come from framework and HTTP-call linking, which is heuristic.")
+            warnings.append(HEURISTIC)
         grouped: dict[str, list[str]] = {}
         for r in shown:
             grouped.setdefault(r["file"], []).append(self._entry(r, r["hop"]))
@@ -362,7 +372,7 @@ class CodeStructure:
         tree.pop("path")
         meta = self._meta() | {"path": rel or ".", "kind": "directory"} | totals | {"truncated": len(found) > MAP_ENTRIES}
         if meta["truncated"]:
-            meta["warnings"] = meta.get("warnings", []) + [f"Listing capped at {MAP_ENTRIES} entries; map a sub-folder or lower depth."]
+            meta["warnings"] = meta.get("warnings", []) + [CAPPED.format(MAP_ENTRIES)]
         return {"ok": True, "tool": "code_map", "meta": meta} | tree
 
     def _map_file(self, rel: str) -> dict:
@@ -383,7 +393,10 @@ class CodeStructure:
             made[r["id"]] = item
             (made[r["parent"]].setdefault("members", []) if r["parent"] in made else tree).append(item)
         meta = self._meta() | {"path": rel, "kind": "file", "line_count": file["end"], "symbols": total, "truncated": total > MAP_ENTRIES}
-        return {"ok": True, "tool": "code_map", "meta": meta, "symbols": tree}
+        shown = {}
+        for k in ("imports", "exports"):
+            shown |= _bounded(k, [_cut(x, 240) or "" for x in file[k]], IMPORTS) if file[k] else {}
+        return {"ok": True, "tool": "code_map", "meta": meta} | shown | {"symbols": tree}
 
 
 def as_yaml(answer: dict) -> str:

@@ -334,7 +334,7 @@ class Reader:
         self.imports.append({"module": base, "symbol": None, "text": source, "line": line, "alias": None})
 
     def _add_export(self, exported: str, kind: str, local=None, source=None, imported=None) -> None:
-        self.exports.append({"exported": exported, "kind": kind, "local": local, "module": self.base(source) if source else None, "imported": imported})
+        self.exports.append({"exported": exported, "kind": kind, "local": local, "module": self.base(source) if source else None, "imported": imported, "source": source})
 
     def _export(self, i: int) -> int | None:
         k = i + 1 + (self.is_(i + 1, "type") and self.is_(i + 2, "{", "*"))

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from loomgraph.storage import reachable
+
 # Folders that hold no sources of the workspace's own.
 EXCLUDED = frozenset(
     "node_modules venv env .venv .env __pycache__ target dist build out dist-electron electron assets migrations alembic "
@@ -119,11 +121,13 @@ class WorkspaceSource(DataSource):
 
 def read_workspace(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """path, mtime_ns, size, content and torn (changed while it was read) of every file to index."""
+    reachable(spark)
     spark.dataSource.register(WorkspaceSource)
     return spark.read.format("workspace").option("exclude", ",".join(exclude)).load(os.path.abspath(root))
 
 
 def read_changes(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """A stream of (path, action): update for new and changed files, delete for those that are gone."""
+    reachable(spark)
     spark.dataSource.register(WorkspaceSource)
     return spark.readStream.format("workspace").option("changes", "1").option("exclude", ",".join(exclude)).load(os.path.abspath(root))

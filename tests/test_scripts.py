@@ -89,6 +89,8 @@ def test_callbacks_are_transparent(graph, calls):
     assert set(ask.lookup_symbol("refresh")["relationships"]["callers"]) == {"web/App.jsx:App"}
     assert ask.lookup_symbol("App.jsx:App")["relationships"]["callees"] == ["web/App.jsx:Panel", "web/App.jsx:App.refresh"] or set(ask.lookup_symbol("App.jsx:App")["relationships"]["callees"]) == {"web/App.jsx:Panel", "web/App.jsx:App.refresh"}
     assert ask.impact("web/lib.js:helper", depth=3)["meta"]["total"] == 3
+    assert ask.code_map("src/index.ts")["exports"] == ["load as fetchIt from ./util", "* from ./repo", "* as others from ./other"]
+    assert ask.code_map("src/use.ts")["imports"] == ["./util", "./other.js", ".", "./repo", "package"]
     assert set(ask.lookup_symbol("src/use.ts")["relationships"]["imports"]) == {"src/util.ts", "src/other.ts", "src/index.ts", "src/repo.ts"}
 
 
