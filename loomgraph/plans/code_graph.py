@@ -28,11 +28,12 @@ FACTS = (
     "imports array<struct<module:string,symbol:string,text:string,line:int,alias:string>>, "
     "references array<struct<caller:string,call:string,seq:int,kind:string,module:string,symbol:string,member:string>>, "
     "base_refs array<struct<child:string,ord:int,module:string,symbol:string>>, "
-    "routes array<struct<url:string,methods:array<string>,handler:string,line:int,kind:string,var:string>>, "
+    "routes array<struct<url:string,methods:array<string>,handler:string,line:int,kind:string,var:string,framework:string>>, "
     "relations array<struct<owner:string,type:string,model:string>>, "
     "exports array<struct<exported:string,kind:string,local:string,module:string,imported:string,source:string>>, "
     "http array<struct<url:string,method:string,lib:string,line:int>>, "
-    "mounts array<struct<prefix:string,module:string,symbol:string>>"
+    "mounts array<struct<prefix:string,module:string,symbol:string>>, "
+    "frameworks array<string>"
 )
 
 
@@ -84,7 +85,7 @@ def nodes_of(found: DataFrame) -> DataFrame:
     folder_of = lambda c: F.when(F.contains(c, F.lit("/")), F.regexp_replace(c, "/[^/]*$", ""))
     last = lambda c: F.element_at(F.split(c, "/"), -1)
     p = F.col("path")
-    lists = [text("array<string>").alias("imports"), text("array<string>").alias("exports")]
+    lists = [text("array<string>").alias("imports"), text("array<string>").alias("exports"), text("array<string>").alias("frameworks")]
     brought = F.array_distinct(F.transform(F.array_sort(F.transform("imports", lambda i: F.struct(i["line"].alias("line"), i["text"].alias("text")))), lambda i: F.trim(F.regexp_replace(i["text"], r"\s+", " "))))
 
     def offer(e):
@@ -92,7 +93,7 @@ def nodes_of(found: DataFrame) -> DataFrame:
         again = F.when(e["imported"] == e["exported"], e["exported"]).otherwise(F.concat_ws(" as ", e["imported"], e["exported"]))
         return F.when(e["kind"] == "star", F.concat(F.lit("* from "), e["source"])).when(e["kind"] == "reexport", F.concat(again, F.lit(" from "), e["source"])).otherwise(local)
 
-    own_lists = [brought.alias("imports"), F.array_distinct(F.transform("exports", offer)).alias("exports")]
+    own_lists = [brought.alias("imports"), F.array_distinct(F.transform("exports", offer)).alias("exports"), F.col("frameworks")]
     files = found.select(p.alias("id"), F.lit("File").alias("kind"), last(p).alias("name"), p.alias("qualified"), p.alias("file"), folder_of(p).alias("parent"), F.lit(1).alias("start"), F.col("lines").alias("end"), *empty, *route_columns, *own_lists)
     folder = found.select(F.explode(ancestors(p)).alias("f")).distinct()
     f = F.col("f")
@@ -103,8 +104,8 @@ def nodes_of(found: DataFrame) -> DataFrame:
     definitions = d.select("id", "kind", "name", "qualified", p.alias("file"), parent.alias("parent"), "start", "end", *shown, *route_columns, *lists)
     r = found.select("path", F.posexplode("routes").alias("nth", "r")).select("path", "nth", "r.*").filter(~F.startswith(F.coalesce("handler", F.lit("")), F.lit("include:")) & F.col("url").isNotNull())
     ordered = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", c))), lambda x: x[c])))
-    grouped = r.withColumn("one", F.array("handler")).groupBy("path", "url").agg(ordered("methods").alias("methods"), ordered("one").alias("handlers"), F.min("line").alias("start"), F.min("var").alias("var"))
-    routes = grouped.select(F.concat("path", F.lit(":"), "url").alias("id"), F.lit("Route").alias("kind"), F.col("url").alias("name"), F.col("url").alias("qualified"), p.alias("file"), p.alias("parent"), "start", F.col("start").alias("end"), *empty, "url", "methods", F.array_compact("handlers").alias("handlers"), "var", *lists)
+    grouped = r.withColumn("one", F.array("handler")).groupBy("path", "url").agg(ordered("methods").alias("methods"), ordered("one").alias("handlers"), F.min("line").alias("start"), F.min("var").alias("var"), F.collect_set("framework").alias("frameworks"))
+    routes = grouped.select(F.concat("path", F.lit(":"), "url").alias("id"), F.lit("Route").alias("kind"), F.col("url").alias("name"), F.col("url").alias("qualified"), p.alias("file"), p.alias("parent"), "start", F.col("start").alias("end"), *empty, "url", "methods", F.array_compact("handlers").alias("handlers"), "var", *lists[:2], F.array_sort("frameworks").alias("frameworks"))
     return files.unionByName(folders).unionByName(definitions).unionByName(routes)
 
 

@@ -232,6 +232,7 @@ class CodeStructure:
         if r["kind"] == "File":
             out.pop("lines", None)
             out |= {"line_count": r["end"]} if r["end"] else {}
+            out |= _bounded("frameworks", list(r["frameworks"]), 20) if r["frameworks"] else {}
         return out
 
     def _ends(self, node: str, direction: str, classes=traverse.EXECUTABLE) -> list[str]:

@@ -12,6 +12,7 @@ import ast
 import re
 from dataclasses import dataclass, field
 
+from loomgraph.sources.frameworks import frameworks_of, of_route
 from loomgraph.sources.script_facts import script_facts
 
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
@@ -455,13 +456,13 @@ def outline(source: str) -> list[dict]:
 
 def facts_of(path: str, content: bytes) -> dict:
     """All facts of one file; for files that hold no code only its lines. error tells what went wrong."""
-    empty = {"path": path, "lines": 0, "error": None, "definitions": [], "imports": [], "references": [], "base_refs": [], "routes": [], "relations": [], "exports": [], "http": [], "mounts": []}
+    empty = {"path": path, "lines": 0, "error": None, "definitions": [], "imports": [], "references": [], "base_refs": [], "routes": [], "relations": [], "exports": [], "http": [], "mounts": [], "frameworks": []}
     if path.endswith((".js", ".jsx", ".ts", ".tsx")):
         try:
             text = content.decode("utf-8")
         except UnicodeDecodeError as e:
             return empty | {"error": f"not UTF-8: {e.reason}"}
-        return empty | {"lines": text.count("\n") + bool(text and not text.endswith("\n"))} | script_facts(path, text)
+        return empty | {"lines": text.count("\n") + bool(text and not text.endswith("\n"))} | {"frameworks": frameworks_of(path, text)} | script_facts(path, text)
     if not path.endswith(".py"):
         text = content.decode("utf-8", "ignore")
         return empty | {"lines": text.count("\n") + bool(text and not text.endswith("\n"))}
@@ -470,8 +471,9 @@ def facts_of(path: str, content: bytes) -> dict:
     except UnicodeDecodeError as e:
         return empty | {"error": f"not UTF-8: {e.reason}"}
     empty["lines"] = text.count("\n") + bool(text and not text.endswith("\n"))
+    empty["frameworks"] = frameworks_of(path, text)
     try:
         x = Extractor(text, path)
     except (SyntaxError, ValueError, RecursionError) as e:
         return empty | {"error": f"{type(e).__name__}: {e}", "definitions": outline(text)}
-    return empty | {"definitions": x.definitions, "imports": x.import_facts(), "references": x.references, "base_refs": x.base_refs, "routes": x.routes, "relations": x.relations, "mounts": x.mounts}
+    return empty | {"definitions": x.definitions, "imports": x.import_facts(), "references": x.references, "base_refs": x.base_refs, "routes": [r | {"framework": of_route(r["var"], r["url"], r["methods"], empty["frameworks"])} for r in x.routes], "relations": x.relations, "mounts": x.mounts}

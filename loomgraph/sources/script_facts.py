@@ -721,7 +721,7 @@ class Reader:
             if len(name) > 1 and name[0] != "axios" and handlers and not self.is_(i - 1, "=", "await", "return"):
                 last = handlers[-1]
                 handler = None if self.literal(last[0]) else self._text(*last).replace(" ", "")
-                self.routes.append({"url": url, "methods": [] if verb == "all" else [method], "handler": handler, "line": self.t[i].line, "kind": "call", "var": name[0]})
+                self.routes.append({"url": url, "methods": [] if verb == "all" else [method], "handler": handler, "line": self.t[i].line, "kind": "call", "var": name[0], "framework": "express"})
             else:
                 self.http.append({"url": re.sub(r"\?.*$", "", url), "method": method, "lib": name[0], "line": self.t[i].line})
 

@@ -236,6 +236,7 @@ def test_lookup(ask):
     assert file["imports"] == ["shop/mail.py", "shop/stock.py"] and file["imported_by"] == ["top.py"]
     assert ask.lookup_symbol("shop")["hint"].startswith("'shop' is a folder")
     assert ask.lookup_symbol("untyped")["relationships"]["unresolved_calls"] == ["x.reserve"]
+    assert ask.lookup_symbol("api.py")["symbol"]["frameworks"] == ["fastapi"]
     assert ask.lookup_symbol("")["status"] == "not_found"
 
 
