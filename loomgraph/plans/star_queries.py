@@ -306,8 +306,8 @@ def suffix_module_join(spark, sf_dir):
     SELECT event_id, span FROM e JOIN spans USING (user_id) WHERE nth BETWEEN a AND b AND value > 40""")
 def interval_assign(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    spans = e.filter("nth <= 40").groupBy("user_id", F.col("event_type").alias("span")).agg(F.min("nth").alias("a"), F.max("nth").alias("b"))
-    return resolve.in_intervals(e.filter("value > 40"), spans, ["user_id"], "nth", "a", "b").select("event_id", "span")
+    spans = e.groupBy("user_id", F.col("event_type").alias("span")).agg(F.min("nth").alias("a"), F.max("nth").alias("b"))
+    return resolve.in_intervals(e, spans, ["user_id"], "nth", "a", "b").select("event_id", "span")
 
 
 @query("""
