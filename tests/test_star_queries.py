@@ -24,3 +24,16 @@ def test_intervals_hold_all_events(spark, tmp_path):
         want += [(e, kind) for nth, (e, _) in enumerate(own) for kind, where in at.items() if where[0] <= nth <= where[-1]]
     folder = stored(spark, tmp_path, events=(events, "event_id long, user_id long, event_type string, ts long, value double"))
     assert sorted(map(tuple, QUERIES["interval_assign"](spark, folder).collect())) == sorted(want)
+
+
+def test_all_calls_are_possible_callers(spark, tmp_path):
+    rnd = random.Random(6)
+    items = [(rnd.randrange(40), rnd.randrange(200), rnd.randrange(1, 30)) for _ in range(200)]
+    orders = [(k,) for k in range(35)]
+    confirmed = {o for o, _, s in items if s == 3}
+    want = {}
+    for o, _, _ in items:
+        if o < 35 and o not in confirmed:
+            want[o] = want.get(o, 0) + 1
+    folder = stored(spark, tmp_path, lineitem=(items, "l_orderkey long, l_partkey long, l_suppkey long"), orders=(orders, "o_orderkey long"))
+    assert confirmed and dict(map(tuple, QUERIES["possible_callers_anti"](spark, folder).collect())) == want
