@@ -26,22 +26,27 @@ WORD = re.compile(r"[^\W_]+|[^\w\s]|_")
 class PieceCounter:
     """Counts the pieces of greedy longest match from the left.
 
-    initial: pieces that start a word; following: those that continue one (None: the same). A word
-    that the pieces can't cover counts as one unknown token.
+    initial: pieces that start a word; following: those that continue one (None: the same). Where the
+    last piece reaches the end of the bytes, but no piece holds the END left behind it, the longest
+    pieces that still let its bytes be covered with the END take its place. A word that the pieces can't
+    cover counts as one unknown token.
     """
 
     def __init__(self, initial: Iterable[Sequence[Hashable]], following: Iterable[Sequence[Hashable]] | None = None):
         self.next: list[dict] = [{}]
-        whole = [False]
+        self.whole = whole = [False]
+        self.depth = [0]
+        self.closed: dict[int, int | None] = {}
         self.rest = 0 if following is None else self._root(whole)
         for root, pieces in ((0, initial), (self.rest, following or ())):
             for piece in pieces:
                 node = root
                 for c in piece:
-                    node = self.next[node].setdefault(c, len(self.next))
+                    before, node = node, self.next[node].setdefault(c, len(self.next))
                     if node == len(self.next):
                         self.next.append({})
                         whole.append(False)
+                        self.depth.append(self.depth[before] + 1)
                 whole[node] = node != root
         self.link: list[int | None] = [None] * len(self.next)
         self.popped = [0] * len(self.next)
@@ -62,13 +67,31 @@ class PieceCounter:
     def _root(self, whole: list[bool]) -> int:
         self.next.append({})
         whole.append(False)
+        self.depth.append(0)
         return 1
 
+    def _closing(self, node: int, tail: Sequence[Hashable], starts: bool) -> int | None:
+        """The pieces of the bytes of node, tail, and the END behind them; None if they can't be covered."""
+        if node not in self.closed:
+            symbols, need = [*tail, END], [None] * len(tail) + [None, 0]
+            for i in range(len(tail), -1, -1):
+                at = 0 if starts and i == 0 else self.rest
+                for k in range(i, len(symbols)):
+                    if (at := self.next[at].get(symbols[k])) is None:
+                        break
+                    if self.whole[at] and need[k + 1] is not None:
+                        need[i] = need[k + 1] + 1
+            self.closed[node] = need[0]
+        return self.closed[node]
+
     def count(self, word: Sequence[Hashable]) -> int:
         node, n = 0, 0
         step, link, popped = self.next, self.link, self.popped
-        for c in word:
+        for i, c in enumerate(word):
             while c not in step[node]:
+                if c == END and self.whole[node]:
+                    last = self._closing(node, word[i - self.depth[node] : i], self.depth[node] == i)
+                    return 1 if last is None else n + last
                 if link[node] is None:
                     return 1
                 n += popped[node]
@@ -131,8 +154,9 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
 
     Texts are lower-cased; words are runs of letters and digits, and each other character that is no
     white space. A word is its UTF-8 bytes and a word end; its tokens are the longest pieces of the
-    vocabulary from the left. tokenizer_file is read by the driver only; the vocabulary is broadcast,
-    and its size doesn't depend on the data. remembered bounds a worker's memory of counted words.
+    vocabulary from the left that let it be covered to its end. tokenizer_file is read by the driver
+    only; the vocabulary is broadcast, and its size doesn't depend on the data. remembered bounds a
+    worker's memory of counted words.
 
     Edge cases: null and empty texts have 0 words and tokens; a null id stays null; repeated rows give
     repeated rows; an empty table gives no rows; other columns of docs aren't looked at.

@@ -34,6 +34,40 @@ def test_piece_counter_with_other_pieces_inside_words():
     assert [counter.count(w) for w in ("un", "unaffable", "ab", "b", "unaffabl", "")] == [1, 2, 2, 1, 1, 0]
 
 
+def covering(word, pieces):
+    """The longest pieces from the left from which the rest can be covered; None if there are none."""
+    if not word:
+        return 0
+    for k in range(len(word), 0, -1):
+        if word[:k] in pieces and (rest := covering(word[k:], pieces)) is not None:
+            return 1 + rest
+    return None
+
+
+def test_every_word_of_a_byte_complete_vocabulary_is_covered():
+    rnd, end = random.Random(7), token_counts.END
+    for _ in range(200):
+        made = [tuple(rnd.choice(b"abc") for _ in range(rnd.randint(1, 5))) + (end,) * rnd.randint(0, 1) for _ in range(12)]
+        pieces = {*made, *((b,) for b in b"abc"), *((b, end) for b in b"abc")}
+        counter = token_counts.PieceCounter(pieces)
+        for _ in range(20):
+            word = (*(rnd.choice(b"abc") for _ in range(rnd.randint(1, 12))), end)
+            assert counter.count(word) == covering(word, pieces), (word, pieces)
+    with open(f"{TOKENIZERS}/word_bpe_49k.json", encoding="utf-8") as f:
+        pieces = set(token_counts.word_end_pieces(f.read()))
+    assert all((b,) in pieces and (b, end) in pieces for b in range(256))
+    counter = token_counts.PieceCounter(pieces)
+    for text in ("thinstou", "ofthresthe", "therorhe", "".join(rnd.choice("aehinorst") for _ in range(3000))):
+        word = (*text.encode(), end)
+        assert counter.count(word) > 1 and (len(word) > 500 or counter.count(word) == covering(word, pieces))
+    spread = [0, 0]
+    for _ in range(3000):
+        word = (*(rnd.choice(b"aehinorst") for _ in range(rnd.randint(2, 12))), end)
+        spread[word in pieces] += 1
+        assert counter.count(word) == covering(word, pieces) and (counter.count(word) > 1 or word in pieces)
+    assert spread[0] > 1000
+
+
 def test_token_counts_take_odd_rows(spark):
     file = f"{TOKENIZERS}/word_bpe_49k.json"
     got = rows(token_counts.token_counts(documents(spark), file))
