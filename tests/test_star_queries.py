@@ -37,3 +37,18 @@ def test_all_calls_are_possible_callers(spark, tmp_path):
             want[o] = want.get(o, 0) + 1
     folder = stored(spark, tmp_path, lineitem=(items, "l_orderkey long, l_partkey long, l_suppkey long"), orders=(orders, "o_orderkey long"))
     assert confirmed and dict(map(tuple, QUERIES["possible_callers_anti"](spark, folder).collect())) == want
+
+
+def test_suffixes_of_all_paths_are_asked(spark, tmp_path):
+    customers = [(i, i % 3, f"s{i % 2}", f"name {i % 8}") for i in range(1, 25)]
+    paths = [f"r{n % 2}/n{n}/{segment}/{name}" for _, n, segment, name in customers]
+    asked = {"/".join(p.split("/")[2:]) for p in paths}
+    want = sorted((w, p, False) for w in asked for p in paths if p.endswith("/" + w))
+    folder = stored(
+        spark,
+        tmp_path,
+        customer=(customers, "c_custkey long, c_nationkey long, c_mktsegment string, c_name string"),
+        nation=([(n, f"n{n}", n % 2) for n in range(3)], "n_nationkey long, n_name string, n_regionkey long"),
+        region=([(r, f"r{r}") for r in range(2)], "r_regionkey long, r_name string"),
+    )
+    assert len(want) > len(asked) and sorted(map(tuple, QUERIES["lookup_suffix_match"](spark, folder).collect())) == want
