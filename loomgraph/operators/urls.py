@@ -15,3 +15,27 @@ def url_candidates(calls: DataFrame, routes: DataFrame) -> DataFrame:
     left = calls.withColumn("__end", F.explode(ends("call", "folded")))
     right = routes.withColumn("__end", F.explode(ends("route")))
     return left.join(right, "__end").drop("__end").distinct()
+
+
+def best_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """call, folded, route, score: each call that a route fits, once, with the best score of url_score.
+
+    route is null where several fit equally. A fit is an equality of one side with the other, or with a
+    leading or trailing part of it, so calls meet keys of routes; each key keeps its least and greatest
+    route, which is enough to tell ties, and no pair of a call and a route is built.
+    """
+    text = lambda c: F.array_join(c, "/")
+    upto = lambda c: F.transform(F.sequence(F.lit(2), F.size(F.split(c, "/")) - 1), lambda n: text(F.slice(F.split(c, "/"), 1, n)))
+    behind = lambda c: F.transform(F.sequence(F.lit(3), F.size(F.split(c, "/"))), lambda n: F.concat(F.lit("/"), text(F.slice(F.split(c, "/"), n, 1 << 20))))
+    parts = lambda f, c: F.when(F.size(F.split(c, "/")) > 2, F.filter(f(c), lambda x: x != "/")).otherwise(F.array().cast("array<string>"))
+    keys = lambda kind, values, score=0: F.transform(values, lambda k: F.struct(F.lit(score).alias("score"), F.lit(kind).alias("kind"), k.alias("key")))
+    r, c = F.col("route"), F.col("call")
+    held = routes.select(r, F.explode(F.concat(keys("whole", F.array(r)), keys("lead", parts(upto, r)), keys("trail", parts(behind, r)))).alias("k"))
+    held = held.groupBy("k.kind", "k.key").agg(F.min("route").alias("least"), F.max("route").alias("most"))
+    several = F.concat(keys("whole", parts(upto, c), 50), keys("lead", F.array(c), 40), keys("whole", parts(behind, c), 35), keys("trail", F.array(c), 30))
+    one = F.concat(keys("whole", F.array(c), 100), keys("whole", F.array("folded"), 95))
+    asked = calls.select("call", "folded").distinct().select("call", "folded", F.explode(F.concat(one, several)).alias("k")).select("call", "folded", "k.*")
+    fits = asked.join(held, ["kind", "key"]).filter((F.col("score") != 95) | F.contains("key", F.lit("{id}")))
+    level = fits.groupBy("call", "folded", "score").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    best = level.groupBy("call", "folded").agg(F.max(F.struct("score", "least", "most")).alias("b"))
+    return best.select("call", "folded", F.when(F.col("b.least") == F.col("b.most"), F.col("b.least")).alias("route"), "b.score")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import columns as C
 from loomgraph.operators import changes, resolve, rollup, traverse
-from loomgraph.operators.urls import url_candidates
+from loomgraph.operators.urls import best_routes
 from loomgraph.plans.star_graph import EDGES_SQL, PATHS_SQL, URL_PATH_SQL, edges, node, paths, table, url_path
 from loomgraph.streaming.debounce import debounced
 
@@ -266,12 +266,16 @@ def normalize_url_expr(spark, sf_dir):
     SELECT page_id, CASE WHEN count(DISTINCT route) = 1 THEN min(route) END AS route, any_value(score)::INT AS score
     FROM scored JOIN top USING (page_id, score) GROUP BY page_id""")
 def url_match_scored(spark, sf_dir):
+    """page_id, call, route, score for the URL of every page and every href in it; calls that no route fits have no row."""
+    pages = table(spark, sf_dir, "pages")
+    value = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)^href\s*=\s*", ""), "^[\"']|[\"']$", "")
+    hrefs = F.transform(F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""), 0), value)
+    urls = pages.select("page_id", F.lit(True).alias("own"), "url").union(pages.select("page_id", F.lit(False), F.explode(hrefs))).filter("url IS NOT NULL")
     path = url_path(F.col("url"))
-    calls = table(spark, sf_dir, "pages").select("page_id", C.normalize_url(path).alias("call"), C.normalize_url(path, True).alias("folded"))
-    routes = calls.select(F.col("folded").alias("route")).union(calls.filter("page_id % 7 = 0").select("call")).distinct()
-    wide = url_candidates(calls, routes)
-    scored = wide.withColumn("score", C.url_score(F.col("call"), F.col("folded"), F.col("route"))).filter("score IS NOT NULL")
-    return resolve.best_scored(scored, ["page_id"], "score", "route")
+    calls = urls.select("page_id", "own", C.normalize_url(path).alias("call"), C.normalize_url(path, True).alias("folded"))
+    own = calls.filter("own")
+    routes = own.select(F.col("folded").alias("route")).union(own.select("call")).distinct()
+    return calls.select("page_id", "call", "folded").distinct().join(best_routes(calls, routes), ["call", "folded"]).select("page_id", "call", "route", "score")
 
 
 @query("""

@@ -1,4 +1,5 @@
 import random
+import re
 
 from loomgraph.plans.star_queries import QUERIES
 
@@ -52,3 +53,37 @@ def test_suffixes_of_all_paths_are_asked(spark, tmp_path):
         region=([(r, f"r{r}") for r in range(2)], "r_regionkey long, r_name string"),
     )
     assert len(want) > len(asked) and sorted(map(tuple, QUERIES["lookup_suffix_match"](spark, folder).collect())) == want
+
+
+def fit(call, folded, route):
+    """The score of a pair by its definition; 0 for none."""
+    if call == route:
+        return 100
+    if "{id}" in route and folded == route:
+        return 95
+    if "/" in (call, route):
+        return 0
+    a, b = call + "/", route + "/"
+    return 50 if a.startswith(b) else 40 if b.startswith(a) else 35 if call.endswith(route) else 30 if route.endswith(call) else 0
+
+
+def test_urls_and_hrefs_meet_the_routes_of_all_pages(spark, tmp_path):
+    rnd = random.Random(8)
+    path = lambda least: "".join(f"/{rnd.choice(['a', 'b', 'c', 'd', 'en', '7', '12'])}" for _ in range(rnd.randint(least, 4))) or "/"
+    pages = [(i, path(2 * (i > 0)), [path(0) for _ in range(rnd.randint(0, 6))]) for i in range(40)]
+    fold = lambda p: re.sub(r"(?<=/)[0-9]+(?=/|$)", "{id}", p)
+    routes = {p for _, p, _ in pages} | {fold(p) for _, p, _ in pages}
+    want = set()
+    for i, own, hrefs in pages:
+        for call in {own, *hrefs}:
+            top = max(fit(call, fold(call), r) for r in routes)
+            best = [r for r in routes if fit(call, fold(call), r) == top]
+            if top:
+                want.add((i, call, best[0] if len(best) == 1 else None, top))
+    assert {s for *_, s in want} >= {100, 95, 50, 40, 35, 30} and any(r is None for _, _, r, _ in want)
+    quote = ['href="%s"', "HREF='https://h.example%s?q=1'", "href = %s "]
+    html = [" ".join(f"<a {quote[k % 3] % h}>x</a>" for k, h in enumerate(hrefs)) or None for *_, hrefs in pages]
+    rows = [(i, f"http://h{i}.example{own}#top", h) for (i, own, _), h in zip(pages, html)]
+    folder = stored(spark, tmp_path, pages=(rows, "page_id long, url string, html string"))
+    got = [tuple(r) for r in QUERIES["url_match_scored"](spark, folder).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
