@@ -109,19 +109,20 @@ def nodes_of(found: DataFrame) -> DataFrame:
     return files.unionByName(folders).unionByName(definitions).unionByName(routes)
 
 
-def exported(found: DataFrame, where: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
+def exported(found: DataFrame, where: DataFrame, nodes: DataFrame) -> DataFrame:
     """file, name, node: what the names that files offer to others mean, through re-exports and stars.
 
     Scripts offer what they export, Python files their top-level definitions and what they import from others.
-    A round follows each re-export by one file. A name that several stars give different meanings has none;
-    a name of the file's own goes before stars, and stars don't pass on the default.
+    A round follows each re-export by one file, until a round finds nothing new. A name that several stars
+    give different meanings has none; a name of the file's own goes before stars, and stars don't pass on
+    the default.
     """
     e = found.select("path", F.explode("exports").alias("e")).select("path", "e.*")
     e = cut(e.join(where, "module", "left"))
     own = e.filter("kind = 'local'").select(F.col("path").alias("file"), F.col("exported").alias("name"), F.concat("path", F.lit(":"), "local").alias("node"))
     python = nodes.filter(F.endswith("file", F.lit(".py")) & F.col("kind").isin("Class", "Function") & ~F.contains("qualified", F.lit(".")))
     known = own.join(nodes.select(F.col("id").alias("node")), "node").select("file", "name", "node").distinct()
-    known = cut(known.union(python.select("file", "qualified", "id")))
+    known = cut(known.union(python.select("file", "qualified", "id")).distinct())
     brought = found.select("path", F.explode("imports").alias("i")).select("path", "i.*").filter("alias IS NOT NULL").join(where, "module")
     taken = python.select(F.col("file").alias("path"), F.col("qualified").alias("alias"))
     brought = brought.join(taken, ["path", "alias"], "left_anti").select("path", F.col("alias").alias("exported"), "module_file", F.col("symbol").alias("imported"))
@@ -131,7 +132,7 @@ def exported(found: DataFrame, where: DataFrame, nodes: DataFrame, rounds: int =
         return known
     explicit = e.filter("kind <> 'star'").select(F.col("path").alias("file"), F.col("exported").alias("name")).distinct()
     n = known.count()
-    for _ in range(rounds):
+    while True:
         one = passed.join(known, (F.col("module_file") == F.col("file")) & (F.col("imported") == F.col("name"))).select(F.col("path").alias("file"), F.col("exported").alias("name"), "node")
         all_ = stars.join(known, F.col("module_file") == F.col("file")).filter("name <> 'default'").select(F.col("path").alias("file"), "name", "node")
         known = cut(known.union(one).union(all_.join(explicit, ["file", "name"], "left_anti")).distinct())

@@ -99,6 +99,12 @@ def test_ambiguous_module_has_no_meaning(spark):
     assert graph.edges.filter("edge_class = 'generated'").isEmpty()
 
 
+def test_names_are_followed_through_any_number_of_files(spark):
+    chain = {f"m{i}.ts": f"export {{ f }} from './m{i + 1}'\nexport * from './m{(i + 1) % 13}'\n" for i in range(13)}
+    graph = build_from(spark, chain | {"m13.ts": "export function f() {}\n", "u.ts": "import { f } from './m0'\nexport function g() { f() }"})
+    assert {(r["src"], r["dst"]) for r in graph.edges.filter("edge_class = 'generated'").collect()} == {("u.ts:g", "m13.ts:f")}
+
+
 def test_reader_takes_anything():
     for text in ("", "}", "{[(", "`${`${a}`}`", "class", "export default", "import", "const {", "a => ", "x = /[/]/g; 'open\n", "function (", "<A", "async", "@d() class X { @p() m() {} }"):
         script_facts("x.tsx", text)
