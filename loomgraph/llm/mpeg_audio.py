@@ -213,13 +213,27 @@ def read(data: bytes) -> Audio:
 
     Bytes that belong to no tag and no frame are skipped until a header that the next one, or the end,
     confirms. A frame cut off by the end counts as foreign bytes. Empty data give an Audio without frames.
+    The word TAG starts a tag of 128 bytes at the end, unless it stands in a frame and the frames go on to
+    the end, so that it belongs to their payload.
     """
-    out, at, end = Audio(), 0, len(data)
+    tag = len(data) - 128
+    if tag < 0 or data[tag : tag + 3] != b"TAG":
+        return _read(data, len(data))[0]
+    out, frames = _read(data, len(data))
+    inside = any(at < tag < to for at, to in frames) and frames[-1][1] == len(data)
+    return out if inside else _read(data, tag)[0]
+
+
+def _read(data: bytes, end: int) -> tuple[Audio, list[tuple[int, int]]]:
+    """What read() gives if a tag begins at end, or if there is none and the data end there; where each frame begins and ends."""
+    out, at, frames = Audio(), 0, []
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         at = _id3v2(data, at, out.tags)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.tags["TAG"] = data[end : end + 128]
+    if end < len(data):
+        if at <= end:
+            out.tags["TAG"] = data[end:]
+        else:
+            end = len(data)
     first: Header | None = None
     synced, bodies, seen = True, [], False
     while at + 4 <= end:
@@ -236,6 +250,7 @@ def read(data: bytes) -> Audio:
             continue
         synced = True
         frame = data[at : at + head.size]
+        frames.append((at, at + head.size))
         if first is None:
             first = head
         if not seen and head.layer == 3 and _vbr_table(head, frame, out):
@@ -261,7 +276,7 @@ def read(data: bytes) -> Audio:
         payload = b"".join(bodies)[:n]
         if len(payload) == n and zlib.crc32(payload) == crc:
             out.payload = payload
-    return out
+    return out, frames
 
 
 def feature(a: Audio) -> str:

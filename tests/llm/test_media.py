@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import struct
 import zlib
 
@@ -37,6 +38,25 @@ def test_audio_resynchronises_and_notices_damage():
     assert mpeg_audio.read(b"").frames == 0 and mpeg_audio.read(b"\xff" * 50).frames == 0
 
 
+def test_audio_keeps_a_payload_with_the_word_of_a_tag():
+    hits, rnd = 0, random.Random(9)
+    for n in range(64, 4096, 64):
+        payload = bytes(rnd.choices(range(1, 250), k=n))
+        data = mpeg_audio.encode(payload)
+        tag = len(data) - 128
+        if (at := payload.find(data[tag : tag + 8])) < 0:
+            continue
+        payload = payload[:at] + b"TAG" + payload[at + 3 :]
+        data = mpeg_audio.encode(payload)
+        assert data[tag : tag + 3] == b"TAG"
+        a = mpeg_audio.read(data)
+        assert a.payload == payload and a.skipped == a.resyncs == 0 and not a.tags.get("TAG")
+        b = mpeg_audio.read(data + b"TAG" + bytes(125))
+        assert b.payload == payload and b.skipped == 0 and b.tags["TAG"] == b"TAG" + bytes(125) and b.offsets == a.offsets
+        hits += 1
+    assert hits > 5
+
+
 def test_audio_header_sizes_of_all_layers():
     size = lambda *b: mpeg_audio.parse_header(bytes(b)).size
     assert size(0xFF, 0xFB, 0x90, 0x00) == 417  # Layer III, 128 kbit/s, 44.1 kHz
