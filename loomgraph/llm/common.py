@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints")
     spark.sparkContext.setCheckpointDir(folder) if not spark.sparkContext.getCheckpointDir() else None
@@ -36,17 +37,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and a lost executor costs nothing."""
+    """df as a table in the shared folder: cuts the lineage, and a lost executor costs nothing.
+
+    What reads the table may be asked for at any time, so it goes with the session; dropped() is for
+    tables that nothing reads any more.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    deleted(df.sparkSession, path, at_end=True)
+    return out
+
+
+def deleted(spark: SparkSession, path: str, at_end: bool = False) -> None:
+    """Removes a folder through Hadoop's file system, wherever it lies, now or when the driver ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(p) if at_end else store.delete(p, True)
 
 
-def deleted(spark: SparkSession, path: str) -> None:
-    """Removes a folder through Hadoop's file system, wherever it lies."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes tables that written() returned and that nothing will read again."""
+    for t in tables:
+        if t is not None:
+            deleted(t.sparkSession, t.written_to)
 
 
 def without_spaces(text):

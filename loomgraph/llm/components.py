@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,15 +18,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     now = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "part-links")
     before = None
-    while True:
+    while not now.isEmpty():
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
         drawn = small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select("v", "m"))
-        now = written(drawn.distinct(), "part-links")
+        last, now = now, written(drawn.distinct(), "part-links")
+        dropped(last)
         after = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("part")).union(now.select("v", "v").distinct())
         before = after
+    return now.toDF("node", "part")
