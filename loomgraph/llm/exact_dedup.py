@@ -48,8 +48,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts, all its columns kept; repeated rows go too.
 
-    Rows without an id can't be told apart by it and all stay.
+    The row that stays is that of exact_groups(); of several with its id and as many code points, that
+    with the smallest hash of the original text, and of rows that repeat id and original text any one.
+    An id that comes with different texts stays with each of them. A null id is larger than all others,
+    so a row without one stays only where its group has no other; of several such rows one stays.
+
+    Rows meet their group's choice by its id and texts, so the copies of a hot group, which differ in
+    their ids, go to different tasks and are gone after that join.
     """
-    named, others = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull())
-    keep = exact_groups(named, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return named.join(keep, named[id_col] == keep["__kept_id"], "left_semi").dropDuplicates([id_col]).unionByName(others)
+    norm, raw = without_spaces(F.col(text_col)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = {
+        "__hash": F.unhex(F.md5(norm.cast("binary"))),
+        "__sha": F.sha2(norm.cast("binary"), 256),
+        "__less": -F.length(raw),
+        "__mark": F.unhex(F.md5(raw.cast("binary"))),
+    }
+    best = F.min(F.struct(F.col("__less"), F.col("id").isNull(), F.col("id"), F.col("__mark"))).alias("best")
+    rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), *(c.alias(k) for k, c in own.items() if k != "__sha"))
+    keep = rows.groupBy("__hash", "norm").agg(best).select("__hash", F.sha2(F.col("norm").cast("binary"), 256).alias("__sha"), "best.__less", F.col("best.id").alias("__kept_id"), "best.__mark")
+    same = ["__hash", "__sha", "__less", "__mark"]
+    keep = keep.select(F.col("__kept_id"), *(F.col(k).alias(f"{k}_of") for k in same))
+    marked = docs.withColumns(own)
+    on = marked[id_col].eqNullSafe(keep["__kept_id"])
+    for k in same:
+        on = on & (marked[k] == keep[f"{k}_of"])
+    return marked.join(keep, on, "left_semi").dropDuplicates([id_col, *same]).select(*docs.columns)
