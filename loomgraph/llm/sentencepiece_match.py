@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = range(6)
+# Fixed values of the .model format: field numbers, and two of the model types.
+TRAINER, TYPE = 2, 3
+UNIGRAM, BPE = 1, 2
 
 
 class Pieces:
@@ -90,8 +93,34 @@ def load_pieces(model_file: str) -> tuple[list[str], list[float], list[int], boo
     if "".join(model.encode(probe, out_type=str)) != (SPACE + probe.replace(" ", SPACE)) and model.normalize(probe) != SPACE + probe.replace(" ", SPACE):
         raise ValueError("the model changes texts by more than marks for spaces")
     scores = [model.get_score(i) for i in ids]
-    whole = [s for i, s in zip(ids, scores) if kind(i) == NORMAL]
-    return [model.id_to_piece(i) for i in ids], scores, [kind(i) for i in ids], all(s == int(s) for s in whole)
+    return [model.id_to_piece(i) for i in ids], scores, [kind(i) for i in ids], model_type(model.serialized_model_proto()) == BPE
+
+
+def _messages(raw: bytes):
+    """Number and value of each field of a message in the wire format of protocol buffers."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at, out, shift = at + 1, out | (byte & 0x7F) << shift, shift + 7
+            if byte < 0x80:
+                return out
+
+    while at < len(raw):
+        key = number()
+        kind = key & 7
+        size = number() if kind in (0, 2) else {1: 8, 5: 4}[kind]
+        yield key >> 3, size if kind == 0 else raw[at : at + size]
+        at += 0 if kind == 0 else size
+
+
+def model_type(raw: bytes) -> int:
+    """What the trainer's settings in a .model file call its type; those without one are unigram models."""
+    trainer = next((value for field, value in _messages(raw) if field == TRAINER), b"")
+    return next((value for field, value in _messages(trainer) if field == TYPE), UNIGRAM)
 
 
 def _keys(codes: np.ndarray, n: int, width: int, per: int) -> list[np.ndarray]:
@@ -130,10 +159,8 @@ def _bounds(rows: list[np.ndarray], wanted: list[np.ndarray]) -> np.ndarray:
 def edges(points: np.ndarray, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Start and piece (its number in model.usable) of every occurrence in a text, given its code points."""
     alphabet = np.unique(points)
-    if len(alphabet) > 65_000:
-        raise ValueError("more characters than the packed keys can tell apart")
     codes = (np.searchsorted(alphabet, points) + 1).astype(np.uint64)
-    width, per = model.grid.shape[1], 8 if len(alphabet) < 255 else 4
+    width, per = model.grid.shape[1], 8 if len(alphabet) < 255 else 4 if len(alphabet) < 65_535 else 2  # characters in a word of 64 bits
     order, rows = suffix_array(codes, width, per)
     place = np.minimum(np.searchsorted(alphabet, model.grid), len(alphabet) - 1)
     there = (alphabet[place] == model.grid) | (model.grid == 0)
