@@ -1,19 +1,17 @@
 """Quality classifier: similarity-weighted voting of the nearest labelled documents.
 
-A text is a bag of hashed words, runs of punctuation and coarse measures of its form, weighted by
-frequency and rarity. A truncated singular value decomposition of the labelled sample gives a latent
-space. The labelled vectors and the projection are broadcast; their size follows from the parameters,
-not from the data. Each document is projected and compared exactly, in blocks, with all of them.
+A text is a bag of hashed words and of pairs of neighbouring word shapes (short, long, capitals, digits,
+marks, the same word again), weighted by frequency and rarity. A truncated singular value decomposition
+of the labelled sample gives a latent space. The labelled vectors and the projection are broadcast; their
+size follows from the parameters, not from the data. Each document is projected and compared exactly, in
+blocks, with all of them.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
-#: Hash buckets below this are kept for the measures of form.
-FORMS = 128
+#: Shapes of words; the first buckets are those of pairs of shapes, once for equal and once for other words.
+SHAPES = 16
+PAIRS = 2 * SHAPES * SHAPES
 
 
 @dataclass(frozen=True)
@@ -33,62 +32,53 @@ class Settings:
     buckets: int = 8192
     dimensions: int = 64
     neighbours: int = 24
-    form_weight: float = 2.0
     threshold: float = 0.3
     seed: int = 7
 
 
-class _Buckets(dict):
-    """Token to bucket, remembered for the frequent ones."""
+def shape(token: str) -> int:
+    """One of SHAPES classes of words and marks."""
+    if token[0].isalpha():
+        if token.islower():
+            return (len(token) > 3) + (len(token) > 8)
+        if token.isupper():
+            return 3 if len(token) > 1 else 4
+        return 5 if token[0].isupper() and token[1:].islower() else 6
+    if token[0].isalnum() or token[0] == "_":
+        return 7 if token.isdigit() else 8
+    mark = ".,!?|".find(token[0])
+    return 9 + mark if mark >= 0 and len(token) == 1 else 14 if len(token) == 1 else 15
+
+
+class _Words(dict):
+    """Token to its shape, bucket and a number of its own, as one integer; remembered for the frequent ones."""
 
     def __init__(self, n: int, most: int = 300_000):
-        self.n, self.most = n, most
+        self.n, self.most, self.given = n, most, 0
 
     def __missing__(self, token: str) -> int:
-        b = FORMS + zlib.crc32(token.encode("utf-8", "replace")) % (self.n - FORMS)
+        self.given += 1
+        bucket = PAIRS + zlib.crc32(token.lower().encode("utf-8", "replace")) % (self.n - PAIRS)
+        got = (self.given * self.n + bucket) * SHAPES + shape(token)
         if len(self) >= self.most:
             self.clear()
-        if len(token) <= 40:
-            self[token] = b
-        return b
-
-
-def forms(text: str, words: Counter, again: int) -> list[int]:
-    """Buckets of coarse measures: a few steps each of shares and logarithms that don't depend on words. again: words that repeat the one before."""
-    n, total, distinct = len(text), sum(words.values()), len(words)
-    letters = sum(c for w, c in words.items() if w[0].isalpha())
-    upper = sum(c for w, c in words.items() if w.isupper() and len(w) > 1)
-    marks = sum(c * len(w) for w, c in words.items() if not (w[0].isalnum() or w[0] == "_"))
-    digits = sum(c for w, c in words.items() if w[0].isdigit())
-    lines = text.split("\n")
-    long = sum(c for w, c in words.items() if len(w) > 14)
-    top = max(words.values(), default=0)
-    shares = (
-        distinct / max(1, total) ** 0.85,
-        upper / max(1, total),
-        marks / max(1, n) * 4,
-        digits / max(1, total) * 2,
-        1 - len(set(lines)) / len(lines),
-        letters / max(1, total),
-        long / max(1, total) * 4,
-        top / max(1, total) * 2,
-        (again / max(1, total)) ** 0.5,
-    )
-    return [12 * i + min(11, int(12 * s)) for i, s in enumerate(shares)] + [108 + min(19, total.bit_length())]
-
-
-def bag(text: str | None, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
+        self[token] = got
+        return got
+
+
+def bag(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and their damped counts; none for a text without characters."""
-    text = text or ""
-    tokens = TOKENS.findall(text)
-    words = Counter(tokens)
-    if not words:
+    tokens = TOKENS.findall(text or "")
+    if not tokens:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    keys = np.fromiter((buckets[w.lower()] for w in words), np.int32, len(words))
-    counts = np.bincount(keys, weights=np.fromiter(words.values(), np.float64, len(words)), minlength=1)
-    own = np.flatnonzero(counts)
-    form = np.array(forms(text, words, sum(map(eq, tokens, islice(tokens, 1, None)))), np.int32)
-    return np.concatenate([form, own.astype(np.int32)]), np.concatenate([np.ones(len(form), np.float32), (1 + np.log(counts[own])).astype(np.float32)])
+    if len(words) + len(tokens) > words.most:  # one text's words get their numbers in one go
+        words.clear()
+    found = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
+    form, bucket = found % SHAPES, found // SHAPES % words.n
+    pairs = form[:-1] * SHAPES + form[1:] + SHAPES * SHAPES * (found[1:] == found[:-1])
+    counts = np.bincount(np.concatenate([pairs, bucket]))
+    keys = np.flatnonzero(counts)
+    return keys.astype(np.int32), (1 + np.log(counts[keys])).astype(np.float32)
 
 
 @dataclass
@@ -101,13 +91,9 @@ class Model:
     prior: float
 
     def weigh(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Words and forms are brought to length one apart, and forms weighted against words."""
+        """Counts by rarity, of length one."""
         w = counts * self.rarity[keys]
-        form = keys < FORMS
-        for part, weight in ((form, self.settings.form_weight), (~form, 1.0)):
-            size = np.sqrt((w[part] ** 2).sum())
-            w[part] *= weight / size if size else 0
-        return w
+        return w / max(np.sqrt((w**2).sum()), 1e-12)
 
     def project(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         out = np.zeros((len(bags), self.axes.shape[1]), np.float32)
@@ -118,18 +104,21 @@ class Model:
         return out / np.where(size > 0, size, 1)
 
     def score(self, bags: list[tuple[np.ndarray, np.ndarray]], block: int = 256) -> np.ndarray:
-        """The share of label 1 among the nearest labelled rows, by similarity; the prior if none is similar."""
+        """The share of label 1 among the nearest labelled rows, by the square of their similarity.
+
+        Rows as similar as the last of the nearest vote too, so ties don't matter. The prior if none is similar.
+        """
         out = np.full(len(bags), self.prior)
         k = min(self.settings.neighbours, len(self.votes))
         if not k:
             return out
         for at in range(0, len(bags), block):
             near = self.project(bags[at : at + block]) @ self.vectors.T
-            top = np.argpartition(near, -k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64) ** 2
+            least = np.maximum(np.partition(near, -k, axis=1)[:, -k, None], 0)
+            weight = np.where(near >= least, np.maximum(near, 0), 0).astype(np.float64) ** 2
             total = weight.sum(axis=1)
             some = total > 0
-            out[at : at + block][some] = (weight * self.votes[top]).sum(axis=1)[some] / total[some]
+            out[at : at + block][some] = (weight @ self.votes)[some] / total[some]
         return np.clip(out, 0, 1)
 
 
@@ -140,7 +129,6 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings:
     for keys, _ in bags:
         seen[keys] += 1
     rarity = np.log((1 + rows) / (1 + seen)).astype(np.float32) + 0.1
-    rarity[:FORMS] = 1
     prior = float(labels.mean()) if rows else 0.5
     model = Model(settings, rarity, np.zeros((n, 1), np.float32), np.zeros((0, 1), np.float32), labels.astype(np.float64), prior)
     if not rows:
@@ -165,25 +153,30 @@ def held_out(doc_id):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label_col: str = "quality") -> Model:
-    """Fits on at most settings.sample_rows labelled rows, those with the smallest hash of their id.
+    """Fits on at most settings.sample_rows labelled rows of docs, those with the smallest hash of their id.
 
-    Rows whose held_out() is true, and labels other than 0 and 1, aren't learnt from. Without any
-    labelled row the score of every text is 0.5.
+    Rows whose held_out() is true, labels other than 0 and 1, and labels without a document aren't learnt
+    from. An id with both labels counts as 0; of an id's different texts that with the smallest hash
+    counts. Without any labelled row the score of every text is 0.5.
     """
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = usable.select(F.col("doc_id").alias("__id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(settings.sample_rows)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    usable = usable.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
+    known = docs.select("doc_id").join(usable, F.col("doc_id") == F.col("__id")).select("__id", "label").distinct()
+    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(settings.sample_rows)
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("mark"), text.alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
 
     def featured(batches):
-        buckets = _Buckets(settings.buckets)
+        words = _Words(settings.buckets)
         for batch in batches:
-            got = [bag(t.as_py(), buckets) for t in batch.column(1)]
-            cols = [batch.column(0), batch.column(2), pa.array([k.tobytes() for k, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "label", "keys", "counts"])
+            got = [bag(t.as_py(), words) for t in batch.column(1)]
+            cols = [batch.column(0), batch.column(3), batch.column(2), pa.array([k.tobytes() for k, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "label", "keys", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sparse = rows.select("doc_id", "text", "label").mapInArrow(featured, f"doc_id {kind}, label int, keys binary, counts binary")
-    found = sparse.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    sparse = rows.select("doc_id", "text", "label", "mark").mapInArrow(featured, f"doc_id {kind}, mark string, label int, keys binary, counts binary")
+    one = sparse.groupBy("doc_id").agg(F.min_by(F.struct("label", "keys", "counts"), "mark").alias("own"))
+    found = one.select("doc_id", "own.*").toArrow().sort_by("doc_id")
     bags = [(np.frombuffer(k.as_py(), np.int32), np.frombuffer(w.as_py(), np.float32)) for k, w in zip(found["keys"], found["counts"])]
     return fit(bags, np.array(found["label"].to_pylist(), np.int32), settings)
 
@@ -192,14 +185,15 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs, from its whole text alone.
 
     Edge cases: null, empty and blank texts score the share of label 1 among the labelled rows; null ids
-    stay null and aren't held out; repeated rows repeat; an empty table gives no rows.
+    stay null and aren't held out; repeated rows repeat; very long texts are bags of all their words; an
+    empty table gives no rows. Ties among the nearest: see Model.score(). Other columns aren't looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        buckets = _Buckets(model_settings.buckets)
+        words = _Words(model_settings.buckets)
         for batch in batches:
-            scores = shared.value.score([bag(t.as_py(), buckets) for t in batch.column(1)])
+            scores = shared.value.score([bag(t.as_py(), words) for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     model_settings = model.settings
@@ -214,9 +208,9 @@ def good_documents(docs: DataFrame, model: Model) -> DataFrame:
     settings, at = model.settings, docs.columns.index("text")
 
     def run(batches):
-        buckets = _Buckets(settings.buckets)
+        words = _Words(settings.buckets)
         for batch in batches:
-            scores = shared.value.score([bag(t.as_py(), buckets) for t in batch.column(at)])
+            scores = shared.value.score([bag(t.as_py(), words) for t in batch.column(at)])
             yield batch.filter(pa.array(scores >= settings.threshold))
 
     return docs.mapInArrow(run, docs.schema)
