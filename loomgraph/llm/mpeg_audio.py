@@ -301,7 +301,9 @@ def _parts(batch: pa.RecordBatch, most: int = 16_000_000):
 def with_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8 bytes, padded to a positive multiple of 64, as a stream.
 
-    Null texts are empty. Null ids stay null, repeated rows repeat, other columns aren't looked at.
+    Null texts are empty. Null ids stay null, repeated rows repeat, an empty table gives no rows, other
+    columns aren't looked at. Very long texts are stored as a whole; a stream is about 1.03 times its
+    text, and Spark holds up to 2 GB in a value, so a text of more than 1.9 GB fails with Spark's error.
     """
 
     def store(batches):
@@ -321,7 +323,8 @@ SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 lo
 def audio_features(media: DataFrame) -> DataFrame:
     """Reads the media column back; one row for each of its rows, with SCHEMA behind doc_id.
 
-    A stream without a whole payload has null in the three payload columns.
+    A stream without a whole payload has null in the three payload columns. Null streams are empty ones;
+    equal streams have equal values; an empty table gives no rows.
     """
 
     def load(batches):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -22,16 +23,20 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import shared_folder
+from loomgraph.llm.common import deleted, shared_folder
 
 # Fixed values of the formats.
-SKIPPABLE = 0x184D2A5D
+SKIPPABLE, SKIPPABLES = 0x184D2A5D, 0x184D2A50
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 ID = "urn:x-page:"
 
 
+#: Records that hold what a server sent; those of other types are skipped.
+CAPTURES = ("response", "resource", "revisit")
+
+
 class WarcError(ValueError):
     """An archive or record that breaks the format."""
 
@@ -49,14 +54,24 @@ class Record:
             raise WarcError("no HTTP message")
         return _fields(head.split(b"\r\n")[1:]), body
 
+    def content(self) -> tuple[dict[str, str], bytes]:
+        """As http(), for records of any protocol; what isn't HTTP has no fields and is a body as a whole."""
+        if self.headers.get("content-type", "").lower().startswith("application/http"):
+            return self.http()
+        return {}, self.block
+
 
 def _fields(lines: list[bytes]) -> dict[str, str]:
-    out = {}
+    out, name = {}, None
     for line in lines:
+        if line[:1] in (b" ", b"\t") and name:  # goes on from the line before
+            out[name] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise WarcError(f"no header field: {line[:80]!r}")
-        out[name.strip().decode().lower()] = value.strip().decode()
+        name = name.strip().decode("utf-8", "replace").lower()
+        out[name] = value.strip().decode("utf-8", "replace")
     return out
 
 
@@ -105,59 +120,90 @@ def archive(records: list[bytes], dictionary_bytes: int = 16384) -> bytes:
 
 
 def frames(data: bytes) -> Iterator[bytes]:
-    """The content of each frame behind the dictionary frame."""
+    """The content of each frame, after the dictionary frame if there is one; other skippable frames are left out.
+
+    An archive begins with the dictionary frame or, without a dictionary, with the first record.
+    """
     if len(data) < 8:
-        raise WarcError("no dictionary frame")
+        raise WarcError("no archive")
     magic, n = struct.unpack_from("<II", data)
-    if magic != SKIPPABLE or 8 + n > len(data):
-        raise WarcError("no dictionary frame")
-    held = data[8 : 8 + n]
-    if held.startswith(ZSTD_MAGIC):
-        held = zstandard.ZstdDecompressor().decompress(held)
-    engine, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held)), 8 + n
+    engine, at = zstandard.ZstdDecompressor(), 0
+    if magic == SKIPPABLE:
+        if 8 + n > len(data):
+            raise WarcError("the dictionary frame is cut off")
+        held = data[8 : 8 + n]
+        try:
+            if held.startswith(ZSTD_MAGIC):
+                held = zstandard.ZstdDecompressor().decompress(held)
+            engine, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held)), 8 + n
+        except zstandard.ZstdError as e:
+            raise WarcError(f"the dictionary is broken: {e}") from e
     view = memoryview(data)
     while at < len(data):
+        if len(data) - at >= 8 and struct.unpack_from("<I", data, at)[0] & ~0xF == SKIPPABLES:
+            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if at > len(data):
+                raise WarcError("the last frame is cut off")
+            continue
         if data[at : at + 4] != ZSTD_MAGIC:
             raise WarcError(f"no frame at {at}")
         one, parts, size = engine.decompressobj(), [], 2048
         while not one.eof:
             if at >= len(data):
                 raise WarcError("the last frame is cut off")
-            parts.append(one.decompress(view[at : at + size]))
+            try:
+                parts.append(one.decompress(view[at : at + size]))
+            except zstandard.ZstdError as e:
+                raise WarcError(f"the frame at {at} is broken: {e}") from e
             at, size = min(at + size, len(data)), min(2 * size, 1 << 20)
         at -= len(one.unused_data)
         yield b"".join(parts)
 
 
 def _page(value: str | None) -> int | None:
-    if not value or not value.startswith(f"<{ID}") or value[-1] != ">":
-        raise WarcError(f"no record id: {value}")
-    inner = value[len(ID) + 1 : -1]
-    return None if inner == "None" else int(inner)
+    """The page id in a record id that record() wrote; None for any other, which stays as text."""
+    inner = (value or "").removeprefix(f"<{ID}").removesuffix(">")
+    return int(inner) if re.fullmatch(r"-?[0-9]{1,19}", inner) and value == f"<{ID}{inner}>" else None
 
 
 def read_archive(data: bytes) -> Iterator[dict]:
-    """A row for each record of an archive; lengths and digests are verified, any fault raises WarcError."""
+    """A row for each capture of an archive; lengths and digests are verified where given, any fault raises WarcError.
+
+    Responses and resources have their payload; a revisit has what its record says of it. record_id and
+    refers_to_id are as written; page_id and refers_to are null where they aren't ids of pages.
+    """
     for raw in frames(data):
         r = parse_record(raw)
-        fields, body = r.http()
-        n, sha = int(fields["content-length"]), r.headers["warc-payload-digest"].removeprefix("sha1:")
-        if r.kind == "response" and (len(body) != n or digest(body) != sha):
-            raise WarcError("the payload differs from its length or digest")
-        if r.kind == "revisit" and body:
-            raise WarcError("a revisit with a payload")
-        refers = _page(r.headers["warc-refers-to"]) if r.kind == "revisit" else None
-        yield {"page_id": _page(r.headers["warc-record-id"]), "url": r.headers.get("warc-target-uri"), "payload_bytes": n, "payload_digest": sha, "record_type": r.kind, "refers_to": refers, "payload": body if r.kind == "response" else None}
+        if r.kind not in CAPTURES:
+            continue
+        fields, body = r.content()
+        length, given = fields.get("content-length", ""), r.headers.get("warc-payload-digest", "")
+        sha = given.removeprefix("sha1:") if given.startswith("sha1:") else None
+        if length and not length.isdigit():
+            raise WarcError(f"no length: {length}")
+        if r.kind == "revisit":
+            if body:
+                raise WarcError("a revisit with a payload")
+            n = int(length) if length else None
+        else:
+            n, own = len(body), digest(body)
+            if length and int(length) != n or sha is not None and sha != own:
+                raise WarcError("the payload differs from its length or digest")
+            sha = own
+        refers = r.headers.get("warc-refers-to") if r.kind == "revisit" else None
+        ids = {"record_id": r.headers["warc-record-id"], "refers_to_id": refers, "page_id": _page(r.headers["warc-record-id"]), "refers_to": _page(refers)}
+        yield ids | {"url": r.headers.get("warc-target-uri"), "payload_bytes": n, "payload_digest": sha, "record_type": r.kind, "payload": None if r.kind == "revisit" else body}
 
 
 def with_record_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, revisit, refers_to: which pages repeat the payload of a smaller page_id.
 
-    Payloads of fewer than least_bytes bytes never refer to another. Digests are grouped in narrow rows,
-    combined before the shuffle; the join back is by digest, and Spark splits one that many pages share.
+    Payloads of fewer than least_bytes bytes never refer to another. Two digests of different kinds are
+    grouped in narrow rows, combined before the shuffle; payloads are equal if both and the lengths are.
+    The join back is by digest, and Spark splits one that many pages share.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
+    rows = rows.withColumn("sha", F.concat(F.unhex(F.sha1("payload")), F.unhex(F.md5("payload")), F.hex(F.length("payload")).cast("binary")))
     firsts = rows.groupBy(F.col("sha").alias("of")).agg(F.min("page_id").alias("first"))
     again = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()) & (F.length("payload") >= least_bytes)
     return rows.join(firsts, F.col("sha") == F.col("of")).select("page_id", "url", "payload", again.alias("revisit"), F.when(again, F.col("first")).alias("refers_to"))
@@ -205,28 +251,29 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 24_000_
 
 
 def read_archives(spark: SparkSession, folder: str, listed: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row for each record of the listed archives in folder; with payloads, a revisit gets that of its response.
+    """A row for each capture of the listed archives in folder; with payloads, a revisit gets that of its response.
 
-    Archives are read by Spark, so they can be in any store. One that breaks the format fails the job.
+    Archives of any writer will do: records of other types are skipped, ids of other kinds stay as text.
+    They are read by Spark, so they can be in any store. One that breaks the format fails the job.
     """
 
     def load(batches):
         for batch in batches:
             for content in batch.column(0):
                 found = list(read_archive(content.as_py()))
-                kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+                kinds = {"record_id": pa.string(), "refers_to_id": pa.string(), "page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
                 kinds |= {"payload": pa.binary()} if payloads else {}
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in kinds.items()], list(kinds))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder)
     named = files.withColumn("archive", F.element_at(F.split("path", "/"), -1)).join(listed.select("archive"), "archive", "left_semi")
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    schema = "record_id string, refers_to_id string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     out = named.select("content").mapInArrow(load, schema + ", payload binary" * payloads)
     if not payloads:
         return out
-    own = out.filter("record_type = 'response'").select(F.col("page_id").alias("rid"), F.col("payload_digest").alias("rsha"), F.col("payload").alias("full"))
+    own = out.filter("record_type <> 'revisit'").select(F.col("record_id").alias("rid"), F.col("payload_digest").alias("rsha"), F.col("payload").alias("full"))
     one = own.withColumn("nth", F.row_number().over(Window.partitionBy("rid", "rsha").orderBy(F.lit(1)))).filter("nth = 1")
-    both = out.join(one, (F.col("refers_to") == F.col("rid")) & (F.col("payload_digest") == F.col("rsha")), "left")
+    both = out.join(one, (F.col("refers_to_id") == F.col("rid")) & (F.col("payload_digest") == F.col("rsha")), "left")
     return both.withColumn("payload", F.coalesce("payload", "full")).drop("rid", "rsha", "full", "nth")
 
 
@@ -235,10 +282,12 @@ def through_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Edge cases: null html is an empty payload, a null url gives no target, null page ids are written
     as such and never chosen as the response while a payload has another id. Rows that repeat both id
-    and payload have one type. An empty table gives no archives and no rows. Other columns of pages
+    and payload have one type; very long payloads are records like others. An empty table gives no
+    archives and no rows. Other columns of pages
     aren't looked at.
     """
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     listed = write_archives(with_record_types(pages, least_bytes), folder)
-    return read_archives(spark, folder, listed)
+    deleted(spark, folder, at_end=True)
+    return read_archives(spark, folder, listed).drop("record_id", "refers_to_id")

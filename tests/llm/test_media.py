@@ -128,3 +128,50 @@ def test_broken_archives_are_refused():
     for bad in (good[8:], good[:-3], b"", good + b"xxxx", pack(plain.replace(b"payload\r\n", b"paylaod\r\n")), pack(plain[:-1]), pack(plain.replace(b"WARC/1.1", b"WORC/1.1")), pack(plain.replace(b"WARC-Date", b"WARC-Dote"))):
         with pytest.raises((warc.WarcError, zstandard.ZstdError)):
             list(warc.read_archive(bad))
+
+
+def foreign(lines, block):
+    return "\r\n".join(["WARC/1.0", *lines, "WARC-Date: 2001-02-03T04:05:06Z", f"Content-Length: {len(block)}\r\n\r\n"]).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers_are_read():
+    plain = zstandard.ZstdCompressor()
+    http = b"HTTP/1.0 200 OK\r\nX-Long: a\r\n b\r\n\r\nbody"
+    records = [
+        foreign(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:0>"], b"software: x\r\n"),
+        foreign(["WARC-Type: request", "WARC-Record-ID: <urn:uuid:1>"], b"GET / HTTP/1.0\r\n\r\n"),
+        foreign(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:2>", "WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=response"], http),
+        foreign(["WARC-Type: resource", "WARC-Record-ID: <urn:x-page:abc>", "Content-Type: text/dns", "WARC-Payload-Digest: md5:00"], b"a.  IN  A"),
+        foreign(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:3>", "WARC-Refers-To: <urn:uuid:2>", "Content-Type: application/http"], b"HTTP/1.0 304 Same\r\n\r\n"),
+    ]
+    skipped = struct.pack("<II", 0x184D2A53, 5) + b"other"
+    got = list(warc.read_archive(plain.compress(records[0]) + skipped + b"".join(map(plain.compress, records[1:]))))
+    assert [(r["record_id"], r["page_id"], r["record_type"], r["payload"], r["refers_to_id"]) for r in got] == [
+        ("<urn:uuid:2>", None, "response", b"body", None),
+        ("<urn:x-page:abc>", None, "resource", b"a.  IN  A", None),
+        ("<urn:uuid:3>", None, "revisit", None, "<urn:uuid:2>"),
+    ]
+    assert got[0]["payload_digest"] == warc.digest(b"body") and got[2]["payload_digest"] is None
+
+
+def test_every_fault_is_a_warc_error():
+    good = warc.record(1, "u", b"payload", warc.digest(b"payload"), None, False)
+    data = warc.archive([good] * 20)
+    pack = zstandard.ZstdCompressor().compress
+    rnd, bad = random.Random(4), [data[:n] for n in range(0, len(data) - 1, 7)]
+    bad += [pack(good.replace(b"Content-Length: 7", b"Content-Length: x")), pack(good.replace(b"HTTP/1.1", b"HTTQ/1.1")), pack(good[: good.index(b"\r\n\r\n")]), b"\x28\xb5\x2f\xfd" + bytes(40)]
+    for _ in range(200):
+        broken = bytearray(data)
+        broken[rnd.randrange(len(broken))] ^= 1 << rnd.randrange(8)
+        bad.append(bytes(broken))
+    raised = 0
+    for b in bad:
+        try:
+            list(warc.read_archive(b))
+        except warc.WarcError:
+            raised += 1
+    assert raised > len(bad) // 2  # some damage can't be seen; none may raise anything else
+    without = good.replace(b"WARC-Payload-Digest: sha1:" + warc.digest(b"payload").encode() + b"\r\n", b"").replace(b"Content-Length: 7\r\n", b"")
+    n = int(without.split(b"\r\n\r\n")[0].rsplit(b" ", 1)[1])
+    r = list(warc.read_archive(pack(without.replace(b"Content-Length: %d\r\n\r\nHTTP" % n, b"Content-Length: %d\r\n\r\nHTTP" % (n - 19)))))[0]
+    assert (r["page_id"], r["payload_digest"], r["payload_bytes"]) == (1, warc.digest(b"payload"), 7)
