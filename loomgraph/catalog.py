@@ -3,31 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomgraph.plans import star_queries
-from loomgraph.plans.code_graph import build_from
+from loomgraph.plans import star_queries, workspace_queries
 
-#: A small workspace, so that the extraction and the linking can be checked as a query.
-SAMPLE = {
-    "pkg/__init__.py": "",
-    "pkg/a.py": "def work():\n    return 1\n",
-    "pkg/b.py": "class Base:\n    def save(self):\n        return 1\n\nclass Repo(Base):\n    pass\n",
-    "use.py": "from pkg.a import work as run\nfrom pkg.b import Repo\n\ndef one():\n    return run()\n\ndef two(r: Repo):\n    return r.save()\n\ndef three(x):\n    return x.save()\n",
-    "top.py": "import use\n\ndef main():\n    use.one()\n    use.two(None)\n",
-}
-
-
-def code_index_selftest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_from(spark, SAMPLE).edges.filter("edge_class = 'executable'").select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
-
-
-QUERIES = star_queries.QUERIES | {"code_index_selftest": code_index_selftest}
-ORACLE_SQL = star_queries.ORACLE_SQL | {
-    "code_index_selftest": """
-        SELECT * FROM (VALUES ('use.py:one', 'pkg/a.py:work'), ('use.py:two', 'pkg/b.py:Base.save'), ('top.py:main', 'use.py:one'), ('top.py:main', 'use.py:two'))
-        AS t(caller, callee)"""
-}
+QUERIES = star_queries.QUERIES | workspace_queries.QUERIES
+ORACLE_SQL = star_queries.ORACLE_SQL | workspace_queries.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,30 @@ def normalize_url(url: Column, fold_numbers: bool = False) -> Column:
     return F.when(u == "", F.lit("/")).otherwise(u)
 
 
+def joined_url(prefix: Column, url: Column) -> Column:
+    """url behind prefix; segments that the prefix ends with and the url begins with count once."""
+    clean = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
+    a, b = clean(prefix), clean(url)
+    shared = F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda n: (n == 0) | (F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n) == F.slice(b, 1, n)))
+    rest = F.slice(b, F.array_max(shared) + 1, 1 << 20)
+    return F.concat(F.lit("/"), F.array_join(F.concat(a, rest), "/"), F.when(F.endswith(url, F.lit("/")), "/").otherwise(""))
+
+
+def href_values(html: Column) -> Column:
+    """The values of all href attributes of an HTML text, in order."""
+    value = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)^href\s*=\s*", ""), "^[\"']|[\"']$", "")
+    return F.transform(F.regexp_extract_all(html, F.lit(r"""(?i)\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""), 0), value)
+
+
+def module_url(url: Column, file: Column) -> Column:
+    """The URL of an endpoint in a file below src/modules/<name>/: behind that name, core being auth."""
+    module = F.regexp_extract(file, r"(?:^|/)src/modules/([^/]+)/", 1)
+    module = F.when(module == "core", "auth").otherwise(module)
+    head = F.concat(F.lit("/"), module)
+    inside = (url == head) | F.startswith(url, F.concat(head, F.lit("/")))
+    return F.when((module == "") | inside, url).otherwise(F.concat(head, F.when(url == "/", "").otherwise(url)))
+
+
 def url_score(call: Column, folded: Column, route: Column) -> Column:
     """How well a call's URL fits a route's: 100 equal, 95 equal with numbers folded, 50 and 40 a leading
     part, 35 and 30 a trailing part of the other, by whole segments; null if not at all. '/' only equals."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.resolve import latest
@@ -26,3 +26,8 @@ def upserted(rows: DataFrame, new: DataFrame, key: str, order: list[str]) -> Dat
     """rows with those of new in place of theirs; of several new ones with a key the last in order."""
     fresh = latest(new, [key], order)
     return rows.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+
+
+def relink_flags(changed: DataFrame, by: str, is_code: Column) -> DataFrame:
+    """by, relink, events: for each batch of changes whether one of them can move edges between files."""
+    return changed.groupBy(by).agg(F.coalesce(F.bool_or(is_code), F.lit(False)).alias("relink"), F.count(F.lit(1)).alias("events"))

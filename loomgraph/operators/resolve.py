@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,53 @@ def latest(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFram
 def in_intervals(points: DataFrame, intervals: DataFrame, by: Sequence[str], at: str, start: str, end: str) -> DataFrame:
     """Each point with every interval of its group that holds it, both ends included."""
     return points.join(intervals, list(by)).filter(F.col(at).between(F.col(start), F.col(end)))
+
+
+def possible_callers(calls: DataFrame, confirmed: DataFrame, key: str) -> DataFrame:
+    """Calls that could reach a target without those of callers (key) that are known to reach it or another of its name."""
+    return calls.join(confirmed.select(key).distinct(), key, "left_anti")
+
+
+def unresolved_calls(calls: DataFrame, known: DataFrame, call: str, noise: Column) -> DataFrame:
+    """Calls that no known name (column of the same name) answers to and that aren't noise."""
+    return calls.filter(~noise).join(known.select(call).distinct(), call, "left_anti")
+
+
+def with_keyword(rows: DataFrame, name: str, keyword: str) -> DataFrame:
+    """Rows whose name holds a keyword in any case, with rank 0 for whole matches and 1 for others."""
+    word = keyword.strip().lower()
+    hits = rows.filter(F.contains(F.lower(name), F.lit(word))) if word else rows.limit(0)
+    return hits.withColumn("rank", F.when(F.lower(name) == word, 0).otherwise(1))
+
+
+def or_fallback(rows: DataFrame, targets: DataFrame, by: Sequence[str], name: str, fallback: Column) -> DataFrame:
+    """rows with the targets that share their group (by) and name; where fallback holds and none does, with all of the group.
+
+    Equi-joins only: the second one takes just the rows that the first one left.
+    """
+    mine, theirs = rows.withColumn("__row", F.monotonically_increasing_id()), targets.withColumnRenamed(name, "__name")
+    hit = mine.join(theirs, list(by)).filter(F.col(name) == F.col("__name"))
+    rest = mine.filter(fallback).join(hit.select("__row").distinct(), "__row", "left_anti").join(theirs, list(by))
+    return hit.unionByName(rest).drop("__row", "__name")
+
+
+def most_alike(names: DataFrame, text: str, probe: str, cutoff: float, limit: int) -> DataFrame:
+    """The rows whose text is most like probe, with like, the ratio of matching blocks; the last text of equals first.
+
+    The ratio is at most twice the shorter length by both, so texts of other lengths never leave the JVM.
+    """
+    n = F.length(text)
+    could = names.filter(n + len(probe) > 0).filter(2 * F.least(n, F.lit(len(probe))) / (n + len(probe)) >= cutoff)
+
+    @F.pandas_udf("double")
+    def ratio(texts: pd.Series) -> pd.Series:
+        m = difflib.SequenceMatcher()
+        m.set_seq2(probe)
+
+        def one(t):
+            m.set_seq1(t)
+            return m.ratio() if m.quick_ratio() >= cutoff else 0.0
+
+        return texts.map(one).astype("float64")
+
+    return could.withColumn("like", ratio(text)).filter(F.col("like") >= cutoff).orderBy(F.desc("like"), F.desc(text)).limit(limit)

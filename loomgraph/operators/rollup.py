@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import ancestors
@@ -27,3 +29,9 @@ def preview(rows: DataFrame, by: str, item: str, order: list[str], limit: int) -
     kept = F.collect_list(F.when(F.col("__nth") <= limit, F.struct("__nth", item)))
     out = numbered.groupBy(by).agg(kept.alias("__kept"), F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).cast("long").alias("omitted"))
     return out.select(by, F.array_join(F.transform(F.array_sort("__kept"), lambda x: x[item].cast("string")), ",").alias("preview"), "omitted")
+
+
+def merged(rows: DataFrame, by: list[str], order: str, lists: list[str], others: Sequence[Column] = ()) -> DataFrame:
+    """One row for each group: its lists one behind the other in order, each value once, and other aggregates."""
+    ordered = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c])))
+    return rows.groupBy(*by).agg(*(ordered(c).alias(c) for c in lists), *others)

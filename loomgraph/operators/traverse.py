@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.storage import cut
@@ -14,9 +14,36 @@ EXECUTABLE = ("executable", "generated")
 
 def oriented(edges: DataFrame, direction: str, classes: Iterable[str] | None = EXECUTABLE) -> DataFrame:
     """Distinct (node, next): along the edges for 'callees', against them for 'callers'."""
+    return _steps(edges, direction, classes).distinct()
+
+
+def _steps(edges: DataFrame, direction: str, classes: Iterable[str] | None) -> DataFrame:
     chosen = edges if classes is None else edges.filter(F.col("edge_class").isin(*classes))
     a, b = ("src", "dst") if direction == "callees" else ("dst", "src")
-    return chosen.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    return chosen.select(F.col(a).alias("node"), F.col(b).alias("next"))
+
+
+def stats(edges: DataFrame) -> DataFrame:
+    """edge_class, edges, sources, targets."""
+    return edges.groupBy("edge_class").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+
+
+def around(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node: the other ends of all edges, of any class, into or out of nodes (column node, few and distinct)."""
+    into = edges.join(F.broadcast(nodes.select(F.col("node").alias("dst"))), "dst", "left_semi").select(F.col("src").alias("node"))
+    from_ = edges.join(F.broadcast(nodes.select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node"))
+    return into.union(from_).distinct()
+
+
+def related(edges: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """What lies around nodes without those that are told of otherwise (known, column node)."""
+    return around(edges, nodes).join(known.select("node").distinct(), "node", "left_anti")
+
+
+def members(rows: DataFrame, parents: Sequence[str] | None, order: Sequence[Column | str]) -> DataFrame:
+    """rows (id, parent, ...) that lie in one of parents, or in any, numbered within theirs as nth."""
+    own = rows.filter("parent IS NOT NULL") if parents is None else rows.filter(F.col("parent").isin(*parents))
+    return own.withColumn("nth", F.row_number().over(Window.partitionBy("parent").orderBy(*order)))
 
 
 def neighbours(edges: DataFrame, node: str, direction: str, classes: Iterable[str] | None = EXECUTABLE) -> DataFrame:
@@ -28,23 +55,50 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "caller
     """node, hop: what is reached from seeds (column node) in at most depth steps; seeds are left out.
 
     Each level is one join with the frontier and one anti-join with what was seen, cut by a checkpoint,
-    so a cycle ends it and the plan doesn't grow; the steps are derived once and kept meanwhile. depth 0 goes on until nothing new is found.
+    so a cycle ends it and the plan doesn't grow. The steps are written once, dealt out by node, so only
+    frontiers move. depth 0 goes on until nothing new is found.
     """
-    steps = oriented(edges, direction, classes).persist()
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = cut(_steps(edges, direction, classes).repartition(parts, "node"))
     seen = cut(seeds.select("node", F.lit(0).alias("hop")).dropDuplicates(["node"]))
     hop = 0
     while depth == 0 or hop < depth:
         hop += 1
         frontier = seen.filter(F.col("hop") == hop - 1).select("node")
-        new = frontier.join(steps, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        new = steps.join(frontier, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         new = cut(new.withColumn("hop", F.lit(hop)))
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
-    steps.unpersist()
     return seen.filter("hop > 0")
 
 
+def first_reached(edges: DataFrame, seed: str, depth: int, limit: int, direction: str = "callers", classes: Iterable[str] | None = EXECUTABLE) -> tuple[list[tuple[str, int]], bool]:
+    """The first `limit` nodes that a breadth-first walk from seed meets, with their hops, and whether there are more.
+
+    Edges have a seq. A level's nodes come in the order of their first parent, of that one's edges, and of
+    their own names. The walk ends within the level in which the limit is passed, so each level asks for
+    the neighbours of at most `limit` nodes, and at most so many come to the driver.
+    """
+    a, b = ("src", "dst") if direction == "callees" else ("dst", "src")
+    chosen = edges if classes is None else edges.filter(F.col("edge_class").isin(*classes))
+    found: list[tuple[str, int]] = []
+    level = [seed]
+    for hop in range(1, depth + 1):
+        ranks = F.broadcast(edges.sparkSession.createDataFrame(list(enumerate(level)), "rank int, at string"))
+        seen = [seed, *(n for n, _ in found)]
+        next_ = chosen.join(ranks, F.col(a) == F.col("at")).filter(~F.col(b).isin(*seen))
+        next_ = next_.groupBy(F.col(b).alias("next")).agg(F.min(F.struct("rank", "seq")).alias("first")).orderBy("first", "next")
+        room = limit - len(found)
+        level = [r["next"] for r in next_.limit(room + 1).collect()]
+        found += [(n, hop) for n in level[:room]]
+        if len(level) > room:
+            return found, True
+        if not level:
+            break
+    return found, False
+
+
 def beyond(edges: DataFrame, reached: DataFrame, seeds: DataFrame, depth: int, direction: str = "callers", classes: Iterable[str] | None = EXECUTABLE) -> DataFrame:
     """Nodes one step behind the last level that weren't reached: non-empty if more lies beyond the depth."""
     last = reached.filter(F.col("hop") == depth).select("node")
@@ -52,16 +106,17 @@ def beyond(edges: DataFrame, reached: DataFrame, seeds: DataFrame, depth: int, d
     return last.join(oriented(edges, direction, classes), "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
 
 
-def closure(parents: DataFrame, depth: int = 25) -> DataFrame:
-    """node, ancestor, distance over (child, parent), the shortest distance of each pair; cycles end."""
+def closure(parents: DataFrame) -> DataFrame:
+    """node, ancestor, distance over (child, parent), the shortest distance of each pair.
+
+    Chains may have any length: a round adds one step, until none finds a new pair, so cycles end.
+    """
     up = parents.select(F.col("child"), F.col("parent")).filter("child <> parent").distinct()
     known = cut(up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
-    level = 1
-    while level < depth:
-        last = known.filter(F.col("distance") == level)
-        new = last.join(up, last["ancestor"] == up["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(level + 1).alias("distance")).filter("node <> ancestor").distinct()
+    level, new = 1, known
+    while not new.isEmpty():
+        level += 1
+        new = new.join(up, new["ancestor"] == up["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(level).alias("distance")).filter("node <> ancestor").distinct()
         new = cut(new.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
-        if new.isEmpty():
-            break
-        known, level = known.unionByName(new), level + 1
+        known = cut(known.unionByName(new)) if level % 20 == 0 else known.unionByName(new)
     return known

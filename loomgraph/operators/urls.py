@@ -2,19 +2,131 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def url_candidates(calls: DataFrame, routes: DataFrame) -> DataFrame:
-    """Calls with the routes they could fit. A fit by whole segments shares the leading or the trailing
-    segment, so candidates meet through an equi-join on those instead of all with all."""
-    first = lambda c: F.concat(F.lit("<"), F.split_part(c, F.lit("/"), F.lit(2)))
-    last = lambda c: F.concat(F.lit(">"), F.element_at(F.split(c, "/"), -1))
-    ends = lambda *cs: F.array_distinct(F.array(*[f(F.col(c)) for c in cs for f in (first, last)]))
-    left = calls.withColumn("__end", F.explode(ends("call", "folded")))
-    right = routes.withColumn("__end", F.explode(ends("route")))
-    return left.join(right, "__end").drop("__end").distinct()
+def _parts(url: Column, leading: bool) -> Column:
+    """All proper leading, or all proper trailing, parts of a URL by whole segments."""
+    parts = F.split(url, "/")
+    if leading:
+        some = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    else:
+        some = F.transform(F.sequence(F.lit(3), F.size(parts)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, n, 1 << 20), "/")))
+    return F.when(F.size(parts) > 2, F.filter(some, lambda x: x != "/")).otherwise(F.array().cast("array<string>"))
+
+
+def _keys(kind: str, values: Column, score: int = 0) -> Column:
+    return F.transform(values, lambda k: F.struct(F.lit(score).alias("score"), F.lit(kind).alias("kind"), k.alias("key")))
+
+
+def _held(url: Column) -> Column:
+    """The keys under which a route's URL is found: itself, its leading and its trailing parts."""
+    return F.concat(_keys("whole", F.array(url)), _keys("lead", _parts(url, True)), _keys("trail", _parts(url, False)))
+
+
+def _asked(calls: DataFrame) -> DataFrame:
+    """calls (call, folded, ...) with each score that a fit can have, and the kind and key that it is found under."""
+    c = F.col("call")
+    one = F.concat(_keys("whole", F.array(c), 100), _keys("whole", F.array("folded"), 95))
+    several = F.concat(_keys("whole", _parts(c, True), 50), _keys("lead", F.array(c), 40), _keys("whole", _parts(c, False), 35), _keys("trail", F.array(c), 30))
+    rows = calls.withColumn("k", F.explode(F.concat(one, several))).select(*calls.columns, "k.*")
+    return rows.filter((F.col("score") != 95) | F.contains("key", F.lit("{id}")))
+
+
+def answers(calls: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What answers calls (method, call, folded): method, call, tier, url, target; and the calls (call, folded) whose URL fits any.
+
+    index: tier, url, method, target. A URL with several targets for a method answers none; HEAD is
+    answered by GET where a URL has nothing for HEAD. The best score wins, then the lower tier, the
+    smaller URL and target. Each key keeps its first answer for a method, so no pairs are built.
+    """
+    known = index.select("tier", "url", F.upper("method").alias("method"), "target").distinct()
+    one = known.groupBy("tier", "url", "method").agg(F.min("target").alias("target"), F.max("target").alias("most")).filter("target = most").drop("most")
+    head = one.filter("method = 'GET'").join(known.filter("method = 'HEAD'").select("tier", "url").distinct(), ["tier", "url"], "left_anti")
+    one = one.union(head.withColumn("method", F.lit("HEAD")).select(one.columns))
+    held = one.withColumn("k", F.explode(_held(F.col("url")))).groupBy("k.kind", "k.key", "method").agg(F.min(F.struct("tier", "url", "target")).alias("first"))
+    asked = _asked(calls.select("method", "call", "folded").distinct())
+    best = asked.join(held, ["kind", "key", "method"]).groupBy("method", "call", "folded").agg(F.min(F.struct((-F.col("score")).alias("less"), "first")).alias("best"))
+    every = known.select("url").distinct().select(F.explode(_held(F.col("url"))).alias("k")).select("k.kind", "k.key").distinct()
+    seen = asked.join(every, ["kind", "key"], "left_semi").select("call", "folded").distinct()
+    return best.select("method", "call", "best.first.tier", "best.first.url", "best.first.target"), seen
+
+
+# What names of functions tell about the URLs that they answer.
+SKIPPED = ("", "api", "v1", "v2", "v3")
+BACKEND = ("api", "view", "route", "controller", "service", "modules")
+VERBS = {
+    "GET": ("get_", "list_", "fetch_", "retrieve_", "search_", "find_"),
+    "POST": ("create_", "post_", "add_", "new_", "insert_", "submit_"),
+    "PUT": ("update_", "put_", "edit_", "modify_", "set_"),
+    "PATCH": ("patch_", "update_", "modify_"),
+    "DELETE": ("delete_", "remove_", "destroy_", "del_"),
+}
+DATA_FILES = ("models.py", "apps.py", "admin.py")
+EXACT, PART, POSITION, START, SEVERAL, KEYWORD, METHOD, PREFIX, TAIL, MODULE, ACCEPTED = 80, 30, 5, 10, 30, 15, 25, 20, 40, 20, 55
+TEST, DATA, VIEW, SCRIPT, OTHER_MODULE, CLASS = -40, -40, -40, -20, -40, -40
+
+
+def _singular(word: Column) -> Column:
+    s = F.length(word)
+    return F.when(F.endswith(word, F.lit("ies")), F.concat(F.substr(word, F.lit(1), s - 3), F.lit("y"))).when(F.endswith(word, F.lit("ses")), F.substr(word, F.lit(1), s - 2)).when(F.endswith(word, F.lit("s")) & ~F.endswith(word, F.lit("ss")), F.substr(word, F.lit(1), s - 1)).otherwise(word)
+
+
+def named_answers(calls: DataFrame, names: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """method, call, target, score: for calls that no URL fits, the one function or class whose name tells most.
+
+    names: target, name, file, kind; endpoints: target, method. Segments of the URL, in singular and plural,
+    are names or parts of names; every part of a name is a row, so they meet by an equi-join. Ties stay open.
+    """
+    word = lambda c: F.lower(F.regexp_replace(c, "[- ]", "_"))
+    segments = F.filter(F.transform(F.filter(F.split("call", "/"), lambda x: ~x.isin(*SKIPPED)), lambda x: F.regexp_replace(x, r"\{[^}]*\}", "")), lambda x: x != "")
+    rows = calls.select("method", "call").distinct().withColumn("words", F.transform(segments, word)).filter(F.size("words") > 0)
+    each = rows.select("method", "call", F.posexplode("words").alias("nth", "word"))
+    w = F.col("word")
+    n = F.length(w)
+    to_ies = F.endswith(w, F.lit("y")) & (n > 2) & ~F.substr(w, n - 1, F.lit(1)).isin(*"aeiou")
+    plural = F.when(to_ies, F.concat(F.substr(w, F.lit(1), n - 1), F.lit("ies"))).otherwise(F.concat(w, F.lit("s")))
+    each = each.withColumn("variant", F.explode(F.array_distinct(F.array(w, F.replace(w, F.lit("_"), F.lit("")), _singular(w), plural)))).filter("variant <> ''")
+    known = names.filter("name <> ''").withColumn("lower", F.lower("name"))
+    size = F.length("lower")
+    starts = F.sequence(F.lit(1), size)
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.substr("lower", i, k))))
+    part = known.select("lower").distinct().withColumn("variant", F.explode(F.array_distinct(F.filter(pieces, lambda x: (F.length(x) > 2) | (x == F.col("lower"))))))
+    boost = (F.col("nth") + 1) * POSITION
+    score = F.when(F.col("variant") == F.col("lower"), EXACT + boost).otherwise(PART + boost + 2 * F.length("variant") + F.when(F.startswith("lower", F.col("variant")), START).otherwise(0))
+    hits = each.join(part, "variant").withColumn("score", score).groupBy("method", "call", "lower").agg(F.max("score").alias("score"), F.countDistinct("word").alias("words_met"))
+    found = hits.join(known, "lower").join(rows, ["method", "call"])
+    own = endpoints.groupBy("target").agg(F.collect_set(F.upper("method")).alias("own_methods"))
+    found = found.join(own, "target", "left")
+    id_ = F.lower("target")
+    tail = F.ltrim(F.element_at(F.split(id_, ":"), -1), F.lit("@"))
+    prefix = F.coalesce(*[F.when(F.col("method") == m, F.filter(F.array(*map(F.lit, ps)), lambda x: F.startswith(tail, x))[0]) for m, ps in VERBS.items()])
+    rest = F.when(prefix.isNotNull(), F.substr(tail, F.length(prefix) + 1)).otherwise(tail)
+    wanted = F.array_join(F.transform(F.when(F.size("words") > 1, F.slice("words", 2, 1 << 20)).otherwise(F.col("words")), _singular), "_")
+    file, base = F.col("file"), F.element_at(F.split("file", "/"), -1)
+    module = F.regexp_extract(file, r"(?:^|/)modules/([^/]+)(?:/|$)", 1)
+    plus = lambda test, value: F.when(test, value).otherwise(0)
+    ends = lambda *es: reduce(lambda a, b: a | b, [F.endswith(base, F.lit(e)) for e in es])
+    total = (
+        F.col("score")
+        + plus(F.col("words_met") > 1, SEVERAL)
+        + plus(reduce(lambda a, b: a | b, [F.contains(id_, F.lit(k)) for k in BACKEND]), KEYWORD)
+        + plus(F.array_contains("own_methods", F.col("method")), METHOD)
+        + plus(prefix.isNotNull(), PREFIX)
+        + plus((rest != "") & (rest == wanted), TAIL)
+        + plus(F.contains(file, F.lit("/test")) | F.startswith(file, F.lit("test")), TEST)
+        + plus(base.isin(*DATA_FILES), DATA)
+        + F.when(ends(".tsx", ".jsx", ".vue", ".svelte"), VIEW).when(ends(".ts", ".js"), SCRIPT).otherwise(0)
+        + F.when(module == F.col("words")[0], MODULE).when(module != "", OTHER_MODULE).otherwise(0)
+        + plus(F.col("kind") == "Class", CLASS)
+    )
+    scored = found.withColumn("total", total).filter(F.col("total") >= ACCEPTED)
+    top = scored.groupBy("method", "call").agg(F.max("total").alias("total"))
+    one = scored.join(top, ["method", "call", "total"]).groupBy("method", "call").agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n"), F.first("total").alias("score"))
+    return one.filter("n = 1").select("method", "call", "target", "score")
 
 
 def best_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
@@ -24,18 +136,8 @@ def best_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     leading or trailing part of it, so calls meet keys of routes; each key keeps its least and greatest
     route, which is enough to tell ties, and no pair of a call and a route is built.
     """
-    text = lambda c: F.array_join(c, "/")
-    upto = lambda c: F.transform(F.sequence(F.lit(2), F.size(F.split(c, "/")) - 1), lambda n: text(F.slice(F.split(c, "/"), 1, n)))
-    behind = lambda c: F.transform(F.sequence(F.lit(3), F.size(F.split(c, "/"))), lambda n: F.concat(F.lit("/"), text(F.slice(F.split(c, "/"), n, 1 << 20))))
-    parts = lambda f, c: F.when(F.size(F.split(c, "/")) > 2, F.filter(f(c), lambda x: x != "/")).otherwise(F.array().cast("array<string>"))
-    keys = lambda kind, values, score=0: F.transform(values, lambda k: F.struct(F.lit(score).alias("score"), F.lit(kind).alias("kind"), k.alias("key")))
-    r, c = F.col("route"), F.col("call")
-    held = routes.select(r, F.explode(F.concat(keys("whole", F.array(r)), keys("lead", parts(upto, r)), keys("trail", parts(behind, r)))).alias("k"))
-    held = held.groupBy("k.kind", "k.key").agg(F.min("route").alias("least"), F.max("route").alias("most"))
-    several = F.concat(keys("whole", parts(upto, c), 50), keys("lead", F.array(c), 40), keys("whole", parts(behind, c), 35), keys("trail", F.array(c), 30))
-    one = F.concat(keys("whole", F.array(c), 100), keys("whole", F.array("folded"), 95))
-    asked = calls.select("call", "folded").distinct().select("call", "folded", F.explode(F.concat(one, several)).alias("k")).select("call", "folded", "k.*")
-    fits = asked.join(held, ["kind", "key"]).filter((F.col("score") != 95) | F.contains("key", F.lit("{id}")))
+    held = routes.select("route", F.explode(_held(F.col("route"))).alias("k")).groupBy("k.kind", "k.key").agg(F.min("route").alias("least"), F.max("route").alias("most"))
+    fits = _asked(calls.select("call", "folded").distinct()).join(held, ["kind", "key"])
     level = fits.groupBy("call", "folded", "score").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     best = level.groupBy("call", "folded").agg(F.max(F.struct("score", "least", "most")).alias("b"))
     return best.select("call", "folded", F.when(F.col("b.least") == F.col("b.most"), F.col("b.least")).alias("route"), "b.score")

@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.columns import ancestors, normalize_url, url_score
-from loomgraph.operators import resolve, traverse
-from loomgraph.operators.urls import url_candidates
+from loomgraph.functions.columns import ancestors, joined_url, module_url, normalize_url
+from loomgraph.operators import resolve, rollup, traverse, urls
 from loomgraph.sources.python_facts import facts_of
 from loomgraph.storage import cut, reachable
 
 SCRIPTS = (".ts", ".tsx", ".js", ".jsx")
-DEFINITION = "struct<qualified:string,name:string,kind:string,parent:string,start:int,end:int,signature:string,docstring:string,decorators:array<string>,base_classes:array<string>,calls:array<string>,is_async:boolean,is_generator:boolean,is_exported:boolean,param_count:int>"
+DEFINITION = "struct<qualified:string,name:string,kind:string,parent:string,start:int,end:int,signature:string,docstring:string,decorators:array<string>,base_classes:array<string>,calls:array<string>,returns:array<string>,preview:string,is_async:boolean,is_generator:boolean,is_exported:boolean,param_count:int>"
 FACTS = (
     "path string, lines int, error string, "
     f"definitions array<{DEFINITION}>, "
@@ -32,7 +31,8 @@ FACTS = (
     "relations array<struct<owner:string,type:string,model:string>>, "
     "exports array<struct<exported:string,kind:string,local:string,module:string,imported:string,source:string>>, "
     "http array<struct<url:string,method:string,lib:string,line:int>>, "
-    "mounts array<struct<prefix:string,module:string,symbol:string>>, "
+    "mounts array<struct<prefix:string,module:string,symbol:string,parent:string>>, "
+    "middleware array<struct<name:string,var:string,kind:string,line:int>>, "
     "frameworks array<string>"
 )
 
@@ -78,8 +78,8 @@ def modules(requested: DataFrame, files: DataFrame) -> DataFrame:
 
 def nodes_of(found: DataFrame) -> DataFrame:
     text = lambda c: F.lit(None).cast(c)
-    shown = ["signature", "docstring", "decorators", "base_classes", "calls", "is_async", "is_generator", "is_exported", "param_count"]
-    kinds = {"signature": "string", "docstring": "string", "decorators": "array<string>", "base_classes": "array<string>", "calls": "array<string>", "is_async": "boolean", "is_generator": "boolean", "is_exported": "boolean", "param_count": "int"}
+    shown = ["signature", "docstring", "decorators", "base_classes", "calls", "returns", "preview", "is_async", "is_generator", "is_exported", "param_count"]
+    kinds = {"signature": "string", "docstring": "string", "decorators": "array<string>", "base_classes": "array<string>", "calls": "array<string>", "returns": "array<string>", "preview": "string", "is_async": "boolean", "is_generator": "boolean", "is_exported": "boolean", "param_count": "int"}
     empty = [text(kinds[c]).alias(c) for c in shown]
     route_columns = [text("string").alias("url"), text("array<string>").alias("methods"), text("array<string>").alias("handlers"), text("string").alias("var")]
     folder_of = lambda c: F.when(F.contains(c, F.lit("/")), F.regexp_replace(c, "/[^/]*$", ""))
@@ -103,10 +103,13 @@ def nodes_of(found: DataFrame) -> DataFrame:
     parent = F.when(F.col("parent").isNull(), p).otherwise(F.concat(p, F.lit(":"), "parent"))
     definitions = d.select("id", "kind", "name", "qualified", p.alias("file"), parent.alias("parent"), "start", "end", *shown, *route_columns, *lists)
     r = found.select("path", F.posexplode("routes").alias("nth", "r")).select("path", "nth", "r.*").filter(~F.startswith(F.coalesce("handler", F.lit("")), F.lit("include:")) & F.col("url").isNotNull())
-    ordered = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", c))), lambda x: x[c])))
-    grouped = r.withColumn("one", F.array("handler")).groupBy("path", "url").agg(ordered("methods").alias("methods"), ordered("one").alias("handlers"), F.min("line").alias("start"), F.min("var").alias("var"), F.collect_set("framework").alias("frameworks"))
+    grouped = rollup.merged(r.withColumn("handlers", F.array("handler")), ["path", "url"], "nth", ["methods", "handlers"], [F.min("line").alias("start"), F.min("var").alias("var"), F.collect_set("framework").alias("frameworks")])
     routes = grouped.select(F.concat("path", F.lit(":"), "url").alias("id"), F.lit("Route").alias("kind"), F.col("url").alias("name"), F.col("url").alias("qualified"), p.alias("file"), p.alias("parent"), "start", F.col("start").alias("end"), *empty, "url", "methods", F.array_compact("handlers").alias("handlers"), "var", *lists[:2], F.array_sort("frameworks").alias("frameworks"))
-    return files.unionByName(folders).unionByName(definitions).unionByName(routes)
+    m = found.select("path", F.explode("middleware").alias("m")).select("path", "m.*")
+    m = m.groupBy("path", "name").agg(F.max(F.struct("line", "var", "kind")).alias("last"))  # of one name the last counts
+    blank = [text("string").alias("url"), F.array(F.col("last.kind")).alias("methods"), text("array<string>").alias("handlers"), F.col("last.var").alias("var")]
+    around = m.select(F.concat("path", F.lit(":mw:"), "name").alias("id"), F.lit("Middleware").alias("kind"), "name", F.col("name").alias("qualified"), p.alias("file"), p.alias("parent"), F.col("last.line").alias("start"), F.col("last.line").alias("end"), *empty, *blank, *lists)
+    return files.unionByName(folders).unionByName(definitions).unionByName(routes).unionByName(around)
 
 
 def exported(found: DataFrame, where: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -152,19 +155,30 @@ def _refs(rows: DataFrame, where: DataFrame, nodes: DataFrame, out: DataFrame) -
 
 
 def mounted(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
-    """nodes with full_url: a route's URL under the one prefix that its router is mounted at, if there is one.
+    """nodes with full_url: a route's URL under the prefixes that its router is mounted at, if they are one.
 
-    Segments that the prefix ends with and the URL begins with count once.
+    A router can be mounted on one that is mounted itself: a round follows each mount by one step, until
+    nothing new is found; routers that only mount each other have no prefix. Segments that a prefix ends
+    with and what follows begins with count once. A script's name for a router is that in the file that exports it.
     """
     m = found.select("path", F.explode("mounts").alias("m")).select("path", "m.*").join(where, "module", "left")
-    of = m.select(F.when(F.col("module").isNull(), F.col("path")).otherwise(F.col("module_file")).alias("file"), F.col("symbol").alias("var"), "prefix").filter("file IS NOT NULL")
-    both = nodes.join(resolve.unique_target(of, ["file", "var"], "prefix"), ["file", "var"], "left")
-    clean = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
-    a, b = clean(F.col("prefix")), clean(F.col("url"))
-    shared = F.filter(F.sequence(F.lit(1), F.lit(4)), lambda n: (n <= F.size(a)) & (n <= F.size(b)) & (F.slice(a, -n, n) == F.slice(b, 1, n)))
-    rest = F.slice(b, F.coalesce(F.array_max(shared), F.lit(0)) + 1, 1 << 20)
-    full = F.concat(F.lit("/"), F.array_join(F.concat(a, rest), "/"), F.when(F.endswith("url", F.lit("/")), "/").otherwise(""))
-    return both.withColumn("full_url", F.when(F.col("prefix").isNotNull() & (F.col("kind") == "Route"), full)).drop("prefix", "var")
+    local = found.select("path", F.explode("exports").alias("e")).filter("e.kind = 'local'").select(F.col("path").alias("module_file"), F.col("e.exported").alias("symbol"), F.col("e.local").alias("local"))
+    m = m.join(local.distinct(), ["module_file", "symbol"], "left")
+    at = F.when(F.col("module").isNull(), F.col("path")).otherwise(F.col("module_file"))
+    of = m.select(at.alias("file"), F.coalesce("local", "symbol").alias("var"), "prefix", F.col("path").alias("up_file"), F.col("parent").alias("up_var")).filter("file IS NOT NULL")
+    of = cut(of.filter("NOT (file = up_file AND var = up_var)").distinct())
+    if of.isEmpty():
+        return nodes.withColumn("full_url", F.lit(None).cast("string"))
+    inner = of.select(F.col("file").alias("up_file"), F.col("var").alias("up_var")).distinct()
+    known = cut(of.join(inner, ["up_file", "up_var"], "left_anti").select("file", "var", F.col("prefix").alias("full")))
+    new = known
+    while not new.isEmpty():
+        up = new.select(F.col("file").alias("up_file"), F.col("var").alias("up_var"), F.col("full").alias("above"))
+        new = of.join(up, ["up_file", "up_var"]).select("file", "var", joined_url(F.col("above"), F.col("prefix")).alias("full")).distinct()
+        new = cut(new.join(known.select("file", "var", "full"), ["file", "var", "full"], "left_anti").filter(F.length("full") < 4000))
+        known = known.unionByName(new)
+    both = nodes.join(resolve.unique_target(known, ["file", "var"], "full"), ["file", "var"], "left")
+    return both.withColumn("full_url", F.when(F.col("full").isNotNull() & (F.col("kind") == "Route"), joined_url(F.col("full"), F.col("url")))).drop("full")
 
 
 def modules_of(found: DataFrame) -> DataFrame:
@@ -178,19 +192,34 @@ def modules_of(found: DataFrame) -> DataFrame:
 
 
 def requests(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """src, dst, seq: HTTP calls to the one route that fits their URL and method best; ties stay open.
+    """src, dst, seq: HTTP calls to what answers them. A call belongs to its file and to every function whose lines hold it.
 
-    A call belongs to its file and to every function whose lines hold it.
+    Routes are asked first, then functions with an endpoint of their own, then, for URLs that fit none of
+    either, functions by their names. See operators.urls.
     """
     http = found.select(F.col("path").alias("file"), F.posexplode("http").alias("seq", "h")).select("file", "seq", "h.*")
     inside = resolve.in_intervals(http, nodes.filter("kind IN ('Function', 'File')").select("file", F.col("id").alias("src"), "start", "end"), ["file"], "line", "start", "end")
-    calls = inside.select("src", "seq", "method", normalize_url(F.col("url")).alias("call"), normalize_url(F.col("url"), True).alias("folded"))
-    routes = nodes.filter("kind = 'Route'").select(F.col("id").alias("dst"), normalize_url(F.coalesce("full_url", "url")).alias("route"), F.when(F.size("methods") > 0, F.col("methods")).otherwise(F.array(F.lit("GET"))).alias("methods"))
+    calls = cut(inside.select("src", "seq", "method", normalize_url(F.col("url")).alias("call"), normalize_url(F.col("url"), True).alias("folded")))
+    if calls.isEmpty():
+        return calls.select("src", F.col("src").alias("dst"), F.col("seq").cast("long").alias("seq"))
     asked = calls.select("method", "call", "folded").distinct()
-    fits = url_candidates(asked, routes).withColumn("score", url_score(F.col("call"), F.col("folded"), F.col("route"))).filter("score IS NOT NULL")
-    allowed = F.array_contains("methods", F.col("method")) | (F.col("method") == "HEAD") & F.array_contains("methods", F.lit("GET"))
-    best = resolve.best_scored(fits.filter(allowed), ["method", "call"], "score", "dst").filter("dst IS NOT NULL")
-    return calls.join(best, ["method", "call"]).filter("src <> dst").groupBy("src", "dst").agg(F.min("seq").cast("long").alias("seq"))
+    routes = nodes.filter("kind = 'Route'")
+    methods = F.explode(F.when(F.size("methods") > 0, F.col("methods")).otherwise(F.array(F.lit("GET")))).alias("method")
+    first = routes.select(F.lit(1).alias("tier"), normalize_url(F.coalesce("full_url", "url")).alias("url"), methods, F.col("id").alias("target"))
+    second = endpoints(nodes).select(F.lit(2).alias("tier"), module_url(normalize_url(F.col("url")), F.col("file")).alias("url"), methods, "target")
+    met, seen = urls.answers(asked, cut(first.unionByName(second)))
+    names = nodes.filter("kind IN ('Function', 'Class')").select(F.col("id").alias("target"), "name", "file", "kind")
+    named = urls.named_answers(asked.join(seen, ["call", "folded"], "left_anti"), names, endpoints(nodes).select("target", methods))
+    best = met.select("method", "call", "target").union(named.select("method", "call", "target"))
+    return calls.join(best, ["method", "call"]).filter("src <> target").groupBy("src", F.col("target").alias("dst")).agg(F.min("seq").cast("long").alias("seq"))
+
+
+def endpoints(nodes: DataFrame) -> DataFrame:
+    """target, file, url, methods: the functions of a file that have the name of a route's handler there, by its last route."""
+    routes = nodes.filter("kind = 'Route'").select("file", F.col("url").alias("route"), "methods", "start", F.explode("handlers").alias("handler"))
+    last = routes.groupBy("file", F.element_at(F.split("handler", r"\."), -1).alias("name")).agg(F.max(F.struct("start", "route", "methods")).alias("last"))
+    own = nodes.filter("kind = 'Function'").select("file", "name", F.col("id").alias("target"))
+    return own.join(last, ["file", "name"]).select("target", "file", F.col("last.route").alias("url"), F.col("last.methods").alias("methods"))
 
 
 def edges_of(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
@@ -231,9 +260,12 @@ def edges_of(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
     handled = resolve.unique_target(resolve.lowest_tier(fits, ["src", "handler"], "tier"), ["src", "handler"], "view").select("src", F.col("view").alias("dst")).distinct().withColumn("seq", seq)
 
     asked_for = requests(found, nodes)
+    wrapping = nodes.filter("kind = 'Middleware' AND var IS NOT NULL").select(F.col("id").alias("src"), "file", "var")
+    wrapped = resolve.or_fallback(wrapping, nodes.filter("kind = 'Route' AND var <> ''").select(F.col("id").alias("dst"), "file", "var"), ["file"], "var", F.col("var") == "app")
+    wrapped = wrapped.select("src", "dst").withColumn("seq", seq)
     python = F.contains("src", F.lit(".py:"))
     kind = lambda df, name: df.select("src", "dst", F.lit(name).alias("edge_class"), "seq")
-    return kind(structural.union(imported).union(related), "structural").union(kind(called.filter(python), "executable")).union(kind(called.filter(~python).union(handled).union(asked_for), "generated")).dropDuplicates(["src", "dst", "edge_class"])
+    return kind(structural.union(imported).union(related), "structural").union(kind(called.filter(python), "executable")).union(kind(called.filter(~python).union(handled).union(wrapped).union(asked_for), "generated")).dropDuplicates(["src", "dst", "edge_class"])
 
 
 @dataclass

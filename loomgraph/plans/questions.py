@@ -6,14 +6,13 @@ bounded, comes to the driver. Answers are dictionaries in a fixed order; as_yaml
 
 from __future__ import annotations
 
-import difflib
+import builtins
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import CALLBACK, display_name, is_under, last_segment
-from loomgraph.operators import traverse
+from loomgraph.operators import resolve, traverse
 from loomgraph.plans.code_graph import Graph
 
 MAP_ENTRIES, MAP_DEPTH, PREVIEW, IMPORTS = 300, 4, 8, 40
@@ -33,12 +32,7 @@ HEURISTIC = "Route/File/Middleware entries come from framework and HTTP-call lin
 CAPPED = "Listing capped at {} entries; map a sub-folder or lower depth."
 
 # Calls that tell nothing about dependencies.
-BUILTINS = frozenset(
-    "abs aiter all anext any ascii bin bool breakpoint bytearray bytes callable chr classmethod compile complex delattr dict dir divmod "
-    "enumerate eval exec exit filter float format frozenset getattr globals hasattr hash help hex id input int isinstance issubclass iter len "
-    "list locals map max memoryview min next object oct open ord pow print property quit range repr reversed round set setattr slice sorted "
-    "staticmethod str sum super tuple type vars zip Exception ValueError TypeError KeyError IndexError RuntimeError NotImplementedError".split()
-)
+BUILTINS = frozenset(name for name in dir(builtins) if not name.startswith("_"))
 JS_GLOBALS = frozenset("require setTimeout setInterval clearTimeout clearInterval parseInt parseFloat isNaN encodeURIComponent decodeURIComponent String Number Boolean Array Object Error Promise Date Map Set".split())
 RECEIVERS = frozenset("console JSON Math Object Array Promise Number String Date logger logging process window document navigator globalThis".split())
 COMMON = frozenset(
@@ -150,43 +144,35 @@ class CodeStructure:
         out["hint"] = CHOOSE_HINT
         return None, out | ({"candidates_omitted": total - RELATED} if total > RELATED else {})
 
-    def _close(self, names: DataFrame, probe: str, cutoff: float) -> list:
-        """The five rows (text, id) most like probe; similarity is computed where the rows are."""
-        @F.pandas_udf("double")
-        def ratio(texts: pd.Series) -> pd.Series:
-            m = difflib.SequenceMatcher()
-            m.set_seq2(probe)
-
-            def one(t):
-                m.set_seq1(t)
-                return m.ratio() if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff else 0.0
-
-            return texts.map(one).astype("float64")
-
-        return names.withColumn("like", ratio("text")).filter(F.col("like") >= cutoff).orderBy(F.desc("like"), F.desc("text")).limit(5).collect()
-
     def _suggest(self, text: str) -> list[str]:
         probe = text.split(":", 1)[1] if ":" in text else text
         probe = probe.rsplit(".", 1)[-1] if "." in probe and "/" not in probe else probe
         own = self.nodes.filter(F.col("kind").isin(*SYMBOLS))
         names = own.select(F.explode(F.array_distinct(F.array("qualified", "name"))).alias("text"), "id").groupBy("text").agg(F.min("id").alias("id"))
-        close = self._close(names, probe, 0.6) or self._close(self.nodes.select(F.col("id").alias("text"), "id"), text, 0.5)
+        close = resolve.most_alike(names, "text", probe, 0.6, 5).collect() or resolve.most_alike(self.nodes.select(F.col("id").alias("text"), "id"), "text", text, 0.5, 5).collect()
         return [r["id"] for r in close]
 
     # the graph by id
 
     def callers(self, node: str) -> list[str]:
-        return self._ends(node, "callers")
+        return self._all(self._ends(node, "callers"))
 
     def callees(self, node: str) -> list[str]:
-        return self._ends(node, "callees")
+        return self._all(self._ends(node, "callees"))
 
     def dependents(self, node: str) -> list[str]:
         """Sources of edges of any class into a node; dependencies() are the other ends of those out of it."""
-        return self._ends(node, "callers", None)
+        return self._all(self._ends(node, "callers", None))
 
     def dependencies(self, node: str) -> list[str]:
-        return self._ends(node, "callees", None)
+        return self._all(self._ends(node, "callees", None))
+
+    def contains(self, node: str) -> bool:
+        return not self.nodes.filter(F.col("id") == node).isEmpty()
+
+    @staticmethod
+    def _all(ends: DataFrame) -> list[str]:
+        return [r["n"] for r in ends.orderBy("s", "n").collect()]
 
     def blast_radius(self, node: str, max_depth: int = 0) -> DataFrame:
         """node, hop of everything that reaches a node in so many steps, 0: in any number."""
@@ -197,12 +183,11 @@ class CodeStructure:
 
     def search(self, keyword: str) -> DataFrame:
         """Nodes whose name holds a keyword in any case, whole matches first, then by file and line."""
-        word = keyword.strip().lower()
-        hits = self.nodes.filter(F.contains(F.lower("name"), F.lit(word))) if word else self.nodes.limit(0)
-        return hits.withColumn("rank", F.when(F.lower("name") == word, 0).otherwise(1)).orderBy("rank", "file", F.coalesce("start", F.lit(0)), "id")
+        return resolve.with_keyword(self.nodes, "name", keyword).orderBy("rank", "file", F.coalesce("start", F.lit(0)), "id")
 
     def stats(self) -> dict:
-        return {"nodes": self.nodes.count(), "edges": self.edges.count()}
+        by_class = {r["edge_class"]: r["edges"] for r in traverse.stats(self.edges).orderBy("edge_class").collect()}
+        return {"nodes": self.nodes.count(), "edges": sum(by_class.values()), "by_class": by_class}
 
     # questions
 
@@ -235,53 +220,72 @@ class CodeStructure:
             out |= _bounded("frameworks", list(r["frameworks"]), 20) if r["frameworks"] else {}
         return out
 
-    def _ends(self, node: str, direction: str, classes=traverse.EXECUTABLE) -> list[str]:
-        """Direct neighbours in the order in which their edges first occur."""
+    def _ends(self, node: str, direction: str, classes=traverse.EXECUTABLE) -> DataFrame:
+        """n, s: direct neighbours and where their edges first occur."""
         a, b = ("src", "dst") if direction == "callees" else ("dst", "src")
         own = self.edges.filter((F.col(a) == node) & (F.col(b) != node))
         own = own if classes is None else own.filter(F.col("edge_class").isin(*classes))
-        return [r["n"] for r in own.groupBy(F.col(b).alias("n")).agg(F.min("seq").alias("s")).orderBy("s", "n").collect()]
+        return own.groupBy(F.col(b).alias("n")).agg(F.min("seq").alias("s"))
+
+    @staticmethod
+    def _shown(key: str, rows: DataFrame, order: list, limit: int, show=lambda r: r["n"], always: bool = False) -> dict:
+        """The first rows in order under a key, and how many are left out; no more than are shown come to the driver."""
+        found = rows.orderBy(*order).limit(limit + 1).collect()
+        if not found and not always:
+            return {}
+        return {key: [show(r) for r in found[:limit]]} | ({f"{key}_omitted": rows.count() - limit} if len(found) > limit else {})
 
     def _of_symbol(self, r) -> dict:
+        by_seq, by_place = ["s", "n"], ["file", F.coalesce("start", F.lit(0)), "id"]
         callers, callees = self._ends(r["id"], "callers"), self._ends(r["id"], "callees")
-        members = [x["id"] for x in self._rows(self.nodes.filter((F.col("parent") == r["id"]) & F.col("kind").isin(*SYMBOLS)))]
-        out = _bounded("callers", callers, RELATED) | _bounded("callees", callees, RELATED)
-        possible = self._possible(r, self.edges.filter((F.col("dst") == r["id"]) & F.col("edge_class").isin(*traverse.EXECUTABLE)).select(F.col("src").alias("id")))
-        out |= _bounded("possible_callers", possible, POSSIBLE) if possible else {}
-        out |= _bounded("members", members, RELATED) if members else {}
-        into = [n for n in self._ends(r["id"], "callers", None) if n not in (*callers, *members)]
-        from_ = [n for n in self._ends(r["id"], "callees", None) if n not in (*callees, r["parent"], r["file"])]
-        related = list(dict.fromkeys(into + from_))
-        out |= _bounded("related", related, RELATED) if related else {}
-        open_ = self._unresolved(r)
-        return out | (_bounded("unresolved_calls", open_, UNRESOLVED) if open_ else {})
+        members = traverse.members(self.nodes.filter(F.col("kind").isin(*SYMBOLS)), [r["id"]], by_place)
+        out = self._shown("callers", callers, by_seq, RELATED, always=True) | self._shown("callees", callees, by_seq, RELATED, always=True)
+        out |= self._possible_shown(self._possible(r, callers.select(F.col("n").alias("id"))), POSSIBLE, "possible_callers")[0]
+        out |= self._shown("members", members, ["nth"], RELATED, lambda x: x["id"])
+        into = self._ends(r["id"], "callers", None).join(callers.select("n"), "n", "left_anti").join(members.select(F.col("id").alias("n")), "n", "left_anti")
+        from_ = self._ends(r["id"], "callees", None).join(callees.select("n"), "n", "left_anti").filter(~F.col("n").isin(*filter(None, (r["parent"], r["file"]))))
+        both = into.withColumn("of", F.lit(0)).unionByName(from_.withColumn("of", F.lit(1))).groupBy("n").agg(F.min(F.struct("of", "s")).alias("first"))
+        out |= self._shown("related", both, ["first", "n"], RELATED)
+        return out | self._shown("unresolved_calls", self._unresolved(r), ["nth"], UNRESOLVED, lambda x: x["call"])
 
     def _of_file(self, r) -> dict:
-        top = self._rows(self.nodes.filter((F.col("file") == r["id"]) & F.col("kind").isin(*SYMBOLS) & (~F.col("kind").isin(*DOTTED) | ~F.contains("qualified", F.lit(".")))))
-        files = {x["id"] for x in self.nodes.filter(F.col("kind") == "File").join(self.edges.filter((F.col("dst") == r["id"]) | (F.col("src") == r["id"])).select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi").select("id").collect()}
-        out = _bounded("defines", [self._entry(x) for x in top], RELATED)
+        """What a file defines, imports and is imported by, and the callers and callees of it and its symbols elsewhere."""
+        own = self.nodes.filter(F.col("file") == r["id"])
+        top = own.filter(F.col("kind").isin(*SYMBOLS) & (~F.col("kind").isin(*DOTTED) | ~F.contains("qualified", F.lit("."))))
+        out = self._shown("defines", top, ["file", F.coalesce("start", F.lit(0)), "id"], RELATED, self._entry, True)
+        files = self.nodes.filter(F.col("kind") == "File").select(F.col("id").alias("n"))
         for key, direction in (("imports", "callers"), ("imported_by", "callees")):
-            out |= _bounded(key, [n for n in self._ends(r["id"], direction, ("structural",)) if n in files], RELATED)
+            out |= self._shown(key, self._ends(r["id"], direction, ("structural",)).join(files, "n", "left_semi"), ["s", "n"], RELATED, always=True)
+        inside = own.select("id")
+        calls = self.edges.filter(F.col("edge_class").isin(*traverse.EXECUTABLE))
+        for key, a, b in (("callers", "dst", "src"), ("callees", "src", "dst")):
+            met = calls.join(inside.withColumnRenamed("id", a), a, "left_semi").select(F.col(b).alias("n")).distinct()
+            out |= self._shown(key, met.join(inside.withColumnRenamed("id", "n"), "n", "left_anti"), ["n"], RELATED)
         return out | {"hint": f"code_map(path='{r['id']}') returns the full definition tree."}
 
-    def _unresolved(self, r) -> list[str]:
-        """Calls of a node, in order, that no callee's name answers to and that aren't noise."""
-        own = self.nodes.filter(F.col("id") == r["id"]).select(F.posexplode("calls").alias("nth", "call"))
+    def _unresolved(self, r) -> DataFrame:
+        """call, nth: calls of a node that no callee's name answers to and that aren't noise."""
+        forms = F.array_distinct(F.array("text", last_segment(F.col("text"))))
+        own = self.nodes.filter(F.col("id") == r["id"]).select(F.posexplode("calls").alias("nth", "text")).withColumn("forms", F.size(forms))
         ends = self.edges.filter((F.col("src") == r["id"]) & F.col("edge_class").isin(*traverse.EXECUTABLE)).select(F.col("dst").alias("id"))
-        known = self.nodes.join(ends, "id", "left_semi").select(F.explode(F.array("name", "qualified")).alias("known")).distinct()
-        left = own.filter(~is_noise(F.col("call"))).join(known, (F.col("known") == F.col("call")) | (F.col("known") == last_segment(F.col("call"))), "left_anti")
-        return [x["call"] for x in left.groupBy("call").agg(F.min("nth").alias("nth")).orderBy("nth").collect()]
+        known = self.nodes.join(ends, "id", "left_semi").select(F.explode(F.array("name", "qualified")).alias("call"))
+        left = resolve.unresolved_calls(own.withColumn("call", F.explode(forms)), known, "call", is_noise(F.col("text")))
+        counted = left.groupBy(F.col("text").alias("call"), "forms").agg(F.min("nth").alias("nth"), F.count(F.lit(1)).alias("open"))
+        return counted.filter(F.col("open") == F.col("forms")).select("call", "nth")
 
-    def _possible(self, target, confirmed: DataFrame) -> list[dict]:
-        """Nodes with a call that ends in the target's name and leads nowhere of that name."""
+    def _possible(self, target, confirmed: DataFrame) -> DataFrame:
+        """id, file, start, via: nodes with a call that ends in the target's name and leads nowhere of that name."""
         name = target["name"]
-        if target["kind"] not in SYMBOLS:
-            return []
-        calls = self.nodes.filter(F.col("id") != target["id"]).select("id", "file", "start", F.explode("calls").alias("call")).filter((last_segment(F.col("call")) == name) & ~is_noise(F.col("call")) & ~is_noise(F.lit(name)))
+        wanted = (last_segment(F.col("call")) == name) & ~is_noise(F.col("call")) & ~is_noise(F.lit(name)) if target["kind"] in SYMBOLS else F.lit(False)
+        calls = self.nodes.filter(F.col("id") != target["id"]).select("id", "file", "start", F.explode("calls").alias("call")).filter(wanted)
         linked = self.edges.filter(F.col("edge_class").isin(*traverse.EXECUTABLE)).join(self.nodes.filter(F.col("name") == name).select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"))
-        left = calls.join(confirmed, "id", "left_anti").join(linked, "id", "left_anti")
-        rows = left.groupBy("id", "file", "start").agg(F.array_sort(F.collect_set("call")).alias("via")).orderBy("file", F.coalesce("start", F.lit(0)), "id").collect()
-        return [{"id": x["id"], "via": x["via"][0] if len(x["via"]) == 1 else list(x["via"])} for x in rows]
+        left = resolve.possible_callers(calls, confirmed.union(linked), "id")
+        return left.groupBy("id", "file", "start").agg(F.array_sort(F.collect_set("call")).alias("via"))
+
+    def _possible_shown(self, rows: DataFrame, limit: int, key: str) -> tuple[dict, int]:
+        show = lambda x: {"id": x["id"], "via": x["via"][0] if len(x["via"]) == 1 else list(x["via"])}
+        out = self._shown(key, rows, ["file", F.coalesce("start", F.lit(0)), "id"], limit, show)
+        return out, len(out.get(key, ())) + out.get(f"{key}_omitted", 0)
 
     def impact(self, symbol: str, depth: int | None = 2, direction: str = "callers") -> dict:
         direction = (direction or "callers").lower()
@@ -293,34 +297,34 @@ class CodeStructure:
             return failed
         spark = self.nodes.sparkSession
         seed = spark.createDataFrame([(target["id"],)], "node string")
-        reached = traverse.bfs(self.edges, seed, depth, direction)
-        total = reached.count()
-        kept = reached.orderBy("hop", "node").limit(REACHED)
-        shown = self._rows(kept.join(self.nodes, F.col("node") == F.col("id")))
-        truncated = total > REACHED
+        found, truncated = traverse.first_reached(self.edges, target["id"], depth, REACHED, direction)
+        reached = spark.createDataFrame(found, "node string, hop int")
+        shown = self._rows(F.broadcast(reached).join(self.nodes, F.col("node") == F.col("id")))
         beyond = truncated or not traverse.beyond(self.edges, reached, seed, depth, direction).isEmpty()
-        ids = kept.select(F.col("node").alias("id"))
-        possible = self._possible(target, ids) if direction == "callers" else []
-        open_ = self._unresolved(target) if direction == "callees" else []
-        meta = self._meta() | {"direction": direction, "depth": depth, "direct": reached.filter("hop = 1").count(), "total": min(total, REACHED), "files": len({r["file"] for r in shown}), "truncated": truncated, "more_beyond_depth": beyond}
-        meta |= {"possible": len(possible)} if direction == "callers" else {}
+        possible, n_possible, open_, n_open = {}, 0, {}, 0
+        if direction == "callers":
+            possible, n_possible = self._possible_shown(self._possible(target, reached.select(F.col("node").alias("id"))), POSSIBLE, "possible_callers")
+        else:
+            open_ = self._shown("unresolved_callees", self._unresolved(target), ["nth"], UNRESOLVED, lambda x: x["call"])
+            n_open = len(open_.get("unresolved_callees", ())) + open_.get("unresolved_callees_omitted", 0)
+        meta = self._meta() | {"direction": direction, "depth": depth, "direct": sum(hop == 1 for _, hop in found), "total": len(found), "files": len({r["file"] for r in shown}), "truncated": truncated, "more_beyond_depth": beyond}
+        meta |= {"possible": n_possible} if direction == "callers" else {}
         warnings = meta.pop("warnings", [])
         if truncated:
             warnings.append(STOPPED.format(REACHED))
         if beyond:
             warnings.append(BEYOND.format(depth, direction))
-        if possible:
-            warnings.append(BY_NAME.format(len(possible), target["name"]))
-        if open_:
-            warnings.append(OPEN_CALLS.format(len(open_)))
+        if n_possible:
+            warnings.append(BY_NAME.format(n_possible, target["name"]))
+        if n_open:
+            warnings.append(OPEN_CALLS.format(n_open))
         if any(r["kind"] in ("Route", "File", "Middleware") for r in shown):
             warnings.append(HEURISTIC)
         grouped: dict[str, list[str]] = {}
         for r in shown:
             grouped.setdefault(r["file"], []).append(self._entry(r, r["hop"]))
         out = {"ok": True, "tool": "impact", "target": self._brief(target), "meta": meta | ({"warnings": warnings} if warnings else {}), "affected": grouped}
-        out |= _bounded("possible_callers", possible, POSSIBLE) if possible else {}
-        return out | (_bounded("unresolved_callees", open_, UNRESOLVED) if open_ else {})
+        return out | possible | open_
 
     def code_map(self, path: str = ".", depth: int = 1) -> dict:
         rel, depth = self._clean(path).rstrip("/"), max(1, min(int(depth or 1), MAP_DEPTH))
@@ -330,7 +334,7 @@ class CodeStructure:
             return self._map_file(rel)
         if files.isEmpty():
             tails = self.nodes.filter(F.col("kind").isin("File", "Folder")).select(F.col("name").alias("text"), "id").groupBy("text").agg(F.min("id").alias("id"))
-            close = [r["id"] for r in self._close(tails, rel.rsplit("/", 1)[-1], 0.6)] if rel else []
+            close = [r["id"] for r in resolve.most_alike(tails, "text", rel.rsplit("/", 1)[-1], 0.6, 5).collect()] if rel else []
             out = {"ok": False, "tool": "code_map", "error": f"'{path}' is not an indexed file or directory", "meta": self._meta()}
             return out | ({"suggestions": close} if close else {})
         return self._map_folder(rel, inside, files, depth)

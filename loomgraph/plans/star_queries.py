@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from loomgraph.functions import columns as C
 from loomgraph.operators import changes, resolve, rollup, traverse
 from loomgraph.operators.urls import best_routes
 from loomgraph.plans.star_graph import EDGES_SQL, PATHS_SQL, URL_PATH_SQL, edges, node, paths, table, url_path
+from loomgraph.sources.frameworks import signals
 from loomgraph.streaming.debounce import debounced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,11 +76,23 @@ def impact_by_file_summary(spark, sf_dir):
     return reached.groupBy(F.split_part("node", F.lit("/"), F.lit(1)).alias("kind"), "hop").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("first"))
 
 
-@query(_bfs_sql("supplier/1", 3, True, """, numbered AS (SELECT *, row_number() OVER (ORDER BY hop, node) AS nth, count(*) OVER () AS total FROM reached)
-    SELECT node, hop, greatest(total - 300, 0) AS omitted FROM numbered WHERE nth <= 300"""))
+@query(f"""
+    WITH {EDGES_SQL},
+      e AS (SELECT dst AS here, src AS next FROM edges WHERE edge_class = 'executable'),
+      a AS (SELECT next AS node, row_number() OVER (ORDER BY next) AS nth FROM (SELECT DISTINCT next FROM e WHERE here = 'supplier/1' AND next <> 'supplier/1')),
+      b AS (SELECT node, row_number() OVER (ORDER BY up, node) AS nth FROM (
+        SELECT next AS node, min(nth) AS up FROM a JOIN e ON here = node WHERE next <> 'supplier/1' AND next NOT IN (SELECT node FROM a) GROUP BY 1)),
+      c AS (SELECT node, row_number() OVER (ORDER BY up, node) AS nth FROM (
+        SELECT next AS node, min(nth) AS up FROM b JOIN e ON here = node
+        WHERE next <> 'supplier/1' AND next NOT IN (SELECT node FROM a) AND next NOT IN (SELECT node FROM b) GROUP BY 1)),
+      w AS (SELECT node, 1 AS hop, nth FROM a UNION ALL SELECT node, 2, nth FROM b UNION ALL SELECT node, 3, nth FROM c),
+      n AS (SELECT *, row_number() OVER (ORDER BY hop, nth) AS place, count(*) OVER () AS total FROM w)
+    SELECT node, hop, place::INT AS place, total > 300 AS truncated FROM n WHERE place <= 300""")
 def impact_truncated_topn(spark, sf_dir):
-    reached = traverse.bfs(edges(spark, sf_dir), _seed(spark, "supplier/1"), 3, "callers")
-    return reached.orderBy("hop", "node").limit(300).withColumn("omitted", F.lit(max(0, reached.count() - 300)).cast("long"))
+    """The first 300 nodes in the order of the walk, which ends in the level in which they are passed."""
+    own = edges(spark, sf_dir).withColumn("seq", F.lit(0))
+    found, more = traverse.first_reached(own, "supplier/1", 3, 300)
+    return spark.createDataFrame([(n, hop, k + 1, more) for k, (n, hop) in enumerate(found)], "node string, hop int, place int, truncated boolean")
 
 
 @query(_bfs_sql("supplier/1", 1, True, """SELECT count(DISTINCT e.src) AS beyond, count(DISTINCT e.src) > 0 AS more
@@ -115,14 +126,14 @@ def dependencies_all_classes(spark, sf_dir):
 
 @query(f"WITH {EDGES_SQL} SELECT edge_class, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edges GROUP BY 1")
 def graph_stats(spark, sf_dir):
-    return edges(spark, sf_dir).groupBy("edge_class").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    return traverse.stats(edges(spark, sf_dir))
 
 
 @query(f"""
     WITH RECURSIVE {EDGES_SQL},
       up AS (
         SELECT src AS node, dst AS ancestor, 1 AS distance FROM edges WHERE edge_class = 'structural'
-        UNION SELECT up.node, e.dst, distance + 1 FROM up JOIN edges e ON e.src = up.ancestor AND edge_class = 'structural' WHERE distance < 10)
+        UNION SELECT up.node, e.dst, distance + 1 FROM up JOIN edges e ON e.src = up.ancestor AND edge_class = 'structural')
     SELECT node, ancestor, min(distance) AS distance FROM up GROUP BY ALL""")
 def ancestor_closure_nearest(spark, sf_dir):
     own = edges(spark, sf_dir).filter("edge_class = 'structural'").select(F.col("src").alias("child"), F.col("dst").alias("parent"))
@@ -152,7 +163,7 @@ def code_map_topk_preview(spark, sf_dir):
     FROM edges WHERE edge_class = 'structural' AND starts_with(dst, 'region/')""")
 def members_tree(spark, sf_dir):
     own = edges(spark, sf_dir).filter((F.col("edge_class") == "structural") & F.startswith("dst", F.lit("region/")))
-    return own.select(F.col("dst").alias("parent"), F.col("src").alias("child"), F.row_number().over(Window.partitionBy("dst").orderBy("src")).alias("nth"))
+    return traverse.members(own.select(F.col("src").alias("id"), F.col("dst").alias("parent")), None, ["id"]).select("parent", F.col("id").alias("child"), "nth")
 
 
 @query("""
@@ -207,7 +218,7 @@ def lookup_case_insensitive(spark, sf_dir):
 
 
 @query(f"""
-    WITH {PATHS_SQL}, asked AS (SELECT DISTINCT array_to_string(string_split(path, '/')[3:4], '/') AS wanted FROM paths WHERE id % 10 = 0)
+    WITH {PATHS_SQL}, asked AS (SELECT DISTINCT array_to_string(string_split(path, '/')[3:4], '/') AS wanted FROM paths)
     SELECT wanted, path AS file, path = wanted AS exact FROM asked JOIN paths ON path = wanted OR ends_with(path, '/' || wanted)""")
 def lookup_suffix_match(spark, sf_dir):
     own = paths(spark, sf_dir)
@@ -254,22 +265,28 @@ def normalize_url_expr(spark, sf_dir):
 # -- scored and unique matches -------------------------------------------------------------------
 
 
+_HREF_SQL = r"""regexp_extract_all(html, '(?i)\bhref\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)')"""
+_VALUE_SQL = r"""regexp_replace(regexp_replace(h, '(?i)^href\s*=\s*', ''), '^["'']|["'']$', '', 'g')"""
+
+
 @query(f"""
-    WITH p AS (SELECT page_id, {URL_PATH_SQL} AS path FROM pages),
-      calls AS (SELECT page_id, {_url_sql('path', False)} AS call, {_url_sql('path', True)} AS folded FROM p),
-      routes AS (SELECT DISTINCT folded AS route FROM calls UNION SELECT DISTINCT call FROM calls WHERE page_id % 7 = 0),
+    WITH urls AS (
+        SELECT page_id, true AS own, url FROM pages WHERE url IS NOT NULL
+        UNION ALL SELECT page_id, false, {_VALUE_SQL} FROM (SELECT page_id, unnest({_HREF_SQL}) AS h FROM pages)),
+      p AS (SELECT page_id, own, {URL_PATH_SQL} AS path FROM urls),
+      calls AS (SELECT DISTINCT page_id, own, {_url_sql('path', False)} AS call, {_url_sql('path', True)} AS folded FROM p),
+      routes AS (SELECT folded AS route FROM calls WHERE own UNION SELECT call FROM calls WHERE own),
       scored AS (
-        SELECT page_id, route, CASE WHEN call = route THEN 100 WHEN contains(route, '{{id}}') AND folded = route THEN 95
+        SELECT DISTINCT call, folded, route, CASE WHEN call = route THEN 100 WHEN contains(route, '{{id}}') AND folded = route THEN 95
           WHEN call = '/' OR route = '/' THEN NULL WHEN starts_with(call || '/', route || '/') THEN 50 WHEN starts_with(route || '/', call || '/') THEN 40
           WHEN ends_with(call, route) THEN 35 WHEN ends_with(route, call) THEN 30 END AS score FROM calls, routes),
-      top AS (SELECT page_id, max(score) AS score FROM scored WHERE score IS NOT NULL GROUP BY 1)
-    SELECT page_id, CASE WHEN count(DISTINCT route) = 1 THEN min(route) END AS route, any_value(score)::INT AS score
-    FROM scored JOIN top USING (page_id, score) GROUP BY page_id""")
+      top AS (SELECT call, folded, max(score) AS score FROM scored WHERE score IS NOT NULL GROUP BY ALL),
+      best AS (SELECT call, folded, CASE WHEN count(DISTINCT route) = 1 THEN min(route) END AS route, any_value(score)::INT AS score FROM scored JOIN top USING (call, folded, score) GROUP BY call, folded)
+    SELECT DISTINCT page_id, call, route, score FROM calls JOIN best USING (call, folded)""")
 def url_match_scored(spark, sf_dir):
     """page_id, call, route, score for the URL of every page and every href in it; calls that no route fits have no row."""
     pages = table(spark, sf_dir, "pages")
-    value = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)^href\s*=\s*", ""), "^[\"']|[\"']$", "")
-    hrefs = F.transform(F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""), 0), value)
+    hrefs = C.href_values(F.col("html"))
     urls = pages.select("page_id", F.lit(True).alias("own"), "url").union(pages.select("page_id", F.lit(False), F.explode(hrefs))).filter("url IS NOT NULL")
     path = url_path(F.col("url"))
     calls = urls.select("page_id", "own", C.normalize_url(path).alias("call"), C.normalize_url(path, True).alias("folded"))
@@ -306,8 +323,8 @@ def suffix_module_join(spark, sf_dir):
 
 @query("""
     WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
-      spans AS (SELECT user_id, event_type AS span, min(nth) AS a, max(nth) AS b FROM e WHERE nth <= 40 GROUP BY ALL)
-    SELECT event_id, span FROM e JOIN spans USING (user_id) WHERE nth BETWEEN a AND b AND value > 40""")
+      spans AS (SELECT user_id, event_type AS span, min(nth) AS a, max(nth) AS b FROM e GROUP BY ALL)
+    SELECT event_id, span FROM e JOIN spans USING (user_id) WHERE nth BETWEEN a AND b""")
 def interval_assign(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     spans = e.groupBy("user_id", F.col("event_type").alias("span")).agg(F.min("nth").alias("a"), F.max("nth").alias("b"))
@@ -316,11 +333,11 @@ def interval_assign(spark, sf_dir):
 
 @query("""
     SELECT o_orderkey, count(*) AS calls FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE l_partkey % 50 = 7 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 3) GROUP BY 1""")
+    WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 3) GROUP BY 1""")
 def possible_callers_anti(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     confirmed = l.filter("l_suppkey = 3").select("l_orderkey")
-    maybe = l.join(confirmed, "l_orderkey", "left_anti")
+    maybe = resolve.possible_callers(l, confirmed, "l_orderkey")
     return maybe.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey")), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("calls"))
 
 
@@ -331,7 +348,8 @@ def possible_callers_anti(spark, sf_dir):
     WHERE call NOT IN (SELECT call FROM known) AND lower(call) NOT IN ('the', 'of', 'and', 'de', 'la', 'der', 'und') GROUP BY 1""")
 def unresolved_calls_anti(spark, sf_dir):
     words = lambda t, *keep: table(spark, sf_dir, t).select(*keep, F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("call")).distinct()
-    left = words("documents", "doc_id").join(words("benchmark"), "call", "left_anti").filter(~F.lower("call").isin("the", "of", "and", "de", "la", "der", "und"))
+    noise = F.lower("call").isin("the", "of", "and", "de", "la", "der", "und")
+    left = resolve.unresolved_calls(words("documents", "doc_id"), words("benchmark"), "call", noise)
     return left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("unresolved"), F.min("call").alias("first"))
 
 
@@ -341,8 +359,8 @@ def unresolved_calls_anti(spark, sf_dir):
     EXCEPT SELECT src FROM edges WHERE starts_with(src, 'customer/') AND dst = 'nation/5'""")
 def related_difference(spark, sf_dir):
     own, two = edges(spark, sf_dir), ("nation/3", "nation/5")
-    all_ = own.filter(F.col("dst").isin(*two)).select(F.col("src").alias("node")).union(own.filter(F.col("src").isin(*two)).select("dst")).distinct()
-    return all_.join(own.filter(F.startswith("src", F.lit("customer/")) & (F.col("dst") == "nation/5")).select(F.col("src").alias("node")), "node", "left_anti")
+    known = own.filter(F.startswith("src", F.lit("customer/")) & (F.col("dst") == "nation/5")).select(F.col("src").alias("node"))
+    return traverse.related(own, spark.createDataFrame([(n,) for n in two], "node string"), known)
 
 
 @query("""
@@ -394,47 +412,38 @@ def debounce_last_event(spark, sf_dir):
 
 @query("SELECT date_trunc('day', ts) AS batch, bool_or(event_type = 'purchase' AND value > 45) AS relink, count(*) AS events FROM events GROUP BY 1")
 def change_feed_relink_flag(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.date_trunc("day", "ts").alias("batch")).agg(F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 45)).alias("relink"), F.count(F.lit(1)).alias("events"))
+    e = table(spark, sf_dir, "events").withColumn("batch", F.date_trunc("day", "ts"))
+    return changes.relink_flags(e, "batch", (F.col("event_type") == "purchase") & (F.col("value") > 45))
 
 
 @query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS methods, count(*) AS handlers FROM lineitem GROUP BY 1")
 def route_grouping(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("methods"), F.count(F.lit(1)).alias("handlers"))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.array("l_returnflag").alias("methods"), F.col("l_returnflag").alias("nth"))
+    one = rollup.merged(l, ["l_orderkey"], "nth", ["methods"], [F.count(F.lit(1)).alias("handlers")])
+    return one.select("l_orderkey", F.array_join("methods", ",").alias("methods"), "handlers")
 
 
 @query(f"""
     WITH {PATHS_SQL}, t AS (SELECT id, string_split(path, '/') AS a, CASE WHEN id % 2 = 0 THEN string_split(path, '/')[3:4] ELSE [name] END AS b FROM paths),
       u AS (SELECT id, a[1:3] AS a, b FROM t)
-    SELECT id, array_to_string(CASE WHEN a[3:3] = b[1:1] THEN list_concat(a, b[2:]) ELSE list_concat(a, b) END, '/') AS full_url FROM u""")
+    SELECT id, '/' || array_to_string(CASE WHEN a[3:3] = b[1:1] THEN list_concat(a, b[2:]) ELSE list_concat(a, b) END, '/') AS full_url FROM u""")
 def mount_prefix_combine(spark, sf_dir):
     parts = F.split("path", "/")
-    t = paths(spark, sf_dir).select("id", F.slice(parts, 1, 3).alias("a"), F.when(F.col("id") % 2 == 0, F.slice(parts, 3, 2)).otherwise(F.array("name")).alias("b"))
-    overlap = F.element_at("a", 3) == F.element_at("b", 1)
-    joined = F.when(overlap, F.concat("a", F.slice("b", 2, 100))).otherwise(F.concat("a", "b"))
-    return t.select("id", F.array_join(joined, "/").alias("full_url"))
+    prefix = F.array_join(F.slice(parts, 1, 3), "/")
+    url = F.when(F.col("id") % 2 == 0, F.array_join(F.slice(parts, 3, 2), "/")).otherwise(F.col("name"))
+    return paths(spark, sf_dir).select("id", C.joined_url(prefix, url).alias("full_url"))
 
 
 @query("""
-    WITH m AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS var FROM supplier),
-      hit AS (SELECT DISTINCT s_suppkey, c_custkey AS route FROM m JOIN customer ON c_nationkey = s_nationkey AND c_custkey % 100 = var % 100),
-      app AS (SELECT s_suppkey, c_custkey AS route FROM m JOIN customer ON c_nationkey = s_nationkey WHERE var IS NULL)
-    SELECT * FROM hit UNION SELECT * FROM app""")
+    WITH m AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN 'app' ELSE 'v' || s_suppkey % 100 END AS var FROM supplier),
+      c AS (SELECT c_custkey AS route, c_nationkey, 'v' || c_custkey % 100 AS var FROM customer),
+      hit AS (SELECT s_suppkey, route FROM m JOIN c ON c_nationkey = s_nationkey AND c.var = m.var)
+    SELECT * FROM hit
+    UNION ALL SELECT s_suppkey, route FROM m JOIN c ON c_nationkey = s_nationkey WHERE m.var = 'app' AND s_suppkey NOT IN (SELECT s_suppkey FROM hit)""")
 def middleware_fallback_join(spark, sf_dir):
-    m = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey")).alias("var"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("route"), "c_nationkey")
-    hit = m.join(c, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("route") % 100 == F.col("var") % 100))
-    app = m.filter("var IS NULL").join(c, F.col("c_nationkey") == F.col("s_nationkey"))
-    return hit.select("s_suppkey", "route").union(app.select("s_suppkey", "route")).distinct()
-
-
-@query("""
-    WITH t AS (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('purchase', 'signup') THEN event_type END AS typed FROM events)
-    SELECT event_id, last_value(typed IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS typed FROM t""")
-def shadow_scope_latest(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("typed", F.when(F.col("event_type").isin("purchase", "signup"), F.col("event_type")))
-    scope = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.last("typed", ignorenulls=True).over(scope).alias("typed"))
+    m = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("file"), F.when(F.col("s_suppkey") % 3 == 0, "app").otherwise(F.concat(F.lit("v"), F.col("s_suppkey") % 100)).alias("var"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("route"), F.col("c_nationkey").alias("file"), F.concat(F.lit("v"), F.col("c_custkey") % 100).alias("var"))
+    return resolve.or_fallback(m, c, ["file"], "var", F.col("var") == "app").select("s_suppkey", "route")
 
 
 _SIGNALS = [("mail", "@"), ("list", "\n- "), ("link", "http"), ("table", " | "), ("code", "{")]
@@ -444,16 +453,16 @@ _SIGNALS = [("mail", "@"), ("list", "\n- "), ("link", "http"), ("table", " | "),
     WITH s(name, sign) AS (VALUES ('mail', '@'), ('list', chr(10) || '- '), ('link', 'http'), ('table', ' | '), ('code', '{'))
     SELECT doc_id, string_agg(name, ',' ORDER BY name) AS frameworks FROM documents JOIN s ON contains(text, sign) GROUP BY 1""")
 def framework_signals(spark, sf_dir):
-    found = F.array(*[F.when(F.contains("text", F.lit(sign)), F.lit(name)) for name, sign in sorted(_SIGNALS)])
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_compact(found), ",").alias("frameworks")).filter("frameworks <> ''")
+    found = signals(F.col("text"), {name: [sign] for name, sign in _SIGNALS})
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("frameworks")).filter("frameworks <> ''")
 
 
-@query("""
-    WITH t AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS calls FROM pages)
+@query(f"""
+    WITH t AS (SELECT page_id, list_transform({_HREF_SQL}, lambda h: {_VALUE_SQL}) AS calls FROM pages)
     SELECT page_id, len(calls) AS calls, len(list_distinct(calls)) AS distinct_calls, array_to_string(calls[1:5], ' ') AS first_calls FROM t""")
 def regex_extract_calls(spark, sf_dir):
-    calls = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
-    return table(spark, sf_dir, "pages").select("page_id", calls.alias("c")).select("page_id", F.size("c").cast("long").alias("calls"), F.size(F.array_distinct("c")).cast("long").alias("distinct_calls"), F.array_join(F.slice("c", 1, 5), " ").alias("first_calls"))
+    calls = table(spark, sf_dir, "pages").select("page_id", C.href_values(F.col("html")).alias("c"))
+    return calls.select("page_id", F.size("c").cast("long").alias("calls"), F.size(F.array_distinct("c")).cast("long").alias("distinct_calls"), F.array_join(F.slice("c", 1, 5), " ").alias("first_calls"))
 
 
 _PROBE = "small rnig"
@@ -462,16 +471,11 @@ _PROBE = "small rnig"
 @query()
 def fuzzy_suggestions(spark, sf_dir):
     """The five part names most like a mistyped one, by the ratio of matching blocks."""
-
-    @F.pandas_udf("double")
-    def ratio(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: difflib.SequenceMatcher(None, t, _PROBE).ratio())
-
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    return names.withColumn("ratio", ratio("name")).filter("ratio >= 0.6").orderBy(F.desc("ratio"), "name").limit(5)
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("text")).distinct()
+    return resolve.most_alike(names, "text", _PROBE, 0.6, 5).select(F.col("text").alias("name"), F.col("like").alias("ratio"))
 
 
-@query("SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'red widget' THEN 0 ELSE 1 END AS rank FROM part WHERE contains(lower(p_name), 'widget')")
+@query("SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'widget' THEN 0 ELSE 1 END AS rank FROM part WHERE contains(lower(p_name), 'widget')")
 def keyword_search(spark, sf_dir):
-    hits = table(spark, sf_dir, "part").filter(F.contains(F.lower("p_name"), F.lit("widget")))
-    return hits.select("p_partkey", "p_name", F.when(F.lower("p_name") == "red widget", 0).otherwise(1).alias("rank"))
+    hits = resolve.with_keyword(table(spark, sf_dir, "part"), "p_name", "widget")
+    return hits.select("p_partkey", "p_name", "rank")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Texts that tell a framework, for Python files and for scripts.
 PYTHON = {
     "django": ("from django", "import django"),
@@ -37,6 +43,12 @@ def frameworks_of(path: str, text: str) -> list[str]:
     return sorted(found)
 
 
+def signals(text: Column, rules: Mapping[str, Sequence[str]]) -> Column:
+    """The names, in order, of the rules of which a text holds one of the signs: frameworks_of() as a column."""
+    holds = lambda signs: reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in signs])
+    return F.array_compact(F.array(*[F.when(holds(signs), F.lit(name)) for name, signs in sorted(rules.items())]))
+
+
 def of_route(var: str | None, url: str, methods: list[str], frameworks: list[str]) -> str:
     """The framework that a Python route most likely belongs to."""
     if not var and not url:

@@ -13,9 +13,10 @@ import re
 from dataclasses import dataclass, field
 
 from loomgraph.sources.frameworks import frameworks_of, of_route
-from loomgraph.sources.script_facts import script_facts
+from loomgraph.sources.script_facts import PREVIEW, anonymous, script_facts, shown_return
 
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
+WRAPPED_BY = ("middleware", "before_request", "after_request")
 RELATIONS = ("ForeignKey", "OneToOneField", "ManyToManyField")
 
 
@@ -70,22 +71,24 @@ class Extractor:
         self._bind(self.tree.body, self.module)
         self._visit(self.tree.body, self.module, None)
         self.mounts: list[dict] = []
+        self.middleware: list[dict] = []
         for statement in self.tree.body:
             self._url_patterns(statement)
         self._mounts()
+        self._middleware()
         self._calls_of(self.tree, self.module, None, [s for s in self.tree.body if not isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))])
 
     # names
 
     def _own(self, body, kinds):
         """Nodes of a scope in source order, without the bodies of definitions within it."""
-        queue = list(body)
-        while queue:
-            node = queue.pop(0)
+        stack = list(body)[::-1]
+        while stack:
+            node = stack.pop()
             if isinstance(node, kinds):
                 yield node
             if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
-                queue[:0] = list(ast.iter_child_nodes(node))
+                stack += list(ast.iter_child_nodes(node))[::-1]
 
     def _set(self, scope: Scope, name: str, value: object) -> None:
         """Binds a name; a second, different binding leaves its meaning open, unless both are imports."""
@@ -283,7 +286,8 @@ class Extractor:
         decorators = [d for d in (dotted(x.func if isinstance(x, ast.Call) else x) for x in node.decorator_list) if d]
         return {
             "qualified": qualified, "name": node.name, "kind": kind, "parent": scope.qualified or None, "start": start, "end": node.end_lineno, "signature": signature,
-            "docstring": next((x.strip() for x in doc.splitlines() if x.strip()), None), "decorators": decorators, "base_classes": [], "calls": [],
+            "docstring": next((x.strip() for x in doc.splitlines() if x.strip()), None), "decorators": decorators, "base_classes": [], "calls": [], "returns": [],
+            "preview": "\n".join(self.lines[start - 1 : node.end_lineno])[:PREVIEW],
             "is_async": False, "is_generator": False, "is_exported": not node.name.startswith("_") or (node.name.startswith("__") and node.name.endswith("__")), "param_count": None,
         }
 
@@ -335,6 +339,7 @@ class Extractor:
         fact["param_count"] = len([n for n in names if n not in ("self", "cls")]) + stars
         fact["is_async"] = isinstance(node, ast.AsyncFunctionDef)
         fact["is_generator"] = any(True for _ in self._own(node.body, (ast.Yield, ast.YieldFrom)))
+        fact["returns"] = list(dict.fromkeys(shown_return(self._source(r)) for r in self._own(node.body, ast.Return)))
         self.definitions.append(fact)
         self._parameters(node, own, cls)
         parameters = dict(own.names)
@@ -360,16 +365,46 @@ class Extractor:
             fact["calls"] = seen
 
     def _in_order(self, body):
-        queue = list(body)
-        while queue:
-            node = queue.pop(0)
+        stack = list(body)[::-1]
+        while stack:
+            node = stack.pop()
             if isinstance(node, ast.Call):
                 yield node
             if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                queue[:0] = list(ast.iter_child_nodes(node))
+                stack += list(ast.iter_child_nodes(node))[::-1]
+
+    def _source(self, node) -> str:
+        """The text of a node; columns count bytes."""
+        part = [x.encode() for x in self.lines[node.lineno - 1 : node.end_lineno]]
+        part[-1] = part[-1][: node.end_col_offset]
+        part[0] = part[0][node.col_offset :]
+        return b"\n".join(part).decode("utf-8", "replace")
 
     # routes and imports
 
+    def _middleware(self) -> None:
+        """Functions around requests: registered by a call, by a decorator, or named in a list of settings."""
+        add = lambda name, var, kind, line: self.middleware.append({"name": name, "var": var, "kind": kind, "line": line})
+        used = {id(s.value) for s in ast.walk(self.tree) if isinstance(s, (ast.Assign, ast.AnnAssign, ast.AugAssign))}
+        for node in ast.walk(self.tree):
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                for d in node.decorator_list:
+                    used.add(id(d))
+                    name = dotted(d.func) if isinstance(d, ast.Call) else None
+                    if name and name.count(".") == 1 and name.split(".")[1].lower() in WRAPPED_BY:
+                        add(node.name, name.split(".")[0], "decorator", min(x.lineno for x in node.decorator_list))
+            elif isinstance(node, ast.Call) and id(node) not in used:
+                name = dotted(node.func)
+                if name and name.count(".") == 1 and name.split(".")[1].lower() == "add_middleware":
+                    given = next((a for a in node.args if isinstance(a, (ast.Name, ast.Lambda, ast.Call))), None)
+                    handler = given.id if isinstance(given, ast.Name) else dotted(given.func) if isinstance(given, ast.Call) else anonymous("middleware", self.file, given.lineno) if given else None
+                    if handler:
+                        add(handler, name.split(".")[0], "call", node.lineno)
+            elif isinstance(node, ast.Assign) and isinstance(node.targets[0], ast.Name) and node.targets[0].id.upper().startswith("MIDDLEWARE") and isinstance(node.value, ast.List):
+                for item in node.value.elts:
+                    if literal(item):
+                        add(literal(item), "MIDDLEWARE", "declarative", item.lineno)
+
     def _routes_of(self, node, qualified: str) -> None:
         for d in node.decorator_list:
             name = dotted(d.func) if isinstance(d, ast.Call) else None
@@ -407,7 +442,7 @@ class Extractor:
                     handler = dotted(view.func.value) if isinstance(view, ast.Call) and isinstance(view.func, ast.Attribute) and view.func.attr == "as_view" else dotted(view)
                 self.routes.append({"url": literal(call.args[0]) or "/", "methods": [], "handler": handler, "line": call.lineno, "kind": "pattern", "var": "urlpatterns"})
                 if handler and handler.startswith("include:"):
-                    self.mounts.append({"prefix": literal(call.args[0]) or "/", "module": module_path(handler[8:], 0, self.file), "symbol": "urlpatterns"})
+                    self.mounts.append({"prefix": literal(call.args[0]) or "/", "module": module_path(handler[8:], 0, self.file), "symbol": "urlpatterns", "parent": "urlpatterns"})
 
     def _mounts(self) -> None:
         """Routers that are mounted under a prefix: by a call on an application or another router."""
@@ -419,9 +454,9 @@ class Extractor:
                 continue
             ref = self._module_symbol(got[0][1], name) if got and isinstance(got[0], tuple) and got[0][0] == "import" else None
             if ref:
-                self.mounts.append({"prefix": prefix, "module": ref[1], "symbol": ref[2]})
+                self.mounts.append({"prefix": prefix, "module": ref[1], "symbol": ref[2], "parent": dotted(call.func.value)})
             elif "." not in name:
-                self.mounts.append({"prefix": prefix, "module": None, "symbol": name})
+                self.mounts.append({"prefix": prefix, "module": None, "symbol": name, "parent": dotted(call.func.value)})
 
     def import_facts(self) -> list[dict]:
         out = []
@@ -449,20 +484,20 @@ def outline(source: str) -> list[dict]:
         end = next((j for j in range(i + 1, len(lines)) if lines[j].strip() and len(lines[j].expandtabs()) - len(lines[j].expandtabs().lstrip()) <= depth), len(lines))
         while end > i + 1 and not lines[end - 1].strip():
             end -= 1
-        out.append({"qualified": qualified, "name": m[3], "kind": "Class" if m[2] == "class" else "Function", "parent": qualified.rpartition(".")[0] or None, "start": i + 1, "end": end, "signature": line.strip().rstrip(" :"), "docstring": None, "decorators": [], "base_classes": [], "calls": [], "is_async": m[2].startswith("async"), "is_generator": False, "is_exported": not m[3].startswith("_"), "param_count": None})
+        out.append({"qualified": qualified, "name": m[3], "kind": "Class" if m[2] == "class" else "Function", "parent": qualified.rpartition(".")[0] or None, "start": i + 1, "end": end, "signature": line.strip().rstrip(" :"), "docstring": None, "decorators": [], "base_classes": [], "calls": [], "returns": [], "preview": "\n".join(lines[i:end])[:PREVIEW], "is_async": m[2].startswith("async"), "is_generator": False, "is_exported": not m[3].startswith("_"), "param_count": None})
         stack.append((depth, m[3]))
     return out
 
 
 def facts_of(path: str, content: bytes) -> dict:
     """All facts of one file; for files that hold no code only its lines. error tells what went wrong."""
-    empty = {"path": path, "lines": 0, "error": None, "definitions": [], "imports": [], "references": [], "base_refs": [], "routes": [], "relations": [], "exports": [], "http": [], "mounts": [], "frameworks": []}
+    empty = {"path": path, "lines": 0, "error": None, "definitions": [], "imports": [], "references": [], "base_refs": [], "routes": [], "relations": [], "exports": [], "http": [], "mounts": [], "frameworks": [], "middleware": []}
     if path.endswith((".js", ".jsx", ".ts", ".tsx")):
         try:
             text = content.decode("utf-8")
         except UnicodeDecodeError as e:
             return empty | {"error": f"not UTF-8: {e.reason}"}
-        return empty | {"lines": text.count("\n") + bool(text and not text.endswith("\n"))} | {"frameworks": frameworks_of(path, text)} | script_facts(path, text)
+        return empty | {"lines": text.count("\n") + bool(text and not text.endswith("\n"))} | {"frameworks": frameworks_of(path, text)} | script_facts(path, text, frameworks_of(path, text))
     if not path.endswith(".py"):
         text = content.decode("utf-8", "ignore")
         return empty | {"lines": text.count("\n") + bool(text and not text.endswith("\n"))}
@@ -476,4 +511,4 @@ def facts_of(path: str, content: bytes) -> dict:
         x = Extractor(text, path)
     except (SyntaxError, ValueError, RecursionError) as e:
         return empty | {"error": f"{type(e).__name__}: {e}", "definitions": outline(text)}
-    return empty | {"definitions": x.definitions, "imports": x.import_facts(), "references": x.references, "base_refs": x.base_refs, "routes": [r | {"framework": of_route(r["var"], r["url"], r["methods"], empty["frameworks"])} for r in x.routes], "relations": x.relations, "mounts": x.mounts}
+    return empty | {"definitions": x.definitions, "imports": x.import_facts(), "references": x.references, "base_refs": x.base_refs, "routes": [r | {"framework": of_route(r["var"], r["url"], r["methods"], empty["frameworks"])} for r in x.routes], "relations": x.relations, "mounts": x.mounts, "middleware": x.middleware}

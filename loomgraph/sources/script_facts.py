@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import posixpath
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from loomgraph.sources.frameworks import of_route
+
 TOKEN = re.compile(
     r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)
     |(?P<word>[^\W\d][\w$]*|[$#@][\w$]*)
@@ -27,9 +30,28 @@ KEYWORDS = frozenset(
 )
 WRAPPERS = ("memo", "forwardRef", "observer", "useCallback")
 MODIFIERS = frozenset("public private protected readonly static override abstract async declare accessor get set".split())
+HTTP_MARKS = ("Get", "Post", "Put", "Delete", "Patch", "Head", "Options")
+#: Parts of the names of functions that send requests.
+SENDERS = ("api", "fetch", "request", "http")
+HTTP_NAMES = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
+BUILDER = re.compile(r"get\w*(?:[Uu]rl|[Pp]ath)")
+PREVIEW = 150  # characters of a definition's own text that are kept
+PRUNED = "return <JSX.Element /> (pruned)"
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options", "all")
 
 
+def shown_return(text: str) -> str:
+    """A return statement in one line; long ones are cut, and long ones with markup become a mark."""
+    text = " ".join(text.split())
+    return text if len(text) <= 120 else PRUNED if "<" in text and ">" in text else text[:117] + "..."
+
+
+def anonymous(kind: str, file: str, line: int) -> str:
+    """The name of an unnamed function in a file's last path component."""
+    stem = file.rpartition("/")[2].replace(".", "_")
+    return f"__anon__{kind}__{stem}__L{line}"
+
+
 @dataclass
 class Token:
     kind: str
@@ -102,12 +124,16 @@ class Scope:
     names: dict[str, object] = field(default_factory=dict)
     attributes: dict[str, object] = field(default_factory=dict)
     lexical: bool = True  # whether `this` is that of the scope around it
+    controller: str = ""  # the URL prefix of a class's routes
 
 
 class Reader:
     def __init__(self, text: str, file: str):
-        self.file, self.t = file, tokens(text)
+        self.file, self.t, self.raw = file, tokens(text), text
         self.n = len(self.t)
+        self.starts = [0]
+        for line in text.split("\n"):
+            self.starts.append(self.starts[-1] + len(line) + 1)
         self.close: dict[int, int] = {}
         stack: list[int] = []
         for i, t in enumerate(self.t):
@@ -121,13 +147,14 @@ class Reader:
         self.close |= {i: self.n for i in stack}
         self.definitions, self.imports, self.references, self.base_refs = [], [], [], []
         self.exports: list[dict] = []
-        self.routes, self.http = [], []
+        self.routes, self.http, self.mounts, self.middleware = [], [], [], []
         self.module = Scope("module", "", None)
         self.later: list = []
         self._statements(0, self.n, self.module, "")
+        self._web()
         while self.later:  # bodies are read when all names of the scopes around them are known
             self.later.pop(0)()
-        self._web()
+        self._pages()
         exported = {e["local"] for e in self.exports if e["kind"] == "local"}
         for d in self.definitions:
             d["is_exported"] = d["qualified"] in exported
@@ -145,6 +172,23 @@ class Reader:
             return self.t[i].text[1:-1]
         return self.t[i].text if i < self.n and self.t[i].kind == "template" else None
 
+    def source(self, i: int, j: int) -> str:
+        """The text of the tokens from i up to j, as it stands in the file."""
+        at = lambda k: self.starts[self.t[k].line - 1] + self.t[k].column if k < self.n else len(self.raw)
+        return self.raw[at(i) : at(j)].rstrip() if i < self.n else ""
+
+    def marks(self, i: int) -> tuple[list[tuple[str, str | None]], int]:
+        """Decorators from i on, with their names and first text, and where they end."""
+        out = []
+        while (self.word(i) or "").startswith("@"):
+            name, k = self.t[i].text[1:], i + 1
+            while self.is_(k, ".") and self.word(k + 1):
+                name, k = f"{name}.{self.word(k + 1)}", k + 2
+            text = self.string(k + 1) if self.is_(k, "(") else None
+            out.append((name, text))
+            i = self.after(k) if self.is_(k, "(") else k
+        return out, i
+
     def after(self, i: int) -> int:
         return self.close.get(i, i) + 1
 
@@ -243,8 +287,12 @@ class Reader:
 
     def _statements(self, i: int, j: int, scope: Scope, prefix: str) -> None:
         exported = default = False
+        marks: list = []
         while i < j:
             start, w = i, self.word(i)
+            if w and w[0] == "@":
+                marks, i = self.marks(i)
+                continue
             if w == "import" and scope.kind == "module":
                 i = self._import(i)
             elif w == "export" and scope.kind == "module" and not self.is_(i + 1, "="):
@@ -259,7 +307,7 @@ class Reader:
             elif w == "function" or w == "async" and self.is_(i + 1, "function"):
                 i = self._declared_function(i, scope, prefix, exported, default)
             elif w == "class":
-                i = self._class(i, scope, prefix, exported, default)
+                i = self._class(i, scope, prefix, exported, default, marks)
             elif w in ("namespace", "module") and self.word(i + 1) and self.is_(i + 2, "{"):
                 self._statements(i + 3, self.close.get(i + 2, j), scope, prefix + self.word(i + 1) + ".")
                 i = self.after(i + 2)
@@ -276,7 +324,7 @@ class Reader:
                 i = self.after(i)
             else:
                 i = self.after(i) if i in self.close else i + 1
-            exported = default = False
+            exported, default, marks = False, False, []
             i = max(i, start + 1)
 
     def _skip(self, i: int, j: int) -> int:
@@ -445,7 +493,7 @@ class Reader:
     # definitions
 
     def _fact(self, name: str, qualified: str, kind: str, parent: str | None, i: int, j: int) -> dict:
-        out = {"qualified": qualified, "name": name, "kind": kind, "parent": parent or None, "start": self.t[i].line, "end": self.t[min(max(j, i), self.n - 1)].line, "signature": None, "docstring": None, "decorators": [], "base_classes": [], "calls": [], "is_async": False, "is_generator": False, "is_exported": False, "param_count": None}
+        out = {"qualified": qualified, "name": name, "kind": kind, "parent": parent or None, "start": self.t[i].line, "end": self.t[min(max(j, i), self.n - 1)].line, "signature": None, "docstring": None, "decorators": [], "base_classes": [], "calls": [], "returns": [], "preview": self.source(i, j + 1)[:PREVIEW], "is_async": False, "is_generator": False, "is_exported": False, "param_count": None}
         self.definitions.append(out)
         return out
 
@@ -487,7 +535,7 @@ class Reader:
             self._add_export("default" if default else name, "local", local=qualified)
         return found[3] + 1
 
-    def _class(self, i: int, scope: Scope, prefix: str, exported: bool, default: bool) -> int:
+    def _class(self, i: int, scope: Scope, prefix: str, exported: bool, default: bool, marks: list) -> int:
         name = self.word(i + 1) if self.word(i + 1) not in ("extends", "implements", None) else f"anonymous_L{self.t[i].line}"
         body = i + 1
         while body < self.n and not self.is_(body, "{"):
@@ -495,7 +543,8 @@ class Reader:
         end = self.close.get(body, self.n)
         qualified = f"{scope.qualified}.{name}" if scope.qualified else prefix + name
         fact, own = self._fact(name, qualified, "Class", scope.qualified, i, end), Scope("class", qualified, scope)
-        fact["signature"] = self._text(i, body)
+        fact["signature"], fact["decorators"] = self._text(i, body), [m for m, _ in marks]
+        own.controller = next((text for m, text in marks if m == "Controller" and text), "")
         scope.names[name] = ("class", qualified)
         if exported:
             self._add_export("default" if default else name, "local", local=qualified)
@@ -520,10 +569,7 @@ class Reader:
         found: dict[str, set] = {}
         while i < j:
             start = i
-            while self.is_(i, "@"):
-                i = self.after(i + 2) if self.is_(i + 2, "(") else i + 2
-            while self.word(i) and self.t[i].text.startswith("@"):
-                i = self.after(i + 1) if self.is_(i + 1, "(") else i + 1
+            marks, i = self.marks(i)
             first = i
             while self.word(i) in MODIFIERS and (self.word(i + 1) or self.is_(i + 1, "*", "[")):
                 i += 1
@@ -534,6 +580,11 @@ class Reader:
                 rest = self._function_rest(k, any(self.is_(x, "async") for x in range(first, i)))
                 if rest:
                     inner = self._function(name, first, rest, own, f"{own.qualified}.{name}", own)
+                    self.definitions[-1]["decorators"] = [m for m, _ in marks]
+                    for mark, text in marks:
+                        if mark in HTTP_MARKS:
+                            url = "/" + "/".join(filter(None, (own.controller.strip("/"), (text or "").strip("/"))))
+                            self._route(url, [mark.upper()], name, self.t[first].line, "decorator", "")
                     self._this_types(rest[2], rest[3], inner, found)
                     i = rest[3] + 1
                     continue
@@ -629,10 +680,13 @@ class Reader:
 
     def _calls(self, i: int, j: int, scope: Scope, fact: dict) -> None:
         seen: list[str] = []
+        returns: list[str] = []
 
         def walk(i: int, j: int) -> None:
             while i < j:
                 t = self.t[i]
+                if t.kind == "word" and t.text == "return" and not self.is_(i - 1, ".", "?."):
+                    returns.append(shown_return(self.source(i, self._statement_end(i, j))))
                 if t.kind == "word" and t.text in ("function", "async") or self.is_(i, "(") or t.kind == "word" and self.is_(i + 1, "=>"):
                     found = self.literal(i)
                     if found:
@@ -670,12 +724,22 @@ class Reader:
 
         walk(i, j)
         calls = list(dict.fromkeys(seen))
-        fact["calls"] = calls
+        fact["calls"], fact["returns"] = calls, list(dict.fromkeys(returns))
         for n, call in enumerate(calls):
             ref = self.resolve(call, scope)
             if ref:
                 self.references.append({"caller": fact["qualified"], "call": call, "seq": n, **ref})
 
+    def _statement_end(self, i: int, j: int) -> int:
+        """Where a statement ends: behind its semicolon, or at a line that doesn't go on with it."""
+        k = i + 1
+        while k < j and not self.is_(k, ";"):
+            goes_on = self.t[k - 1].kind == "mark" and self.t[k - 1].text not in (")", "]", "}") or self.t[k].kind == "mark" and self.t[k].text not in ("{", "[", "}")
+            if self.t[k].line > self.t[k - 1].line and not goes_on:
+                return k
+            k = self.after(k) if k in self.close else k + 1
+        return min(k + 1, j) if self.is_(k, ";") else k
+
     def _known(self, i: int, found) -> bool:
         """Whether the literal at i is a definition with a name, read elsewhere."""
         k = i
@@ -691,12 +755,20 @@ class Reader:
 
     # routes and requests
 
+    def _route(self, url: str, methods: list[str], handler: str | None, line: int, kind: str, var: str, framework: str | None = None) -> None:
+        self.routes.append({"url": url, "methods": methods, "handler": handler, "line": line, "kind": kind, "var": var, "framework": framework})
+
     def _web(self) -> None:
-        """Calls like fetch('/x'), axios.post('/x') and app.get('/x', handler), by line.
+        """Calls like fetch('/x'), axios.post('/x'), app.get('/x', handler) and app.use(handler), by line.
 
         With a handler behind the URL it is a route, without one a request; results of routes aren't assigned.
         """
+        builders = {self.t[i].text: url for i in range(self.n) if (url := self._built(i))}
+        clean = lambda url: re.sub(r"^https?://[^/]+", "", re.sub(r"^\$\{\}(?=/)", "", url)).replace("${}", "{id}")
+        jsx = self.file.endswith("x")
         for i in range(self.n):
+            if jsx and self.is_(i, "<") and self.is_(i + 1, "Route"):
+                self._element(i + 2)
             if self.t[i].kind != "word" or self.is_(i - 1, ".", "?.") or self.t[i].text in KEYWORDS and self.t[i].text != "this":
                 continue
             end = self._chain_end(i)
@@ -704,26 +776,142 @@ class Reader:
             at = self._angles(end) if self.is_(end, "<") else end
             if not self.is_(at, "("):
                 continue
-            args, verb = self.parts(at + 1, self.close.get(at, self.n)), name[-1]
-            if not args or not (name == ["fetch"] or name == ["axios"] or len(name) > 1 and verb in VERBS):
-                continue
-            url, method = self.string(args[0][0]), verb.upper() if verb in VERBS else "GET"
-            if name in (["fetch"], ["axios"]):
-                a, b = args[0][0], args[-1][1]
-                keys = {self.word(k): self.string(k + 2) for k in range(a, b) if self.word(k) in ("method", "url") and self.is_(k + 1, ":")}
-                url, method = url or keys.get("url"), (keys.get("method") or method).upper()
-            if not url:
+            close = self.close.get(at, self.n)
+            args, verb, line = self.parts(at + 1, close), name[-1], self.t[i].line
+            assigned = self.is_(i - 1, "=")
+            if jsx and name == ["createBrowserRouter"] and args:
+                self._configured(*args[0], "")
+            if len(name) == 2 and verb == "router" and args and self.is_(args[0][0], "{"):
+                self._procedures(args[0][0])
+            if not args or i and (self.word(i - 1) or "").startswith("@"):
                 continue
-            url = re.sub(r"^https?://[^/]+", "", re.sub(r"^\$\{\}(?=/)", "", url)).replace("${}", "{id}")
-            handlers = [x for x in args[1:] if self.word(x[0]) or self.literal(x[0])]
-            if not url.startswith("/"):
+            first = self.string(args[0][0])
+            if len(name) == 2 and verb in ("use", "add_middleware", "route") and not assigned:
+                self._around(name, args, line)
                 continue
-            if len(name) > 1 and name[0] != "axios" and handlers and not self.is_(i - 1, "=", "await", "return"):
-                last = handlers[-1]
-                handler = None if self.literal(last[0]) else self._text(*last).replace(" ", "")
-                self.routes.append({"url": url, "methods": [] if verb == "all" else [method], "handler": handler, "line": self.t[i].line, "kind": "call", "var": name[0], "framework": "express"})
+            if name == ["fetch"] or name == ["axios"] or len(name) > 1 and verb in VERBS:
+                url, method = first, verb.upper() if verb in VERBS else "GET"
+                if name in (["fetch"], ["axios"]):
+                    keys = self._options(args)
+                    url, method = url or keys.get("url"), (keys.get("method") or method).upper()
+                url = clean(url) if url else ""
+                handlers = [x for x in args[1:] if self.word(x[0]) or self.literal(x[0])]
+                if url.startswith("/") and len(name) > 1 and name[0] != "axios" and handlers and not self.is_(i - 1, "=", "await", "return"):
+                    inline = self.literal(args[1][0])
+                    handler = self._handler(verb, args[1][0], inline) if inline else None if self.literal(handlers[-1][0]) else self._text(*handlers[-1]).replace(" ", "")
+                    self._route(url, [] if verb == "all" else [method], handler, line, "endpoint_call", name[0])
+                    continue
+                if url.startswith("/"):
+                    self.http.append({"url": re.sub(r"\?.*$", "", url), "method": method, "lib": name[0], "line": line})
+                    continue
+            sender = ".".join(name)
+            if any(x in sender.lower() for x in SENDERS) and name[0] not in ("fetch", "axios"):
+                called = self.word(args[0][0]) if self.is_(args[0][0] + 1, "(") else None
+                url = clean(first if first is not None else builders.get(called, ""))
+                if url.startswith("/"):
+                    own = {"del": "DELETE"}.get(verb.lower(), verb.upper() if verb.lower() in ("post", "put", "patch", "delete") else None)
+                    method = own or (self._options(args).get("method") or "GET").upper()
+                    self.http.append({"url": re.sub(r"\?.*$", "", url), "method": method, "lib": sender, "line": line})
+
+    def _options(self, args: list[tuple[int, int]]) -> dict[str, str | None]:
+        return {self.word(k): self.string(k + 2) for k in range(args[0][0], args[-1][1]) if self.word(k) in ("method", "url") and self.is_(k + 1, ":")}
+
+    def _built(self, i: int) -> str | None:
+        """The URL that a function named like getXUrl gives, if it is defined at i."""
+        if not (self.word(i) and BUILDER.fullmatch(self.t[i].text) and self.is_(i - 1, "const") and self.is_(i + 1, "=")):
+            return None
+        found = self.literal(i + 2)
+        return self.string(found[2] + self.is_(found[2], "return")) if found else None
+
+    def _handler(self, verb: str, i: int, found) -> str:
+        """A function without a name behind a route's URL becomes one of the file, with the names of its module."""
+        name = f"handler_{verb}_L{self.t[i].line}"
+        self._function(name, i, found, self.module, name, parent="")
+        return name
+
+    def _around(self, name: list[str], args: list[tuple[int, int]], line: int) -> None:
+        """What an application uses: with a URL in front a mounted router, without one middleware; route('/x') is a route."""
+        texts = [t for a, _ in args if (t := self.string(a)) is not None]
+        if name[1] == "route":
+            if texts and texts[0].startswith("/"):
+                self._route(texts[0], ["GET"], None, line, "endpoint_call", name[0])
+            return
+        if name[1] == "use" and texts and texts[0].startswith("/"):
+            target = self._text(*args[1]).replace(" ", "") if len(args) > 1 and self.word(args[1][0]) else ""
+            got = self.module.names.get(target.split(".")[0])
+            if isinstance(got, tuple) and got[0] == "import" and got[1]:
+                self.mounts.append({"prefix": texts[0], "module": got[1], "symbol": target.split(".")[1] if "." in target else got[2].replace("*", "default"), "parent": name[0]})
+            elif target and "." not in target:
+                self.mounts.append({"prefix": texts[0], "module": None, "symbol": target, "parent": name[0]})
+            return
+        for a, b in args:
+            handler = anonymous("middleware", self.file, self.t[a].line) if self.literal(a) else None
+            if handler is None and self.word(a):
+                end = self._chain_end(a)
+                handler = self.word(a) if end == a + 1 and b == end else self._text(a, end).replace(" ", "") if self.is_(end, "(") else None
+            if handler:
+                self.middleware.append({"name": handler, "var": name[0], "kind": "call", "line": line})
+                return
+
+    def _element(self, i: int) -> None:
+        """A <Route path=... element={<View />}>, from behind its name."""
+        path = view = None
+        while i < self.n and not self.is_(i, ">", "/>", "/"):
+            if self.is_(i + 1, "=") and self.word(i) in ("path", "element"):
+                if self.word(i) == "path":
+                    path = self.string(i + 2 + self.is_(i + 2, "{"))
+                elif self.is_(i + 2, "{") and self.is_(i + 3, "<"):
+                    view = self.word(i + 4)
+                i = self.after(i + 2) if i + 2 in self.close else i + 3
             else:
-                self.http.append({"url": re.sub(r"\?.*$", "", url), "method": method, "lib": name[0], "line": self.t[i].line})
+                i = self.after(i) if i in self.close else i + 1
+        if path:
+            self._route(path if path.startswith("/") else "/" + path, ["GET"], view, self.t[min(i, self.n - 1)].line, "jsx_route", "", "react-router")
+
+    def _configured(self, i: int, j: int, above: str) -> None:
+        """Routes from objects with a path, one level of children included."""
+        for a, _ in self.parts(i + 1, self.close.get(i, j)) if self.is_(i, "[") else ():
+            if not self.is_(a, "{"):
+                continue
+            pairs = {self.word(x): x + 2 for x, _ in self.parts(a + 1, self.close.get(a, j)) if self.word(x) and self.is_(x + 1, ":")}
+            path = self.string(pairs["path"]) if "path" in pairs else None
+            if path is not None:
+                self._route((above + "/" + path).rstrip("/") if above is not None and self.nested else path, ["GET"], None, self.t[a].line, "jsx_route", "", "react-router")
+            if "children" in pairs and not self.nested:
+                self.nested = True
+                self._configured(pairs["children"], j, path or "")
+                self.nested = False
+
+    nested = False
+
+    def _procedures(self, i: int) -> None:
+        """A route for each procedure of a router object: mutations are posted, queries got."""
+        for a, b in self.parts(i + 1, self.close.get(i, self.n)):
+            key = self.word(a) or self.string(a)
+            if key and self.is_(a + 1, ":") and self.is_(b - 1, ")"):
+                text = self._text(a + 2, b).replace(" ", "")
+                self._route("/" + key, ["POST" if ".mutation" in text else "GET"], key, self.t[a].line, "jsx_route", "", "react-router")
+
+    def _pages(self) -> None:
+        """Routes that follow from where a file lies."""
+        path, app, pages = "/" + self.file, ("/" + self.file).find("/app/"), ("/" + self.file).find("/pages/")
+        verbs = [d["name"] for d in self.definitions if d["kind"] == "Function" and d["name"].upper() in HTTP_NAMES]
+        add = lambda url, methods, handler, framework: self._route(url, methods, handler, 1, "file", "", framework)
+        if app >= 0:
+            url = page_url(path[app + 5 :], "page|route|layout|loading|error|not-found")
+            for v in verbs:
+                add(url, [v.upper()], v, "nextjs")
+            if not verbs and "page" in path:
+                add(url, ["GET"], None, "nextjs")
+        elif pages >= 0:
+            url = page_url(path[pages + 7 :], "index")
+            default = any(e["exported"] == "default" for e in self.exports) or any(d["name"] == "handler" and d["qualified"] in {e["local"] for e in self.exports} for d in self.definitions)
+            for v in verbs:
+                add(url, [v.upper()], v, "nextjs")
+            if default:
+                add(url, ["GET", "POST", "PUT", "DELETE", "PATCH"], "handler", "nextjs")
+            if not verbs and not default:
+                add(url, ["GET"], None, "nuxt")
 
     # references
 
@@ -783,6 +971,15 @@ class Reader:
         return make("member", ref, parts[1]) if ref and len(parts) == 2 else None
 
 
-def script_facts(path: str, text: str) -> dict:
+def page_url(path: str, dropped: str) -> str:
+    """The URL of a file in a folder of pages: [x] is a parameter, (x) a group without a name of its own."""
+    p = re.sub(r"\[([^\]]+)\]", r":\1", re.sub(r"/\([^/]+\)", "", re.sub(r"\.[^/.]+$", "", path)))
+    return "/" + re.sub(rf"/?(?:{dropped})(?:$|(?=/))", "", p).strip("/")
+
+
+def script_facts(path: str, text: str, frameworks: Sequence[str] = ()) -> dict:
     r = Reader(text, path)
-    return {"definitions": r.definitions, "imports": r.imports, "references": r.references, "base_refs": r.base_refs, "exports": r.exports, "routes": r.routes, "http": r.http}
+    for route in r.routes:
+        if route["framework"] is None:
+            route["framework"] = of_route(route["var"], route["url"], route["methods"], frameworks)
+    return {"mounts": r.mounts, "middleware": r.middleware, "definitions": r.definitions, "imports": r.imports, "references": r.references, "base_refs": r.base_refs, "exports": r.exports, "routes": r.routes, "http": r.http}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where that is unset on a single machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints")
     return folder.rstrip("/")
