@@ -4,10 +4,12 @@ A document's set of word shingles gives a signature of chunks x slots values of
 pigeonhole principle two signatures that differ in fewer than chunks x (errors + 1) slots have a chunk
 with at most `errors` differing slots; enumerating which slots those are gives the keys under which such
 signatures certainly meet. Documents with equal sets are one node. Under each key the nodes are paired
-with the key's smallest node only, in rows that grow with the nodes and not with their pairs. What such pairs connect
-is a candidate part; any two nodes that share a key are in one. Parts are gone through block by block: of
-the pairs with close signatures those are confirmed on full sets that join what isn't joined yet, so a
-block gives fewer links than it has nodes, however many pairs are similar.
+with the key's smallest node first, in rows that grow with the nodes and not with their pairs; pairs with
+close signatures are confirmed on full sets. Keys whose nodes are all joined by that have nothing left to
+find. What the other keys connect is a candidate part; any two nodes that share a key and aren't joined
+are in one. Parts are gone through block by block: of the pairs with close signatures those are confirmed
+that join what isn't joined yet, so a block gives fewer links than it has nodes, however many pairs are
+similar.
 """
 
 from __future__ import annotations
@@ -32,9 +34,10 @@ class Settings:
 
     chunks, slots and errors shape the index: a link of exactly 80 percent is missed with a probability
     of about 1e-7. far: signatures that differ in more slots aren't compared on full sets; a link has
-    so many with a probability of about 1e-8. block bounds the nodes of one part in one comparison, which
-    takes two blocks; a part of n nodes is dealt out n / block times.
-    few: the largest number of ids that is broadcast to fetch texts; beyond it texts are joined.
+    so many with a probability of about 1e-8. block and block_bytes bound the nodes of one part, and the
+    bytes of their sets, in one comparison, which takes two blocks; a part of n nodes is dealt out
+    n / block times. few: the largest number of ids that is broadcast to fetch texts; beyond it texts
+    are joined.
     """
 
     words: int = 5
@@ -44,6 +47,7 @@ class Settings:
     errors: int = 1
     far: int = 30
     block: int = 512
+    block_bytes: int = 32_000_000
     few: int = 1_000_000
 
 
@@ -110,8 +114,17 @@ def index_keys(sig: np.ndarray, s: Settings) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
+def raw_of(text: str):
+    return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+
+
+def mark_of(text: str):
+    """128 bits of hash that tell apart the texts of rows that repeat an id."""
+    return F.unhex(F.md5(raw_of(text)))
+
+
 def _signed(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and signature of each row."""
+    """doc_id, mark (the text's hash), n_shingles, digest of the set and signature of each row."""
 
     def run(batches):
         hashes = _Hashes()
@@ -121,23 +134,24 @@ def _signed(docs: DataFrame, s: Settings) -> DataFrame:
                 n = held = 0
                 sets = []
                 while at + n < whole.num_rows and n < 1000 and held < 4_000_000:
-                    raw = whole.column(1)[at + n].as_py() or b""
+                    raw = whole.column(2)[at + n].as_py() or b""
                     sets.append(shingle_set(raw, s.words, hashes))
                     held, n = held + len(raw), n + 1
                 full = [i for i, x in enumerate(sets) if len(x)]
                 sig = dict(zip(full, signatures([sets[i] for i in full], s.chunks * s.slots)))
                 cols = (
                     whole.column(0).slice(at, n),
+                    whole.column(1).slice(at, n),
                     pa.array(map(len, sets), pa.int64()),
                     pa.array((xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets), pa.binary()),
                     pa.array((sig[i].tobytes() if i in sig else None for i in range(n)), pa.binary()),
                 )
                 at += n
-                yield pa.RecordBatch.from_arrays(list(cols), ["doc_id", "n_shingles", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays(list(cols), ["doc_id", "mark", "n_shingles", "digest", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sig binary")
+    rows = docs.select("doc_id", mark_of("text").alias("mark"), raw_of("text").alias("raw"))
+    return rows.mapInArrow(run, f"doc_id {kind}, mark binary, n_shingles long, digest binary, sig binary")
 
 
 def _keyed(nodes: DataFrame, s: Settings) -> DataFrame:
@@ -150,38 +164,100 @@ def _keyed(nodes: DataFrame, s: Settings) -> DataFrame:
                 each = np.repeat(np.arange(batch.num_rows), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), batch.column(0).take(pa.array(each))], ["key", "node"])
 
-    kind = nodes.schema["node"].dataType.simpleString()
-    return nodes.select("node", "sig").mapInArrow(run, f"key long, node {kind}")
+    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, few: int) -> DataFrame:
-    """doc_id and raw (UTF-8) of the documents in ids (distinct and written, column `node`).
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """node and set (its sorted hashes) of the nodes in wanted (distinct and written).
 
-    Up to `few` ids are broadcast and nothing else moves; more are met by a shuffle of both sides.
+    Up to `few` ids are broadcast and only their texts move; more are met by a shuffle of both sides.
     """
-    wanted = ids.select(F.col("node").alias("__id"))
-    wanted = F.broadcast(wanted) if ids.count() <= few else wanted
-    rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("raw"))
-    return rows.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
 
+    def run(batches):
+        hashes = _Hashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                found = [shingle_set(raw.as_py() or b"", s.words, hashes).tobytes() for raw in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "set"])
+
+    own = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    own = F.broadcast(own) if wanted.count() <= s.few else own
+    rows = docs.select("doc_id", mark_of("text").alias("mark"), raw_of("text").alias("raw"))
+    rows = rows.join(own, (F.col("doc_id") == F.col("__id")) & (F.col("mark") == F.col("__mark"))).select("node", "raw")
+    return rows.dropDuplicates(["node"]).mapInArrow(run, "node long, set binary")
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in at most s.far slots."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((x != y).sum(axis=1) <= s.far))
+
+    first, second = (nodes.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
+    return pairs.join(second, "b").join(first, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, s: Settings) -> bool:
+    n = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * n >= s.percent * (len(x) + len(y) - n)
+
+
+def _packed(rows: DataFrame, key: str, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """rows (key, node, set) with pack, blocks and own; and the keys (of) with their blocks.
 
-def links_of(sets: list[np.ndarray], sig: np.ndarray, part: np.ndarray, own: np.ndarray | None, s: Settings) -> list[tuple[int, int]]:
+    A key with too many nodes or bytes for a block is a pack of its own and has several blocks, of which
+    own is the node's; small ones are packed together.
+    """
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("set")), F.lit(0)).alias("bytes")).first()
+    packs = max(1, total["n"] // s.block, total["bytes"] // s.block_bytes)
+    sizes = rows.groupBy(F.col(key).alias("of")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("set")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(s.block)), F.ceil(F.col("bytes") / F.lit(s.block_bytes))).cast("int")
+    pack = F.when(F.col("blocks") > 1, F.xxhash64("of", F.lit(2))).otherwise(F.pmod(F.xxhash64("of", F.lit(3)), F.lit(packs)))
+    sizes = sizes.select("of", blocks.alias("blocks")).withColumn("pack", pack)
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    return rows.join(sizes, F.col(key) == F.col("of")).withColumn("own", own).drop("of"), sizes
+
+
+def _stars(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) that are linked. The set of a goes to each block of its partners."""
+    rows, sizes = _packed(pairs.join(sets, F.col("b") == F.col("node")).select("a", "node", "set"), "a", s)
+    hubs = sizes.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, F.col("of") == F.col("node"))
+    both = rows.select("pack", "own", "a", "node", "set").union(hubs.select("pack", "own", F.col("of"), "node", "set"))
+
+    def compare(t: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for a, own in t.groupby("a"):
+            node, sets = own["node"].tolist(), [np.frombuffer(x, np.uint64) for x in own["set"]]
+            hub = sets[node.index(a)]
+            found += [(a, b) for b, x in zip(node, sets) if b != a and _linked(hub, x, s)]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return both.groupBy("pack", "own").applyInPandas(compare, "a long, b long")
+
+
+def links_of(sets: list[np.ndarray], sig: np.ndarray, part: np.ndarray, own: np.ndarray | None, label: np.ndarray, s: Settings) -> list[tuple[int, int]]:
     """Pairs of rows that join all rows of a part that links among them join; no more than rows.
 
-    The closest signatures come first, and rows that are joined already aren't compared again. Where
-    many comparisons fail, all shared counts are taken at once, as a product of incidence matrices.
-    own: the block of each row, if only pairs across the two count.
+    The closest signatures come first, and rows that are joined already, by equal labels or by a link
+    found here, aren't compared. Where many comparisons fail, all shared counts are taken at once, as a
+    product of incidence matrices. own: the block of each row, if only pairs across the two count.
     """
     n = len(sets)
     far = np.zeros((n, n), np.uint8)
     for column in sig.T:
         far += column[:, None] != column[None, :]
-    ok = np.triu((far <= s.far) & (part[:, None] == part[None, :]), 1)
+    ok = np.triu((far <= s.far) & (part[:, None] == part[None, :]) & (label[:, None] != label[None, :]), 1)
     if own is not None:
         ok &= own[:, None] != own[None, :]
     left, right = np.nonzero(ok)
     order = np.argsort(far[left, right], kind="stable")
-    group, sizes, out, failed, shared = list(range(n)), [len(x) for x in sets], [], 0, None
+    firsts, back = np.unique(label, return_index=True, return_inverse=True)[1:]
+    group, sizes, out, failed, shared = firsts[back].tolist(), [len(x) for x in sets], [], 0, None
 
     def root(x: int) -> int:
         while group[x] != x:
@@ -223,32 +299,57 @@ def shared_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
     return out
 
 
-def confirmed(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) on full sets that join what all links within each candidate part (node, part) join.
+def confirmed(candidates: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) on full sets that join what all links within each part of candidates (node, part, label) join.
 
-    Small parts are packed together; a part larger than a block is split, and each two of its blocks meet.
+    Nodes with equal labels are joined already. Small parts are packed together; a part larger than a
+    block is split, and each two of its blocks meet.
     """
-    sizes = candidates.groupBy(F.col("part").alias("of")).agg(F.count(F.lit(1)).alias("many"))
-    texts = texts_of(docs, candidates.select("node"), s.few)
-    rows = candidates.join(sizes, F.col("part") == F.col("of")).join(nodes, "node").join(texts, F.col("node") == F.col("doc_id"))
-    packs = max(1, candidates.count() // s.block)
-    blocks = F.when(F.col("many") > s.block, F.ceil(F.col("many") / F.lit(s.block))).otherwise(1).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("pack", F.when(F.col("blocks") > 1, F.xxhash64("part", F.lit(2))).otherwise(F.pmod(F.xxhash64("part", F.lit(3)), F.lit(packs))))
-    dealt = rows.select("pack", "node", "part", "sig", "raw", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("pack", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "node", "part", "sig", "raw")
+    rows, _ = _packed(candidates.join(sets, "node").join(nodes.select("node", "sig"), "node"), "part", s)
+    dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("pack", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "node", "part", "label", "sig", "set")
 
     def compare(t: pd.DataFrame) -> pd.DataFrame:
-        hashes = _Hashes()
-        sets = [shingle_set(x or b"", s.words, hashes) for x in t["raw"]]
+        sets = [np.frombuffer(x, np.uint64) for x in t["set"]]
         sig = np.frombuffer(b"".join(t["sig"]), np.uint16).reshape(len(t), -1)
         across = t["own"].to_numpy() if t["x"].iloc[0] != t["y"].iloc[0] else None
         node = t["node"].to_numpy()
-        found = [(node[i], node[j]) for i, j in links_of(sets, sig, t["part"].to_numpy(), across, s)]
-        return pd.DataFrame(found, columns=["a", "b"]).astype(t["node"].dtype)
+        found = [(node[i], node[j]) for i, j in links_of(sets, sig, t["part"].to_numpy(), across, t["label"].to_numpy(), s)]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("pack", "x", "y").applyInPandas(compare, "a long, b long")
 
-    kind = nodes.schema["node"].dataType.simpleString()
-    return dealt.groupBy("pack", "x", "y").applyInPandas(compare, f"a {kind}, b {kind}")
+
+def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id and group of each row of docs.
+
+    group is a number that all rows of a component share and no others; null where nothing can be linked.
+    """
+    signed = written(_signed(docs, s), "near-signed")
+    first = F.min(F.struct("doc_id", "mark")).alias("first")
+    nodes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(first, F.first("sig").alias("sig"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "sig", "first.doc_id", "first.mark"), "near-nodes")
+    keyed = _keyed(nodes, s)
+    firsts = keyed.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    shared = written(keyed.join(firsts, F.col("key") == F.col("of")).select("key", "node", "first"), "near-shared")
+    sets = written(_sets(docs, nodes, written(shared.select("node").distinct(), "near-wanted"), s), "near-sets")
+    pairs = written(_close(shared.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), nodes, s), "near-pairs")
+    links = written(_stars(pairs, sets, s), "near-stars")
+    joined = components(links)
+    labelled = shared.join(joined, "node", "left").select("key", "node", F.coalesce("part", "node").alias("label"))
+    open_ = labelled.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    left = written(labelled.join(open_, F.col("key") == F.col("of")).select("node", "label", "least").distinct(), "near-open")
+    parts = joined
+    if not left.isEmpty():
+        near = components(left.select(F.col("least").alias("a"), F.col("label").alias("b")))
+        candidates = left.select("node", "label").distinct().join(near.withColumnRenamed("node", "label"), "label")
+        more = written(confirmed(written(candidates, "near-candidates"), nodes, sets, s), "near-links")
+        parts = components(links.union(more))
+    least = parts.join(nodes.select("node", "doc_id"), "node").groupBy(F.col("part").alias("of")).agg(F.min("doc_id").alias("least"))
+    named = parts.join(least, F.col("part") == F.col("of")).select("node", "part", "least")
+    of_set = nodes.join(named, "node", "left").select(F.col("digest").alias("of"), F.coalesce("least", "doc_id").alias("least"), F.coalesce("part", "node").alias("group"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return signed.join(of_set, F.col("digest") == F.col("of"), "left").select("doc_id", "mark", "n_shingles", own.alias("component_id"), "group")
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -260,24 +361,30 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     smallest doc_id that links lead to, the document's own included; kept tells whether it is its own.
 
     Edge cases: null texts are empty; a row with a null id is linked with nothing, has no component and
-    is kept; repeated rows repeat, and rows that repeat an id with another text share its component; an
-    empty table gives no rows. Ties can't occur: ids decide. Other columns aren't looked at.
+    is kept; repeated rows repeat; rows that repeat an id with another text are documents of their own,
+    each with the component of its own text; an empty table gives no rows. Ties can't occur: ids decide.
+    Very long texts are compared as a whole. Other columns aren't looked at.
     """
-    signed = written(_signed(docs, s), "near-signed")
-    nodes = written(
-        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "near-nodes"
-    )
-    keyed = _keyed(nodes, s)
-    firsts = keyed.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    stars = keyed.join(firsts, F.col("key") == F.col("of")).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    candidates = written(components(stars), "near-candidates")
-    parts = components(confirmed(candidates, nodes.select("node", "sig"), docs, s))
-    of_set = nodes.select(F.col("digest").alias("of"), "node").join(parts, "node", "left").select("of", F.coalesce("part", "node").alias("part"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id"))
-    return signed.join(of_set, F.col("digest") == F.col("of"), "left").select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return _grouped(docs, s).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs with the document of each group that has the smallest id, all its columns kept."""
-    gone = near_groups(docs, s).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs with the document of each group that has the smallest id, all its columns kept.
+
+    Of rows that repeat that id within a group, the one with the smallest hash of its text stays, and of
+    rows that repeat id and text any one. All rows with a null id or without words stay.
+    """
+    rows = written(_grouped(docs.select("doc_id", "text"), s), "near-grouped")
+    gone = rows.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__of")).distinct()
+    again = rows.filter("doc_id = component_id AND group IS NOT NULL").groupBy("doc_id", "group").agg(F.min("mark").alias("__of"), F.count(F.lit(1)).alias("__n"))
+    again = written(again.filter("__n > 1").drop("__n").withColumnRenamed("doc_id", "__again"), "near-again")
+    marked = docs.withColumn("__mark", mark_of("text"))
+    left = marked.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__mark") == F.col("__of")), "left_anti")
+    if not again.isEmpty():
+        members = rows.join(again, (F.col("doc_id") == F.col("__again")) & rows["group"].eqNullSafe(again["group"]))
+        members = members.select("__again", F.col("mark").alias("__mark_of"), (F.col("mark") == F.col("__of")).alias("__stays")).distinct()
+        both = left.join(members, (F.col("doc_id") == F.col("__again")) & (F.col("__mark") == F.col("__mark_of")), "left")
+        one = both.filter("__stays").dropDuplicates(["doc_id", "__mark"])
+        left = both.filter("__again IS NULL").union(one)
+    return left.select(*docs.columns)

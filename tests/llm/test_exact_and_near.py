@@ -99,3 +99,26 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
     assert rows(components(spark.createDataFrame([], "a long, b long"))) == []
     assert by_id  # imported for other tests
+
+
+def test_without_copies_keeps_each_text_of_a_repeated_id(spark):
+    docs = [(1, "alpha"), (1, "beta"), (2, "gamma"), (2, "al pha"), (3, "beta"), (None, "delta"), (None, "delta"), (None, "gamma"), (1, "be  ta"), (1, "be  ta")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS __hash", "'y' AS norm", "1 AS id")
+    got = without_copies(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in rows(got)), key=str) == [(1, "be  ta"), (2, "al pha"), (2, "gamma"), (None, "delta")]
+
+
+def test_near_dedup_takes_an_id_with_different_texts(spark):
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = [(2, one + " x"), (5, one), (5, other), (5, one), (7, other + " y"), (8, "alone"), (8, "alone"), (8, "and another"), (9, None), (None, one)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS mark", "2 AS node")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in rows(near_dedup.near_groups(df, near_dedup.Settings(words=2))))
+    assert got == [(0, 0, True), (2, 2, True), (5, 2, False), (5, 2, False), (5, 5, True), (7, 5, False), (8, 8, True), (8, 8, True), (8, 8, True), (9, 9, True)]
+    left = near_dedup.without_near_copies(df, near_dedup.Settings(words=2))
+    assert left.columns == df.columns
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in rows(left))
+    assert left == [(0, one), (2, one + " x"), (5, other), (8, "alone"), (8, "and another"), (9, "")]
+    twice = spark.createDataFrame([(5, one), (5, one + " x"), (6, one + " y"), (6, "word")], "doc_id long, text string")
+    least = min((one, one + " x"), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert sorted((r["doc_id"], r["text"]) for r in rows(near_dedup.without_near_copies(twice))) == [(5, least), (6, "word")]
