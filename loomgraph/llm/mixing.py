@@ -15,6 +15,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import written
+
 LEAF = ("domain", "lang", "source")
 
 
@@ -23,8 +25,8 @@ class Settings:
     """weights: by path in the tree, ('web',), ('web', 'en') or ('web', 'en', 'src0'); others have weight 1.
 
     budget: tokens to draw, or share: of all tokens. epochs: how often a document may be drawn at most.
-    buckets: parts, a power of two, into which a leaf is split to add up its tokens. most_leaves: the
-    tree is a matter of configuration and is held by the driver; more leaves are an error.
+    buckets: parts, a power of two, into which a leaf is split to add up its tokens. few_leaves: so many
+    leaves are broadcast to the documents at most; with more, documents are met by a shuffle.
     """
 
     weights: Mapping[tuple[str, ...], float] = field(default_factory=dict)
@@ -33,7 +35,7 @@ class Settings:
     epochs: int = 4
     seed: int = 17
     buckets: int = 4096
-    most_leaves: int = 100_000
+    few_leaves: int = 100_000
 
 
 def filled(amount: Fraction, room: dict, weight: dict) -> dict:
@@ -54,7 +56,10 @@ def filled(amount: Fraction, room: dict, weight: dict) -> dict:
 
 
 def budgets(tokens: Mapping[tuple[str, ...], int], s: Settings) -> dict[tuple[str, ...], int]:
-    """The tokens that each leaf is to give, rounded down. A weight of 0 takes a branch out."""
+    """The tokens that each leaf is to give, rounded down. A weight of 0 takes a branch out.
+
+    The plain form of leaf_budgets(), in exact fractions, for a tree that fits in memory.
+    """
     room = {leaf: Fraction(n * s.epochs) for leaf, n in tokens.items()}
     usable: dict[tuple[str, ...], Fraction] = {}
     children: dict[tuple[str, ...], set] = {}
@@ -94,48 +99,144 @@ def _order(s: Settings, epoch):
     return F.xxhash64(F.lit(s.seed), epoch, F.col("doc_id"))
 
 
-def draws(docs: DataFrame, s: Settings, domain, tokens=None) -> DataFrame:
-    """docs with the columns __domain, __lang, __source, __tokens and __draws: how often each row is taken.
+def _weighted(rows: DataFrame, names: list[str], s: Settings) -> DataFrame:
+    """rows with the weight of each path (names); the table of weights is as large as the settings."""
+    own = [(*path, float(w)) for path, w in s.weights.items() if len(path) == len(names)]
+    if not own:
+        return rows.withColumn("weight", F.lit(1.0))
+    given = rows.sparkSession.createDataFrame(own, ", ".join([*(f"{n} string" for n in names), "given double"]))
+    return rows.join(F.broadcast(given), names, "left").withColumn("weight", F.coalesce("given", F.lit(1.0))).drop("given")
 
-    domain: a column expression over docs. Within an epoch a leaf's documents come in the order of a
-    hash of seed, epoch and id, then of the id; a document belongs to the prefix if the tokens up to its
-    end fit in what is left.
+
+def _split(parents: DataFrame, children: DataFrame, by: list[str]) -> DataFrame:
+    """children (by, room, weight) with amount: their parents' amounts (by, amount) by weight, none above its room.
+
+    Children are full up to some ratio of room to weight, and the others share what is left by weight.
+    That ratio follows from running sums over the different pairs of room and weight, so equal children
+    count as one row.
+    """
+    kinds = children.filter("room > 0 AND weight > 0").groupBy(*by, "room", "weight").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.select(*by, (F.col("room") / F.col("weight")).alias("ratio"), (F.col("n") * F.col("room")).alias("rooms"), (F.col("n") * F.col("weight")).alias("weights"))
+    kinds = kinds.groupBy(*by, "ratio").agg(F.sum("rooms").alias("rooms"), F.sum("weights").alias("weights"))
+    upto = Window.partitionBy(*by).orderBy("ratio").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*by).orderBy(F.desc("ratio")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = kinds.select(*by, "ratio", "weights", F.sum("rooms").over(upto).alias("rooms"), F.coalesce(F.sum("weights").over(after), F.lit(0.0)).alias("open"))
+    full = F.col("rooms") + F.col("ratio") * F.col("open") <= F.col("amount")
+    state = sums.join(parents, by).groupBy(*by).agg(
+        F.first("amount").alias("amount"),
+        F.coalesce(F.max(F.when(full, F.col("rooms"))), F.lit(0)).alias("taken"),
+        F.coalesce(F.min(F.when(full, F.col("open"))), F.max(F.col("open") + F.col("weights"))).alias("open"),
+    )
+    level = state.select(*by, F.when(F.col("open") > 0, (F.col("amount") - F.col("taken")) / F.col("open")).alias("level"))
+    part = F.when(F.col("level").isNull(), F.col("room").cast("double")).otherwise(F.least(F.col("room").cast("double"), F.col("level") * F.col("weight")))
+    usable = (F.col("room") > 0) & (F.col("weight") > 0)
+    return children.join(level, by, "left").withColumn("amount", F.when(usable, part).otherwise(0.0)).drop("level")
+
+
+def leaf_budgets(leaves: DataFrame, s: Settings) -> DataFrame:
+    """leaves (the names of the path and n, its tokens) with budget, the tokens that each is to give.
+
+    Budgets are worked out in double precision and rounded down; a millionth of a token is overlooked.
     """
-    spark = docs.sparkSession
+    names = [f"__{x}" for x in LEAF]
+    level = _weighted(leaves.withColumn("room", F.col("n") * F.lit(s.epochs)), names, s)
+    levels = [level]
+    for depth in range(len(names) - 1, 0, -1):
+        room = F.sum(F.when(F.col("weight") > 0, F.col("room")).otherwise(0)).alias("room")
+        levels.insert(0, _weighted(levels[0].groupBy(*names[:depth]).agg(room), names[:depth], s))
+    total = F.lit(float(s.budget)) if s.budget is not None else F.coalesce(F.sum("n"), F.lit(0)) * F.lit(float(s.share))
+    part = leaves.agg(total.alias("amount")).withColumn("__root", F.lit(0))
+    for depth, rows in enumerate(levels):
+        by = ["__root", *names[:depth]]
+        part = _split(part.select(*by, "amount"), rows.withColumn("__root", F.lit(0)), by)
+        if depth + 1 < len(levels):
+            part = written(part.select("__root", *names[: depth + 1], "amount"), "mix-level")
+    return part.select(*names, "n", F.floor(F.col("amount") + F.lit(1e-6)).cast("long").alias("budget"))
+
+
+def _few(rows: DataFrame, s: Settings) -> bool:
+    return rows.limit(s.few_leaves + 1).count() <= s.few_leaves
+
+
+def _leaf(docs: DataFrame, domain) -> dict:
     none = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = docs.withColumns({"__domain": none(domain), "__lang": none(F.col("lang")), "__source": none(F.col("source")), "__tokens": words(F.col("text")) if tokens is None else tokens})
+    return {"__domain": none(domain), "__lang": none(F.col("lang")), "__source": none(F.col("source"))}
+
+
+def _bucket(s: Settings):
+    return F.shiftright("__key", 64 - s.buckets.bit_length() + 1)
+
+
+def _cuts(narrow: DataFrame, s: Settings) -> DataFrame:
+    """For each leaf of narrow (doc_id, leaf, __tokens): __whole epochs, and where the prefix of one more ends.
+
+    The prefix has all buckets below __cut, and of that one the documents up to __last. Only the bucket
+    in which the cut falls is put in order.
+    """
     names = [f"__{x}" for x in LEAF]
-    narrow = rows.select("doc_id", *names, "__tokens")
-    found = narrow.groupBy(*names).agg(F.sum("__tokens").alias("n")).limit(s.most_leaves + 1).collect()
-    if len(found) > s.most_leaves:
-        raise ValueError(f"more than {s.most_leaves} leaves")
-    have = {tuple(r)[:3]: r["n"] for r in found}
-    plan = [(*leaf, n // have[leaf] if have[leaf] else 0, n % have[leaf] if have[leaf] else 0) for leaf, n in budgets(have, s).items()]
-    leaves = F.broadcast(spark.createDataFrame(plan, "__domain string, __lang string, __source string, __whole long, __rest long"))
-    keyed = narrow.join(leaves, names).withColumn("key", _order(s, F.col("__whole"))).withColumn("bucket", F.shiftright("key", 64 - s.buckets.bit_length() + 1))
-    sums = keyed.groupBy(*names, "bucket").agg(F.sum("__tokens").alias("sum"))
-    ahead = sums.select(*names, "bucket", (F.sum("sum").over(Window.partitionBy(*names).orderBy("bucket")) - F.col("sum")).alias("ahead"), "sum")
-    cut = keyed.join(ahead, [*names, "bucket"]).filter("ahead <= __rest")
-    upto = F.sum("__tokens").over(Window.partitionBy(*names, "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    last = cut.withColumn("upto", F.col("ahead") + upto).filter("upto <= __rest").groupBy(*names).agg(F.max(F.struct("key", F.col("doc_id").isNotNull(), "doc_id")).alias("__last"))
-    both = spark.createDataFrame(plan, leaves.schema).join(last, names, "left")
-    own = F.struct(_order(s, F.col("__whole")).alias("key"), F.col("doc_id").isNotNull(), F.col("doc_id"))
-    taken = F.col("__whole") + F.coalesce(own <= F.col("__last"), F.lit(False)).cast("long")
-    return rows.join(F.broadcast(both), names).withColumn("__draws", taken).drop("__whole", "__rest", "__last")
+    plan = leaf_budgets(written(narrow.groupBy(*names).agg(F.sum("__tokens").alias("n")), "mix-leaves"), s)
+    some = F.col("n") > 0
+    leaves = plan.select(*names, F.when(some, F.expr("budget div n")).otherwise(0).alias("__whole"), F.when(some, F.col("budget") % F.col("n")).otherwise(0).alias("__rest"))
+    leaves = written(leaves, "mix-budgets")
+    near = F.broadcast(leaves) if _few(leaves, s) else leaves
+    keyed = narrow.join(near, names).withColumn("__key", _order(s, F.col("__whole"))).withColumn("__bucket", _bucket(s))
+    sums = keyed.groupBy(*names, "__bucket").agg(F.sum("__tokens").alias("sum"), F.first("__rest").alias("__rest"))
+    ahead = sums.withColumn("ahead", F.sum("sum").over(Window.partitionBy(*names).orderBy("__bucket")) - F.col("sum"))
+    cut = written(ahead.filter("ahead <= __rest AND __rest < ahead + sum").select(*names, "__bucket", "ahead"), "mix-cuts")
+    inside = keyed.join(F.broadcast(cut) if _few(cut, s) else cut, [*names, "__bucket"])
+    upto = F.sum("__tokens").over(Window.partitionBy(*names).orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    last = inside.withColumn("upto", F.col("ahead") + upto).filter("upto <= __rest").groupBy(*names).agg(F.max(F.struct("__key", F.col("doc_id").isNotNull(), "doc_id")).alias("__last"))
+    cut = cut.select(*names, F.col("__bucket").alias("__cut"))
+    return written(leaves.drop("__rest").join(cut, names, "left").join(last, names, "left"), "mix-ends")
+
+
+def _drawn(rows: DataFrame, ends: DataFrame, s: Settings) -> DataFrame:
+    """rows with __draws; ends are small or met by a shuffle."""
+    own = F.struct(F.col("__key"), F.col("doc_id").isNotNull(), F.col("doc_id"))
+    inside = (F.col("__bucket") < F.col("__cut")) | ((F.col("__bucket") == F.col("__cut")) & (own <= F.col("__last")))
+    both = rows.join(ends, [f"__{x}" for x in LEAF]).withColumn("__key", _order(s, F.col("__whole"))).withColumn("__bucket", _bucket(s))
+    return both.withColumn("__draws", F.col("__whole") + F.coalesce(inside, F.lit(False)).cast("long")).drop("__key", "__bucket", *ends.columns[len(LEAF) :])
+
+
+def _counted(docs: DataFrame, domain) -> DataFrame:
+    rows = docs.withColumns(_leaf(docs, domain) | {"__tokens": words(F.col("text"))})
+    return written(rows.select("doc_id", *(f"__{x}" for x in LEAF), "__tokens"), "mix-counts")
 
 
 def mixture(docs: DataFrame, s: Settings, domain) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens and draws for each row of docs; draws is 0 for rows left out.
 
+    domain: a column expression over docs. Within an epoch a leaf's documents come in the order of a
+    hash of seed, epoch and id, then of the id; a document belongs to the prefix if the tokens up to its
+    end fit in what is left.
+
     Edge cases: a null domain, language or source is the leaf's name ''; null and empty texts have 0
     tokens, and a leaf without tokens gives nothing; null ids come first in the order of the same hash;
-    rows that repeat an id and stand at the cut are taken or left together; an empty table gives no rows.
+    rows that repeat an id and stand at the cut are taken or left together; very long texts count as a
+    whole; an empty table gives no rows. Other columns of docs aren't looked at.
     """
-    out = draws(docs.select("doc_id", "text", "lang", "source"), s, domain)
+    narrow = _counted(docs.select("doc_id", "text", "lang", "source"), domain)
+    ends = _cuts(narrow, s)
+    out = _drawn(narrow, F.broadcast(ends) if _few(ends, s) else ends, s)
     return out.select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"), F.col("__draws").alias("draws"))
 
 
 def mixed(docs: DataFrame, s: Settings, domain) -> DataFrame:
-    """The rows of docs as often as they are drawn, with the columns of docs; texts aren't shuffled."""
-    out = draws(docs, s, domain).filter("__draws > 0")
-    return out.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__draws")))).select(*docs.columns)
+    """The rows of docs as often as they are drawn, with the columns of docs; as mixture() else.
+
+    With few leaves texts aren't shuffled. With more, documents meet their draws by leaf and id, so a
+    large leaf is spread over all tasks.
+    """
+    narrow = _counted(docs, domain)
+    ends = _cuts(narrow, s)
+    own = docs.withColumns(_leaf(docs, domain))
+    if _few(ends, s):
+        rows = _drawn(own, F.broadcast(ends), s)
+    else:
+        names = list(_leaf(docs, domain))
+        draws = _drawn(narrow, ends, s).filter("__draws > 0").select(*(F.col(n).alias(f"{n}_of") for n in names), F.col("doc_id").alias("__id"), "__draws").distinct()
+        on = own["doc_id"].eqNullSafe(draws["__id"])
+        for n in names:
+            on = on & (own[n] == draws[f"{n}_of"])
+        rows = own.join(draws, on)
+    return rows.filter("__draws > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__draws")))).select(*docs.columns)

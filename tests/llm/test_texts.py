@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -96,6 +97,18 @@ def test_encoding_equals_the_public_library(spark):
     assert rows(sentencepiece_match.encoded(empty(spark), file)) == []
 
 
+def test_encoding_tells_any_number_of_characters_apart():
+    import sentencepiece
+
+    file = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = sentencepiece_match.Pieces(*sentencepiece_match.load_pieces(file))
+    assert model.bpe
+    text = "".join(chr(c) for c in range(0x21, 0x12000) if not 0xD800 <= c < 0xE000 and c != 0x2581) + " the end"
+    ids = sentencepiece_match.Encoder(model)([text])[0]
+    assert len(set(text)) > 65_535
+    assert np.frombuffer(ids, "<u4").tolist() == sentencepiece.SentencePieceProcessor(model_file=file).encode(text)
+
+
 def test_unigram_encoding_takes_the_best_way():
     pieces = ["<unk>", "▁", "a", "b", "ab", "▁ab", "ba", "aba"]
     scores = [0.0, -1.5, -2.0, -2.5, -2.2, -3.0, -2.4, -5.0]
@@ -160,6 +173,29 @@ def test_repeated_bytes_equal_brute_force(spark):
                 assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]]
 
 
+def test_repeated_bytes_of_crowds_and_of_an_id_with_different_texts(spark):
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    shared, other = word(40), word(30)
+    docs = [(i, word(rnd.randint(0, 15)) + shared + word(rnd.randint(0, 15))) for i in range(60)]
+    docs += [(70, other), (71, other), (71, word(30)), (71, word(8) + other), (72, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    own = {(r["doc_id"], r["text"]): r["own"] for r in rows(df.withColumn("own", F.xxhash64(F.col("text").cast("binary"))))}
+    for s in (repeated_bytes.Settings(length=20, gram=6, chunk=300, combine=600, block=500, crowd=4), repeated_bytes.Settings(length=20, gram=6, chunk=300, block=200, crowd=2)):
+        got = {(r["doc_id"], r["n_bytes"], r["kept_sha256"], r["n_removed"]) for r in rows(repeated_bytes.repeated_bytes(df, s))}
+        want, seen = set(), set()
+        for d, t in sorted(docs, key=lambda x: (x[0], own[x])):
+            gone, b = set(), t.encode()
+            for i in range(len(b) - s.length + 1):
+                if b[i : i + s.length] in seen:
+                    gone |= set(range(i, i + s.length))
+                seen.add(b[i : i + s.length])
+            want.add((d, len(b), hashlib.sha256(bytes(x for i, x in enumerate(b) if i not in gone)).hexdigest(), len(gone)))
+        assert got == want
+
+
 def test_repeated_bytes_take_odd_rows(spark):
     assert len(rows(repeated_bytes.repeated_bytes(documents(spark)))) == len(ODD)
     assert rows(repeated_bytes.repeated_bytes(empty(spark))) == []
@@ -199,11 +235,22 @@ def test_budgets_give_shortages_to_siblings_first():
     assert mixing.budgets({}, s) == {}
 
 
+def test_budgets_in_spark_equal_plain_fractions(spark):
+    rnd = random.Random(6)
+    for turn in range(4):
+        tree = {(f"d{rnd.randrange(3)}", f"l{rnd.randrange(3)}", f"s{rnd.randrange(40)}"): rnd.choice([0, 1, 7, 7, rnd.randrange(5000)]) for _ in range(120)}
+        weights = {("d0",): 0.3, ("d1",): 2, ("d0", "l1"): 0, ("d2", "l0"): 0.25, ("d1", "l1", "s3"): 9, ("d2", "l2", "s1"): 0}
+        s = mixing.Settings(weights=weights, share=rnd.choice([0.1, 0.6, 1.7, 5]), epochs=2, budget=rnd.choice([None, 4000]))
+        df = spark.createDataFrame([(*k, n) for k, n in tree.items()], "__domain string, __lang string, __source string, n long")
+        assert {tuple(r.values())[:3]: r["budget"] for r in rows(mixing.leaf_budgets(df, s))} == mixing.budgets(tree, s)
+    assert rows(mixing.leaf_budgets(df.limit(0), s)) == []
+
+
 def test_mixture_equals_a_plain_prefix(spark):
     rnd = random.Random(8)
     docs = [(i, "w " * rnd.randint(0, 30), rnd.choice(["en", "de", None]), rnd.choice(["src0", "src1", "src2", "odd"])) for i in range(400)]
     df = documents(spark, docs)
-    for s in (MIX, mixing.Settings(weights=MIX.weights, share=2.2, epochs=4)):
+    for s in (MIX, mixing.Settings(weights=MIX.weights, share=2.2, epochs=4, few_leaves=3)):
         got = rows(mixing.mixture(df, s, domain_of()))
         assert len(got) == len(docs)
         leaves = {}
@@ -235,3 +282,40 @@ def test_contexts_cover_every_window_once(n):
     own, start, many, *_ = repeated_bytes.contexts([data, b"x" * 50], s)
     covered = sorted(p for a, m in zip(start.tolist(), many.tolist()) for p in range(a, a + m))
     assert covered == list(range(max(0, n - s.length + 1)))
+
+
+def test_quality_votes_equal_plain_cosines_of_all_labelled_rows(spark):
+    rnd = random.Random(3)
+    docs = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma", "DELTA", "!!"]) for _ in range(rnd.randint(0, 12))), "en", "s") for i in range(150)]
+    labels = spark.createDataFrame([(i, rnd.randint(0, 1)) for i in range(150)], "doc_id long, quality int")
+    model = quality_vote.fit_quality(documents(spark, docs), labels, quality_vote.Settings(neighbours=5, dimensions=6))
+    got = by_id(quality_vote.quality_scores(documents(spark, docs), model))
+    words = quality_vote._Words(model.settings.buckets)
+    vectors = [[float(x) for x in v] for v in model.vectors]
+    for i, text, *_ in docs:
+        own = [float(x) for x in model.project([quality_vote.bag(text, words)])[0]]
+        near = [sum(a * b for a, b in zip(own, v)) for v in vectors]
+        least = sorted(near)[-5]
+        votes = [(max(c, 0) ** 2, y) for c, y in zip(near, model.votes) if c >= least - 1e-6]
+        total = sum(w for w, _ in votes)
+        assert abs(got[i]["score"] - (sum(w * y for w, y in votes) / total if total else model.prior)) < 1e-3
+
+
+def test_quality_samples_only_labels_with_a_document(spark):
+    docs = [(i, f"w{i}", "en", "s") for i in range(60)] + [(1, "a", "en", "s"), (1, "b", "en", "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)] + [(2, 1)], "doc_id long, quality int")
+    learnt = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    model = quality_vote.fit_quality(documents(spark, docs), labels, quality_vote.Settings(sample_rows=1000))
+    assert model.votes.tolist() == [i % 2 for i in learnt]
+    assert len(quality_vote.fit_quality(documents(spark, docs), labels, quality_vote.Settings(sample_rows=20)).votes) == 20
+
+
+def test_quality_of_held_out_documents(spark):
+    """Held-out accuracy on the given tables."""
+    from loomgraph.llm.common import table
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scores = by_id(quality_vote.quality_scores(docs, quality_vote.fit_quality(docs, labels)))
+    found = [(r["quality"], scores[r["doc_id"]]) for r in rows(labels) if r["quality"] is not None and r["doc_id"] in scores and scores[r["doc_id"]]["held_out"]]
+    assert len(found) > 50 and sum(y == r["predicted"] for y, r in found) >= 0.97 * len(found)
