@@ -116,6 +116,81 @@ FIXED = {
     "src/broken.py": "def (:\n",
 }
 
+#: A second workspace, of applications: routes and middleware of all kinds, and requests to them.
+WEB = {
+    "src/apps/s%S.py": '''from fastapi import FastAPI
+
+app = FastAPI()
+
+
+@app.middleware("http")
+async def timing_%S(request, call_next):
+    return await call_next(request)
+
+
+@app.get("/health/%S")
+def health_%S():
+    return 1
+''',
+    "src/modules/m%S/api.py": '''@router.get("/list")
+def list_%S():
+    return 1
+''',
+    "src/names/s%S.py": '''def get_refunds%S():
+    return 1
+''',
+    "web/src/c%S.ts": '''const getPingUrl = (id) => `/api/ping/%S`;
+export const byModule%S = () => fetch('/api/m%S/list');
+export const byName%S = () => apiFetch('/api/refunds%S');
+export const byBuilder%S = () => customFetch<Ping>(getPingUrl(1), { method: 'GET' });
+export const wrongMethod%S = () => fetch('/api/health/%S', { method: 'DELETE' });
+''',
+    "web/app/api/parts/%S/[id]/route.ts": '''export async function GET(request) {
+  return load%S(request);
+}
+function load%S(request) {
+  return request;
+}
+''',
+    "srv/s%S.js": '''const inner = require('./inner%S');
+const app = express();
+app.use(cors());
+app.use('/v%S', inner);
+app.get('/ping/%S', (req, res) => {
+  return log%S(req);
+});
+function log%S(x) {
+  return x;
+}
+''',
+    "srv/inner%S.js": '''const sub = express.Router();
+const last = require('./last%S');
+sub.use('/in', last);
+sub.get('/top', (a) => 1);
+module.exports = sub;
+''',
+    "srv/last%S.js": '''const end = express.Router();
+end.get('/deep', (a) => 1);
+module.exports = end;
+''',
+    "web/nest/s%S.ts": '''@Controller('cats/%S')
+export class Cats%S {
+  @Get(':id')
+  find%S(id: string) {
+    return id;
+  }
+}
+''',
+    "web/views/s%S.tsx": '''export const routes%S = t.router({ list%S: p.query(() => 1), add%S: p.input(z).mutation(() => 2) });
+export function App%S() {
+  return <Route path="/app/%S" element={<Home%S />} />;
+}
+function Home%S() {
+  return 1;
+}
+''',
+}
+
 #: The tables that the templates are filled from, for SQL.
 KEYS_SQL = """
   s AS (
@@ -126,8 +201,8 @@ KEYS_SQL = """
   r AS (SELECT r_regionkey::VARCHAR AS r FROM region)"""
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, content of every file."""
+def files(spark: SparkSession, sf_dir: str, web: bool = False) -> DataFrame:
+    """path, content of every file of the first workspace, or of the second."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     keys = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_suppkey").alias("S"), F.col("n_nationkey").alias("N"), F.col("n_regionkey").alias("R"), (F.col("s_suppkey") + 1).alias("P"))
 
@@ -141,19 +216,21 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         each = F.explode(F.array(*(F.struct(fill(p).alias("path"), fill(t).cast("binary").alias("content")) for p, t in templates.items())))
         return rows.select(each.alias("f")).select("f.*")
 
+    if web:
+        return filled(keys, WEB)
     fixed = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in FIXED.items()], "path string, content binary")
     nations = n.select(F.col("n_nationkey").alias("N"), F.col("n_regionkey").alias("R"))
     return filled(keys, SUPPLIER).union(filled(nations, NATION)).union(filled(r.select(F.col("r_regionkey").alias("R")), REGION)).union(fixed)
 
 
-_BUILT: dict[tuple[str, str], Graph] = {}
+_BUILT: dict[tuple[str, str, bool], Graph] = {}
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+def graph(spark: SparkSession, sf_dir: str, web: bool = False) -> Graph:
     """The graph of files(), built once in a session for each folder of tables, as an index is."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, web)
     if key not in _BUILT:
-        _BUILT[key] = build(files(spark, sf_dir))
+        _BUILT[key] = build(files(spark, sf_dir, web))
     return _BUILT[key]
 
 

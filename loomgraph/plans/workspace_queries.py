@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans.table_workspace import expected, graph, structure
+from loomgraph.plans import query_language
+from loomgraph.plans.table_workspace import KEYS_SQL, expected, graph, structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -350,3 +351,208 @@ def lookup_function(spark, sf_dir):
 def lookup_file(spark, sf_dir):
     """lookup_symbol by path: what a file defines, imports, is imported by, and who calls into it."""
     return _listed(spark, _flat(structure(spark, sf_dir).lookup_symbol("shared/audit.py")), ANSWER)
+
+
+@query(
+    expected(
+        "id VARCHAR, nth INTEGER, text VARCHAR",
+        supplier=[
+            *_numbered(f"{PY}:Supplier%S.ship", "return self.rank()"), *_numbered(f"{PY}:Supplier%S.rank", "return len(self.label())"), *_numbered(f"{PY}:Supplier%S._hidden", "return None"),
+            *_numbered(f"{PY}:make_%S", "return inner"), *_numbered(f"{PY}:make_%S.inner", "return make_%P(x)"),
+            *_numbered(f"{API}:read_%S", "return make_%S(item, None)"), *_numbered(f"{API}:write_%S", "return make_%S(item, log)"),
+            *_numbered(f"{TS}:View%S.load", "return run(id);"), *_numbered(f"{TS}:open%S", "return fetch(`/api/suppliers/%S/${id}`);"),
+        ],
+        nation=_numbered(f"{NAT}:Nation%N.label", "return self.stamp()"),
+        region=[*_numbered(f"{REG}:Region%R.stamp", "return audit(self)"), *_numbered(f"{REG}:Region%R.label", "return None")],
+        fixed=[*_numbered(f"{AUDIT}:audit", "return x"), *_numbered(f"{HELPER}:helper", "return id;"), *_numbered(f"{PANEL}:Panel.draw", "return id;")],
+    )
+)
+def facts_returns(spark, sf_dir):
+    """The return statements of each function, in one line each."""
+    return graph(spark, sf_dir).nodes.filter("returns IS NOT NULL").select("id", F.posexplode("returns").alias("nth", "text"))
+
+
+# -- applications --------------------------------------------------------------------------------
+
+APP, MOD, NAMES, CALLER, PAGE, SRV, IN1, IN2, NEST, VIEW = "src/apps/s%S.py", "src/modules/m%S/api.py", "src/names/s%S.py", "web/src/c%S.ts", "web/app/api/parts/%S/[id]/route.ts", "srv/s%S.js", "srv/inner%S.js", "srv/last%S.js", "web/nest/s%S.ts", "web/views/s%S.tsx"
+
+
+@query(
+    expected(
+        "id VARCHAR, full_url VARCHAR, methods VARCHAR, handlers VARCHAR, frameworks VARCHAR",
+        supplier=[
+            (f"{APP}:/health/%S", None, "GET", "health_%S", "fastapi"),
+            (f"{MOD}:/list", None, "GET", "list_%S", "fastapi"),
+            (f"{PAGE}:/api/parts/%S/:id", None, "GET", "GET", "nextjs"),
+            (f"{SRV}:/ping/%S", None, "GET", "handler_get_L5", "fastapi"),
+            (f"{IN1}:/top", "/v%S/top", "GET", "handler_get_L4", "fastapi"),
+            (f"{IN2}:/deep", "/v%S/in/deep", "GET", "handler_get_L2", "fastapi"),
+            (f"{NEST}:/cats/%S/:id", None, "GET", "find%S", ""),
+            (f"{VIEW}:/list%S", None, "GET", "list%S", "react-router"),
+            (f"{VIEW}:/add%S", None, "POST", "add%S", "react-router"),
+            (f"{VIEW}:/app/%S", None, "GET", "Home%S", "react-router"),
+        ],
+    )
+)
+def web_routes(spark, sf_dir):
+    """Routes of decorators, calls, classes, elements, procedures and page folders; mounts behind mounts in full_url."""
+    return graph(spark, sf_dir, True).nodes.filter("kind = 'Route'").select("id", "full_url", _text("methods"), _text("handlers"), _text("frameworks"))
+
+
+@query(expected("id VARCHAR, how VARCHAR, line INTEGER", supplier=[(f"{APP}:mw:timing_%S", "decorator", 6), (f"{SRV}:mw:cors", "call", 3)]))
+def web_middleware(spark, sf_dir):
+    return graph(spark, sf_dir, True).nodes.filter("kind = 'Middleware'").select("id", _text("methods").alias("how"), F.col("start").alias("line"))
+
+
+@query(expected("src VARCHAR, dst VARCHAR", supplier=[(f"{APP}:mw:timing_%S", f"{APP}:/health/%S"), (f"{SRV}:mw:cors", f"{SRV}:/ping/%S")]))
+def web_middleware_edges(spark, sf_dir):
+    """From middleware to the routes of the object that it is registered on."""
+    return graph(spark, sf_dir, True).edges.filter("edge_class = 'generated'").filter(F.contains("src", F.lit(":mw:"))).select("src", "dst")
+
+
+@query(
+    expected(
+        "src VARCHAR, dst VARCHAR",
+        supplier=[
+            (f"{APP}:/health/%S", f"{APP}:health_%S"), (f"{MOD}:/list", f"{MOD}:list_%S"), (f"{PAGE}:/api/parts/%S/:id", f"{PAGE}:GET"),
+            (f"{SRV}:/ping/%S", f"{SRV}:handler_get_L5"), (f"{IN1}:/top", f"{IN1}:handler_get_L4"), (f"{IN2}:/deep", f"{IN2}:handler_get_L2"),
+            (f"{NEST}:/cats/%S/:id", f"{NEST}:Cats%S.find%S"), (f"{VIEW}:/app/%S", f"{VIEW}:Home%S"),
+        ],
+    )
+)
+def web_handlers(spark, sf_dir):
+    """From routes to their handlers, functions without a name included."""
+    return graph(spark, sf_dir, True).edges.filter("edge_class = 'generated'").filter(F.contains("src", F.lit(":/"))).select("src", "dst")
+
+
+@query(expected("src VARCHAR, dst VARCHAR", supplier=[(f"{SRV}:handler_get_L5", f"{SRV}:log%S"), (f"{PAGE}:GET", f"{PAGE}:load%S")]))
+def web_inline_handler_calls(spark, sf_dir):
+    """What functions without a name behind a route's URL, and functions of pages, call."""
+    own = graph(spark, sf_dir, True).edges.filter("edge_class = 'generated'")
+    return own.filter(F.contains("src", F.lit(":handler_get")) | F.endswith("src", F.lit(":GET"))).select("src", "dst")
+
+
+def _requests(spark, sf_dir, name):
+    own = graph(spark, sf_dir, True).edges.filter("edge_class = 'generated'")
+    return own.filter(F.startswith("src", F.lit("web/src/c")) & F.contains("src", F.lit(f":{name}")) & ~F.startswith("dst", F.lit("web/"))).select("src", "dst")
+
+
+@query(expected("src VARCHAR, dst VARCHAR", supplier=[(f"{CALLER}:byBuilder%S", f"{SRV}:/ping/%S")]))
+def web_requests_by_route(spark, sf_dir):
+    """First tier: the one route with the URL, here given by a builder to a wrapper."""
+    return _requests(spark, sf_dir, "byBuilder")
+
+
+@query(expected("src VARCHAR, dst VARCHAR", supplier=[(f"{CALLER}:byModule%S", f"{MOD}:list_%S")]))
+def web_requests_by_endpoint(spark, sf_dir):
+    """Second tier: a function whose endpoint lies behind its module's name."""
+    return _requests(spark, sf_dir, "byModule")
+
+
+@query(expected("src VARCHAR, dst VARCHAR", supplier=[(f"{CALLER}:byName%S", f"{NAMES}:get_refunds%S")]))
+def web_requests_by_name(spark, sf_dir):
+    """Third tier: the function whose name tells most, for URLs that fit nothing."""
+    return _requests(spark, sf_dir, "byName")
+
+
+@query("SELECT NULL::VARCHAR AS src, NULL::VARCHAR AS dst WHERE false")
+def web_requests_of_other_methods(spark, sf_dir):
+    """A URL that a route has for other methods only is never guessed by name."""
+    return _requests(spark, sf_dir, "wrongMethod")
+
+
+@query(expected("id VARCHAR, decorators VARCHAR", supplier=[(f"{NEST}:Cats%S", "Controller"), (f"{NEST}:Cats%S.find%S", "Get")]))
+def web_decorators(spark, sf_dir):
+    """Decorators of scripts."""
+    own = graph(spark, sf_dir, True).nodes.filter("size(decorators) > 0")
+    return own.filter(F.endswith("file", F.lit(".ts"))).select("id", _text("decorators"))
+
+
+# -- the query language --------------------------------------------------------------------------
+
+
+def _asked(text: str, *lists: str):
+    def rows(spark, sf_dir):
+        out = query_language.run(structure(spark, sf_dir), text)
+        for c in lists:
+            out = out.withColumn(c, _text(c))
+        return out
+
+    return rows
+
+
+STATEMENTS = {
+    "ql_get": (
+        "GET name, lines_count, is_async functions WHERE file LIKE 'src/suppliers/*' AND (lines_count >= 4 OR is_async == true) AND NOT name == 'inner' ORDER BY id",
+        expected("name VARCHAR, lines_count INTEGER, is_async BOOLEAN", supplier=[("ship", 4, False), ("rank", 2, True), ("make_%S", 9, False)]),
+    ),
+    "ql_get_distinct": ("GET DISTINCT kind nodes", "SELECT unnest(['File', 'Folder', 'Class', 'Function', 'Route']) AS kind"),
+    "ql_get_limit": (
+        "GET id classes WHERE name CONTAINS 'Nation' ORDER BY name, id LIMIT 5 OFFSET 2",
+        f"WITH {KEYS_SQL} SELECT 'src/nations/n' || n || '.py:Nation' || n AS id FROM n ORDER BY 'Nation' || n LIMIT 5 OFFSET 2",
+    ),
+    "ql_get_lists": ("GET id functions WHERE decorators == 'router.get' AND calls CONTAINS 'make' AND signature =~ 'read_\\d+'", expected("id VARCHAR", supplier=[(f"{API}:read_%S",)])),
+    "ql_search": ("SEARCH /def\\s+MAKE_\\w+/i IN functions WHERE file LIKE 'src/suppliers/*'", expected("id VARCHAR, kind VARCHAR, name VARCHAR, file VARCHAR, start INTEGER, \"end\" INTEGER", supplier=[(f"{PY}:make_%S", "Function", "make_%S", PY, 25, 33)]).replace('"end" INTEGER', "end INTEGER")),
+    "ql_glob": ("GLOB 'src/{suppliers,nations}/?[0-9]*.py'", expected("file VARCHAR, last INTEGER", supplier=[(PY, 33)], nation=[(NAT, 8)])),
+    "ql_impact": (f"IMPACT OF '{AUDIT}:audit' DIRECTION callers DEPTH 2", expected("node VARCHAR, hop INTEGER", supplier=[(f"{PY}:Supplier%S.ship", 1), (f"{PY}:make_%S", 2)])),
+    "ql_path": (
+        f"PATH FROM 'src/suppliers/s2.py:make_2' TO '{AUDIT}:audit'",
+        f"SELECT nth::INTEGER AS nth, node FROM (VALUES (0, 'src/suppliers/s2.py:make_2'), (1, 'src/suppliers/s2.py:Supplier2.ship'), (2, '{AUDIT}:audit')) AS t(nth, node)",
+    ),
+    "ql_stack": (
+        "STACK FOR '/suppliers/3/{item}'",
+        "SELECT * FROM (VALUES ('caller', 'web/src/s3.ts'), ('caller', 'web/src/s3.ts:open3'), ('route', 'src/api/s3.py:/suppliers/3/{item}'), ('handler', 'src/api/s3.py:read_3'), ('handler', 'src/api/s3.py:write_3'), ('callee', 'src/suppliers/s3.py:make_3')) AS t(layer, node)",
+    ),
+    "ql_stats": (
+        "STATS FOR 'src/nations'",
+        """SELECT 'nodes ' || kind AS what, count(*) AS n FROM nation, (VALUES ('File'), ('Class'), ('Function')) AS t(kind) GROUP BY 1
+        UNION ALL SELECT 'nodes Folder', 1 UNION ALL SELECT 'edges executable', count(*) FROM nation
+        UNION ALL SELECT 'edges structural', 3 * (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + 1""",
+    ),
+    "ql_check_layers": (
+        "CHECK LAYERS 'src/api' AGAINST 'src/suppliers'",
+        expected("how VARCHAR, src VARCHAR, dst VARCHAR", supplier=[("import", API, PY), ("call", f"{API}:read_%S", f"{PY}:make_%S"), ("call", f"{API}:write_%S", f"{PY}:make_%S")]),
+    ),
+    "ql_layers_of": (
+        "LAYERS OF 'src/suppliers'",
+        expected("file VARCHAR, module VARCHAR, category VARCHAR", supplier=[(PY, "os", "stdlib"), (PY, "src.nations.n%N", "project"), (PY, "src.shared", "project"), (PY, "src.suppliers.s%P", "project")]),
+    ),
+    "ql_enforce": ('ENFORCE "nations MUST_NOT_IMPORT regions" IN \'src\'', expected("how VARCHAR, src VARCHAR, dst VARCHAR", nation=[("import", NAT, REG)])),
+    "ql_implements": ("FIND IMPLEMENTS 'Panel'", expected("id VARCHAR, name VARCHAR", supplier=[(f"{TS}:View%S", "View%S")])),
+    "ql_decorated": ("FIND DECORATED WITH 'cached'", expected("id VARCHAR, name VARCHAR", supplier=[(f"{PY}:make_%S", "make_%S")])),
+}
+_RENAMED = {"ql_glob": {"end": "last"}}
+_SHOWN = {"ql_implements": ["id", "name"], "ql_decorated": ["id", "name"]}
+
+
+def _statement(name: str, text: str):
+    def rows(spark, sf_dir):
+        out = query_language.run(structure(spark, sf_dir), text)
+        for a, b in _RENAMED.get(name, {}).items():
+            out = out.withColumnRenamed(a, b)
+        return out.select(*_SHOWN.get(name, out.columns))
+
+    rows.__name__, rows.__doc__ = name, text
+    return rows
+
+
+for _name, (_text_, _sql) in STATEMENTS.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _statement(_name, _text_), _sql
+
+
+@query(
+    expected("key VARCHAR, value VARCHAR", fixed=[("id", f"{AUDIT}:audit"), ("kind", "Function"), ("name", "audit"), ("qualified", "audit"), ("file", AUDIT), ("parent", AUDIT), ("start", "1"), ("end", "2"), ("signature", "def audit(x)"),
+                                                 ("returns", "return x"), ("preview", "def audit(x):\n    return x"), ("is_async", "false"), ("is_generator", "false"), ("is_exported", "true"), ("param_count", "1")])
+)
+def ql_metadata(spark, sf_dir):
+    return query_language.run(structure(spark, sf_dir), f"METADATA FOR '{AUDIT}:audit'")
+
+
+@query(
+    f"""WITH {KEYS_SQL}, f AS (SELECT * FROM s WHERE s = '3')
+    SELECT nth::INTEGER AS nth, depth::INTEGER AS depth, replace(replace(node, '%N', n), '%R', r) AS node FROM f, (VALUES
+      (0, 0, 'src/suppliers/s3.py:make_3'), (1, 1, 'src/suppliers/s3.py:Supplier3.ship'), (2, 2, 'src/shared/audit.py:audit'), (3, 2, 'src/regions/r%R.py:Region%R.stamp'),
+      (4, 2, 'src/suppliers/s3.py:Supplier3.rank'), (5, 3, 'src/nations/n%N.py:Nation%N.label')) AS t(nth, depth, node)"""
+)
+def ql_flow(spark, sf_dir):
+    return query_language.run(structure(spark, sf_dir), "FLOW FOR 'src/suppliers/s3.py:make_3' DEPTH 3")
