@@ -222,6 +222,13 @@ def endpoints(nodes: DataFrame) -> DataFrame:
     return own.join(last, ["file", "name"]).select("target", "file", F.col("last.route").alias("url"), F.col("last.methods").alias("methods"))
 
 
+def containment(nodes: DataFrame) -> DataFrame:
+    """src, dst, edge_class, seq: what lies in what; definitions within a function lie in its file as well."""
+    inside = nodes.filter("parent IS NOT NULL").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
+    of_function = nodes.join(nodes.filter("kind = 'Function'").select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("id").alias("src"), F.col("file").alias("dst"))
+    return inside.union(of_function).distinct().select("src", "dst", F.lit("structural").alias("edge_class"), F.lit(0).cast("long").alias("seq"))
+
+
 def edges_of(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
     """All edges, from the facts, the nodes and the modules of the same files."""
     imports = found.select("path", F.explode("imports").alias("i")).select("path", "i.*")
@@ -229,9 +236,7 @@ def edges_of(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
     bases = found.select("path", F.explode("base_refs").alias("b")).select("path", "b.*")
     seq = F.lit(0).cast("long")
 
-    inside = nodes.filter("parent IS NOT NULL").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
-    of_function = nodes.join(nodes.filter("kind = 'Function'").select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("id").alias("src"), F.col("file").alias("dst"))
-    structural = inside.union(of_function).withColumn("seq", seq)
+    structural = containment(nodes).select("src", "dst", "seq")
 
     whole = imports.select("path", "module").union(imports.filter("symbol IS NOT NULL").select("path", F.concat(F.regexp_replace("module", "/$", ""), F.lit("/"), "symbol")))
     imported = whole.join(where, "module").filter("module_file <> path").select(F.col("module_file").alias("src"), F.col("path").alias("dst")).distinct().withColumn("seq", seq)

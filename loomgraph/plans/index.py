@@ -2,8 +2,9 @@
 
 Facts, nodes and edges of one state lie in a folder of their own; a small file names the state that counts,
 and is replaced last, so that a reader sees one whole state and a crash leaves the one before. Only files
-that changed are parsed again; edges are always linked over all facts, as a new file can make a name
-ambiguous elsewhere. A file that can't be read as it stands keeps its last good facts and is tried again.
+that changed are read and parsed again; where one of them is code, edges are linked over all facts, as a
+new file can make a name ambiguous elsewhere. A file that can't be read as it stands keeps its last good
+facts and is tried again, by later processes too. The state before the last one is kept for its readers.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ import json
 import os
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators.changes import without_files
-from loomgraph.plans.code_graph import FACTS, Graph, edges_of, facts, modules_of, mounted, nodes_of
+from loomgraph import storage
+from loomgraph.operators.changes import manifest_diff, relink_flags, without_files
+from loomgraph.plans.code_graph import FACTS, Graph, containment, edges_of, facts, modules_of, mounted, nodes_of
 from loomgraph.plans.questions import CodeStructure
-from loomgraph.sources.workspace import CODE, TEXT, listing, read_workspace
+from loomgraph.sources.workspace import CODE, TEXT, listing, read_paths
 from loomgraph.storage import cut
 
 VERSION = "1"
@@ -36,35 +39,28 @@ class WorkspaceIndex:
 
     def __init__(self, spark: SparkSession, root: str, folder: str, exclude: tuple[str, ...] = ()):
         self.spark, self.root, self.folder, self.exclude = spark, os.path.abspath(root), folder.rstrip("/"), exclude
-        self.failed: set[str] = set()
+        self.failed: set[str] = set((self.meta() or {}).get("failed", ()))
 
     # the file that names the state
 
     @property
     def _pointer(self) -> str:
-        return os.path.join(self.folder, "index.json")
+        return f"{self.folder}/index.json"
 
     def meta(self) -> dict | None:
         """What was published last; None if there is nothing or it can't be read."""
         try:
-            with open(self._pointer, encoding="utf-8") as f:
-                found = json.load(f)
-        except (OSError, ValueError):
+            found = json.loads(storage.read_text(self.spark, self._pointer) or "")
+        except ValueError:
             return None
         return found if isinstance(found, dict) else None
 
     def _write_meta(self, meta: dict) -> None:
-        os.makedirs(self.folder, exist_ok=True)
-        mine = f"{self._pointer}.{uuid.uuid4().hex}"
-        with open(mine, "w", encoding="utf-8") as f:
-            json.dump(meta, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(mine, self._pointer)
+        storage.replace_text(self.spark, self._pointer, json.dumps(meta))
 
     def is_stale(self) -> bool:
         """No file is fresh, one that can't be read is stale; so is one that is dirty or of another shape."""
-        if not os.path.exists(self._pointer):
+        if not storage.exists(self.spark, self._pointer):
             return False
         meta = self.meta()
         return meta is None or bool(meta.get("dirty")) or meta.get("fingerprint") != fingerprint()
@@ -86,42 +82,50 @@ class WorkspaceIndex:
 
     def refresh(self) -> dict:
         """Brings the index up to the files: mode (cold, warm or incremental), parsed, removed and failed."""
-        meta, now = self.meta(), {p: list(s) for p, s in listing(self.root, self.exclude).items()}
-        usable = bool(meta) and not self.is_stale() and os.path.isdir(f"{self.folder}/{meta['state']}")
-        known = meta["manifest"] if usable else {}
-        changed = {p for p, s in now.items() if known.get(p) != s} | (self.failed & set(now))
-        removed = set(known) - set(now)
-        if usable and not changed and not removed:
+        meta, now = self.meta(), listing(self.root, self.exclude)
+        usable = bool(meta) and not self.is_stale() and storage.exists(self.spark, f"{self.folder}/{meta['state']}")
+        state = f"state-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        listed = self.spark.createDataFrame([(p, *s, p in self.failed) for p, s in now.items()], "path string, mtime_ns long, size long, again boolean")
+        before = self._table(meta["state"], "manifest") if usable else listed.drop("again").limit(0)
+        diff = manifest_diff(before, listed, "path", ["mtime_ns", "size"]).union(listed.filter("again").select("path", F.lit("changed"))).groupBy("path").agg(F.min("change").alias("change"))
+        diff = cut(diff)
+        changed, removed = diff.filter("change <> 'removed'").select("path"), diff.filter("change = 'removed'").select("path")
+        n_removed = removed.count()
+        if usable and not n_removed and changed.isEmpty():
             return {"mode": "warm", "parsed": 0, "removed": 0, "failed": []}
         if meta:
             self._write_meta(meta | {"dirty": True})
-        state = f"state-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        paths = self.spark.createDataFrame([(p,) for p in sorted(changed | removed)], "path string")
-        read = read_workspace(self.spark, self.root, self.exclude)
-        fresh = facts(read.filter("NOT torn").join(F.broadcast(paths), "path", "left_semi") if usable else read.filter("NOT torn"))
+        fresh = facts(read_paths(changed, self.root).filter("NOT torn"))
         fresh.write.parquet(f"{self.folder}/{state}/fresh")
         fresh = self._table(state, "fresh")
-        bad = {r["path"] for r in fresh.filter("startswith(error, 'not UTF-8')").select("path").collect()}
-        got = {r["path"] for r in fresh.select("path").collect()}
-        self.failed = bad | (changed - got)
-        good = fresh.filter("error IS NULL OR NOT startswith(error, 'not UTF-8')")
+        unread = F.startswith("error", F.lit("not UTF-8"))
+        good = fresh.filter(F.col("error").isNull() | ~unread)
+        failed = changed.join(good.select("path"), "path", "left_anti")
+        self.failed = {r["path"] for r in failed.collect()}
         whole = good
         if usable:
-            replaced = paths.filter(~F.col("path").isin(sorted(self.failed)) if self.failed else F.lit(True))
+            replaced = changed.union(removed).join(failed, "path", "left_anti")
             whole = without_files(self._table(meta["state"], "facts"), replaced, "path").unionByName(good)
         whole.write.parquet(f"{self.folder}/{state}/facts")
         own = self._table(state, "facts")
         where = cut(modules_of(own))
         mounted(own, nodes_of(own), where).write.parquet(f"{self.folder}/{state}/nodes")
         nodes = self._table(state, "nodes")
-        relink = not usable or any(p.endswith(CODE) for p in changed | removed)
-        edges = edges_of(own, nodes, where)
-        if not relink:  # calls and imports stay; only what holds what can have changed
-            edges = edges.filter("edge_class = 'structural'").unionByName(self._table(meta["state"], "edges").filter("edge_class <> 'structural'"))
+        code = reduce(lambda a, b: a | b, [F.endswith("path", F.lit(e)) for e in CODE])
+        relink = not usable or relink_flags(diff.withColumn("batch", F.lit(1)), "batch", code).first()["relink"]
+        if relink:
+            edges = edges_of(own, nodes, where)
+        else:  # no code has changed, so calls and imports stay; only what holds what can be other
+            edges = containment(nodes).unionByName(self._table(meta["state"], "edges").filter("edge_class <> 'structural'"))
+            kept = self._table(meta["state"], "edges").filter("edge_class = 'structural'").join(containment(self._table(meta["state"], "nodes")), ["src", "dst"], "left_anti")
+            edges = edges.unionByName(kept.select(edges.columns))
         edges.write.parquet(f"{self.folder}/{state}/edges")
-        manifest = {p: s for p, s in now.items() if p not in self.failed}
-        self._write_meta({"fingerprint": fingerprint(), "indexed_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "supported_extensions": [*CODE, *TEXT], "node_count": nodes.count(), "dirty": False, "manifest": manifest, "state": state})
-        return {"mode": "incremental" if usable else "cold", "parsed": len(got), "removed": len(removed), "failed": sorted(self.failed)}
+        listed.join(failed, "path", "left_anti").drop("again").write.parquet(f"{self.folder}/{state}/manifest")
+        parsed = fresh.count()
+        self._write_meta({"fingerprint": fingerprint(), "indexed_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "supported_extensions": [*CODE, *TEXT], "node_count": nodes.count(), "dirty": False, "files": len(now), "failed": sorted(self.failed), "state": state, "before": (meta or {}).get("state")})
+        if meta and meta.get("before"):  # readers may still be at the last state, not at the one before
+            storage.delete(self.spark, f"{self.folder}/{meta['before']}")
+        return {"mode": "incremental" if usable else "cold", "parsed": parsed, "removed": n_removed, "failed": sorted(self.failed)}
 
     def drain(self, changes: DataFrame, checkpoint: str) -> list[dict]:
         """Takes what the stream of changes holds by now, one refresh for each batch that has any."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -36,9 +37,14 @@ def excluded_dir(name: str, path: str, excluded: frozenset[str]) -> bool:
     return name in excluded
 
 
+def from_environment() -> tuple[str, ...]:
+    """Further names to leave out, from the comma list in LOOMGRAPH_EXCLUDE."""
+    return tuple(filter(None, map(str.strip, os.environ.get("LOOMGRAPH_EXCLUDE", "").split(","))))
+
+
 def listing(root: str, extra: tuple[str, ...] = ()) -> dict[str, tuple[int, int]]:
     """rel_path to (mtime_ns, size) of every file to index, in order of path; files that vanish are left out."""
-    excluded, found = EXCLUDED | set(extra), {}
+    excluded, found = EXCLUDED | set(extra) | set(from_environment()), {}
     for folder, dirs, names in os.walk(root):
         dirs[:] = sorted(d for d in dirs if not excluded_dir(d, os.path.join(folder, d), excluded))
         for name in names:
@@ -60,6 +66,20 @@ class _Files(InputPartition):
 SCHEMA = "path string, mtime_ns long, size long, content binary, torn boolean"
 
 
+def read_one(root: str, path: str) -> tuple | None:
+    """A row of SCHEMA for a file; None if it is gone. torn: it changed while it was read."""
+    full = os.path.join(root, path)
+    try:
+        before = os.stat(full)
+        with open(full, "rb") as f:
+            content = f.read()
+        after = os.stat(full)
+    except OSError:
+        return None
+    torn = (before.st_mtime_ns, before.st_size) != (after.st_mtime_ns, after.st_size) or len(content) != after.st_size
+    return path, after.st_mtime_ns, after.st_size, content, torn
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.at_once = options["path"], int(options.get("files", 64))
@@ -70,17 +90,7 @@ class _Reader(DataSourceReader):
         return [_Files(paths[i : i + self.at_once]) for i in range(0, len(paths), self.at_once)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
-        for path in partition.paths:
-            full = os.path.join(self.root, path)
-            try:
-                before = os.stat(full)
-                with open(full, "rb") as f:
-                    content = f.read()
-                after = os.stat(full)
-            except OSError:
-                continue
-            torn = (before.st_mtime_ns, before.st_size) != (after.st_mtime_ns, after.st_size) or len(content) != after.st_size
-            yield path, after.st_mtime_ns, after.st_size, content, torn
+        yield from filter(None, (read_one(self.root, path) for path in partition.paths))
 
 
 class _Changes(SimpleDataSourceStreamReader):
@@ -126,6 +136,20 @@ def read_workspace(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()
     return spark.read.format("workspace").option("exclude", ",".join(exclude)).load(os.path.abspath(root))
 
 
+def read_paths(paths: DataFrame, root: str) -> DataFrame:
+    """Rows of SCHEMA for the files named in paths (column path); no others are opened."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = [r for p in batch.column(0).slice(at, 64) if (r := read_one(root, p.as_py()))]
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "mtime_ns", "size", "content", "torn"])
+
+    reachable(paths.sparkSession)
+    return paths.select("path").mapInArrow(run, SCHEMA)
+
+
 def read_changes(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """A stream of (path, action): update for new and changed files, delete for those that are gone."""
     reachable(spark)

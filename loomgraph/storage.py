@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,52 @@ def reachable(spark: SparkSession) -> None:
     env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
+def _at(spark: SparkSession, path: str):
+    """A path and the file system that holds it, whichever Hadoop knows."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(conf)
+    store.setVerifyChecksum(False)
+    store.setWriteChecksum(False)
+    return store, p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, p = _at(spark, path)
+    return store.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, p = _at(spark, path)
+    store.delete(p, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None if it isn't there or is no UTF-8."""
+    store, p = _at(spark, path)
+    if not store.exists(p):
+        return None
+    stream = store.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file in one step: readers see the old text or the new one."""
+    store, mine = _at(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = store.create(mine, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.hsync() if hasattr(stream, "hsync") else stream.flush()
+    stream.close()
+    sc = spark.sparkContext
+    rename = sc._jvm.org.apache.hadoop.fs.Options.Rename
+    how = sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(mine.getFileSystem(sc._jsc.hadoopConfiguration()).getUri(), sc._jsc.hadoopConfiguration())
+    context.rename(store.makeQualified(mine), store.makeQualified(sc._jvm.org.apache.hadoop.fs.Path(path)), how)
