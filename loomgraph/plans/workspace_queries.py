@@ -556,3 +556,218 @@ def ql_metadata(spark, sf_dir):
 )
 def ql_flow(spark, sf_dir):
     return query_language.run(structure(spark, sf_dir), "FLOW FOR 'src/suppliers/s3.py:make_3' DEPTH 3")
+
+
+# -- more answers --------------------------------------------------------------------------------
+
+
+def _of_supplier(key: int, rows: list[tuple[str, int, str]]) -> str:
+    """SQL for rows of an answer about one supplier, with %N and %R for the keys of its nation and region."""
+    inner = _values(rows).removeprefix("SELECT section, nth::INTEGER AS nth, value FROM ")
+    return f"WITH {KEYS_SQL} SELECT section, nth::INTEGER AS nth, replace(replace(value, '%N', n), '%R', r) AS value FROM {inner}, s WHERE s = '{key}'"
+
+
+def _answer(name: str, ask, sql: str, doc: str) -> None:
+    def rows(spark, sf_dir):
+        return _listed(spark, _flat(ask(structure(spark, sf_dir))), ANSWER)
+
+    rows.__name__, rows.__doc__ = name, doc
+    QUERIES[name], ORACLE_SQL[name] = rows, sql
+
+
+def _head(tool: str, ok: str = "True") -> list[tuple[str, int, str]]:
+    return [("ok", 0, ok), ("tool", 0, tool), *_META[1:]]
+
+
+def _symbol(at: str, **values) -> list[tuple[str, int, str]]:
+    return [(f"{at}.{k}", 0, v) for k, v in values.items()]
+
+
+_answer(
+    "lookup_class",
+    lambda s: s.lookup_symbol("suppliers/s3.py:Supplier3"),
+    _of_supplier(3, [*_head("lookup_symbol"), ("status", 0, "resolved"), *_symbol("symbol", id=f"{_S3}:Supplier3", kind="Class", name="Supplier3", file=_S3, lines="10-22", signature="class Supplier3(Nation%N)", docstring="Supplies 3.", base_classes="Nation%N", is_exported="True"),
+                     *(("relationships.members", i, f"{_S3}:Supplier3.{m}") for i, m in enumerate(("ship", "rank", "_hidden")))]),
+    "lookup_symbol by the end of a path and a name: record, docstring, base classes and members.",
+)
+_answer(
+    "lookup_inherited_callers",
+    lambda s: s.lookup_symbol("Nation3.label"),
+    f"""{_values([*_head("lookup_symbol"), ("status", 0, "resolved"), *_symbol("symbol", id="src/nations/n3.py:Nation3.label", kind="Function", name="Nation3.label", file="src/nations/n3.py", lines="7-8", signature="def label(self)", container="src/nations/n3.py:Nation3", is_exported="True", param_count="0")])}
+    UNION ALL SELECT 'relationships.callers', (row_number() OVER (ORDER BY c))::INTEGER - 1, c FROM (SELECT 'src/suppliers/s' || s_suppkey || '.py:Supplier' || s_suppkey || '.rank' AS c FROM supplier WHERE s_nationkey = 3)
+    UNION ALL SELECT 'relationships.callees', 0, 'src/regions/r' || n_regionkey || '.py:Region' || n_regionkey || '.stamp' FROM nation WHERE n_nationkey = 3""",
+    "Callers through the nearest ancestor that has the method, callees through an alias of an import.",
+)
+_answer(
+    "lookup_route",
+    lambda s: s.lookup_symbol("src/api/s3.py:/suppliers/3/{item}"),
+    _values([*_head("lookup_symbol"), ("status", 0, "resolved"), *_symbol("symbol", id="src/api/s3.py:/suppliers/3/{item}", kind="Route", name="/suppliers/3/{item}", file="src/api/s3.py", lines="9", url="/suppliers/3/{item}"),
+             ("symbol.methods", 0, "GET"), ("symbol.methods", 1, "POST"), ("symbol.handlers", 0, "read_3"), ("symbol.handlers", 1, "write_3"),
+             ("relationships.callers", 0, "web/src/s3.ts"), ("relationships.callers", 1, "web/src/s3.ts:open3"), ("relationships.callees", 0, "src/api/s3.py:read_3"), ("relationships.callees", 1, "src/api/s3.py:write_3")]),
+    "lookup_symbol by id: a route with its methods and handlers, who requests it and what answers.",
+)
+_answer(
+    "lookup_ambiguous",
+    lambda s: s.lookup_symbol("stamp"),
+    f"""{_values([*_head("lookup_symbol"), ("status", 0, "ambiguous"), ("hint", 0, "Several definitions match; call again with the exact `id` (or restrict with `path`).")])}
+    UNION ALL SELECT 'meta.candidates', 0, count(*)::VARCHAR FROM region
+    UNION ALL SELECT 'candidates.' || k, (row_number() OVER (PARTITION BY k ORDER BY r_regionkey))::INTEGER - 1, replace(v, '%R', r_regionkey::VARCHAR) FROM region, (VALUES
+      ('id', '{REG}:Region%R.stamp'), ('kind', 'Function'), ('name', 'Region%R.stamp'), ('file', '{REG}'), ('lines', '2-3'), ('signature', 'def stamp(self)')) AS t(k, v)""",
+    "A name that several definitions have: all of them in order, none chosen.",
+)
+_answer(
+    "lookup_scoped",
+    lambda s: s.lookup_symbol("STAMP", "src/regions/r2.py"),
+    _values([*_head("lookup_symbol"), ("status", 0, "resolved"), *_symbol("symbol", id="src/regions/r2.py:Region2.stamp", kind="Function", name="Region2.stamp", file="src/regions/r2.py", lines="2-3", signature="def stamp(self)", container="src/regions/r2.py:Region2", is_exported="True", param_count="0")])
+    + """ UNION ALL SELECT 'relationships.callers', (row_number() OVER (ORDER BY seq, c))::INTEGER - 1, c FROM (
+      SELECT 1 AS seq, 'src/nations/n' || n_nationkey || '.py:Nation' || n_nationkey || '.label' AS c FROM nation WHERE n_regionkey = 2
+      UNION ALL SELECT 2, 'src/suppliers/s' || s_suppkey || '.py:Supplier' || s_suppkey || '.ship' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2) QUALIFY row_number() OVER (ORDER BY seq, c) <= 50
+    UNION ALL SELECT 'relationships.callers_omitted', 0, (count(*) - 50)::VARCHAR FROM (
+      SELECT n_nationkey FROM nation WHERE n_regionkey = 2 UNION ALL SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2) HAVING count(*) > 50
+    UNION ALL SELECT 'relationships.unresolved_calls', 0, 'audit'""",
+    "In any case, within a path; a call of a name that isn't imported stays unresolved.",
+)
+_answer(
+    "lookup_folder",
+    lambda s: s.lookup_symbol("api"),
+    _values([*_head("lookup_symbol"), ("status", 0, "resolved"), *_symbol("symbol", id="src/api", kind="Folder", name="src/api", file="src/api"), ("hint", 0, "'src/api' is a folder; use code_map(path='src/api') for its contents.")]),
+    "A folder by the end of its path.",
+)
+_answer(
+    "lookup_missing",
+    lambda s: s.lookup_symbol("auditt"),
+    _values([*_head("lookup_symbol", "False"), ("error", 0, "No indexed symbol matches 'auditt'"), ("suggestions", 0, f"{AUDIT}:audit"), ("status", 0, "not_found"),
+             ("hint", 0, "Try the bare name (create_sale), a qualified name (SalesAPI.create_sale), or <file>:<name> (api.py:create_sale). Unindexed files are excluded.")]),
+    "A name that nothing has: what is most alike.",
+)
+_answer(
+    "impact_callees_answer",
+    lambda s: s.impact("make_3", 2, "callees"),
+    _of_supplier(3, [*_head("impact"), *_symbol("target", id=f"{_S3}:make_3", kind="Function", name="make_3", file=_S3, lines="25-33", signature="def make_3(item: Supplier3, other)"),
+                     *_symbol("meta", direction="callees", depth="2", direct="1", total="4", files="3", truncated="False", more_beyond_depth="True"), ("meta.warnings", 0, "Nodes at depth 2 still have unexplored callees; raise depth to continue."),
+                     ("affected.src/regions/r%R.py", 0, "Region%R.stamp [Function] L2-3 depth=2"), (f"affected.{AUDIT}", 0, "audit [Function] L1-2 depth=2"),
+                     (f"affected.{_S3}", 0, "Supplier3.ship [Function] L13-16 depth=1"), (f"affected.{_S3}", 1, "Supplier3.rank [Function] L18-19 depth=2")]).replace("SELECT section,", "SELECT replace(section, '%R', r) AS section,"),
+    "impact along callees: entries by file, totals, and a warning that more lies behind.",
+)
+_answer(
+    "impact_callers_answer",
+    lambda s: s.impact("Supplier3.rank", 25),
+    _values([*_head("impact"), *_symbol("target", id=f"{_S3}:Supplier3.rank", kind="Function", name="Supplier3.rank", file=_S3, lines="18-19", signature="async def rank(self)"),
+             *_symbol("meta", direction="callers", depth="25", direct="1", total="13", files="6", truncated="False", more_beyond_depth="False", possible="0"),
+             ("meta.warnings", 0, "Route/File/Middleware entries come from framework and HTTP-call linking, which is heuristic."),
+             (f"affected.{_S3}", 0, "Supplier3.ship [Function] L13-16 depth=1"), (f"affected.{_S3}", 1, "make_3 [Function] L25-33 depth=2"),
+             ("affected.src/suppliers/s2.py", 0, "make_2.inner [Function] L30-31 depth=3")]).split(" FROM (VALUES")[0].replace("SELECT section, nth::INTEGER AS nth, value", "SELECT 'affected.' || f AS section, nth::INTEGER AS nth, e AS value")
+    + f""" FROM (VALUES ('{_S3}', 0, 'Supplier3.ship [Function] L13-16 depth=1'), ('{_S3}', 1, 'make_3 [Function] L25-33 depth=2'), ('src/suppliers/s2.py', 0, 'make_2.inner [Function] L30-31 depth=3'),
+      ('src/api/s3.py', 0, 'read_3 [Function] L8-10 depth=3'), ('src/api/s3.py', 1, '/suppliers/3/{{item}} [Route] L9 depth=4'), ('src/api/s3.py', 2, 'write_3 [Function] L13-16 depth=3'),
+      ('web/src/s3.ts', 0, 'web/src/s3.ts [File] depth=5'), ('web/src/s3.ts', 1, 'open3 [Function] L14-18 depth=5')) AS t(f, nth, e)
+    UNION ALL SELECT * FROM ({_values([*_head("impact"), *_symbol("target", id=f"{_S3}:Supplier3.rank", kind="Function", name="Supplier3.rank", file=_S3, lines="18-19", signature="async def rank(self)"),
+             *_symbol("meta", direction="callers", depth="25", direct="1", total="8", files="4", truncated="False", more_beyond_depth="False", possible="0"),
+             ("meta.warnings", 0, "Route/File/Middleware entries come from framework and HTTP-call linking, which is heuristic.")])})""",
+    "impact along callers to the end: through methods, functions and routes to the scripts that request them.",
+)
+_answer(
+    "impact_possible_callers",
+    lambda s: s.impact("src/suppliers/s3.py:Supplier3.ship", 1),
+    _values([*_head("impact"), *_symbol("target", id=f"{_S3}:Supplier3.ship", kind="Function", name="Supplier3.ship", file=_S3, lines="13-16", signature="def ship(self, order, *args)"),
+             *_symbol("meta", direction="callers", depth="1", direct="1", total="1", files="1", truncated="False", more_beyond_depth="True", possible="0"),
+             ("meta.warnings", 0, "Nodes at depth 1 still have unexplored callers; raise depth to continue."), (f"affected.{_S3}", 0, "make_3 [Function] L25-33 depth=1")]),
+    "Functions that call something of the target's name, but are known to reach another, aren't possible callers.",
+)
+_answer(
+    "impact_wrong_direction",
+    lambda s: s.impact("audit", 1, "up"),
+    _values([*_head("impact", "False"), ("error", 0, "direction must be 'callers' or 'callees', got 'up'")]),
+    "The error envelope.",
+)
+_answer(
+    "code_map_folder",
+    lambda s: s.code_map("src/regions", 1),
+    _values([*_head("code_map"), *_symbol("meta", path="src/regions", kind="directory", folders="0", truncated="False")])
+    + f""" UNION ALL SELECT 'meta.' || k, 0, (n * (SELECT count(*) FROM region))::VARCHAR FROM (VALUES ('files', 1), ('symbols', 3)) AS t(k, n)
+    UNION ALL SELECT 'files.' || k, (row_number() OVER (PARTITION BY k ORDER BY r_regionkey))::INTEGER - 1, replace(v, '%R', r_regionkey::VARCHAR) FROM region, (VALUES
+      ('path', '{REG}'), ('line_count', '6'), ('symbols.Class', '1'), ('symbols.Function', '2'), ('top_level', 'Region%R')) AS t(k, v)""",
+    "code_map of a folder: files with their symbols by kind and a preview of the top level.",
+)
+_answer(
+    "code_map_tree",
+    lambda s: {k: v for k, v in s.code_map("src", 1).items() if k != "files"},
+    _values([*_head("code_map"), *_symbol("meta", path="src", kind="directory", folders="5", truncated="False")])
+    + f""" UNION ALL SELECT 'meta.files', 0, (2 * s + n + r + 3)::VARCHAR FROM (SELECT (SELECT count(*) FROM supplier) AS s, (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM region) AS r)
+    UNION ALL SELECT 'meta.symbols', 0, (9 * s + 2 * n + 3 * r + 1)::VARCHAR FROM (SELECT (SELECT count(*) FROM supplier) AS s, (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM region) AS r)
+    UNION ALL SELECT 'folders.' || k, nth, v FROM (
+      SELECT nth, unnest(['path', 'files_count', 'symbols_count']) AS k, unnest([p, f::VARCHAR, y::VARCHAR]) AS v FROM (
+        SELECT 0 AS nth, 'src/api' AS p, count(*) AS f, 3 * count(*) AS y FROM supplier UNION ALL SELECT 1, 'src/nations', count(*), 2 * count(*) FROM nation
+        UNION ALL SELECT 2, 'src/regions', count(*), 3 * count(*) FROM region UNION ALL SELECT 3, 'src/shared', 2, 1 UNION ALL SELECT 4, 'src/suppliers', count(*), 6 * count(*) FROM supplier))""",
+    "code_map of a folder with folders: files and symbols rolled up.",
+)
+_answer(
+    "code_map_file",
+    lambda s: s.code_map(_S3),
+    _of_supplier(3, [*_head("code_map"), *_symbol("meta", path=_S3, kind="file", line_count="33", symbols="6", truncated="False"),
+                     ("imports", 0, "import os"), ("imports", 1, "from src.nations.n%N import Nation%N"), ("imports", 2, "from src.shared import audit as log"), ("imports", 3, "from src.suppliers.s4 import make_4"),
+                     ("symbols.name", 0, "Supplier3"), ("symbols.kind", 0, "Class"), ("symbols.lines", 0, "10-22"), ("symbols.signature", 0, "class Supplier3(Nation%N)"), ("symbols.base_classes", 0, "Nation%N"),
+                     ("symbols.members.name", 0, "ship"), ("symbols.members.kind", 0, "Function"), ("symbols.members.lines", 0, "13-16"), ("symbols.members.signature", 0, "def ship(self, order, *args)"),
+                     ("symbols.members.name", 0, "rank"), ("symbols.members.kind", 0, "Function"), ("symbols.members.lines", 0, "18-19"), ("symbols.members.signature", 0, "async def rank(self)"), ("symbols.members.is_async", 0, "True"),
+                     ("symbols.members.name", 0, "_hidden"), ("symbols.members.kind", 0, "Function"), ("symbols.members.lines", 0, "21-22"), ("symbols.members.signature", 0, "def _hidden(self)"),
+                     ("symbols.name", 1, "make_3"), ("symbols.kind", 1, "Function"), ("symbols.lines", 1, "25-33"), ("symbols.signature", 1, "def make_3(item: Supplier3, other)"), ("symbols.decorators", 1, "cached"),
+                     ("symbols.members.name", 1, "inner"), ("symbols.members.kind", 1, "Function"), ("symbols.members.lines", 1, "30-31"), ("symbols.members.signature", 1, "def inner(x)")]),
+    "code_map of a file: imports and the tree of its definitions.",
+)
+_answer(
+    "code_map_missing",
+    lambda s: s.code_map("src/nation"),
+    _values([*_head("code_map", "False"), ("error", 0, "'src/nation' is not an indexed file or directory"), ("suggestions", 0, "src/nations")]),
+    "A path that isn't there: folders and files of alike names.",
+)
+
+
+@query(
+    """SELECT step, mode, parsed::INTEGER AS parsed, removed::INTEGER AS removed, failed::INTEGER AS failed, stale FROM (SELECT (SELECT count(*) FROM region) AS r), LATERAL (VALUES
+      (1, 'cold', r + 7, 0, 0, false), (2, 'warm', 0, 0, 0, false), (3, 'incremental', 2, 1, 0, false), (4, 'incremental', 1, 0, 1, false), (5, 'incremental', 1, 0, 0, false), (6, 'cold', r + 7, 0, 0, false)) AS t(step, mode, parsed, removed, failed, stale)"""
+)
+def index_lifecycle(spark, sf_dir):
+    """A workspace is indexed, found unchanged, changed, broken, mended and marked dirty: what each refresh does.
+
+    The files of the regions and the fixed ones are written to the shared folder, which must be mounted.
+    """
+    import os
+    import uuid
+
+    from loomgraph import storage
+    from loomgraph.plans.index import WorkspaceIndex
+    from loomgraph.plans.table_workspace import files
+
+    base = storage.shared_folder(spark).removeprefix("file://").removeprefix("file:") + f"/lifecycle-{uuid.uuid4().hex}"
+    root = base + "/work"
+
+    def write(rows):
+        for r in rows:
+            os.makedirs(os.path.dirname(f"{root}/{r['path']}"), exist_ok=True)
+            with open(f"{root}/{r['path']}", "wb") as f:
+                f.write(bytes(r["content"]))
+
+    files(spark, sf_dir).filter("NOT path rlike '/(s|n)[0-9]+[.]'").foreachPartition(write)
+    index, out = WorkspaceIndex(spark, root, base + "/index"), []
+
+    def step():
+        got = index.refresh()
+        out.append((len(out) + 1, got["mode"], got["parsed"], got["removed"], len(got["failed"]), index.is_stale()))
+
+    def put(path, content):
+        write([{"path": path, "content": content}])
+
+    step()
+    step()
+    put("src/regions/r0.py", b"class Region0:\n    pass\n# longer\n")
+    put("src/new.py", b"x = 1\n")
+    os.remove(f"{root}/README.md")
+    step()
+    put("src/new.py", b"x = '\xff'  # not UTF-8\n")
+    step()
+    index = WorkspaceIndex(spark, root, base + "/index")
+    put("src/new.py", b"y = 2  # UTF-8 again\n")
+    step()
+    index._write_meta(index.meta() | {"dirty": True})
+    step()
+    storage.delete(spark, "file://" + base)
+    return _listed(spark, out, "step int, mode string, parsed int, removed int, failed int, stale boolean")
