@@ -31,3 +31,8 @@ def upserted(rows: DataFrame, new: DataFrame, key: str, order: list[str]) -> Dat
 def relink_flags(changed: DataFrame, by: str, is_code: Column) -> DataFrame:
     """by, relink, events: for each batch of changes whether one of them can move edges between files."""
     return changed.groupBy(by).agg(F.coalesce(F.bool_or(is_code), F.lit(False)).alias("relink"), F.count(F.lit(1)).alias("events"))
+
+
+def with_attribute(rows: DataFrame, values: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with a derived column from values (key, name), in place of one of that name; null where there is none."""
+    return rows.drop(name).join(values.select(key, name).dropDuplicates([key]), key, "left")

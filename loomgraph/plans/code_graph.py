@@ -7,6 +7,7 @@ related model to the class that declares the relation, a caller to what it calls
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.functions.columns import ancestors, joined_url, module_url, normalize_url
+from loomgraph.functions.columns import ancestors, joined_url, last_segment, module_url, normalize_url
 from loomgraph.operators import resolve, rollup, traverse, urls
+from loomgraph.sources.languages import Languages
 from loomgraph.sources.python_facts import facts_of
 from loomgraph.storage import cut, reachable
 
@@ -37,15 +39,19 @@ FACTS = (
 )
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """A row of FACTS for each file (columns path and content); the only pass over the sources."""
+def facts(files: DataFrame, languages: Sequence[dict] = ()) -> DataFrame:
+    """A row of FACTS for each file (columns path and content); the only pass over the sources.
+
+    languages: settings of further ones, see sources.languages.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shape = to_arrow_schema(T.StructType.fromDDL(FACTS))
 
     def run(batches):
+        known = Languages(languages)
         for batch in batches:
-            rows = [facts_of(p.as_py(), c.as_py() or b"") for p, c in zip(batch.column(0), batch.column(1))]
+            rows = [facts_of(p.as_py(), c.as_py() or b"", known) for p, c in zip(batch.column(0), batch.column(1))]
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     reachable(files.sparkSession)
@@ -282,9 +288,23 @@ class Graph:
     errors: DataFrame
 
 
-def build(files: DataFrame) -> Graph:
+def view_patterns(graph: Graph) -> DataFrame:
+    """id, url_patterns: the URLs, in order, whose patterns name a view, for each view that has any."""
+    routes = graph.nodes.filter("kind = 'Route'").select(F.col("id").alias("src"), "url")
+    own = graph.edges.filter("edge_class = 'generated'").join(routes, "src")
+    return own.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("url")).alias("url_patterns"))
+
+
+def calls_by_name(nodes: DataFrame) -> DataFrame:
+    """src, dst: each call with every function and class of its name, however many; what resolution never does."""
+    calls = nodes.select(F.col("id").alias("src"), F.explode("calls").alias("call")).withColumn("name", last_segment(F.col("call")))
+    named = nodes.filter("kind IN ('Function', 'Class')").select("name", F.col("id").alias("dst"))
+    return calls.join(named, "name").filter("src <> dst").select("src", "dst").distinct()
+
+
+def build(files: DataFrame, languages: Sequence[dict] = ()) -> Graph:
     """The graph of files (path, content). Facts, nodes and edges are each written once."""
-    found = cut(facts(files))
+    found = cut(facts(files, languages))
     where = cut(modules_of(found))
     nodes = cut(mounted(found, nodes_of(found), where))
     return Graph(nodes, cut(edges_of(found, nodes, where)), found.filter("error IS NOT NULL").select("path", "error"))

@@ -80,6 +80,10 @@ class WorkspaceIndex:
     def structure(self) -> CodeStructure:
         return CodeStructure(self.graph(), self.root, self.is_stale(), self.warnings())
 
+    def stats(self) -> dict:
+        """Numbers of nodes and edges; before the first refresh there are none of the one and the other aren't built."""
+        return self.structure().stats() if (self.meta() or {}).get("state") else {"nodes": 0, "edges": "not built"}
+
     def refresh(self) -> dict:
         """Brings the index up to the files: mode (cold, warm or incremental), parsed, removed and failed."""
         meta, now = self.meta(), listing(self.root, self.exclude)

@@ -11,7 +11,7 @@ import builtins
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.columns import CALLBACK, display_name, is_under, last_segment
+from loomgraph.functions.columns import CALLBACK, display_name, is_callback, is_under, last_segment
 from loomgraph.operators import resolve, traverse
 from loomgraph.plans.code_graph import Graph
 
@@ -77,7 +77,7 @@ class CodeStructure:
     """Answers over one graph. stale: whether its files have changed since; health: further warnings."""
 
     def __init__(self, graph: Graph, workspace: str = "", stale: bool = False, health: tuple[str, ...] = ()):
-        self.workspace, self.stale, self.health = workspace, stale, health
+        self.workspace, self.stale, self.health, self.raw = workspace, stale, health, graph.nodes
         self.nodes, self.edges = transparent(graph)
 
     # shared
@@ -189,6 +189,41 @@ class CodeStructure:
         by_class = {r["edge_class"]: r["edges"] for r in traverse.stats(self.edges).orderBy("edge_class").collect()}
         return {"nodes": self.nodes.count(), "edges": sum(by_class.values()), "by_class": by_class}
 
+    # views
+
+    def node(self, id_: str) -> dict | None:
+        """All that is known of one node."""
+        row = self.raw.filter(F.col("id") == id_).first()
+        return row.asDict(True) if row else None
+
+    def files_under(self, prefix: str = "") -> DataFrame:
+        rel = self._clean(prefix).rstrip("/")
+        own = self.nodes.filter("kind = 'File'")
+        return (own.filter(is_under(F.col("file"), rel)) if rel else own).select("file").orderBy("file")
+
+    def symbols_in_file(self, file: str, callbacks: bool = True) -> DataFrame:
+        """id of the symbols of a file in order, inline callbacks included or left out."""
+        own = self.raw.filter((F.col("file") == file) & F.col("kind").isin(*SYMBOLS))
+        own = own if callbacks else own.filter(~is_callback(F.col("name")))
+        return own.orderBy(F.coalesce("start", F.lit(0)), "id").select("id")
+
+    def symbols(self) -> DataFrame:
+        """file and ids of all symbols but inline callbacks."""
+        return self.nodes.filter(F.col("kind").isin(*SYMBOLS)).select("file", "id")
+
+    def callbacks_under(self, node: str) -> DataFrame:
+        """id of the inline callbacks of a definition, nested ones down to the next named definition."""
+        tail = F.substr("id", F.lit(len(node) + 1))
+        own = self.raw.filter(F.startswith("id", F.lit(node)) & tail.rlike(r"^([.:]callback_L\d+_C\d+)+$"))
+        return own.select("id")
+
+    def answer(self, tool: str, *given, **named) -> str:
+        """An answer as YAML; whatever goes wrong becomes one as well."""
+        try:
+            return as_yaml({"code_map": self.code_map, "lookup_symbol": self.lookup_symbol, "impact": self.impact}[tool](*given, **named))
+        except Exception as e:
+            return as_yaml({"ok": False, "tool": tool, "meta": {"workspace": self.workspace, "index_stale": None, "graph_built": None}, "error": str(e)})
+
     # questions
 
     def lookup_symbol(self, symbol: str, path: str | None = None) -> dict:
@@ -397,7 +432,9 @@ class CodeStructure:
             item |= {"is_async": True} if r["is_async"] else {}
             made[r["id"]] = item
             (made[r["parent"]].setdefault("members", []) if r["parent"] in made else tree).append(item)
-        meta = self._meta() | {"path": rel, "kind": "file", "line_count": file["end"], "symbols": total, "truncated": total > MAP_ENTRIES}
+        meta = self._meta() | {"path": rel, "kind": "file", "line_count": file["end"], "symbols": total}
+        callbacks = self.raw.filter((F.col("file") == rel) & is_callback(F.col("name"))).count()
+        meta |= ({"inline_callbacks": callbacks} if callbacks else {}) | {"truncated": total > MAP_ENTRIES}
         shown = {}
         for k in ("imports", "exports"):
             shown |= _bounded(k, [_cut(x, 240) or "" for x in file[k]], IMPORTS) if file[k] else {}

@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.changes import with_attribute
 from loomgraph.plans import query_language
+from loomgraph.plans.code_graph import calls_by_name, view_patterns
 from loomgraph.plans.table_workspace import KEYS_SQL, expected, graph, structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -771,3 +773,50 @@ def index_lifecycle(spark, sf_dir):
     step()
     storage.delete(spark, "file://" + base)
     return _listed(spark, out, "step int, mode string, parsed int, removed int, failed int, stale boolean")
+
+
+@query(
+    f"""SELECT DISTINCT c.caller AS src, d.id AS dst FROM ({ORACLE_SQL["facts_calls"]}) c
+    JOIN ({ORACLE_SQL["facts_definitions"]}) d ON d.name = split_part(c.call, '.', -1) AND d.id <> c.caller"""
+)
+def graph_calls_by_name(spark, sf_dir):
+    """Each call with every definition of its name: how many a name alone would reach."""
+    return calls_by_name(graph(spark, sf_dir).nodes)
+
+
+@query(expected("id VARCHAR, url_patterns VARCHAR", supplier=[(f"{API}:read_%S", "/suppliers/%S/{item}"), (f"{API}:write_%S", "/suppliers/%S/{item}")]))
+def graph_view_patterns(spark, sf_dir):
+    """The URLs of each view, as a derived attribute of its node."""
+    g = graph(spark, sf_dir)
+    return with_attribute(g.nodes, view_patterns(g), "id", "url_patterns").filter("url_patterns IS NOT NULL").select("id", _text("url_patterns"))
+
+
+@query(f"SELECT 'src/nations/n' || n_nationkey || '.py' AS file FROM nation")
+def view_files_under(spark, sf_dir):
+    return structure(spark, sf_dir).files_under("./src/nations/")
+
+
+@query(expected("file VARCHAR, id VARCHAR", region=[(REG, f"{REG}:Region%R"), (REG, f"{REG}:Region%R.stamp"), (REG, f"{REG}:Region%R.label")]))
+def view_symbols(spark, sf_dir):
+    return structure(spark, sf_dir).symbols().filter(F.startswith("file", F.lit("src/regions/")))
+
+
+@query(f"SELECT nth::INTEGER AS nth, id FROM (VALUES (0, '{_S3}:Supplier3'), (1, '{_S3}:Supplier3.ship'), (2, '{_S3}:Supplier3.rank'), (3, '{_S3}:Supplier3._hidden'), (4, '{_S3}:make_3'), (5, '{_S3}:make_3.inner')) AS t(nth, id)")
+def view_symbols_in_file(spark, sf_dir):
+    """The symbols of one file in order."""
+    return _listed(spark, [(n, r["id"]) for n, r in enumerate(structure(spark, sf_dir).symbols_in_file(_S3).collect())], "nth int, id string")
+
+
+@query("SELECT 'src/shared/audit.py:audit' AS id, true AS there UNION ALL SELECT 'src/shared/audit.py:other', false")
+def view_contains(spark, sf_dir):
+    s = structure(spark, sf_dir)
+    return _listed(spark, [(i, s.contains(i) and s.node(i)["id"] == i) for i in (f"{AUDIT}:audit", f"{AUDIT}:other")], "id string, there boolean")
+
+
+@query(expected("id VARCHAR", supplier=[(f"{VIEW}:App%S",), (f"{VIEW}:Home%S",)]))
+def view_search(spark, sf_dir):
+    """Keyword search over names."""
+    from loomgraph.plans.questions import CodeStructure
+
+    found = CodeStructure(graph(spark, sf_dir, True)).search("APP").unionByName(CodeStructure(graph(spark, sf_dir, True)).search("home"))
+    return found.filter("kind = 'Function'").select("id")

@@ -9,10 +9,12 @@ meaning isn't certain gives no reference.
 from __future__ import annotations
 
 import ast
+import os
 import re
 from dataclasses import dataclass, field
 
 from loomgraph.sources.frameworks import frameworks_of, of_route
+from loomgraph.sources.languages import Languages
 from loomgraph.sources.script_facts import PREVIEW, anonymous, script_facts, shown_return
 
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
@@ -489,9 +491,28 @@ def outline(source: str) -> list[dict]:
     return out
 
 
-def facts_of(path: str, content: bytes) -> dict:
+def parse_file(path: str, languages: Languages | None = None) -> dict:
+    """The facts of one file on disk; FileNotFoundError and ValueError tell why there are none."""
+    from loomgraph.sources.workspace import CODE, TEXT
+
+    if not os.path.isfile(path):
+        raise FileNotFoundError(path)
+    if not path.endswith((*CODE, *TEXT, *(languages.extensions if languages else ()))):
+        raise ValueError(f"Unsupported file extension: {os.path.splitext(path)[1]}")
+    with open(path, "rb") as f:
+        return facts_of(path, f.read(), languages)
+
+
+def facts_of(path: str, content: bytes, languages: Languages | None = None) -> dict:
     """All facts of one file; for files that hold no code only its lines. error tells what went wrong."""
     empty = {"path": path, "lines": 0, "error": None, "definitions": [], "imports": [], "references": [], "base_refs": [], "routes": [], "relations": [], "exports": [], "http": [], "mounts": [], "frameworks": [], "middleware": []}
+    further = languages.reader(path) if languages else None
+    if further:
+        try:
+            text = content.decode("utf-8")
+            return empty | {"lines": text.count("\n") + bool(text and not text.endswith("\n"))} | further(path, text)
+        except Exception as e:  # a reader's fault is that of one file
+            return empty | {"error": f"{type(e).__name__}: {e}"}
     if path.endswith((".js", ".jsx", ".ts", ".tsx")):
         try:
             text = content.decode("utf-8")
