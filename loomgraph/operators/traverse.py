@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.storage import cut
+from loomgraph.storage import cut, dealt
 
 EXECUTABLE = ("executable", "generated")
 
@@ -58,8 +58,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "caller
     so a cycle ends it and the plan doesn't grow. The steps are written once, dealt out by node, so only
     frontiers move. depth 0 goes on until nothing new is found.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = cut(_steps(edges, direction, classes).repartition(parts, "node"))
+    steps = dealt(_steps(edges, direction, classes), "node")
     seen = cut(seeds.select("node", F.lit(0).alias("hop")).dropDuplicates(["node"]))
     hop = 0
     while depth == 0 or hop < depth:
@@ -111,7 +110,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, levels: int, classes:
     sides = {}
     for name, at, direction in (("a", start, "callees"), ("b", end, "callers")):
         seen = spark.createDataFrame([(at, 0, None)], "node string, hop int, via string")
-        sides[name] = [_steps(edges, direction, classes), cut(seen), 0]
+        sides[name] = [dealt(_steps(edges, direction, classes), "node"), cut(seen), 0]
     for turn in range(levels):
         side = sides["ab"[turn % 2]]
         steps, seen, hop = side

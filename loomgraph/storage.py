@@ -28,6 +28,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt out by columns and cut, so that joins on them don't move it again.
+
+    A checkpoint keeps how rows are dealt out only where the plan tells it beforehand, which adaptive
+    execution doesn't.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *columns))
+    finally:
+        conf.set(key, before)
+
+
 def reachable(spark: SparkSession) -> None:
     """Tells Python workers where this package lies, however the session was started."""
     env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
