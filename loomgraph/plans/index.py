@@ -23,7 +23,7 @@ from loomgraph import storage
 from loomgraph.operators.changes import manifest_diff, relink_flags, without_files
 from loomgraph.plans.code_graph import FACTS, Graph, containment, edges_of, facts, modules_of, mounted, nodes_of
 from loomgraph.plans.questions import CodeStructure
-from loomgraph.sources.workspace import CODE, TEXT, listing, read_paths
+from loomgraph.sources.workspace import CODE, OWN, TEXT, listing, read_paths
 from loomgraph.storage import cut
 
 VERSION = "1"
@@ -35,10 +35,14 @@ def fingerprint() -> str:
 
 
 class WorkspaceIndex:
-    """root: the sources; folder: where states are kept, on storage that all machines share."""
+    """root: the sources; folder: where states are kept, on storage that all machines share.
 
-    def __init__(self, spark: SparkSession, root: str, folder: str, exclude: tuple[str, ...] = ()):
-        self.spark, self.root, self.folder, self.exclude = spark, os.path.abspath(root), folder.rstrip("/"), exclude
+    Without a folder that of LOOMGRAPH_INDEX is taken, and else one within the sources that isn't indexed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, folder: str | None = None, exclude: tuple[str, ...] = ()):
+        self.spark, self.root, self.exclude = spark, os.path.abspath(root), exclude
+        self.folder = (folder or os.environ.get("LOOMGRAPH_INDEX") or f"{self.root}/{OWN}").rstrip("/")
         self.failed: set[str] = set((self.meta() or {}).get("failed", ()))
 
     # the file that names the state

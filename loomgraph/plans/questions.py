@@ -17,6 +17,7 @@ from loomgraph.plans.code_graph import Graph
 
 MAP_ENTRIES, MAP_DEPTH, PREVIEW, IMPORTS = 300, 4, 8, 40
 RELATED, UNRESOLVED, POSSIBLE, REACHED, DEPTH = 50, 30, 30, 300, 25
+RESOLVED = (".py", ".js", ".jsx", ".ts", ".tsx")  # of these, calls are followed through imports and types
 DOTTED = ("Class", "Function", "Declaration")
 SYMBOLS = (*DOTTED, "Route", "Middleware")
 
@@ -29,6 +30,7 @@ BEYOND = "Nodes at depth {} still have unexplored {}; raise depth to continue."
 BY_NAME = "{} possible_callers reach '{}' through a receiver the resolver could not type (see 'via'); they are matched by name only, are not in 'affected', and must be verified by reading the call site."
 OPEN_CALLS = "{} calls made by the target could not be resolved to a symbol (unresolved_callees); their dependencies are not in 'affected'."
 HEURISTIC = "Route/File/Middleware entries come from framework and HTTP-call linking, which is heuristic."
+NAMED_CALLS = "Call edges for non-Python files are matched by name and may include false positives."
 CAPPED = "Listing capped at {} entries; map a sub-folder or lower depth."
 
 # Calls that tell nothing about dependencies.
@@ -355,6 +357,8 @@ class CodeStructure:
             warnings.append(OPEN_CALLS.format(n_open))
         if any(r["kind"] in ("Route", "File", "Middleware") for r in shown):
             warnings.append(HEURISTIC)
+        if any(r["kind"] == "Function" and not r["file"].lower().endswith(RESOLVED) for r in (target, *shown)):
+            warnings.append(NAMED_CALLS)
         grouped: dict[str, list[str]] = {}
         for r in shown:
             grouped.setdefault(r["file"], []).append(self._entry(r, r["hop"]))

@@ -57,6 +57,16 @@ def test_ties_stay_open(spark):
     assert {r["k"]: r["t"] for r in resolve.conflict_to_null(types, ["k"], "t").collect()} == {1: "a", 2: None, 3: None}
 
 
+def test_most_alike_equals_comparing_all(spark):
+    import difflib
+
+    rnd = random.Random(11)
+    names = ["".join(rnd.choice("abcd ") for _ in range(rnd.randint(0, 14))) for _ in range(200)]
+    got = [(r["text"], round(r["like"], 9)) for r in resolve.most_alike(spark.createDataFrame([(n,) for n in sorted(set(names))], "text string"), "text", "abc dab", 0.6, 5).collect()]
+    want = sorted(((difflib.SequenceMatcher(None, n, "abc dab").ratio(), n) for n in set(names)), reverse=True)
+    assert got == [(n, round(x, 9)) for x, n in want if x >= 0.6][:5] and got
+
+
 def test_rollup_and_changes(spark):
     files = spark.createDataFrame([("a/b/x",), ("a/y",), ("z",)], "path string")
     assert {r["folder"]: r["files"] for r in rollup.by_folder(files).collect()} == {"a": 2, "a/b": 1}
