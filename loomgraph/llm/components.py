@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import dropped, written
 
 
+def _drawn(rows: DataFrame) -> tuple[DataFrame, tuple]:
+    """rows (u, v) written, with their number and a sum of their hashes, which the same pass gives."""
+    seen = Observation()
+    out = written(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")), "part-links")
+    return out, (seen.get["n"], seen.get["h"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, part for each node of links (columns a and b): the smallest node that links lead to.
 
@@ -16,18 +23,17 @@ def components(links: DataFrame) -> DataFrame:
     row a task. Each turn is written to the shared folder. The number of turns grows with the logarithm
     of the longest way. Null ends and loops are left out; no links give no rows.
     """
-    now = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "part-links")
+    now, after = _drawn(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    while not now.isEmpty():
+    while after[0]:
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
         drawn = small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select("v", "m"))
-        last, now = now, written(drawn.distinct(), "part-links")
+        last, (now, after) = now, _drawn(drawn.distinct())
         dropped(last)
-        after = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("part")).union(now.select("v", "v").distinct())
         before = after

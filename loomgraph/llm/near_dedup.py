@@ -335,16 +335,17 @@ def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
     sets = written(_sets(docs, nodes, written(shared.select("node").distinct(), "near-wanted"), s), "near-sets")
     pairs = written(_close(shared.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), nodes, s), "near-pairs")
     links = written(_stars(pairs, sets, s), "near-stars")
-    joined = components(links)
-    labelled = shared.join(joined, "node", "left").select("key", "node", F.coalesce("part", "node").alias("label"))
+    # nodes with one label are linked with one node, so a key whose nodes all have it can't join anything
+    joined = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hub"))
+    labelled = shared.join(joined, "node", "left").select("key", "node", F.coalesce("hub", "node").alias("label"))
     open_ = labelled.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
     left = written(labelled.join(open_, F.col("key") == F.col("of")).select("node", "label", "least").distinct(), "near-open")
-    parts = joined
+    more = None
     if not left.isEmpty():
         near = components(left.select(F.col("least").alias("a"), F.col("label").alias("b")))
         candidates = left.select("node", "label").distinct().join(near.withColumnRenamed("node", "label"), "label")
         more = written(confirmed(written(candidates, "near-candidates"), nodes, sets, s), "near-links")
-        parts = components(links.union(more))
+    parts = components(links.union(more) if more else links)
     least = parts.join(nodes.select("node", "doc_id"), "node").groupBy(F.col("part").alias("of")).agg(F.min("doc_id").alias("least"))
     named = parts.join(least, F.col("part") == F.col("of")).select("node", "part", "least")
     of_set = nodes.join(named, "node", "left").select(F.col("digest").alias("of"), F.coalesce("least", "doc_id").alias("least"), F.coalesce("part", "node").alias("group"))
