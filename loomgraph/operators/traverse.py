@@ -7,9 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.storage import cut, dealt
-
-EXECUTABLE = ("executable", "generated")
+from loomgraph.operators.adjacency import EXECUTABLE, Steps, steps_of
+from loomgraph.storage import cut
 
 
 def oriented(edges: DataFrame, direction: str, classes: Iterable[str] | None = EXECUTABLE) -> DataFrame:
@@ -51,43 +50,41 @@ def neighbours(edges: DataFrame, node: str, direction: str, classes: Iterable[st
     return oriented(edges, direction, classes).filter((F.col("node") == node) & (F.col("next") != node)).select(F.col("next").alias("node"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "callers", classes: Iterable[str] | None = EXECUTABLE) -> DataFrame:
+def bfs(edges: DataFrame | Steps, seeds: DataFrame, depth: int, direction: str = "callers", classes: Iterable[str] | None = EXECUTABLE) -> DataFrame:
     """node, hop: what is reached from seeds (column node) in at most depth steps; seeds are left out.
 
-    Each level is one join with the frontier and one anti-join with what was seen, cut by a checkpoint,
-    so a cycle ends it and the plan doesn't grow. The steps are written once, dealt out by node, so only
-    frontiers move. depth 0 goes on until nothing new is found.
+    Each level is one join with the frontier and one anti-join with what was seen, written to the shared
+    folder, so a cycle ends it and the plan doesn't grow. Over adjacency on disk only frontiers move; other
+    edges are written once and then read at each level. depth 0 goes on until nothing new is found.
     """
-    steps = dealt(_steps(edges, direction, classes), "node")
-    seen = cut(seeds.select("node", F.lit(0).alias("hop")).dropDuplicates(["node"]))
+    steps = steps_of(edges).settled()
+    seen = frontier = cut(seeds.select("node", F.lit(0).alias("hop")).dropDuplicates(["node"]))
     hop = 0
-    while depth == 0 or hop < depth:
+    while (size := frontier.count()) and (depth == 0 or hop < depth):
         hop += 1
-        frontier = seen.filter(F.col("hop") == hop - 1).select("node")
-        new = steps.join(frontier, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        new = cut(new.withColumn("hop", F.lit(hop)))
-        if new.isEmpty():
-            break
-        seen = seen.unionByName(new)
+        next_ = steps.after(frontier.select("node"), size, direction, classes).select(F.col("next").alias("node")).distinct()
+        frontier = cut(next_.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
+        seen = seen.unionByName(frontier)
+        seen = cut(seen) if hop % 20 == 0 else seen
     return seen.filter("hop > 0")
 
 
-def first_reached(edges: DataFrame, seed: str, depth: int, limit: int, direction: str = "callers", classes: Iterable[str] | None = EXECUTABLE) -> tuple[list[tuple[str, int]], bool]:
+def first_reached(edges: DataFrame | Steps, seed: str, depth: int, limit: int, direction: str = "callers", classes: Iterable[str] | None = EXECUTABLE) -> tuple[list[tuple[str, int]], bool]:
     """The first `limit` nodes that a breadth-first walk from seed meets, with their hops, and whether there are more.
 
     Edges have a seq. A level's nodes come in the order of their first parent, of that one's edges, and of
     their own names. The walk ends within the level in which the limit is passed, so each level asks for
     the neighbours of at most `limit` nodes, and at most so many come to the driver.
     """
-    a, b = ("src", "dst") if direction == "callees" else ("dst", "src")
-    chosen = edges if classes is None else edges.filter(F.col("edge_class").isin(*classes))
+    steps = steps_of(edges)
     found: list[tuple[str, int]] = []
     level = [seed]
     for hop in range(1, depth + 1):
-        ranks = F.broadcast(edges.sparkSession.createDataFrame(list(enumerate(level)), "rank int, at string"))
+        next_ = steps.of(level, direction, classes)
+        ranks = F.broadcast(next_.sparkSession.createDataFrame(list(enumerate(level)), "rank int, node string"))
         seen = [seed, *(n for n, _ in found)]
-        next_ = chosen.join(ranks, F.col(a) == F.col("at")).filter(~F.col(b).isin(*seen))
-        next_ = next_.groupBy(F.col(b).alias("next")).agg(F.min(F.struct("rank", "seq")).alias("first")).orderBy("first", "next")
+        next_ = next_.join(ranks, "node").filter(~F.col("next").isin(*seen))
+        next_ = next_.groupBy("next").agg(F.min(F.struct("rank", "seq")).alias("first")).orderBy("first", "next")
         room = limit - len(found)
         level = [r["next"] for r in next_.limit(room + 1).collect()]
         found += [(n, hop) for n in level[:room]]
@@ -98,34 +95,36 @@ def first_reached(edges: DataFrame, seed: str, depth: int, limit: int, direction
     return found, False
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, levels: int, classes: Iterable[str] | None = EXECUTABLE) -> list[str]:
-    """The nodes of a shortest way along edges, both ends included; none if there isn't one of so many steps.
+def shortest_path(edges: DataFrame | Steps, start: str, end: str, classes: Iterable[str] | None = EXECUTABLE) -> list[str]:
+    """The nodes of a shortest way along edges, both ends included; none if there is no way.
 
-    Both ends are extended in turn, by a join each, until they meet; only the way itself comes to the driver.
-    Of equal ways that with the smallest nodes next to the ends is taken.
+    Both ends are extended in turn, by a join each, until they meet or one of them has nothing new; only the
+    way itself comes to the driver. Of equal ways that with the smallest nodes next to the ends is taken.
     """
     if start == end:
         return [start]
-    spark = edges.sparkSession
+    steps = steps_of(edges).settled()
+    spark = steps.edges.sparkSession
     sides = {}
     for name, at, direction in (("a", start, "callees"), ("b", end, "callers")):
         seen = spark.createDataFrame([(at, 0, None)], "node string, hop int, via string")
-        sides[name] = [dealt(_steps(edges, direction, classes), "node"), cut(seen), 0]
-    for turn in range(levels):
+        sides[name] = [direction, cut(seen), 0, 1]
+    turn = 0
+    while True:
         side = sides["ab"[turn % 2]]
-        steps, seen, hop = side
+        turn += 1
+        direction, seen, hop, size = side
         frontier = seen.filter(F.col("hop") == hop).select("node")
-        new = frontier.join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.min("node").alias("via"))
+        new = steps.after(frontier, size, direction, classes).groupBy(F.col("next").alias("node")).agg(F.min("node").alias("via"))
         new = cut(new.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop + 1).alias("hop"), "via"))
-        if new.isEmpty():
+        if not (size := new.count()):
             return []
-        side[1], side[2] = seen.unionByName(new), hop + 1
+        seen = seen.unionByName(new)
+        side[1:] = cut(seen) if hop % 20 == 19 else seen, hop + 1, size
         both = sides["a"][1].select("node", F.col("hop").alias("x")).join(sides["b"][1].select("node", F.col("hop").alias("y")), "node")
         met = both.orderBy(F.col("x") + F.col("y"), "node").first()
         if met:
             break
-    else:
-        return []
 
     def back(seen: DataFrame, node: str, hops: int) -> list[str]:
         out = []
@@ -137,11 +136,11 @@ def shortest_path(edges: DataFrame, start: str, end: str, levels: int, classes:
     return [*back(sides["a"][1], met["node"], met["x"])[::-1], met["node"], *back(sides["b"][1], met["node"], met["y"])]
 
 
-def beyond(edges: DataFrame, reached: DataFrame, seeds: DataFrame, depth: int, direction: str = "callers", classes: Iterable[str] | None = EXECUTABLE) -> DataFrame:
+def beyond(edges: DataFrame | Steps, reached: DataFrame, seeds: DataFrame, depth: int, direction: str = "callers", classes: Iterable[str] | None = EXECUTABLE) -> DataFrame:
     """Nodes one step behind the last level that weren't reached: non-empty if more lies beyond the depth."""
-    last = reached.filter(F.col("hop") == depth).select("node")
+    last = cut(reached.filter(F.col("hop") == depth).select("node").distinct())
     seen = reached.select("node").union(seeds.select("node"))
-    return last.join(oriented(edges, direction, classes), "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
+    return steps_of(edges).after(last, last.count(), direction, classes).select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
 
 
 def closure(parents: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from loomgraph.functions.columns import ancestors, joined_url, last_segment, module_url, normalize_url
 from loomgraph.operators import resolve, rollup, traverse, urls
+from loomgraph.operators.adjacency import Steps
 from loomgraph.sources.languages import Languages
 from loomgraph.sources.python_facts import facts_of
 from loomgraph.storage import cut, reachable
@@ -161,11 +162,14 @@ def _refs(rows: DataFrame, where: DataFrame, nodes: DataFrame, out: DataFrame) -
 
 
 def mounted(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
-    """nodes with full_url: a route's URL under the prefixes that its router is mounted at, if they are one.
-
-    A router can be mounted on one that is mounted itself: a round follows each mount by one step, until
-    nothing new is found; routers that only mount each other have no prefix. Segments that a prefix ends
-    with and what follows begins with count once. A script's name for a router is that in the file that exports it.
+    """nodes with full_url: a route's URL under the prefix that its router is mounted at, if that is one.
+
+    A router can be mounted on one that is mounted itself, in any number of steps and with prefixes of any
+    length. Each router has no prefix yet, one, or several, and each round passes that on by one step; as
+    it can only ever go up in this order, the rounds end, on cycles too. Routers with several prefixes have
+    none, nor have those behind them; a cycle whose turns make a prefix longer gives several, and routers
+    that only mount each other have none from the start. Segments that a prefix ends with and what follows
+    begins with count once. A script's name for a router is that in the file that exports it.
     """
     m = found.select("path", F.explode("mounts").alias("m")).select("path", "m.*").join(where, "module", "left")
     local = found.select("path", F.explode("exports").alias("e")).filter("e.kind = 'local'").select(F.col("path").alias("module_file"), F.col("e.exported").alias("symbol"), F.col("e.local").alias("local"))
@@ -176,14 +180,19 @@ def mounted(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
     if of.isEmpty():
         return nodes.withColumn("full_url", F.lit(None).cast("string"))
     inner = of.select(F.col("file").alias("up_file"), F.col("var").alias("up_var")).distinct()
-    known = cut(of.join(inner, ["up_file", "up_var"], "left_anti").select("file", "var", F.col("prefix").alias("full")))
-    new = known
-    while not new.isEmpty():
-        up = new.select(F.col("file").alias("up_file"), F.col("var").alias("up_var"), F.col("full").alias("above"))
-        new = of.join(up, ["up_file", "up_var"]).select("file", "var", joined_url(F.col("above"), F.col("prefix")).alias("full")).distinct()
-        new = cut(new.join(known.select("file", "var", "full"), ["file", "var", "full"], "left_anti").filter(F.length("full") < 4000))
-        known = known.unionByName(new)
-    both = nodes.join(resolve.unique_target(known, ["file", "var"], "full"), ["file", "var"], "left")
+    one, several = F.min("full"), F.max("several") | (F.min("full") != F.max("full"))
+    first = of.join(inner, ["up_file", "up_var"], "left_anti").select("file", "var", F.col("prefix").alias("full"), F.lit(False).alias("several"))
+    merge = lambda rows: rows.groupBy("file", "var").agg(one.alias("full"), F.coalesce(several, F.lit(True)).alias("several"))
+    known, state = cut(merge(first)), None
+    while True:
+        before, state = state, known.agg(F.count(F.lit(1)), F.count_if("several")).first()
+        if state == before:
+            break
+        up = known.select(F.col("file").alias("up_file"), F.col("var").alias("up_var"), F.col("full").alias("above"), "several")
+        passed = of.join(up, ["up_file", "up_var"]).select("file", "var", F.when(~F.col("several"), joined_url(F.col("above"), F.col("prefix"))).alias("full"), "several")
+        known = cut(merge(first.unionByName(passed)))
+    known = known.filter("NOT several").select("file", "var", "full")
+    both = nodes.join(known, ["file", "var"], "left")
     return both.withColumn("full_url", F.when(F.col("full").isNotNull() & (F.col("kind") == "Route"), joined_url(F.col("full"), F.col("url")))).drop("full")
 
 
@@ -286,6 +295,8 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
     errors: DataFrame
+    #: nodes and steps without inline callbacks, if they are kept; see questions.transparent.
+    named: tuple[DataFrame, Steps] | None = None
 
 
 def view_patterns(graph: Graph) -> DataFrame:

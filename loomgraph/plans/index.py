@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import storage
+from loomgraph.operators.adjacency import Adjacency
 from loomgraph.operators.changes import manifest_diff, relink_flags, without_files
 from loomgraph.plans.code_graph import FACTS, Graph, containment, edges_of, facts, modules_of, mounted, nodes_of
-from loomgraph.plans.questions import CodeStructure
+from loomgraph.plans.questions import CodeStructure, transparent
 from loomgraph.sources.workspace import CODE, OWN, TEXT, listing, read_paths
 from loomgraph.storage import cut
 
-VERSION = "1"
+VERSION = "2"
 
 
 def fingerprint() -> str:
@@ -79,7 +80,8 @@ class WorkspaceIndex:
 
     def graph(self) -> Graph:
         state = (self.meta() or {})["state"]
-        return Graph(self._table(state, "nodes"), self._table(state, "edges"), self._table(state, "facts").filter("error IS NOT NULL").select("path", "error"))
+        named = self._table(state, "named"), Adjacency(self.spark, f"{self.folder}/{state}/steps")
+        return Graph(self._table(state, "nodes"), self._table(state, "edges"), self._table(state, "facts").filter("error IS NOT NULL").select("path", "error"), named)
 
     def structure(self) -> CodeStructure:
         return CodeStructure(self.graph(), self.root, self.is_stale(), self.warnings())
@@ -128,6 +130,9 @@ class WorkspaceIndex:
             kept = self._table(meta["state"], "edges").filter("edge_class = 'structural'").join(containment(self._table(meta["state"], "nodes")), ["src", "dst"], "left_anti")
             edges = edges.unionByName(kept.select(edges.columns))
         edges.write.parquet(f"{self.folder}/{state}/edges")
+        named, steps = transparent(Graph(nodes, self._table(state, "edges"), nodes.limit(0)))
+        named.repartitionByRange("file", "id").sortWithinPartitions("file", "id").write.parquet(f"{self.folder}/{state}/named")
+        Adjacency.write(storage.cut(steps, f"{self.folder}/{state}/named-edges"), f"{self.folder}/{state}/steps")
         listed.join(failed, "path", "left_anti").drop("again").write.parquet(f"{self.folder}/{state}/manifest")
         parsed = fresh.count()
         self._write_meta({"fingerprint": fingerprint(), "indexed_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "supported_extensions": [*CODE, *TEXT], "node_count": nodes.count(), "dirty": False, "files": len(now), "failed": sorted(self.failed), "state": state, "before": (meta or {}).get("state")})

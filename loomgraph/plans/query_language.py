@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from loomgraph.functions.columns import is_under, last_segment, normalize_url
 from loomgraph.operators import traverse
 from loomgraph.plans.questions import REACHED, RELATED, SYMBOLS, CodeStructure
+from loomgraph.storage import cut
 
 KINDS = {k.lower(): k for k in ("Function", "Class", "Declaration", "Route", "Middleware", "File", "Folder")}
 COLUMNS = {"type": "kind", "file_path": "file", "body_preview": "preview", "line": "start", "node_id": "id"}
 LISTS = ("decorators", "base_classes", "calls", "returns", "methods", "handlers", "imports", "exports", "frameworks")
 PLAIN = ["id", "kind", "name", "file", "start", "end"]
-FLOW_DEPTH, PATH_LEVELS = 10, 100
 TOKEN = re.compile(r"""\s*(?:(?P<text>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<number>-?\d+(?:\.\d+)?)|(?P<op>==|!=|>=|<=|!=~|=~|!=|>|<|\(|\)|,)|(?P<regex>/(?:\\.|[^/\\])+/[a-z]*)|(?P<word>[A-Za-z_][\w.]*))""")
 
 
@@ -247,20 +247,20 @@ def run(s: CodeStructure, text: str) -> DataFrame:
         if p.take("DEPTH"):
             depth = int(p.value("number"))
         p.end()
-        return traverse.bfs(edges, nodes.sparkSession.createDataFrame([(id_,)], "node string"), max(1, depth), direction)
+        return traverse.bfs(s.steps, nodes.sparkSession.createDataFrame([(id_,)], "node string"), max(1, depth), direction)
     if verb == "PATH":
         p.need("FROM")
         a = p.value("text")
         p.need("TO")
         b = p.value("text")
         p.end()
-        way = traverse.shortest_path(edges, a, b, PATH_LEVELS)
+        way = traverse.shortest_path(s.steps, a, b)
         return nodes.sparkSession.createDataFrame(list(enumerate(way)), "nth int, node string")
     if verb == "FLOW":
         p.need("FOR")
         id_, depth = p.value("text"), int(p.value("number")) if p.take("DEPTH") else 3
         p.end()
-        return flow(edges, id_, min(depth, FLOW_DEPTH))
+        return flow(edges, id_, depth)
     if verb == "STACK":
         p.need("FOR")
         url = p.value("text")
@@ -312,16 +312,20 @@ def run(s: CodeStructure, text: str) -> DataFrame:
 def flow(edges: DataFrame, start: str, depth: int) -> DataFrame:
     """nth, depth, node: the calls below a node as a tree, depth first, in the order of the calls.
 
-    A node that lies above itself isn't entered again. The first REACHED rows are given.
+    A node that lies above itself isn't entered again. The first REACHED rows are given; a walk ends where a level has none.
     """
     steps = edges.filter(F.col("edge_class").isin(*traverse.EXECUTABLE)).groupBy("src", "dst").agg(F.min("seq").alias("seq"))
     steps = steps.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("seq", "dst"))).filter(F.col("place") <= REACHED).drop("seq")
+    steps = cut(steps)
     level = edges.sparkSession.createDataFrame([(start, [start], [])], "node string, above array<string>, key array<int>")
     every = level
     for _ in range(depth):
         level = level.join(steps, F.col("node") == F.col("src")).filter(~F.array_contains("above", F.col("dst")))
         level = level.select(F.col("dst").alias("node"), F.concat("above", F.array("dst")).alias("above"), F.concat("key", F.array("place")).alias("key")).orderBy("key").limit(REACHED)
-        every = every.unionByName(level)
+        level = cut(level)
+        if level.isEmpty():
+            break
+        every = cut(every.unionByName(level).orderBy("key").limit(REACHED))
     first = every.orderBy("key").limit(REACHED)
     return first.select((F.row_number().over(Window.orderBy("key")) - 1).alias("nth"), F.size("key").alias("depth"), "node")
 

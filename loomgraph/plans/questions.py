@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.columns import CALLBACK, display_name, is_callback, is_under, last_segment
 from loomgraph.operators import resolve, traverse
+from loomgraph.operators.adjacency import Steps
 from loomgraph.plans.code_graph import Graph
 
 MAP_ENTRIES, MAP_DEPTH, PREVIEW, IMPORTS = 300, 4, 8, 40
@@ -80,7 +81,12 @@ class CodeStructure:
 
     def __init__(self, graph: Graph, workspace: str = "", stale: bool = False, health: tuple[str, ...] = ()):
         self.workspace, self.stale, self.health, self.raw = workspace, stale, health, graph.nodes
-        self.nodes, self.edges = transparent(graph)
+        if graph.named:  # kept with the state, so that no question works it out anew
+            self.nodes, self.steps = graph.named
+            self.edges = self.steps.edges
+        else:
+            self.nodes, self.edges = transparent(graph)
+            self.steps = Steps(self.edges)
 
     # shared
 
@@ -178,10 +184,10 @@ class CodeStructure:
 
     def blast_radius(self, node: str, max_depth: int = 0) -> DataFrame:
         """node, hop of everything that reaches a node in so many steps, 0: in any number."""
-        return traverse.bfs(self.edges, self.nodes.sparkSession.createDataFrame([(node,)], "node string"), max_depth, "callers")
+        return traverse.bfs(self.steps, self.nodes.sparkSession.createDataFrame([(node,)], "node string"), max_depth, "callers")
 
     def recursive_callees(self, node: str, max_depth: int = 0) -> DataFrame:
-        return traverse.bfs(self.edges, self.nodes.sparkSession.createDataFrame([(node,)], "node string"), max_depth, "callees")
+        return traverse.bfs(self.steps, self.nodes.sparkSession.createDataFrame([(node,)], "node string"), max_depth, "callees")
 
     def search(self, keyword: str) -> DataFrame:
         """Nodes whose name holds a keyword in any case, whole matches first, then by file and line."""
@@ -259,10 +265,8 @@ class CodeStructure:
 
     def _ends(self, node: str, direction: str, classes=traverse.EXECUTABLE) -> DataFrame:
         """n, s: direct neighbours and where their edges first occur."""
-        a, b = ("src", "dst") if direction == "callees" else ("dst", "src")
-        own = self.edges.filter((F.col(a) == node) & (F.col(b) != node))
-        own = own if classes is None else own.filter(F.col("edge_class").isin(*classes))
-        return own.groupBy(F.col(b).alias("n")).agg(F.min("seq").alias("s"))
+        own = self.steps.of([node], direction, classes).filter(F.col("next") != node)
+        return own.groupBy(F.col("next").alias("n")).agg(F.min("seq").alias("s"))
 
     @staticmethod
     def _shown(key: str, rows: DataFrame, order: list, limit: int, show=lambda r: r["n"], always: bool = False) -> dict:
@@ -304,7 +308,7 @@ class CodeStructure:
         """call, nth: calls of a node that no callee's name answers to and that aren't noise."""
         forms = F.array_distinct(F.array("text", last_segment(F.col("text"))))
         own = self.nodes.filter(F.col("id") == r["id"]).select(F.posexplode("calls").alias("nth", "text")).withColumn("forms", F.size(forms))
-        ends = self.edges.filter((F.col("src") == r["id"]) & F.col("edge_class").isin(*traverse.EXECUTABLE)).select(F.col("dst").alias("id"))
+        ends = self.steps.of([r["id"]], "callees").select(F.col("next").alias("id"))
         known = self.nodes.join(ends, "id", "left_semi").select(F.explode(F.array("name", "qualified")).alias("call"))
         left = resolve.unresolved_calls(own.withColumn("call", F.explode(forms)), known, "call", is_noise(F.col("text")))
         counted = left.groupBy(F.col("text").alias("call"), "forms").agg(F.min("nth").alias("nth"), F.count(F.lit(1)).alias("open"))
@@ -333,18 +337,21 @@ class CodeStructure:
         if failed:
             return failed
         spark = self.nodes.sparkSession
-        seed = spark.createDataFrame([(target["id"],)], "node string")
-        found, truncated = traverse.first_reached(self.edges, target["id"], depth, REACHED, direction)
+        found, truncated = traverse.first_reached(self.steps, target["id"], depth, REACHED, direction)
         reached = spark.createDataFrame(found, "node string, hop int")
         shown = self._rows(F.broadcast(reached).join(self.nodes, F.col("node") == F.col("id")))
-        beyond = truncated or not traverse.beyond(self.edges, reached, seed, depth, direction).isEmpty()
+        last = [n for n, hop in found if hop == depth]
+        ahead = self.steps.of(last, direction).filter(~F.col("next").isin(target["id"], *(n for n, _ in found))) if last else None
+        beyond = truncated or ahead is not None and not ahead.isEmpty()
         possible, n_possible, open_, n_open = {}, 0, {}, 0
         if direction == "callers":
             possible, n_possible = self._possible_shown(self._possible(target, reached.select(F.col("node").alias("id"))), POSSIBLE, "possible_callers")
         else:
             open_ = self._shown("unresolved_callees", self._unresolved(target), ["nth"], UNRESOLVED, lambda x: x["call"])
             n_open = len(open_.get("unresolved_callees", ())) + open_.get("unresolved_callees_omitted", 0)
-        meta = self._meta() | {"direction": direction, "depth": depth, "direct": sum(hop == 1 for _, hop in found), "total": len(found), "files": len({r["file"] for r in shown}), "truncated": truncated, "more_beyond_depth": beyond}
+        cut_at_once = truncated and found[-1][1] == 1  # then more than the found ones are neighbours
+        direct = self._ends(target["id"], direction).count() if cut_at_once else sum(hop == 1 for _, hop in found)
+        meta = self._meta() | {"direction": direction, "depth": depth, "direct": direct, "total": len(found), "files": len({r["file"] for r in shown}), "truncated": truncated, "more_beyond_depth": beyond}
         meta |= {"possible": n_possible} if direction == "callers" else {}
         warnings = meta.pop("warnings", [])
         if truncated:

@@ -20,27 +20,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and it is computed once.
 
+    Without a path of its own the table goes when the driver ends. Its number of rows is read from the files' footers.
+    """
+    own = path or f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(own)
+    if not path:
+        at_end(df.sparkSession, own)
+    return df.sparkSession.read.schema(df.schema).parquet(own)
 
-def dealt(df: DataFrame, *columns: str) -> DataFrame:
-    """df dealt out by columns and cut, so that joins on them don't move it again.
 
-    A checkpoint keeps how rows are dealt out only where the plan tells it beforehand, which adaptive
-    execution doesn't.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
-        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *columns))
-    finally:
-        conf.set(key, before)
+def at_end(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the driver ends."""
+    store, p = _at(spark, path)
+    store.deleteOnExit(p)
 
 
 def reachable(spark: SparkSession) -> None:

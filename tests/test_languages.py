@@ -13,14 +13,14 @@ def read_ini(path, text):
     return {"definitions": [fact | {"qualified": n, "name": n} for n in names]}
 
 
-def test_settings_are_merged_level_by_level(tmp_path):
-    (tmp_path / "a.yaml").write_text("name: ini\nextensions: [.ini]\nfeatures: {http_calls: true}\n")
-    (tmp_path / "b.yml").write_text("name: [broken\n")
-    (tmp_path / "c.txt").write_text("name: no\n")
-    found = languages.discover(str(tmp_path))
-    assert [x["name"] for x in found] == ["ini"]
-    assert found[0]["features"]["http_calls"] and not found[0]["jsx_routes"] and found[0]["middleware_methods"] == ["add_middleware"]
+def test_settings_are_checked_key_by_key(tmp_path):
+    (tmp_path / "a.yaml").write_text("name: ini\nextensions: [.ini]\n")
+    for name, text in {"b.yml": "name: [broken\n", "c.txt": "name: no\n", "d.yml": "name: x\nextensions: [.x]\nfeatures: {a: true}\n", "e.yml": "name: y\n", "f.yml": "- 1\n", "g.yml": "name: z\nextensions: .z\n"}.items():
+        (tmp_path / name).write_text(text)
+    assert languages.discover(str(tmp_path)) == [{"name": "ini", "extensions": (".ini",), "reader": ""}]
     assert languages.discover(str(tmp_path / "none")) == []
+    with pytest.raises(languages.SettingsError, match="unknown keys: features"):
+        languages.load(str(tmp_path / "d.yml"))
 
 
 def test_a_missing_reader_switches_off_its_language_only(spark):

@@ -62,4 +62,12 @@ def test_walks_stop_in_the_order_of_their_edges(spark):
     assert more and [n for n, _ in found] == [n for _, n in sorted((i % 7, f"n{i:03}") for i in range(350))][:300]
     found, more = traverse.first_reached(edges, "s", 3, 351, "callees")
     assert not more and found[-1] == ("far", 2) and len(found) == 351
-    assert query_language.FLOW_DEPTH
+
+
+def test_long_ways_and_deep_flows(spark):
+    rows = [(f"n{i:03}", f"n{i + 1:03}", "executable", 0) for i in range(110)] + [("n110", "n100", "executable", 0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, edge_class string, seq int")
+    assert traverse.shortest_path(edges, "n003", "n108") == [f"n{i:03}" for i in range(3, 109)]
+    assert traverse.shortest_path(edges, "n108", "n003") == []
+    assert [r["node"] for r in query_language.flow(edges, "n080", 15).orderBy("nth").collect()] == [f"n{i:03}" for i in range(80, 96)]
+    assert query_language.flow(edges, "n108", 50).count() == 11  # the way back to n100 ends before n108 comes again
