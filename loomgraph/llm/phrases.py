@@ -1,11 +1,12 @@
 """Phrase collocation mining.
 
-1. Sketch: each shard of texts hashes its words and pairs of neighbours into cells; the cells' counts are
+1. Sketches: each shard of texts hashes its words and pairs of neighbours into cells; the cells' counts are
    added up in Spark, block by block, and what remains is a bit for each cell whose count reaches the
-   threshold. A cell's count is an upper bound for all that fall into it.
-2. Candidates: in each shard, phrases whose words and pairs all have their bit. A phrase occurs no more often
-   than its rarest pair, so no phrase that is frequent enough is missing; what gets in besides is counted too
-   and falls to the threshold.
+   threshold. A cell's count is an upper bound for all that fall into it. A second sketch does the same for
+   longer phrases, of which it takes those whose words and pairs all have their bit.
+2. Candidates: in each shard, phrases that have their bit, as have all their parts. A phrase occurs no more
+   often than its rarest part, so no phrase that is frequent enough is missing; what gets in besides is
+   counted too and falls to the threshold.
 3. Counts: a shard's candidates compile into an Aho-Corasick automaton, each guarded by delimiters on both
    sides, which scans the shard's own text for all overlapping occurrences. An automaton holds phrases of
    its shard only, so its size is bounded by the shard's and nothing but the bits is broadcast.
@@ -43,10 +44,10 @@ class Settings:
     top: int = 2000
     scale: int = 2_000_000
     inside_percent: int = 80
-    #: Cells of the sketch. The bits, an eighth of it in bytes, are broadcast: 16 MB. Fewer cells let more phrases be counted in vain.
+    #: Cells of a sketch. The bits, an eighth of it in bytes, are broadcast: twice 16 MB. Fewer cells let more phrases be counted in vain.
     cells: int = 1 << 27
     #: Bytes of text that a shard holds.
-    shard: int = 8 << 20
+    shard: int = 4 << 20
 
 
 def shards(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[dict[str, bytes]]:
@@ -98,39 +99,68 @@ class Shard:
         self.real = self.ids > 0
         self.pair = self.real[:-1] & self.real[1:]
 
-    def word_cells(self, cells: int) -> np.ndarray:
-        return (_mixed(self.hashes) % np.uint64(cells)).astype(np.int64)
+    def cells(self, size: int, cells: int) -> np.ndarray:
+        """The cell of the phrase of `size` words at each place."""
+        key = self.hashes
+        for i in range(1, size):
+            key = _mixed(key[:-1] * _B + (self.hashes[i:] ^ _A))
+        return (_mixed(key) % np.uint64(cells)).astype(np.int64)
+
+    def places(self, bits: np.ndarray, cells: int, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each size from 2 on, the places of the phrases whose words and pairs all have their bit."""
+        word = _set(bits, self.cells(1, cells)) & self.real
+        pair = self.pair & word[:-1] & word[1:]
+        some = np.flatnonzero(pair)
+        pair[some] = _set(bits, self.cells(2, cells)[some])
+        ok = pair
+        for size in range(2, longest + 1):
+            yield size, np.flatnonzero(ok)
+            ok = ok[:-1] & pair[size - 1 :] if len(ok) else ok
 
-    def pair_cells(self, cells: int) -> np.ndarray:
-        return (_mixed(self.hashes[:-1] * _B + (self.hashes[1:] ^ _A)) % np.uint64(cells)).astype(np.int64)
+
+def _set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _sketched(docs: DataFrame, s: Settings) -> DataFrame:
-    """block, at (positions in the block, two bytes each) and n (counts up to the threshold, a byte each) of each shard."""
+def _sketched(docs: DataFrame, s: Settings, short) -> DataFrame:
+    """block, at (positions in the block, two bytes each) and n (a byte each for the first ones, of which there are several) of each shard.
+
+    Without the bits of the short ones (words and pairs), of those, else of the longer phrases that they allow.
+    Counts go up to the threshold.
+    """
     most = min(s.least, 255)
 
     def sketch(batches):
         for shard in shards(batches, s.shard):
-            cells = []
+            cells = [np.zeros(0, np.int64)]
             for lang, raw in shard.items():
                 own = Shard(lang, raw)
-                cells += [own.word_cells(s.cells)[own.real], own.pair_cells(s.cells)[own.pair]]
+                if short is None:
+                    cells += [own.cells(1, s.cells)[own.real], own.cells(2, s.cells)[own.pair]]
+                else:
+                    cells += [own.cells(size, s.cells)[at] for size, at in own.places(short.value, s.cells, s.longest) if size > 2 and len(at)]
             at, n = np.unique(np.concatenate(cells), return_counts=True)
             if not len(at):
                 continue
             n = np.minimum(n, most).astype(np.uint8)
+            order = np.lexsort((n == 1, at // BLOCK))
+            at, n = at[order], n[order]
             blocks, starts = np.unique(at // BLOCK, return_index=True)
-            ends = np.append(starts[1:], len(at))
+            ends, several = np.append(starts[1:], len(at)), np.concatenate([[0], np.cumsum(n > 1)])
             low = (at % BLOCK).astype("<u2")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks.astype(np.int32)), pa.array([low[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]), pa.array([n[i:j].tobytes() for i, j in zip(starts, ends, strict=True)])],
+                [
+                    pa.array(blocks.astype(np.int32)),
+                    pa.array([low[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]),
+                    pa.array([n[i : i + several[j] - several[i]].tobytes() for i, j in zip(starts, ends, strict=True)]),
+                ],
                 ["block", "at", "n"],
             )
 
     return docs.mapInArrow(sketch, "block int, at binary, n binary")
 
 
-def _bits(docs: DataFrame, s: Settings) -> np.ndarray:
+def _bits(docs: DataFrame, s: Settings, short=None) -> np.ndarray:
     """One bit a cell: whether its count, over all shards, reaches the threshold (255 at most, as counts are kept in bytes)."""
     least = min(s.least, 255)
 
@@ -146,31 +176,27 @@ def _bits(docs: DataFrame, s: Settings) -> np.ndarray:
                     if block is not None:
                         yield done()
                     block, sums = b, np.zeros(BLOCK, np.int64)
-                sums[np.frombuffer(at.as_py(), "<u2")] += np.frombuffer(n.as_py(), np.uint8)
+                places, several = np.frombuffer(at.as_py(), "<u2"), np.frombuffer(n.as_py(), np.uint8)
+                sums[places[: len(several)]] += several
+                sums[places[len(several) :]] += 1
         if block is not None:
             yield done()
 
-    rows = _sketched(docs, s).repartition("block").sortWithinPartitions("block").mapInArrow(added, "block int, bits binary")
+    rows = _sketched(docs, s, short).repartition("block").sortWithinPartitions("block").mapInArrow(added, "block int, bits binary")
     out = np.zeros(s.cells // 8, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # cells / 8 bytes
         out[r["block"] * (BLOCK // 8) : (r["block"] + 1) * (BLOCK // 8)] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
-
-
-def candidates(own: Shard, bits: np.ndarray, cells: int, longest: int) -> list[str]:
-    """The different phrases of 2 to `longest` words of a shard whose words and pairs all have their bit."""
-    word = _set(bits, own.word_cells(cells)) & own.real
-    pair = own.pair & word[:-1] & word[1:]
-    some = np.flatnonzero(pair)
-    pair[some] = _set(bits, own.pair_cells(cells)[some])
+def candidates(own: Shard, short: np.ndarray, long: np.ndarray, cells: int, longest: int) -> list[str]:
+    """The different phrases of 2 to `longest` words of a shard that have their bit, as have all their parts."""
     #: key: a number for the phrase of `size` words at each place; equal phrases have equal numbers, without hashes.
     out, key, ok = [], own.ids, np.ones(len(own.ids), bool)
-    for size in range(2, longest + 1):
-        at = np.flatnonzero(ok[: len(pair) - size + 2] & pair[size - 2 :]) if len(pair) >= size - 1 else np.zeros(0, np.int64)
+    for size, at in own.places(short, cells, longest):
+        at = at[ok[at] & ok[at + 1]]
+        if size > 2:
+            at = at[_set(long, own.cells(size, cells)[at])]
         if not len(at):
             break
         _, first, back = np.unique((key[at] << 32) | own.ids[at + size - 1], return_index=True, return_inverse=True)
@@ -192,16 +218,18 @@ def overlapping(tokens: list[str], phrases: list[str]) -> np.ndarray:
 
 def _counted(docs: DataFrame, s: Settings) -> DataFrame:
     """lang, size, phrase, n of each shard: its candidates, its words that have their bit, and all of its words as size 0."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(docs, s))
+    context = docs.sparkSession.sparkContext
+    short = context.broadcast(_bits(docs, s))
+    long = context.broadcast(_bits(docs, s, short)) if s.longest > 2 else short
 
     def count(batches):
         for shard in shards(batches, s.shard):
             for lang, raw in shard.items():
                 own = Shard(lang, raw)
-                found = candidates(own, bits.value, s.cells, s.longest)
+                found = candidates(own, short.value, long.value, s.cells, s.longest)
                 n = overlapping(own.tokens, found) if found else np.zeros(0, np.int64)
                 words = np.bincount(own.ids, minlength=len(own.words))
-                some = np.unique(own.ids[_set(bits.value, own.word_cells(s.cells)) & own.real])
+                some = np.unique(own.ids[_set(short.value, own.cells(1, s.cells)) & own.real])
                 names = [*found, *(own.words[i] for i in some.tolist()), ""]
                 sizes = [*(p.count(" ") + 1 for p in found), *[1] * len(some), 0]
                 yield pa.RecordBatch.from_arrays(
