@@ -209,11 +209,11 @@ def with_record_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.join(firsts, F.col("sha") == F.col("of")).select("page_id", "url", "payload", again.alias("revisit"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, folder: str, archive_bytes: int = 24_000_000) -> DataFrame:
-    """Writes the rows of with_record_types() as archives; path, records and bytes of each, already written.
+def writer(folder: str, archive_bytes: int):
+    """What a task does to write its records (page_id, url, payload, revisit, refers_to) as archives of about archive_bytes.
 
-    folder is a URI that pyarrow can write from any executor. A new archive begins beyond archive_bytes
-    of records.
+    Each attempt of a task writes files of its own, under names that no other has, and never renames one. So
+    attempts that run twice or at the same time don't meet, whatever the store does to a file that is there.
     """
 
     def write(batches):
@@ -221,15 +221,14 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 24_000_
 
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        part, held, size, done = TaskContext.get().partitionId(), [], 0, []
+        context = TaskContext.get()
+        attempt, held, size, done = f"{context.partitionId() if context else 0:06d}-{uuid.uuid4().hex}", [], 0, []
 
         def close():
             nonlocal held, size
-            data, name = archive(held), f"part-{part:06d}-{len(done):05d}.warc.zst"
-            mine = f"{base}/.{name}-{uuid.uuid4().hex}"
-            with store.open_output_stream(mine) as out:
+            data, name = archive(held), f"part-{attempt}-{len(done):05d}.warc.zst"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:  # else the name would make it one more frame
                 out.write(data)
-            store.move(mine, f"{base}/{name}")
             done.append((name, len(held), len(data)))
             held, size = [], 0
 
@@ -245,9 +244,34 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 24_000_
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], ["archive", "records", "bytes"])
 
+    return write
+
+
+def write_archives(records: DataFrame, folder: str, archive_bytes: int = 24_000_000) -> DataFrame:
+    """Writes the rows of with_record_types() as archives; path, records and bytes of each, already written.
+
+    folder is a URI that pyarrow can write from any executor. A new archive begins beyond archive_bytes
+    of records, which are in the order of their ids. The list holds the files of the attempts that Spark has
+    committed; what others left behind isn't listed, and is removed.
+    """
     listed = f"{folder}/listed"
-    records.select("page_id", "url", "payload", "revisit", "refers_to").mapInArrow(write, "archive string, records long, bytes long").write.parquet(listed)
-    return records.sparkSession.read.parquet(listed)
+    rows = records.select("page_id", "url", "payload", "revisit", "refers_to").sortWithinPartitions("page_id", "url")
+    rows.mapInArrow(writer(folder, archive_bytes), "archive string, records long, bytes long").write.parquet(listed)
+    out = records.sparkSession.read.parquet(listed)
+    remove_unlisted(folder, out)
+    return out
+
+
+def remove_unlisted(folder: str, listed: DataFrame) -> None:
+    """Removes archives in folder that aren't listed: those of attempts that died, or lost to another."""
+    there = listed.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"))
+
+    def remove(rows):
+        store, base = fs.FileSystem.from_uri(folder)
+        for r in rows:
+            store.delete_file(f"{base}/{r['archive']}")
+
+    there.join(listed.select("archive"), "archive", "left_anti").foreachPartition(remove)
 
 
 def read_archives(spark: SparkSession, folder: str, listed: DataFrame, payloads: bool = False) -> DataFrame:

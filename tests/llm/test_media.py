@@ -119,6 +119,38 @@ def test_revisits_can_get_the_payload_back(spark):
     assert got == {1: b"ab" * 50, 2: b"ab" * 50, 3: b"x"}
 
 
+def test_attempts_that_run_twice_write_files_of_their_own(spark, monkeypatch, tmp_path):
+    """The first attempt dies behind its first archive, two more run whole; one of these is committed."""
+    import pyarrow as pa
+
+    def refuse(*_):
+        raise OSError("there is a file of that name")
+
+    monkeypatch.setattr(warc, "fs", type("Store", (), {"FileSystem": warc.fs.FileSystem, "move": refuse}))
+    folder = f"file://{tmp_path}"
+    data = [(i, f"u{i}", bytes([65 + i]) * 200, False, None) for i in range(6)]
+    kinds = (pa.int64(), pa.string(), pa.binary(), pa.bool_(), pa.int64())
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["page_id", "url", "payload", "revisit", "refers_to"])
+    write = warc.writer(folder, 300)
+
+    def dying():
+        yield batch(data[:2])
+        raise MemoryError
+
+    with pytest.raises(MemoryError):
+        list(write(dying()))
+    left = {p.name for p in tmp_path.iterdir()}
+    assert left
+    lost, won = (list(write(iter([batch(list(reversed(data))), batch([])]))), list(write(iter([batch(data)]))))
+    names = lambda out: [x for b in out for x in b.column(0).to_pylist()]
+    assert not set(names(lost)) & set(names(won)) and not left & set(names(won))
+    listed = spark.createDataFrame([(n,) for n in names(won)], "archive string")
+    warc.remove_unlisted(folder, listed)
+    assert {p.name for p in tmp_path.iterdir() if p.suffix == ".zst"} == set(names(won))
+    got = {r["page_id"]: bytes(r["payload"]) for r in rows(warc.read_archives(spark, folder, listed, payloads=True))}
+    assert got == {i: payload for i, _, payload, _, _ in data}
+
+
 def test_broken_archives_are_refused():
     good = warc.archive([warc.record(1, "u", b"payload", warc.digest(b"payload"), None, False)])
     assert list(warc.read_archive(good))[0]["payload"] == b"payload"
