@@ -143,13 +143,14 @@ def beyond(edges: DataFrame | Steps, reached: DataFrame, seeds: DataFrame, depth
     return steps_of(edges).after(last, last.count(), direction, classes).select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
 
 
-def closure(parents: DataFrame) -> DataFrame:
-    """node, ancestor, distance over (child, parent), the shortest distance of each pair.
+def closure(parents: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """node, ancestor, distance over (child, parent), the shortest distance of each pair; of these nodes (child) only, if given.
 
     Chains may have any length: a round adds one step, until none finds a new pair, so cycles end.
     """
     up = parents.select(F.col("child"), F.col("parent")).filter("child <> parent").distinct()
-    known = cut(up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
+    first = up if of is None else up.join(of.select("child").distinct(), "child", "left_semi")
+    known = cut(first.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
     level, new = 1, known
     while not new.isEmpty():
         level += 1

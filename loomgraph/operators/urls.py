@@ -22,12 +22,12 @@ def _keys(kind: str, values: Column, score: int = 0) -> Column:
     return F.transform(values, lambda k: F.struct(F.lit(score).alias("score"), F.lit(kind).alias("kind"), k.alias("key")))
 
 
-def _held(url: Column) -> Column:
+def held_keys(url: Column) -> Column:
     """The keys under which a route's URL is found: itself, its leading and its trailing parts."""
     return F.concat(_keys("whole", F.array(url)), _keys("lead", _parts(url, True)), _keys("trail", _parts(url, False)))
 
 
-def _asked(calls: DataFrame) -> DataFrame:
+def asked_keys(calls: DataFrame) -> DataFrame:
     """calls (call, folded, ...) with each score that a fit can have, and the kind and key that it is found under."""
     c = F.col("call")
     one = F.concat(_keys("whole", F.array(c), 100), _keys("whole", F.array("folded"), 95))
@@ -47,10 +47,10 @@ def answers(calls: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = known.groupBy("tier", "url", "method").agg(F.min("target").alias("target"), F.max("target").alias("most")).filter("target = most").drop("most")
     head = one.filter("method = 'GET'").join(known.filter("method = 'HEAD'").select("tier", "url").distinct(), ["tier", "url"], "left_anti")
     one = one.union(head.withColumn("method", F.lit("HEAD")).select(one.columns))
-    held = one.withColumn("k", F.explode(_held(F.col("url")))).groupBy("k.kind", "k.key", "method").agg(F.min(F.struct("tier", "url", "target")).alias("first"))
-    asked = _asked(calls.select("method", "call", "folded").distinct())
+    held = one.withColumn("k", F.explode(held_keys(F.col("url")))).groupBy("k.kind", "k.key", "method").agg(F.min(F.struct("tier", "url", "target")).alias("first"))
+    asked = asked_keys(calls.select("method", "call", "folded").distinct())
     best = asked.join(held, ["kind", "key", "method"]).groupBy("method", "call", "folded").agg(F.min(F.struct((-F.col("score")).alias("less"), "first")).alias("best"))
-    every = known.select("url").distinct().select(F.explode(_held(F.col("url"))).alias("k")).select("k.kind", "k.key").distinct()
+    every = known.select("url").distinct().select(F.explode(held_keys(F.col("url"))).alias("k")).select("k.kind", "k.key").distinct()
     seen = asked.join(every, ["kind", "key"], "left_semi").select("call", "folded").distinct()
     return best.select("method", "call", "best.first.tier", "best.first.url", "best.first.target"), seen
 
@@ -103,7 +103,7 @@ def named_answers(calls: DataFrame, names: DataFrame, endpoints: DataFrame) -> D
     found = found.join(own, "target", "left")
     id_ = F.lower("target")
     tail = F.ltrim(F.element_at(F.split(id_, ":"), -1), F.lit("@"))
-    prefix = F.coalesce(*[F.when(F.col("method") == m, F.filter(F.array(*map(F.lit, ps)), lambda x: F.startswith(tail, x))[0]) for m, ps in VERBS.items()])
+    prefix = F.coalesce(*[F.when(F.col("method") == m, F.get(F.filter(F.array(*map(F.lit, ps)), lambda x: F.startswith(tail, x)), F.lit(0))) for m, ps in VERBS.items()])
     rest = F.when(prefix.isNotNull(), F.substr(tail, F.length(prefix) + 1)).otherwise(tail)
     wanted = F.array_join(F.transform(F.when(F.size("words") > 1, F.slice("words", 2, 1 << 20)).otherwise(F.col("words")), _singular), "_")
     file, base = F.col("file"), F.element_at(F.split("file", "/"), -1)
@@ -136,8 +136,8 @@ def best_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     leading or trailing part of it, so calls meet keys of routes; each key keeps its least and greatest
     route, which is enough to tell ties, and no pair of a call and a route is built.
     """
-    held = routes.select("route", F.explode(_held(F.col("route"))).alias("k")).groupBy("k.kind", "k.key").agg(F.min("route").alias("least"), F.max("route").alias("most"))
-    fits = _asked(calls.select("call", "folded").distinct()).join(held, ["kind", "key"])
+    held = routes.select("route", F.explode(held_keys(F.col("route"))).alias("k")).groupBy("k.kind", "k.key").agg(F.min("route").alias("least"), F.max("route").alias("most"))
+    fits = asked_keys(calls.select("call", "folded").distinct()).join(held, ["kind", "key"])
     level = fits.groupBy("call", "folded", "score").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     best = level.groupBy("call", "folded").agg(F.max(F.struct("score", "least", "most")).alias("b"))
     return best.select("call", "folded", F.when(F.col("b.least") == F.col("b.most"), F.col("b.least")).alias("route"), "b.score")

@@ -84,6 +84,7 @@ def modules(requested: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def nodes_of(found: DataFrame) -> DataFrame:
+    """The nodes of files but their folders; each file has its own, from its facts alone."""
     text = lambda c: F.lit(None).cast(c)
     shown = ["signature", "docstring", "decorators", "base_classes", "calls", "returns", "preview", "is_async", "is_generator", "is_exported", "param_count"]
     kinds = {"signature": "string", "docstring": "string", "decorators": "array<string>", "base_classes": "array<string>", "calls": "array<string>", "returns": "array<string>", "preview": "string", "is_async": "boolean", "is_generator": "boolean", "is_exported": "boolean", "param_count": "int"}
@@ -102,9 +103,6 @@ def nodes_of(found: DataFrame) -> DataFrame:
 
     own_lists = [brought.alias("imports"), F.array_distinct(F.transform("exports", offer)).alias("exports"), F.col("frameworks")]
     files = found.select(p.alias("id"), F.lit("File").alias("kind"), last(p).alias("name"), p.alias("qualified"), p.alias("file"), folder_of(p).alias("parent"), F.lit(1).alias("start"), F.col("lines").alias("end"), *empty, *route_columns, *own_lists)
-    folder = found.select(F.explode(ancestors(p)).alias("f")).distinct()
-    f = F.col("f")
-    folders = folder.select(f.alias("id"), F.lit("Folder").alias("kind"), last(f).alias("name"), f.alias("qualified"), f.alias("file"), folder_of(f).alias("parent"), text("int").alias("start"), text("int").alias("end"), *empty, *route_columns, *lists)
     d = found.select("path", F.posexplode("definitions").alias("nth", "d")).select("path", "nth", "d.*")
     d = resolve.latest(d.withColumn("id", F.concat("path", F.lit(":"), "qualified")), ["id"], ["nth"])
     parent = F.when(F.col("parent").isNull(), p).otherwise(F.concat(p, F.lit(":"), "parent"))
@@ -116,40 +114,86 @@ def nodes_of(found: DataFrame) -> DataFrame:
     m = m.groupBy("path", "name").agg(F.max(F.struct("line", "var", "kind")).alias("last"))  # of one name the last counts
     blank = [text("string").alias("url"), F.array(F.col("last.kind")).alias("methods"), text("array<string>").alias("handlers"), F.col("last.var").alias("var")]
     around = m.select(F.concat("path", F.lit(":mw:"), "name").alias("id"), F.lit("Middleware").alias("kind"), "name", F.col("name").alias("qualified"), p.alias("file"), p.alias("parent"), F.col("last.line").alias("start"), F.col("last.line").alias("end"), *empty, *blank, *lists)
-    return files.unionByName(folders).unionByName(definitions).unionByName(routes).unionByName(around)
+    return files.unionByName(definitions).unionByName(routes).unionByName(around)
+
+
+def folders_of(found: DataFrame) -> DataFrame:
+    """id, kind, name, qualified, file, parent of the folders that files (path) lie in."""
+    last = F.element_at(F.split("f", "/"), -1)
+    folder = found.select(F.explode(ancestors(F.col("path"))).alias("f")).distinct()
+    parent = F.when(F.contains("f", F.lit("/")), F.regexp_replace("f", "/[^/]*$", ""))
+    return folder.select(F.col("f").alias("id"), F.lit("Folder").alias("kind"), last.alias("name"), F.col("f").alias("qualified"), F.col("f").alias("file"), parent.alias("parent"))
+
+
+def with_folders(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return nodes.unionByName(folders_of(found), allowMissingColumns=True)
+
+
+def offers_of(found: DataFrame, where: DataFrame, nodes: DataFrame) -> DataFrame:
+    """owner, how, name, module_file, imported, node: what files offer to others, and how.
+
+    own: a name with its node, which scripts export and Python files define at their top level; pass: a name
+    that stands for another one of another file, which scripts export again and Python files import; star: all
+    names of another file but its default; explicit: a name that goes before those of stars.
+    """
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    row = lambda df, how, name, file=None, imported=None, node=None: df.select(F.col("path").alias("owner"), F.lit(how).alias("how"), name.alias("name"), file if file is not None else none("module_file"), imported if imported is not None else none("imported"), node if node is not None else none("node"))
+    e = found.select("path", F.explode("exports").alias("e")).select("path", "e.*")
+    local = e.filter("kind = 'local'").withColumn("node", F.concat("path", F.lit(":"), "local"))
+    own = row(local.join(nodes.select(F.col("id").alias("node")), "node"), "own", F.col("exported"), node=F.col("node"))
+    python = nodes.filter(F.endswith("file", F.lit(".py")) & F.col("kind").isin("Class", "Function") & ~F.contains("qualified", F.lit("."))).withColumn("path", F.col("file"))
+    python = python.join(found.select("path"), "path", "left_semi")
+    own = own.union(row(python, "own", F.col("qualified"), node=F.col("id")))
+    again = e.filter("kind IN ('reexport', 'star')").join(where, "module")
+    file = F.col("module_file")
+    passed = row(again.filter("kind = 'reexport'"), "pass", F.col("exported"), file, F.col("imported"))
+    stars = row(again.filter("kind = 'star'"), "star", F.lit(""), file)
+    brought = found.select("path", F.explode("imports").alias("i")).select("path", "i.*").filter("alias IS NOT NULL").join(where, "module")
+    taken = python.select("path", F.col("qualified").alias("alias"))
+    brought = row(brought.join(taken, ["path", "alias"], "left_anti"), "pass", F.col("alias"), file, F.col("symbol").alias("imported"))
+    explicit = row(e.filter("kind <> 'star'"), "explicit", F.col("exported"))
+    return own.union(passed).union(brought).union(stars).union(explicit).distinct()
+
+
+def one_step(offers: DataFrame, known: DataFrame) -> DataFrame:
+    """file, name, node of what offers pass on of known (file, name, node)."""
+    passed = offers.filter("how = 'pass'").select("owner", F.col("name").alias("as"), F.col("module_file").alias("file"), F.col("imported").alias("name"))
+    one = passed.join(known, ["file", "name"]).select(F.col("owner").alias("file"), F.col("as").alias("name"), "node")
+    stars = offers.filter("how = 'star'").select("owner", F.col("module_file").alias("file")).distinct()
+    explicit = offers.filter("how = 'explicit'").select(F.col("owner").alias("file"), "name")
+    every = stars.join(known, "file").filter("name <> 'default'").select(F.col("owner").alias("file"), "name", "node")
+    return one.union(every.join(explicit, ["file", "name"], "left_anti"))
+
+
+def followed(offers: DataFrame, known: DataFrame, new: DataFrame) -> DataFrame:
+    """known and all that follows from new, which isn't in it: file, name, node. Ends on cycles, as it only adds."""
+    rounds = 0
+    while not new.isEmpty():
+        known, rounds = known.unionByName(new), rounds + 1
+        known = cut(known) if rounds % 20 == 0 else known
+        new = cut(one_step(offers, new).distinct().join(known, ["file", "name", "node"], "left_anti"))
+    return known
+
+
+def own_of(offers: DataFrame) -> DataFrame:
+    return offers.filter("how = 'own'").select(F.col("owner").alias("file"), "name", "node").distinct()
 
 
 def exported(found: DataFrame, where: DataFrame, nodes: DataFrame) -> DataFrame:
     """file, name, node: what the names that files offer to others mean, through re-exports and stars.
 
-    Scripts offer what they export, Python files their top-level definitions and what they import from others.
     A round follows each re-export by one file, until a round finds nothing new. A name that several stars
     give different meanings has none; a name of the file's own goes before stars, and stars don't pass on
     the default.
     """
-    e = found.select("path", F.explode("exports").alias("e")).select("path", "e.*")
-    e = cut(e.join(where, "module", "left"))
-    own = e.filter("kind = 'local'").select(F.col("path").alias("file"), F.col("exported").alias("name"), F.concat("path", F.lit(":"), "local").alias("node"))
-    python = nodes.filter(F.endswith("file", F.lit(".py")) & F.col("kind").isin("Class", "Function") & ~F.contains("qualified", F.lit(".")))
-    known = own.join(nodes.select(F.col("id").alias("node")), "node").select("file", "name", "node").distinct()
-    known = cut(known.union(python.select("file", "qualified", "id")).distinct())
-    brought = found.select("path", F.explode("imports").alias("i")).select("path", "i.*").filter("alias IS NOT NULL").join(where, "module")
-    taken = python.select(F.col("file").alias("path"), F.col("qualified").alias("alias"))
-    brought = brought.join(taken, ["path", "alias"], "left_anti").select("path", F.col("alias").alias("exported"), "module_file", F.col("symbol").alias("imported"))
-    passed = e.filter("kind = 'reexport' AND module_file IS NOT NULL").select("path", "exported", "module_file", "imported").union(brought)
-    stars = e.filter("kind = 'star' AND module_file IS NOT NULL").select("path", "module_file")
-    if passed.union(stars.withColumns({"exported": F.lit(""), "imported": F.lit("")}).select(passed.columns)).isEmpty():
-        return known
-    explicit = e.filter("kind <> 'star'").select(F.col("path").alias("file"), F.col("exported").alias("name")).distinct()
-    n = known.count()
-    while True:
-        one = passed.join(known, (F.col("module_file") == F.col("file")) & (F.col("imported") == F.col("name"))).select(F.col("path").alias("file"), F.col("exported").alias("name"), "node")
-        all_ = stars.join(known, F.col("module_file") == F.col("file")).filter("name <> 'default'").select(F.col("path").alias("file"), "name", "node")
-        known = cut(known.union(one).union(all_.join(explicit, ["file", "name"], "left_anti")).distinct())
-        if (more := known.count()) == n:
-            break
-        n = more
-    return resolve.unique_target(known, ["file", "name"], "node")
+    offers = cut(offers_of(found, where, nodes))
+    return resolve.unique_target(meanings(offers), ["file", "name"], "node")
+
+
+def meanings(offers: DataFrame) -> DataFrame:
+    """file, name, node: every meaning that a name has."""
+    own = own_of(offers)
+    return own if offers.filter("how IN ('pass', 'star')").isEmpty() else followed(offers, own.limit(0), cut(own))
 
 
 def _refs(rows: DataFrame, where: DataFrame, nodes: DataFrame, out: DataFrame) -> DataFrame:
@@ -161,8 +205,8 @@ def _refs(rows: DataFrame, where: DataFrame, nodes: DataFrame, out: DataFrame) -
     return named.join(nodes.filter(F.col("kind").isin("Class", "Function", "Declaration")).select(F.col("id").alias("ref"), F.col("kind").alias("ref_kind")), "ref")
 
 
-def mounted(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
-    """nodes with full_url: a route's URL under the prefix that its router is mounted at, if that is one.
+def prefixes(found: DataFrame, where: DataFrame) -> DataFrame:
+    """file, var, full: the prefix that a router is mounted at, if that is one.
 
     A router can be mounted on one that is mounted itself, in any number of steps and with prefixes of any
     length. Each router has no prefix yet, one, or several, and each round passes that on by one step; as
@@ -178,7 +222,7 @@ def mounted(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
     of = m.select(at.alias("file"), F.coalesce("local", "symbol").alias("var"), "prefix", F.col("path").alias("up_file"), F.col("parent").alias("up_var")).filter("file IS NOT NULL")
     of = cut(of.filter("NOT (file = up_file AND var = up_var)").distinct())
     if of.isEmpty():
-        return nodes.withColumn("full_url", F.lit(None).cast("string"))
+        return of.select("file", "var", F.col("prefix").alias("full"))
     inner = of.select(F.col("file").alias("up_file"), F.col("var").alias("up_var")).distinct()
     one, several = F.min("full"), F.max("several") | (F.min("full") != F.max("full"))
     first = of.join(inner, ["up_file", "up_var"], "left_anti").select("file", "var", F.col("prefix").alias("full"), F.lit(False).alias("several"))
@@ -191,42 +235,60 @@ def mounted(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
         up = known.select(F.col("file").alias("up_file"), F.col("var").alias("up_var"), F.col("full").alias("above"), "several")
         passed = of.join(up, ["up_file", "up_var"]).select("file", "var", F.when(~F.col("several"), joined_url(F.col("above"), F.col("prefix"))).alias("full"), "several")
         known = cut(merge(first.unionByName(passed)))
-    known = known.filter("NOT several").select("file", "var", "full")
-    both = nodes.join(known, ["file", "var"], "left")
+    return known.filter("NOT several").select("file", "var", "full")
+
+
+def mounted(nodes: DataFrame, above: DataFrame) -> DataFrame:
+    """nodes with full_url: a route's URL under the prefix (file, var, full) of its router."""
+    both = nodes.join(above, ["file", "var"], "left")
     return both.withColumn("full_url", F.when(F.col("full").isNotNull() & (F.col("kind") == "Route"), joined_url(F.col("full"), F.col("url")))).drop("full")
 
 
-def modules_of(found: DataFrame) -> DataFrame:
-    """module, module_file for every module that any fact of the files names."""
+def asked_of(found: DataFrame) -> DataFrame:
+    """owner, module: every module that any fact of a file names."""
     asked = None
     for c in ("imports", "references", "base_refs", "exports", "mounts"):
-        one = found.select(F.explode(c).alias("x")).select("x.module")
+        one = found.select("path", F.explode(c).alias("x")).select("path", "x.module")
         asked = one if asked is None else asked.union(one)
-    deeper = found.select(F.explode("imports").alias("x")).filter("x.symbol IS NOT NULL").select(F.concat(F.regexp_replace("x.module", "/$", ""), F.lit("/"), "x.symbol").alias("module"))
-    return modules(asked.union(deeper), found)
+    deeper = found.select("path", F.explode("imports").alias("x")).filter("x.symbol IS NOT NULL").select("path", F.concat(F.regexp_replace("x.module", "/$", ""), F.lit("/"), "x.symbol").alias("module"))
+    return asked.union(deeper).filter("module IS NOT NULL AND module <> ''").select(F.col("path").alias("owner"), "module").distinct()
+
+
+def modules_of(found: DataFrame) -> DataFrame:
+    """module, module_file for every module that any fact of the files names."""
+    return modules(asked_of(found), found)
+
+
+def http_calls(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """owner, src, seq, method, call, folded: a call belongs to its file and to every function whose lines hold it."""
+    http = found.select(F.col("path").alias("file"), F.posexplode("http").alias("seq", "h")).select("file", "seq", "h.*")
+    inside = resolve.in_intervals(http, nodes.filter("kind IN ('Function', 'File')").select("file", F.col("id").alias("src"), "start", "end"), ["file"], "line", "start", "end")
+    return inside.select(F.col("file").alias("owner"), "src", "seq", "method", normalize_url(F.col("url")).alias("call"), normalize_url(F.col("url"), True).alias("folded"))
+
+
+def url_targets(nodes: DataFrame) -> DataFrame:
+    """tier, url, method, target: routes, and functions with an endpoint of their own."""
+    methods = F.explode(F.when(F.size("methods") > 0, F.col("methods")).otherwise(F.array(F.lit("GET")))).alias("method")
+    first = nodes.filter("kind = 'Route'").select(F.lit(1).alias("tier"), normalize_url(F.coalesce("full_url", "url")).alias("url"), methods, F.col("id").alias("target"))
+    second = endpoints(nodes).select(F.lit(2).alias("tier"), module_url(normalize_url(F.col("url")), F.col("file")).alias("url"), methods, "target")
+    return first.unionByName(second)
 
 
-def requests(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """src, dst, seq: HTTP calls to what answers them. A call belongs to its file and to every function whose lines hold it.
+def requests(calls: DataFrame, nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """owner, src, dst, seq: HTTP calls to what answers them; and owner of the calls that no URL fits.
 
     Routes are asked first, then functions with an endpoint of their own, then, for URLs that fit none of
     either, functions by their names. See operators.urls.
     """
-    http = found.select(F.col("path").alias("file"), F.posexplode("http").alias("seq", "h")).select("file", "seq", "h.*")
-    inside = resolve.in_intervals(http, nodes.filter("kind IN ('Function', 'File')").select("file", F.col("id").alias("src"), "start", "end"), ["file"], "line", "start", "end")
-    calls = cut(inside.select("src", "seq", "method", normalize_url(F.col("url")).alias("call"), normalize_url(F.col("url"), True).alias("folded")))
-    if calls.isEmpty():
-        return calls.select("src", F.col("src").alias("dst"), F.col("seq").cast("long").alias("seq"))
     asked = calls.select("method", "call", "folded").distinct()
-    routes = nodes.filter("kind = 'Route'")
+    met, seen = urls.answers(asked, targets)
+    open_ = asked.join(seen, ["call", "folded"], "left_anti")
     methods = F.explode(F.when(F.size("methods") > 0, F.col("methods")).otherwise(F.array(F.lit("GET")))).alias("method")
-    first = routes.select(F.lit(1).alias("tier"), normalize_url(F.coalesce("full_url", "url")).alias("url"), methods, F.col("id").alias("target"))
-    second = endpoints(nodes).select(F.lit(2).alias("tier"), module_url(normalize_url(F.col("url")), F.col("file")).alias("url"), methods, "target")
-    met, seen = urls.answers(asked, cut(first.unionByName(second)))
     names = nodes.filter("kind IN ('Function', 'Class')").select(F.col("id").alias("target"), "name", "file", "kind")
-    named = urls.named_answers(asked.join(seen, ["call", "folded"], "left_anti"), names, endpoints(nodes).select("target", methods))
+    named = urls.named_answers(open_, names, endpoints(nodes).select("target", methods))
     best = met.select("method", "call", "target").union(named.select("method", "call", "target"))
-    return calls.join(best, ["method", "call"]).filter("src <> target").groupBy("src", F.col("target").alias("dst")).agg(F.min("seq").cast("long").alias("seq"))
+    found = calls.join(best, ["method", "call"]).filter("src <> target").groupBy("owner", "src", F.col("target").alias("dst")).agg(F.min("seq").cast("long").alias("seq"))
+    return found, calls.join(open_.select("call", "folded").distinct(), ["call", "folded"], "left_semi").select("owner").distinct()
 
 
 def endpoints(nodes: DataFrame) -> DataFrame:
@@ -238,54 +300,98 @@ def endpoints(nodes: DataFrame) -> DataFrame:
 
 
 def containment(nodes: DataFrame) -> DataFrame:
-    """src, dst, edge_class, seq: what lies in what; definitions within a function lie in its file as well."""
-    inside = nodes.filter("parent IS NOT NULL").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
-    of_function = nodes.join(nodes.filter("kind = 'Function'").select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("id").alias("src"), F.col("file").alias("dst"))
-    return inside.union(of_function).distinct().select("src", "dst", F.lit("structural").alias("edge_class"), F.lit(0).cast("long").alias("seq"))
+    """owner, src, dst: what lies in what; definitions within a function lie in its file as well."""
+    owner = F.when(F.col("kind") != "Folder", F.col("file")).otherwise("").alias("owner")
+    inside = nodes.filter("parent IS NOT NULL").select(owner, F.col("id").alias("src"), F.col("parent").alias("dst"))
+    of_function = nodes.join(nodes.filter("kind = 'Function'").select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("file").alias("owner"), F.col("id").alias("src"), F.col("file").alias("dst"))
+    return inside.union(of_function).distinct()
 
 
-def edges_of(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
-    """All edges, from the facts, the nodes and the modules of the same files."""
-    imports = found.select("path", F.explode("imports").alias("i")).select("path", "i.*")
-    references = found.select("path", F.explode("references").alias("r")).select("path", "r.*")
+def bases_of(found: DataFrame, where: DataFrame, nodes: DataFrame, out: DataFrame) -> DataFrame:
+    """owner, child, parent: classes and their bases, where these are known."""
     bases = found.select("path", F.explode("base_refs").alias("b")).select("path", "b.*")
-    seq = F.lit(0).cast("long")
+    known = _refs(bases, where, nodes, out).filter("ref_kind = 'Class'")
+    return known.select(F.col("path").alias("owner"), F.concat("path", F.lit(":"), "child").alias("child"), F.col("ref").alias("parent")).distinct()
+
+
+def calls_of(found: DataFrame, where: DataFrame, nodes: DataFrame, out: DataFrame) -> DataFrame:
+    """References of files with ref, the node that they name, and its kind."""
+    references = found.select("path", F.explode("references").alias("r")).select("path", "r.*")
+    return _refs(references, where, nodes, out).withColumn("caller", F.concat("path", F.lit(":"), "caller"))
+
+
+#: A link is an edge with the file whose facts make it, and how: edges that several make are one.
+LINK = ["owner", "how", "src", "dst", "edge_class", "seq"]
 
-    structural = containment(nodes).select("src", "dst", "seq")
+
+def links_of(found: DataFrame, nodes: DataFrame, where: DataFrame, calls: DataFrame, above: DataFrame) -> DataFrame:
+    """The links (LINK) of files but those of HTTP calls and of what lies in what.
+
+    found: facts of the files; nodes, where, above: of the whole workspace; calls: see calls_of().
+    """
+    imports = found.select("path", F.explode("imports").alias("i")).select("path", "i.*")
+    owner, seq = F.col("path").alias("owner"), F.lit(0).cast("long").alias("seq")
 
     whole = imports.select("path", "module").union(imports.filter("symbol IS NOT NULL").select("path", F.concat(F.regexp_replace("module", "/$", ""), F.lit("/"), "symbol")))
-    imported = whole.join(where, "module").filter("module_file <> path").select(F.col("module_file").alias("src"), F.col("path").alias("dst")).distinct().withColumn("seq", seq)
+    imported = whole.join(where, "module").filter("module_file <> path").select(owner, F.col("module_file").alias("src"), F.col("path").alias("dst"), seq).distinct()
 
-    relations = found.select("path", F.explode("relations").alias("r")).select(F.concat("path", F.lit(":"), "r.owner").alias("owner"), F.col("r.model").alias("model"))
+    relations = found.select("path", F.explode("relations").alias("r")).select("path", F.concat("path", F.lit(":"), "r.owner").alias("holder"), F.col("r.model").alias("model"))
     models = nodes.filter("kind = 'Class'").select(F.col("name").alias("model"), "id", F.col("file").alias("model_file"))
-    named = relations.join(models, "model").withColumn("tier", resolve.unless(F.startswith("owner", F.concat("model_file", F.lit(":")))))
-    related = resolve.unique_target(resolve.lowest_tier(named, ["owner", "model"], "tier"), ["owner", "model"], "id").filter("id <> owner").select(F.col("id").alias("src"), F.col("owner").alias("dst")).distinct().withColumn("seq", seq)
+    named = relations.join(models, "model").withColumn("tier", resolve.unless(F.startswith("holder", F.concat("model_file", F.lit(":")))))
+    related = resolve.unique_target(resolve.lowest_tier(named, ["path", "holder", "model"], "tier"), ["path", "holder", "model"], "id").filter("id <> holder").select(owner, F.col("id").alias("src"), F.col("holder").alias("dst"), seq).distinct()
 
-    out = cut(exported(found, where, nodes))
-    calls = cut(_refs(references, where, nodes, out).withColumn("caller", F.concat("path", F.lit(":"), "caller")))
-    parents = _refs(bases, where, nodes, out).filter("ref_kind = 'Class'").select(F.concat("path", F.lit(":"), "child").alias("child"), F.col("ref").alias("parent"))
-    above = traverse.closure(parents)
     line = nodes.filter("kind = 'Class'").select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("distance")).unionByName(above)
     members = calls.filter("kind IN ('member', 'super') AND ref_kind = 'Class'").join(line, F.col("ref") == F.col("node")).filter("kind = 'member' OR distance > 0")
     methods = nodes.filter("kind = 'Function'").select(F.col("id").alias("callee"))
     held = members.withColumn("callee", F.concat("ancestor", F.lit("."), "member")).join(methods, "callee")
-    near = resolve.unique_target(resolve.lowest_tier(held, ["caller", "call", "seq"], "distance"), ["caller", "call", "seq"], "callee")
-    plain = calls.filter("kind = 'name'").select("caller", "call", "seq", F.col("ref").alias("callee"))
-    called = plain.unionByName(near).filter("caller <> callee").groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.min("seq").cast("long").alias("seq"))
+    by = ["path", "caller", "call", "seq"]
+    near = resolve.unique_target(resolve.lowest_tier(held, by, "distance"), by, "callee")
+    plain = calls.filter("kind = 'name'").select(*by, F.col("ref").alias("callee"))
+    called = plain.unionByName(near).filter("caller <> callee").groupBy(owner, F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.min("seq").cast("long").alias("seq"))
 
-    routed = nodes.filter("kind = 'Route'").select(F.col("id").alias("src"), "file", F.posexplode("handlers").alias("nth", "handler"))
+    own = nodes.join(found.select(F.col("path").alias("file")), "file", "left_semi").filter("kind IN ('Route', 'Middleware')")
+    routed = own.filter("kind = 'Route'").select(F.col("id").alias("src"), "file", F.posexplode("handlers").alias("nth", "handler"))
     views = nodes.filter("kind IN ('Function', 'Class')").select(F.col("id").alias("view"), F.col("file").alias("view_file"), "qualified", "name")
-    tail = F.element_at(F.split("handler", r"\."), -1)
-    fits = routed.join(views, F.col("name") == tail).withColumn("tier", F.when((F.col("view_file") == F.col("file")) & (F.col("qualified") == F.col("handler")), 0).when(F.col("view_file") == F.col("file"), 1).otherwise(2))
-    handled = resolve.unique_target(resolve.lowest_tier(fits, ["src", "handler"], "tier"), ["src", "handler"], "view").select("src", F.col("view").alias("dst")).distinct().withColumn("seq", seq)
+    fits = routed.join(views, F.col("name") == handler_name(F.col("handler"))).withColumn("tier", F.when((F.col("view_file") == F.col("file")) & (F.col("qualified") == F.col("handler")), 0).when(F.col("view_file") == F.col("file"), 1).otherwise(2))
+    by = ["file", "src", "handler"]
+    handled = resolve.unique_target(resolve.lowest_tier(fits, by, "tier"), by, "view").select(F.col("file").alias("owner"), "src", F.col("view").alias("dst"), seq).distinct()
+
+    wrapping = own.filter("kind = 'Middleware' AND var IS NOT NULL").select(F.col("id").alias("src"), "file", "var")
+    wrapped = resolve.or_fallback(wrapping, own.filter("kind = 'Route' AND var <> ''").select(F.col("id").alias("dst"), "file", "var"), ["file"], "var", F.col("var") == "app")
+    wrapped = wrapped.select(F.col("file").alias("owner"), "src", "dst", seq)
+    python = F.when(F.contains("src", F.lit(".py:")), "executable").otherwise("generated")
+    parts = {"import": (imported, F.lit("structural")), "relation": (related, F.lit("structural")), "call": (called, python), "handler": (handled, F.lit("generated")), "middleware": (wrapped, F.lit("generated"))}
+    out = None
+    for how, (df, kind) in parts.items():
+        one = df.select("owner", F.lit(how).alias("how"), "src", "dst", kind.alias("edge_class"), "seq")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def handler_name(handler):
+    return F.element_at(F.split(handler, r"\."), -1)
 
-    asked_for = requests(found, nodes)
-    wrapping = nodes.filter("kind = 'Middleware' AND var IS NOT NULL").select(F.col("id").alias("src"), "file", "var")
-    wrapped = resolve.or_fallback(wrapping, nodes.filter("kind = 'Route' AND var <> ''").select(F.col("id").alias("dst"), "file", "var"), ["file"], "var", F.col("var") == "app")
-    wrapped = wrapped.select("src", "dst").withColumn("seq", seq)
-    python = F.contains("src", F.lit(".py:"))
-    kind = lambda df, name: df.select("src", "dst", F.lit(name).alias("edge_class"), "seq")
-    return kind(structural.union(imported).union(related), "structural").union(kind(called.filter(python), "executable")).union(kind(called.filter(~python).union(handled).union(wrapped).union(asked_for), "generated")).dropDuplicates(["src", "dst", "edge_class"])
+
+def as_links(rows: DataFrame, how: str, edge_class: str) -> DataFrame:
+    seq = F.col("seq") if "seq" in rows.columns else F.lit(0).cast("long").alias("seq")
+    return rows.select("owner", F.lit(how).alias("how"), "src", "dst", F.lit(edge_class).alias("edge_class"), seq)
+
+
+def edges_from(links: DataFrame) -> DataFrame:
+    """src, dst, edge_class, seq: each edge once, with the place where it occurs first."""
+    return links.groupBy("src", "dst", "edge_class").agg(F.min("seq").alias("seq"))
+
+
+def edges_of(found: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
+    """All edges, from the facts, the nodes and the modules of the same files."""
+    out = cut(exported(found, where, nodes))
+    calls = cut(calls_of(found, where, nodes, out))
+    above = traverse.closure(bases_of(found, where, nodes, out).select("child", "parent"))
+    links = links_of(found, nodes, where, calls, above).unionByName(as_links(containment(nodes), "within", "structural"))
+    asking = cut(http_calls(found, nodes))
+    if not asking.isEmpty():
+        links = links.unionByName(as_links(requests(asking, nodes, cut(url_targets(nodes)))[0], "request", "generated"))
+    return edges_from(links)
 
 
 @dataclass
@@ -317,7 +423,7 @@ def build(files: DataFrame, languages: Sequence[dict] = ()) -> Graph:
     """The graph of files (path, content). Facts, nodes and edges are each written once."""
     found = cut(facts(files, languages))
     where = cut(modules_of(found))
-    nodes = cut(mounted(found, nodes_of(found), where))
+    nodes = cut(mounted(with_folders(nodes_of(found), found), prefixes(found, where)))
     return Graph(nodes, cut(edges_of(found, nodes, where)), found.filter("error IS NOT NULL").select("path", "error"))
 
 

@@ -2,8 +2,8 @@
 
 Facts, nodes and edges of one state lie in a folder of their own; a small file names the state that counts,
 and is replaced last, so that a reader sees one whole state and a crash leaves the one before. Only files
-that changed are read and parsed again; where one of them is code, edges are linked over all facts, as a
-new file can make a name ambiguous elsewhere. A file that can't be read as it stands keeps its last good
+that changed are read and parsed again, and only files that the change touches are linked again, see
+plans.linking. A file that can't be read as it stands keeps its last good
 facts and is tried again, by later processes too. The state before the last one is kept for its readers.
 """
 
@@ -14,20 +14,27 @@ import json
 import os
 import time
 import uuid
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph import storage
 from loomgraph.operators.adjacency import Adjacency
-from loomgraph.operators.changes import manifest_diff, relink_flags, without_files
-from loomgraph.plans.code_graph import FACTS, Graph, containment, edges_of, facts, modules_of, mounted, nodes_of
+from loomgraph.operators.changes import manifest_diff, without_files
+from loomgraph.plans.code_graph import FACTS, Graph, facts, nodes_of, with_folders
+from loomgraph.plans.linking import differing, link
 from loomgraph.plans.questions import CodeStructure, transparent
-from loomgraph.sources.workspace import CODE, OWN, TEXT, listing, read_paths
+from loomgraph.sources.feed import ChangeFeed
+from loomgraph.sources.languages import settings_of
+from loomgraph.sources.listing import listing_table
+from loomgraph.sources.workspace import CODE, OWN, TEXT, read_paths, unreadable
 from loomgraph.storage import cut
+from loomgraph.streaming.debounce import settled
 
 VERSION = "2"
+FAILED = 100
 
 
 def fingerprint() -> str:
@@ -38,13 +45,18 @@ def fingerprint() -> str:
 class WorkspaceIndex:
     """root: the sources; folder: where states are kept, on storage that all machines share.
 
-    Without a folder that of LOOMGRAPH_INDEX is taken, and else one within the sources that isn't indexed.
+    Both may be URIs of any store that pyarrow and Spark know; without a scheme they are paths. Without a folder
+    that of LOOMGRAPH_INDEX is taken, and else one within the sources that isn't indexed. languages: settings of
+    further ones, see sources.languages; their files are listed and read as well.
     """
 
-    def __init__(self, spark: SparkSession, root: str, folder: str | None = None, exclude: tuple[str, ...] = ()):
-        self.spark, self.root, self.exclude = spark, os.path.abspath(root), exclude
+    def __init__(self, spark: SparkSession, root: str, folder: str | None = None, exclude: tuple[str, ...] = (), languages: Sequence[dict] = ()):
+        self.spark, self.root, self.exclude = spark, root.rstrip("/") if "://" in root else os.path.abspath(root), exclude
         self.folder = (folder or os.environ.get("LOOMGRAPH_INDEX") or f"{self.root}/{OWN}").rstrip("/")
-        self.failed: set[str] = set((self.meta() or {}).get("failed", ()))
+        self.languages = tuple(languages)
+        self.endings = tuple(e for x in self.languages for e in settings_of(x)["extensions"])
+        #: How many files the last refresh has linked again; None: all, or there was none.
+        self.linked: int | None = None
 
     # the file that names the state
 
@@ -71,7 +83,9 @@ class WorkspaceIndex:
         return meta is None or bool(meta.get("dirty")) or meta.get("fingerprint") != fingerprint()
 
     def warnings(self) -> tuple[str, ...]:
-        return (f"{len(self.failed)} files could not be refreshed and keep their last good state: {', '.join(sorted(self.failed)[:5])}",) if self.failed else ()
+        meta = self.meta() or {}
+        n, some = meta.get("failed_count", 0), meta.get("failed", ())
+        return (f"{n} files could not be refreshed and keep their last good state: {', '.join(some)}",) if n else ()
 
     # states
 
@@ -91,54 +105,55 @@ class WorkspaceIndex:
         return self.structure().stats() if (self.meta() or {}).get("state") else {"nodes": 0, "edges": "not built"}
 
     def refresh(self) -> dict:
-        """Brings the index up to the files: mode (cold, warm or incremental), parsed, removed and failed."""
-        meta, now = self.meta(), listing(self.root, self.exclude)
+        """Brings the index up to the files: mode (cold, warm or incremental), parsed, removed and failed.
+
+        failed names the first FAILED of the files that couldn't be read as they stand; the state has all of them.
+        """
+        meta, now = self.meta(), listing_table(self.spark, self.root, self.exclude, self.endings)
         usable = bool(meta) and not self.is_stale() and storage.exists(self.spark, f"{self.folder}/{meta['state']}")
         state = f"state-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        listed = self.spark.createDataFrame([(p, *s, p in self.failed) for p, s in now.items()], "path string, mtime_ns long, size long, again boolean")
-        before = self._table(meta["state"], "manifest") if usable else listed.drop("again").limit(0)
-        diff = manifest_diff(before, listed, "path", ["mtime_ns", "size"]).union(listed.filter("again").select("path", F.lit("changed"))).groupBy("path").agg(F.min("change").alias("change"))
-        diff = cut(diff)
+        if usable:
+            again = self._table(meta["state"], "failed").join(now.select("path"), "path", "left_semi")
+            diff = manifest_diff(self._table(meta["state"], "manifest"), now, "path", ["mtime_ns", "size"]).union(again.select("path", F.lit("changed")))
+            diff = cut(diff.groupBy("path").agg(F.min("change").alias("change")))
+        else:
+            diff = now.select("path", F.lit("added").alias("change"))
         changed, removed = diff.filter("change <> 'removed'").select("path"), diff.filter("change = 'removed'").select("path")
-        n_removed = removed.count()
+        n_removed = removed.count() if usable else 0
         if usable and not n_removed and changed.isEmpty():
             return {"mode": "warm", "parsed": 0, "removed": 0, "failed": []}
         if meta:
             self._write_meta(meta | {"dirty": True})
-        fresh = facts(read_paths(changed, self.root).filter("NOT torn"))
+        fresh = facts(read_paths(changed, self.root).filter("NOT torn"), self.languages)
         fresh.write.parquet(f"{self.folder}/{state}/fresh")
         fresh = self._table(state, "fresh")
         unread = F.startswith("error", F.lit("not UTF-8"))
         good = fresh.filter(F.col("error").isNull() | ~unread)
-        failed = changed.join(good.select("path"), "path", "left_anti")
-        self.failed = {r["path"] for r in failed.collect()}
-        whole = good
-        if usable:
-            replaced = changed.union(removed).join(failed, "path", "left_anti")
-            whole = without_files(self._table(meta["state"], "facts"), replaced, "path").unionByName(good)
+        failed = cut(changed.join(good.select("path"), "path", "left_anti"), f"{self.folder}/{state}/failed")
+        n_failed, names = failed.count(), [r["path"] for r in failed.orderBy("path").limit(FAILED).collect()]
+        before = (lambda name: self._table(meta["state"], name)) if usable else None
+        replaced = cut(changed.union(removed).join(failed, "path", "left_anti")) if usable else None
+        whole = without_files(before("facts"), replaced, "path").unionByName(good) if usable else good
         whole.write.parquet(f"{self.folder}/{state}/facts")
         own = self._table(state, "facts")
-        where = cut(modules_of(own))
-        mounted(own, nodes_of(own), where).write.parquet(f"{self.folder}/{state}/nodes")
-        nodes = self._table(state, "nodes")
-        code = reduce(lambda a, b: a | b, [F.endswith("path", F.lit(e)) for e in CODE])
-        relink = not usable or relink_flags(diff.withColumn("batch", F.lit(1)), "batch", code).first()["relink"]
-        if relink:
-            edges = edges_of(own, nodes, where)
-        else:  # no code has changed, so calls and imports stay; only what holds what can be other
-            edges = containment(nodes).unionByName(self._table(meta["state"], "edges").filter("edge_class <> 'structural'"))
-            kept = self._table(meta["state"], "edges").filter("edge_class = 'structural'").join(containment(self._table(meta["state"], "nodes")), ["src", "dst"], "left_anti")
-            edges = edges.unionByName(kept.select(edges.columns))
+        nodes = nodes_of(good)
+        if usable:
+            nodes = without_files(before("nodes").filter("kind <> 'Folder'").drop("full_url"), replaced.withColumnRenamed("path", "file"), "file").unionByName(nodes)
+            moved = differing(before("facts").select("path"), own.select("path"))
+            changes = {"old": before, "changed": replaced.withColumnRenamed("path", "owner"), "moved": cut(moved)}
+        keep = lambda name, rows: cut(rows, f"{self.folder}/{state}/{name}")
+        edges, self.linked = link(own, with_folders(nodes, own), keep, **changes) if usable else link(own, with_folders(nodes, own), keep)
         edges.write.parquet(f"{self.folder}/{state}/edges")
+        nodes = self._table(state, "nodes")
         named, steps = transparent(Graph(nodes, self._table(state, "edges"), nodes.limit(0)))
         named.repartitionByRange("file", "id").sortWithinPartitions("file", "id").write.parquet(f"{self.folder}/{state}/named")
         Adjacency.write(storage.cut(steps, f"{self.folder}/{state}/named-edges"), f"{self.folder}/{state}/steps")
-        listed.join(failed, "path", "left_anti").drop("again").write.parquet(f"{self.folder}/{state}/manifest")
+        now.join(failed, "path", "left_anti").write.parquet(f"{self.folder}/{state}/manifest")
         parsed = fresh.count()
-        self._write_meta({"fingerprint": fingerprint(), "indexed_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "supported_extensions": [*CODE, *TEXT], "node_count": nodes.count(), "dirty": False, "files": len(now), "failed": sorted(self.failed), "state": state, "before": (meta or {}).get("state")})
+        self._write_meta({"fingerprint": fingerprint(), "indexed_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "supported_extensions": [*CODE, *TEXT, *self.endings], "node_count": nodes.count(), "dirty": False, "files": now.count(), "failed_count": n_failed, "failed": names[:5], "state": state, "before": (meta or {}).get("state")})
         if meta and meta.get("before"):  # readers may still be at the last state, not at the one before
             storage.delete(self.spark, f"{self.folder}/{meta['before']}")
-        return {"mode": "incremental" if usable else "cold", "parsed": parsed, "removed": n_removed, "failed": sorted(self.failed)}
+        return {"mode": "incremental" if usable else "cold", "parsed": parsed, "removed": n_removed, "failed": names}
 
     def drain(self, changes: DataFrame, checkpoint: str) -> list[dict]:
         """Takes what the stream of changes holds by now, one refresh for each batch that has any."""
@@ -146,3 +161,18 @@ class WorkspaceIndex:
         batch = lambda df, _: done.append(self.refresh()) if not df.isEmpty() else None
         changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
         return done
+
+    def feed(self, folder: str) -> ChangeFeed:
+        """A durable feed of what changes in the workspace."""
+        return ChangeFeed(self.spark, self.root, folder, self.exclude, self.endings)
+
+    def follow(self, feed: ChangeFeed, checkpoint: str, gap: float = 0.5, retry: float = 0.5, every: float = 0.2, done=lambda got: None) -> StreamingQuery:
+        """A running stream that refreshes once for each batch of bursts that have settled, and calls done with the result.
+
+        Bursts and files that can't be taken yet wait in the stream's state, see streaming.settled(); stopped and started
+        with the same checkpoint it goes on with them.
+        """
+        root = self.root
+        events = settled(feed.stream(), lambda path: unreadable(root, path), gap, retry)
+        batch = lambda df, _: done(self.refresh()) if df.count() else None  # noqa: E731  counted, so that every state is committed
+        return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{every} seconds").start()

@@ -7,9 +7,10 @@ out folders by a rule; this source walks the folder itself, so bytes of left-out
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -29,11 +30,12 @@ TEXT = (".json", ".md", ".html", ".css", ".yml", ".yaml", ".toml", ".txt", ".sql
 OWN = "_loomgraph"
 
 
-def excluded_dir(name: str, path: str, excluded: frozenset[str]) -> bool:
+def excluded_dir(name: str, path: str, excluded: frozenset[str], there: Callable[[str], bool] = os.path.exists) -> bool:
+    """Whether a folder is left out; there tells whether a path exists."""
     if name.startswith(".") or name == OWN:
         return True
     if name in ENVIRONMENTS and name in excluded:
-        return any(os.path.exists(os.path.join(path, m)) for m in MARKERS)
+        return any(there(f"{path}/{m}") for m in MARKERS)
     return name in excluded
 
 
@@ -66,18 +68,39 @@ class _Files(InputPartition):
 SCHEMA = "path string, mtime_ns long, size long, content binary, torn boolean"
 
 
-def read_one(root: str, path: str) -> tuple | None:
+def store_of(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the folder of a root: a path of this machine, or a URI."""
+    uri = root if "://" in root else "file://" + os.path.abspath(root)
+    store, base = fs.FileSystem.from_uri(uri)
+    return store, base.rstrip("/")
+
+
+def read_one(store: fs.FileSystem, base: str, path: str) -> tuple | None:
     """A row of SCHEMA for a file; None if it is gone. torn: it changed while it was read."""
-    full = os.path.join(root, path)
+    full = f"{base}/{path}"
     try:
-        before = os.stat(full)
-        with open(full, "rb") as f:
+        before = store.get_file_info(full)
+        with store.open_input_stream(full, compression=None) as f:
             content = f.read()
-        after = os.stat(full)
+        after = store.get_file_info(full)
     except OSError:
         return None
-    torn = (before.st_mtime_ns, before.st_size) != (after.st_mtime_ns, after.st_size) or len(content) != after.st_size
-    return path, after.st_mtime_ns, after.st_size, content, torn
+    torn = (before.mtime_ns, before.size) != (after.mtime_ns, after.size) or len(content) != after.size
+    return path, after.mtime_ns, after.size, content, torn
+
+
+def unreadable(root: str, path: str) -> str | None:
+    """Why a file can't be taken as it stands: it is being written, or code that isn't UTF-8; None if it can, or is gone."""
+    row = read_one(*store_of(root), path)
+    if row is None:
+        return None
+    if row[4]:
+        return "changed while it was read"
+    try:
+        row[3].decode("utf-8")
+    except UnicodeDecodeError as e:
+        return f"not UTF-8: {e}" if path.endswith(CODE) else None
+    return None
 
 
 class _Reader(DataSourceReader):
@@ -90,7 +113,8 @@ class _Reader(DataSourceReader):
         return [_Files(paths[i : i + self.at_once]) for i in range(0, len(paths), self.at_once)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
-        yield from filter(None, (read_one(self.root, path) for path in partition.paths))
+        store, base = store_of(self.root)
+        yield from filter(None, (read_one(store, base, path) for path in partition.paths))
 
 
 class _Changes(SimpleDataSourceStreamReader):
@@ -140,9 +164,10 @@ def read_paths(paths: DataFrame, root: str) -> DataFrame:
     """Rows of SCHEMA for the files named in paths (column path); no others are opened."""
 
     def run(batches):
+        store, base = store_of(root)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                rows = [r for p in batch.column(0).slice(at, 64) if (r := read_one(root, p.as_py()))]
+                rows = [r for p in batch.column(0).slice(at, 64) if (r := read_one(store, base, p.as_py()))]
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "mtime_ns", "size", "content", "torn"])
 
