@@ -28,6 +28,10 @@ from loomgraph.llm.common import written
 from loomgraph.llm.components import components
 
 
+#: Bytes that an id, a number and a hash take in a broadcast table.
+ROW = 128
+
+
 @dataclass(frozen=True)
 class Settings:
     """words: of a shingle; percent: least 100 x shared / joint shingles of a link.
@@ -36,8 +40,8 @@ class Settings:
     of about 1e-7. far: signatures that differ in more slots aren't compared on full sets; a link has
     so many with a probability of about 1e-8. block and block_bytes bound the nodes of one part, and the
     bytes of their sets, in one comparison, which takes two blocks; a part of n nodes is dealt out
-    n / block times. few: the largest number of ids that is broadcast to fetch texts; beyond it texts
-    are joined.
+    n / block times. few_bytes: what may be broadcast of ids to fetch texts, at ROW bytes each and only where
+    ids are numbers, which have a fixed size; beyond it texts are joined.
     """
 
     words: int = 5
@@ -48,7 +52,7 @@ class Settings:
     far: int = 30
     block: int = 512
     block_bytes: int = 32_000_000
-    few: int = 1_000_000
+    few_bytes: int = 64_000_000
 
 
 class _Hashes(dict):
@@ -182,7 +186,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, s: Settings) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "set"])
 
     own = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
-    own = F.broadcast(own) if wanted.count() <= s.few else own
+    fixed = own.schema["__id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    own = F.broadcast(own) if fixed and wanted.count() * ROW <= s.few_bytes else own
     rows = docs.select("doc_id", mark_of("text").alias("mark"), raw_of("text").alias("raw"))
     rows = rows.join(own, (F.col("doc_id") == F.col("__id")) & (F.col("mark") == F.col("__mark"))).select("node", "raw")
     return rows.dropDuplicates(["node"]).mapInArrow(run, "node long, set binary")

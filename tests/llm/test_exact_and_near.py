@@ -65,7 +65,7 @@ def test_near_groups_equal_brute_force(spark):
             docs.append((len(docs) * 3 % 1009, " ".join(copy)))
     docs += [(5000, ""), (5001, None), (5002, "One"), (5003, "one"), (5004, "two")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for settings in (near_dedup.Settings(words=2), near_dedup.Settings(words=2, block=4, few=0), near_dedup.Settings()):
+    for settings in (near_dedup.Settings(words=2), near_dedup.Settings(words=2, block=4, few_bytes=0), near_dedup.Settings()):
         want = plain_components(docs, settings.words)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(near_dedup.near_groups(df, settings))}
         assert got == want
@@ -122,3 +122,33 @@ def test_near_dedup_takes_an_id_with_different_texts(spark):
     twice = spark.createDataFrame([(5, one), (5, one + " x"), (6, one + " y"), (6, "word")], "doc_id long, text string")
     least = min((one, one + " x"), key=lambda t: hashlib.md5(t.encode()).digest())
     assert sorted((r["doc_id"], r["text"]) for r in rows(near_dedup.without_near_copies(twice))) == [(5, least), (6, "word")]
+
+
+def test_all_links_of_a_whole_table_are_found(spark):
+    """Every link of sf0.01, by brute force over all pairs that can be links by their sizes."""
+    from loomgraph.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    got = by_id(near_dedup.near_groups(docs, near_dedup.Settings(words=2)))
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = re.findall("[^\x20\x09-\x0d]+", (r["text"] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[r["doc_id"]] = {tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()
+    order = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            if 100 * len(sets[a]) < 80 * len(sets[b]):
+                break
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(v), top(i)) for i, v in sets.items()}
+    assert sum(top(i) != i for i in sets) > 50
