@@ -72,7 +72,8 @@ def sharded(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     Counts of the shards differ by one at most; the first shards have the one more. Slots run from 0
     without gaps. size is the text's UTF-8 bytes and 8, text_crc32 is over those bytes; grown_shard is
-    null under this law. A group larger than a shard keeps as many shards as it needs.
+    null under this law. A group larger than a shard keeps as many shards as it needs. Within a shard slots
+    follow buckets, which follow the ids, and rows without an id are spread over all of them.
 
     Edge cases: a null text is empty, and empty texts are linked with each other; null ids are placed
     like others; repeated rows are placed one by one, in either order, as they can't be told apart; with
@@ -80,7 +81,10 @@ def sharded(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("text_key"))
-    rows = written(rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(s.shards)).cast("int")), "shard-rows")
+    # Where each row starts and is put in order: by its id, and without one by its place, so that no task gets all of those.
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text_key", F.monotonically_increasing_id(), F.lit(s.seed))).otherwise(F.xxhash64("doc_id", F.lit(s.seed)))
+    rows = rows.withColumn("spread", spread)
+    rows = written(rows.withColumn("shard", F.pmod("spread", F.lit(s.shards)).cast("int")), "shard-rows")
     total = rows.count()
     room = [total // s.shards + (k < total % s.shards) for k in range(s.shards)]
     groups = rows.groupBy(F.col("text_key").alias("of")).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
@@ -94,7 +98,7 @@ def sharded(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def _even(placed: DataFrame, room: list[int], s: Settings) -> DataFrame:
-    bucket = F.when(F.col("group_size").isNull(), s.buckets).otherwise(0) + F.pmod(F.xxhash64("doc_id", F.lit(s.seed + 2)), F.lit(s.buckets))
+    bucket = F.when(F.col("group_size").isNull(), s.buckets).otherwise(0) + F.pmod(F.xxhash64("spread", F.lit(s.seed + 2)), F.lit(s.buckets))
     placed = written(placed.withColumn("bucket", bucket.cast("int")), "shard-placed")
     sizes = placed.groupBy(F.col("shard").alias("of"), F.col("bucket").alias("at")).agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("of").orderBy("at")) - F.col("n")).drop("n")
