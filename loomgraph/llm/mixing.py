@@ -1,6 +1,6 @@
 """Mixing sources to target weights over a tree of domains, languages and sources.
 
-Each leaf's tokens are counted over all documents. The budget goes down the tree by the weights; a child
+Each leaf's tokens are counted over all documents, with whatever counts them: a tokenizer, or plain words. The budget goes down the tree by the weights; a child
 that can't use its part, even with every epoch that is allowed, leaves the rest to its siblings, and what
 a whole branch can't use goes to the branch's siblings. A leaf then takes whole epochs of its documents
 and a prefix of one more, in an order that the seed gives for each epoch.
@@ -8,7 +8,7 @@ and a prefix of one more, in an order that the seed gives for each epoch.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from fractions import Fraction
 
@@ -25,8 +25,9 @@ class Settings:
     """weights: by path in the tree, ('web',), ('web', 'en') or ('web', 'en', 'src0'); others have weight 1.
 
     budget: tokens to draw, or share: of all tokens. epochs: how often a document may be drawn at most.
-    buckets: parts, a power of two, into which a leaf is split to add up its tokens. few_leaves: so many
-    leaves are broadcast to the documents at most; with more, documents are met by a shuffle.
+    buckets: parts, a power of two, into which a leaf is split to add up its tokens. few_leaves: up to so many
+    leaves, budgets are worked out by the driver in exact fractions, and broadcast to the documents; with
+    more, they are worked out in Spark, and documents are met by a shuffle.
     """
 
     weights: Mapping[tuple[str, ...], float] = field(default_factory=dict)
@@ -58,7 +59,7 @@ def filled(amount: Fraction, room: dict, weight: dict) -> dict:
 def budgets(tokens: Mapping[tuple[str, ...], int], s: Settings) -> dict[tuple[str, ...], int]:
     """The tokens that each leaf is to give, rounded down. A weight of 0 takes a branch out.
 
-    The plain form of leaf_budgets(), in exact fractions, for a tree that fits in memory.
+    In exact fractions, for up to few_leaves leaves; leaf_budgets() does the same for any number.
     """
     room = {leaf: Fraction(n * s.epochs) for leaf, n in tokens.items()}
     usable: dict[tuple[str, ...], Fraction] = {}
@@ -136,7 +137,8 @@ def _split(parents: DataFrame, children: DataFrame, by: list[str]) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, s: Settings) -> DataFrame:
     """leaves (the names of the path and n, its tokens) with budget, the tokens that each is to give.
 
-    Budgets are worked out in double precision and rounded down; a millionth of a token is overlooked.
+    Budgets are worked out in double precision and rounded down; a millionth of a token is overlooked, and
+    from about 1e10 tokens on a budget can be one token off.
     """
     names = [f"__{x}" for x in LEAF]
     level = _weighted(leaves.withColumn("room", F.col("n") * F.lit(s.epochs)), names, s)
@@ -154,6 +156,14 @@ def leaf_budgets(leaves: DataFrame, s: Settings) -> DataFrame:
     return part.select(*names, "n", F.floor(F.col("amount") + F.lit(1e-6)).cast("long").alias("budget"))
 
 
+def _exact(leaves: DataFrame, s: Settings) -> DataFrame:
+    """leaf_budgets() of few leaves, exactly."""
+    names = [f"__{x}" for x in LEAF]
+    tokens = {tuple(r[n] for n in names): int(r["n"]) for r in leaves.collect()}
+    rows = [(*leaf, tokens[leaf], n) for leaf, n in budgets(tokens, s).items()]
+    return leaves.sparkSession.createDataFrame(rows, ", ".join([*(f"{n} string" for n in names), "n long", "budget long"]))
+
+
 def _few(rows: DataFrame, s: Settings) -> bool:
     return rows.limit(s.few_leaves + 1).count() <= s.few_leaves
 
@@ -174,7 +184,8 @@ def _cuts(narrow: DataFrame, s: Settings) -> DataFrame:
     in which the cut falls is put in order.
     """
     names = [f"__{x}" for x in LEAF]
-    plan = leaf_budgets(written(narrow.groupBy(*names).agg(F.sum("__tokens").alias("n")), "mix-leaves"), s)
+    leaves = written(narrow.groupBy(*names).agg(F.sum("__tokens").alias("n")), "mix-leaves")
+    plan = _exact(leaves, s) if _few(leaves, s) else leaf_budgets(leaves, s)
     some = F.col("n") > 0
     leaves = plan.select(*names, F.when(some, F.expr("budget div n")).otherwise(0).alias("__whole"), F.when(some, F.col("budget") % F.col("n")).otherwise(0).alias("__rest"))
     leaves = written(leaves, "mix-budgets")
@@ -198,15 +209,16 @@ def _drawn(rows: DataFrame, ends: DataFrame, s: Settings) -> DataFrame:
     return both.withColumn("__draws", F.col("__whole") + F.coalesce(inside, F.lit(False)).cast("long")).drop("__key", "__bucket", *ends.columns[len(LEAF) :])
 
 
-def _counted(docs: DataFrame, domain) -> DataFrame:
-    rows = docs.withColumns(_leaf(docs, domain) | {"__tokens": words(F.col("text"))})
-    return written(rows.select("doc_id", *(f"__{x}" for x in LEAF), "__tokens"), "mix-counts")
+def _counted(docs: DataFrame, domain, count) -> DataFrame:
+    own = docs.withColumns(_leaf(docs, domain)).select("doc_id", *(f"__{x}" for x in LEAF), "text")
+    return written(count(own) if count else own.withColumn("__tokens", words(F.col("text"))).drop("text"), "mix-counts")
 
 
-def mixture(docs: DataFrame, s: Settings, domain) -> DataFrame:
+def mixture(docs: DataFrame, s: Settings, domain, count: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens and draws for each row of docs; draws is 0 for rows left out.
 
-    domain: a column expression over docs. Within an epoch a leaf's documents come in the order of a
+    domain: a column expression over docs. count puts a column __tokens in the place of text, such as
+    token_counts.with_token_counts(); without it, words between white space are counted as tokens. Within an epoch a leaf's documents come in the order of a
     hash of seed, epoch and id, then of the id; a document belongs to the prefix if the tokens up to its
     end fit in what is left.
 
@@ -215,19 +227,19 @@ def mixture(docs: DataFrame, s: Settings, domain) -> DataFrame:
     rows that repeat an id and stand at the cut are taken or left together; very long texts count as a
     whole; an empty table gives no rows. Other columns of docs aren't looked at.
     """
-    narrow = _counted(docs.select("doc_id", "text", "lang", "source"), domain)
+    narrow = _counted(docs.select("doc_id", "text", "lang", "source"), domain, count)
     ends = _cuts(narrow, s)
     out = _drawn(narrow, F.broadcast(ends) if _few(ends, s) else ends, s)
     return out.select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"), F.col("__draws").alias("draws"))
 
 
-def mixed(docs: DataFrame, s: Settings, domain) -> DataFrame:
+def mixed(docs: DataFrame, s: Settings, domain, count: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of docs as often as they are drawn, with the columns of docs; as mixture() else.
 
     With few leaves texts aren't shuffled. With more, documents meet their draws by leaf and id, so a
     large leaf is spread over all tasks.
     """
-    narrow = _counted(docs, domain)
+    narrow = _counted(docs, domain, count)
     ends = _cuts(narrow, s)
     own = docs.withColumns(_leaf(docs, domain))
     if _few(ends, s):

@@ -22,7 +22,7 @@ from loomgraph.llm.quality_vote import fit_quality, quality_scores
 from loomgraph.llm.repeated_bytes import repeated_bytes
 from loomgraph.llm.sentencepiece_match import encoded
 from loomgraph.llm.sharding import sharded
-from loomgraph.llm.token_counts import token_counts
+from loomgraph.llm.token_counts import token_counts, with_token_counts
 from loomgraph.llm.warc import through_archives
 
 #: Where the public tokenizer files lie.
@@ -56,8 +56,13 @@ def domain_of():
     return F.when(n == "", "web").otherwise(F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("forum")), (n.cast("long") % 3).cast("int") + 1))
 
 
+def tokens_of(rows: DataFrame) -> DataFrame:
+    """What the mixture counts: tokens of a public word-piece vocabulary."""
+    return with_token_counts(rows, f"{TOKENIZERS}/word_bpe_49k.json", name="__tokens")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents"), MIX, domain_of())
+    return mixture(table(spark, sf_dir, "documents"), MIX, domain_of(), tokens_of)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,23 @@ def count_words(text: str | None, words: dict[str, int]) -> tuple[int, int]:
     return len(found), sum(map(words.__getitem__, found))
 
 
+def with_token_counts(rows: DataFrame, tokenizer_file: str, text_col: str = "text", name: str = "n_tokens", remembered: int = 400_000) -> DataFrame:
+    """rows with the number of tokens of a text column in its place; see token_counts()."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        pieces = rows.sparkSession.sparkContext.broadcast(tuple(word_end_pieces(f.read())))
+    others = [c for c in rows.columns if c != text_col]
+
+    def count(batches):
+        words = _Words(_counter(pieces.value), remembered)
+        for batch in batches:
+            n = pa.array([count_words(t.as_py(), words)[1] for t in batch.column(len(others))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], n], [*others, name])
+
+    kept = rows.select(*others, F.col(text_col).cast("string").alias(text_col))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[: len(others)])
+    return kept.mapInArrow(count, f"{schema}, `{name}` long" if others else f"`{name}` long")
+
+
 def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 400_000) -> DataFrame:
     """doc_id, n_words and n_tokens for each row of docs, over whole texts.
 

@@ -3,14 +3,14 @@ import re
 
 import corpus_pipeline
 from loomgraph.llm import mixing, quality_vote
-from loomgraph.llm.queries import MIX, QUERIES, TOKENIZERS, domain_of
+from loomgraph.llm.queries import MIX, QUERIES, TOKENIZERS, domain_of, tokens_of
 from tests.llm.helpers import documents, rows
 from tests.llm.test_exact_and_near import plain_components
 
 
 def test_stages_are_the_asked_ones():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mix", "sentencepiece"]
-    assert [int(re.match(r"op(\d+)_", q)[1]) for q in sorted(QUERIES, key=lambda q: int(re.match(r"op(\d+)_", q)[1]))] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", q)[1]) for q in sorted(QUERIES, key=lambda q: int(re.match(r"op(\d+)_", q)[1]))] == list(range(1, 14))
 
 
 def test_pipeline_equals_plain_versions_of_its_stages(spark, tmp_path):
@@ -42,7 +42,7 @@ def test_pipeline_equals_plain_versions_of_its_stages(spark, tmp_path):
     left = [d for d in left if d[0] in kept]
     near = plain_components([d[:2] for d in left], 5)
     left = [d for d in left if near[d[0]][1] == d[0]]
-    draws = {r["doc_id"]: r["draws"] for r in rows(mixing.mixture(documents(spark, left + unnamed), MIX, domain_of()))}
+    draws = {r["doc_id"]: r["draws"] for r in rows(mixing.mixture(documents(spark, left + unnamed), MIX, domain_of(), tokens_of))}
 
     got = [r for r in rows(corpus_pipeline.run(spark, str(tmp_path)))]
     library = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")

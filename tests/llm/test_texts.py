@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from loomgraph.llm import mixing, quality_vote, repeated_bytes, sentencepiece_match, sharding, token_counts
-from loomgraph.llm.queries import MIX, TOKENIZERS, domain_of
+from loomgraph.llm.queries import MIX, TOKENIZERS, domain_of, tokens_of
 from tests.llm.helpers import ODD, by_id, documents, empty, rows
 
 
@@ -308,6 +308,25 @@ def test_mixture_equals_a_plain_prefix(spark):
     assert len(rows(mixing.mixture(documents(spark), MIX, domain_of()))) == len(ODD)
 
 
+def test_mixture_counts_tokens_of_a_vocabulary_exactly(spark):
+    df = documents(spark)
+    counted = {(r["doc_id"], r["n_tokens"]) for r in rows(token_counts.token_counts(df, f"{TOKENIZERS}/word_bpe_49k.json"))}
+    got = rows(mixing.mixture(df, MIX, domain_of(), tokens_of))
+    assert {(r["doc_id"], r["n_tokens"]) for r in got} == counted
+    assert mixing.mixed(df, MIX, domain_of(), tokens_of).count() == sum(r["draws"] for r in got)
+    large = spark.createDataFrame([("a", "x", "s", 10**15 // 4 + 1), ("a", "y", "s", 3)], "__domain string, __lang string, __source string, n long")
+    s = mixing.Settings(weights={("a", "y"): 1e-9}, budget=10**15, epochs=4)
+    assert {r["__lang"]: r["budget"] for r in rows(mixing._exact(large, s))} == {k[1]: v for k, v in mixing.budgets({("a", "x", "s"): 10**15 // 4 + 1, ("a", "y", "s"): 3}, s).items()}
+
+
+def test_rows_without_an_id_are_spread_over_the_shards(spark):
+    df = spark.createDataFrame([(i if i < 30 else None, f"t{i}") for i in range(90)], "doc_id long, text string").repartition(5)
+    got = rows(sharding.sharded(df, sharding.Settings(shards=6)))
+    by = {k: sorted(r["slot"] for r in got if r["shard"] == k) for k in range(6)}
+    assert all(v == list(range(15)) for v in by.values())
+    assert len({r["shard"] for r in got if r["doc_id"] is None}) == 6
+
+
 @pytest.mark.parametrize("n", [0, 1, 99, 100, 101, 250])
 def test_contexts_cover_every_window_once(n):
     s = repeated_bytes.Settings()
