@@ -16,7 +16,7 @@ from loomgraph.llm.exact_dedup import without_copies
 from loomgraph.llm.mixing import mixed
 from loomgraph.llm.near_dedup import without_near_copies
 from loomgraph.llm.quality_vote import fit_quality, good_documents
-from loomgraph.llm.queries import MIX, TOKENIZERS, domain_of
+from loomgraph.llm.queries import MIX, TOKENIZERS, domain_of, tokens_of
 from loomgraph.llm.sentencepiece_match import encoded
 
 
@@ -37,7 +37,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws documents to the target weights; one drawn in several epochs comes as so many rows."""
-    return mixed(docs, MIX, domain_of())
+    return mixed(docs, MIX, domain_of(), tokens_of)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
