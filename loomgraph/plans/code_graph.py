@@ -401,8 +401,8 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
     errors: DataFrame
-    #: nodes and steps without inline callbacks, if they are kept; see questions.transparent.
-    named: tuple[DataFrame, Steps] | None = None
+    #: nodes and steps without inline callbacks, and keys of nodes, if they are kept; see questions.
+    named: tuple[DataFrame, Steps, DataFrame] | None = None
 
 
 def view_patterns(graph: Graph) -> DataFrame:

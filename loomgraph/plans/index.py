@@ -25,7 +25,7 @@ from loomgraph.operators.adjacency import Adjacency
 from loomgraph.operators.changes import manifest_diff, without_files
 from loomgraph.plans.code_graph import FACTS, Graph, facts, nodes_of, with_folders
 from loomgraph.plans.linking import differing, link
-from loomgraph.plans.questions import CodeStructure, transparent
+from loomgraph.plans.questions import CodeStructure, lookup_keys, transparent
 from loomgraph.sources.feed import ChangeFeed
 from loomgraph.sources.languages import settings_of
 from loomgraph.sources.listing import listing_table
@@ -34,7 +34,9 @@ from loomgraph.storage import cut
 from loomgraph.streaming.debounce import settled
 
 VERSION = "2"
-FAILED = 100
+#: File names in answers, bytes of a file up to which its content is summed, and seconds that a reader keeps a state.
+FAILED, SUMMED, LEASE = 100, 64 << 20, 3600
+DAMAGED = "The last state of the index is damaged ({}); answers come from the state before; refresh to mend it."
 
 
 def fingerprint() -> str:
@@ -92,13 +94,63 @@ class WorkspaceIndex:
     def _table(self, state: str, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{state}/{name}")
 
-    def graph(self) -> Graph:
-        state = (self.meta() or {})["state"]
-        named = self._table(state, "named"), Adjacency(self.spark, f"{self.folder}/{state}/steps")
+    # seals and leases
+
+    def _files(self, state: str) -> DataFrame:
+        """file, length and content of the tables of a state."""
+        rows = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{self.folder}/{state}")
+        return rows.select(F.substring_index("path", f"{state}/", -1).alias("file"), "length", "content")
+
+    def _seal(self, state: str) -> None:
+        """Keeps length and, up to SUMMED bytes, a checksum of each file of a state; the pointer tells how many there are."""
+        rows = self._files(state)
+        summed = rows.filter(F.col("length") <= SUMMED).select("file", "length", F.md5("content").alias("sum"))
+        summed.unionByName(rows.filter(F.col("length") > SUMMED).select("file", "length", F.lit(None).cast("string").alias("sum"))).write.parquet(f"{self.folder}/{state}-seal")
+
+    def damage(self, state: str, deep: bool = False) -> list[str]:
+        """The first FAILED files of a state that are missing or shorter or longer than they were; with deep, that have other bytes."""
+        if not storage.exists(self.spark, f"{self.folder}/{state}-seal"):
+            return [f"{state}-seal"]
+        seal = self.spark.read.schema("file string, length long, sum string").parquet(f"{self.folder}/{state}-seal")
+        if not storage.exists(self.spark, f"{self.folder}/{state}"):
+            return [state]
+        rows = self._files(state)
+        now = rows.select("file", F.col("length").alias("n"))
+        if deep:
+            now = now.join(rows.filter(F.col("length") <= SUMMED).select("file", F.md5("content").alias("now")), "file", "left")
+        other = F.col("n").isNull() | (F.col("n") != F.col("length"))
+        other = other | (F.col("sum").isNotNull() & ~F.col("sum").eqNullSafe(F.col("now"))) if deep else other
+        return [r["file"] for r in seal.join(now, "file", "left").filter(other).select("file").orderBy("file").limit(FAILED).collect()]
+
+    def _leases(self) -> dict[str, float]:
+        """Until when each state is read by others, as they have said."""
+        out: dict[str, float] = {}
+        for name in storage.names(self.spark, f"{self.folder}/leases"):
+            state, _, until = name.rpartition("=")[0].rpartition("=")
+            if until.isdigit():
+                out[state] = max(out.get(state, 0.0), float(until))
+        return out
+
+    def usable(self) -> tuple[str, tuple[str, ...]]:
+        """The last state that is whole, and a warning if that is the one before; it isn't removed for LEASE seconds."""
+        meta = self.meta() or {}
+        damaged: list[str] = []
+        for state in filter(None, (meta.get("state"), meta.get("before"))):
+            if not (found := self.damage(state)):
+                lease = f"{state}={int(time.time() + LEASE)}={uuid.uuid4().hex[:8]}"
+                storage.replace_text(self.spark, f"{self.folder}/leases/{lease}", "")
+                return state, (DAMAGED.format(", ".join(damaged[:5])),) if damaged else ()
+            damaged += found
+        raise IndexError(DAMAGED.format(", ".join(damaged[:5])) if damaged else "there is no state yet")
+
+    def graph(self, state: str | None = None) -> Graph:
+        state = state or self.usable()[0]
+        named = self._table(state, "named"), Adjacency(self.spark, f"{self.folder}/{state}/steps"), self._table(state, "keys")
         return Graph(self._table(state, "nodes"), self._table(state, "edges"), self._table(state, "facts").filter("error IS NOT NULL").select("path", "error"), named)
 
     def structure(self) -> CodeStructure:
-        return CodeStructure(self.graph(), self.root, self.is_stale(), self.warnings())
+        state, damaged = self.usable()
+        return CodeStructure(self.graph(state), self.root, self.is_stale(), self.warnings() + damaged)
 
     def stats(self) -> dict:
         """Numbers of nodes and edges; before the first refresh there are none of the one and the other aren't built."""
@@ -110,7 +162,7 @@ class WorkspaceIndex:
         failed names the first FAILED of the files that couldn't be read as they stand; the state has all of them.
         """
         meta, now = self.meta(), listing_table(self.spark, self.root, self.exclude, self.endings)
-        usable = bool(meta) and not self.is_stale() and storage.exists(self.spark, f"{self.folder}/{meta['state']}")
+        usable = bool(meta) and not self.is_stale() and not self.damage(meta["state"])
         state = f"state-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
         if usable:
             again = self._table(meta["state"], "failed").join(now.select("path"), "path", "left_semi")
@@ -147,14 +199,27 @@ class WorkspaceIndex:
         nodes = self._table(state, "nodes")
         named, steps = transparent(Graph(nodes, self._table(state, "edges"), nodes.limit(0)))
         named.repartitionByRange("file", "id").sortWithinPartitions("file", "id").write.parquet(f"{self.folder}/{state}/named")
+        keys = lookup_keys(self._table(state, "named"))
+        keys.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{self.folder}/{state}/keys")
         Adjacency.write(storage.cut(steps, f"{self.folder}/{state}/named-edges"), f"{self.folder}/{state}/steps")
         now.join(failed, "path", "left_anti").write.parquet(f"{self.folder}/{state}/manifest")
         parsed = fresh.count()
+        self._seal(state)
         self._write_meta({"fingerprint": fingerprint(), "indexed_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "supported_extensions": [*CODE, *TEXT, *self.endings], "node_count": nodes.count(), "dirty": False, "files": now.count(), "failed_count": n_failed, "failed": names[:5], "state": state, "before": (meta or {}).get("state")})
-        if meta and meta.get("before"):  # readers may still be at the last state, not at the one before
-            storage.delete(self.spark, f"{self.folder}/{meta['before']}")
+        self._clear(kept={state, (meta or {}).get("state")})
         return {"mode": "incremental" if usable else "cold", "parsed": parsed, "removed": n_removed, "failed": names}
 
+    def _clear(self, kept: set) -> None:
+        """Removes states but these and those that someone still reads."""
+        now, leases = time.time(), self._leases()
+        for name in storage.names(self.spark, self.folder):
+            state = name.removesuffix("-seal")
+            if name.startswith("state-") and state not in kept and leases.get(state, 0) < now:
+                storage.delete(self.spark, f"{self.folder}/{name}")
+        for name in storage.names(self.spark, f"{self.folder}/leases"):
+            if (until := name.split("=")[1] if name.count("=") == 2 else "0").isdigit() and float(until) < now:
+                storage.delete(self.spark, f"{self.folder}/leases/{name}")
+
     def drain(self, changes: DataFrame, checkpoint: str) -> list[dict]:
         """Takes what the stream of changes holds by now, one refresh for each batch that has any."""
         done: list[dict] = []

@@ -18,6 +18,7 @@ from loomgraph.plans.code_graph import Graph
 
 MAP_ENTRIES, MAP_DEPTH, PREVIEW, IMPORTS = 300, 4, 8, 40
 RELATED, UNRESOLVED, POSSIBLE, REACHED, DEPTH = 50, 30, 30, 300, 25
+FEW = 500  # nodes that are fetched by value
 RESOLVED = (".py", ".js", ".jsx", ".ts", ".tsx")  # of these, calls are followed through imports and types
 DOTTED = ("Class", "Function", "Declaration")
 SYMBOLS = (*DOTTED, "Route", "Middleware")
@@ -76,13 +77,32 @@ def transparent(graph: Graph) -> tuple[DataFrame, DataFrame]:
     return named, edges.groupBy("src", "dst", "edge_class").agg(F.min("seq").alias("seq"))
 
 
+def lookup_keys(nodes: DataFrame) -> DataFrame:
+    """key, id, file: every text that a node can be asked for by, behind a mark of how it answers to it.
+
+    i: id, n: name, q: qualified name, s: what stands behind a dot of it, l and m: name and qualified name in
+    lower case, f and d: a file's or folder's path and what stands behind a slash of it. In order of key, so
+    that of a table that is kept only the parts are read that can hold the keys that are asked for.
+    """
+    q, name, dots, symbol = F.col("qualified"), F.col("name"), F.col("kind").isin(*DOTTED), F.col("kind").isin(*SYMBOLS)
+    marked = lambda mark, text, test=None: F.when(F.lit(True) if test is None else test, F.concat(F.lit(mark), text))
+    behind = lambda text, sep: F.transform(F.sequence(F.lit(2), F.greatest(F.size(F.split(text, sep)), F.lit(2))), lambda i: F.array_join(F.slice(F.split(text, sep), i, 1 << 20), sep.replace("\\", "")))
+    tails = F.when(dots, F.transform(F.filter(behind(q, "\\."), lambda x: x != ""), lambda x: F.concat(F.lit("s"), x)))
+    path = F.when(F.col("kind").isin("File", "Folder"), F.transform(F.concat(F.array("id"), F.filter(behind(F.col("id"), "/"), lambda x: x != "")), lambda x: F.concat(F.when(F.col("kind") == "File", "f").otherwise("d"), x)))
+    own = F.array(marked("i", F.col("id")), marked("n", name, symbol), marked("q", q, symbol), marked("l", F.lower(name), symbol), marked("m", F.lower(q), symbol))
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.array_compact(F.concat(own, F.coalesce(tails, none), F.coalesce(path, none))))
+    return nodes.select(F.explode(every).alias("key"), "id", "file")
+
+
 class CodeStructure:
     """Answers over one graph. stale: whether its files have changed since; health: further warnings."""
 
     def __init__(self, graph: Graph, workspace: str = "", stale: bool = False, health: tuple[str, ...] = ()):
         self.workspace, self.stale, self.health, self.raw = workspace, stale, health, graph.nodes
+        self.keys = None
         if graph.named:  # kept with the state, so that no question works it out anew
-            self.nodes, self.steps = graph.named
+            self.nodes, self.steps, self.keys = graph.named
             self.edges = self.steps.edges
         else:
             self.nodes, self.edges = transparent(graph)
@@ -119,9 +139,31 @@ class CodeStructure:
 
     # resolution
 
+    def _by_keys(self, text: str, scope: str) -> DataFrame:
+        """matches() by the keys that are kept with the state: of keys and nodes only what can be meant is read."""
+        if ":" in text:
+            file, _, name = text.partition(":")
+            file = file.strip("/")
+            here = (F.col("file") == file) | F.endswith("file", F.lit("/" + file))
+            tiers = {"i" + text: 0, "q" + name: 1, "s" + name: 2, "m" + name.lower(): 3}
+        else:
+            bare, here = text.rstrip("/"), F.lit(True)
+            tiers = {"i" + text: 0, "q" + text: 1, "n" + text: 1, "s" + text: 2, "l" + text.lower(): 3, "f" + bare: 4, "d" + bare: 5}
+        tier = F.coalesce(*[F.when(F.col("key") == k, n) for k, n in tiers.items()])
+        found = self.keys.filter(F.col("key").isin(*tiers)).withColumn("tier", tier).filter((F.col("tier") == 0) | here)
+        found = (found.filter(is_under(F.col("file"), scope)) if scope else found).select("id", "file", "tier").distinct()
+        few = found.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.slice(F.collect_list(F.struct("file", "id")), 1, FEW + 1).alias("some")).orderBy("tier").first() if text else None
+        if few is None:
+            return self.nodes.limit(0)
+        if few["n"] > FEW:
+            return self.nodes.join(found.filter(F.col("tier") == few["tier"]).select("id"), "id", "left_semi").select(*self.nodes.columns)
+        return self.nodes.filter(F.col("file").isin(*{r["file"] for r in few["some"]}) & F.col("id").isin(*(r["id"] for r in few["some"])))
+
     def matches(self, symbol: str, path: str | None = None) -> DataFrame:
         """The nodes that a text names, those of its best tier only: id, file and name, bare name, path."""
         text, scope = self._clean(symbol), self._clean(path).rstrip("/")
+        if self.keys is not None:
+            return self._by_keys(text, scope)
         n = self.nodes.filter(is_under(F.col("file"), scope)) if scope else self.nodes
         q, kind, dots = F.col("qualified"), F.col("kind"), F.col("kind").isin(*DOTTED)
         none = F.lit(None).cast("int")

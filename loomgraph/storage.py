@@ -65,6 +65,12 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(p, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, which is meant for few of them; none if there is no such folder."""
+    store, p = _at(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(p)) if store.exists(p) else []
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """The text of a small file; None if it isn't there or is no UTF-8."""
     store, p = _at(spark, path)
