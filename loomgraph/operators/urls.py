@@ -75,15 +75,48 @@ def _singular(word: Column) -> Column:
     return F.when(F.endswith(word, F.lit("ies")), F.concat(F.substr(word, F.lit(1), s - 3), F.lit("y"))).when(F.endswith(word, F.lit("ses")), F.substr(word, F.lit(1), s - 2)).when(F.endswith(word, F.lit("s")) & ~F.endswith(word, F.lit("ss")), F.substr(word, F.lit(1), s - 1)).otherwise(word)
 
 
-def named_answers(calls: DataFrame, names: DataFrame, endpoints: DataFrame) -> DataFrame:
+#: Words of URLs that are broadcast to the names as one automaton; with more, the parts of names meet them by a join.
+WORDS = 200_000
+
+
+def _held_words(names: DataFrame, words: DataFrame, most: int) -> DataFrame:
+    """lower, variant: the words (variant) that names (lower) hold; words of one or two characters must be whole names."""
+    names = names.select("lower").distinct()
+    words = words.select("variant").distinct()
+    few = [r["variant"] for r in words.limit(most + 1).collect()]
+    if len(few) > most:
+        size = F.length("lower")
+        pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.substr("lower", i, k))))
+        return names.withColumn("variant", F.explode(F.array_distinct(F.filter(pieces, lambda x: (F.length(x) > 2) | (x == F.col("lower"))))))
+    shared = names.sparkSession.sparkContext.broadcast(few)
+
+    def scan(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        machine = ahocorasick.Automaton()
+        for w in shared.value:
+            machine.add_word(w, w)
+        machine.make_automaton()
+        for batch in batches:
+            found = [(name, w) for name in batch.column(0).to_pylist() for w in {w for _, w in machine.iter(name)} if len(w) > 2 or w == name] if len(machine) else []
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["lower", "variant"])
+
+    return names.mapInArrow(scan, "lower string, variant string")
+
+
+def named_answers(calls: DataFrame, names: DataFrame, endpoints: DataFrame, most: int = WORDS) -> DataFrame:
     """method, call, target, score: for calls that no URL fits, the one function or class whose name tells most.
 
     names: target, name, file, kind; endpoints: target, method. Segments of the URL, in singular and plural,
-    are names or parts of names; every part of a name is a row, so they meet by an equi-join. Ties stay open.
+    are names or parts of names. Which names hold which words is found by one pass over the different names
+    with an automaton of all words, up to `most` of them. URLs of the same words ask once. Ties stay open.
     """
     word = lambda c: F.lower(F.regexp_replace(c, "[- ]", "_"))
     segments = F.filter(F.transform(F.filter(F.split("call", "/"), lambda x: ~x.isin(*SKIPPED)), lambda x: F.regexp_replace(x, r"\{[^}]*\}", "")), lambda x: x != "")
-    rows = calls.select("method", "call").distinct().withColumn("words", F.transform(segments, word)).filter(F.size("words") > 0)
+    asked = calls.select("method", F.col("call").alias("asked")).distinct().withColumn("call", F.col("asked")).withColumn("words", F.transform(segments, word)).filter(F.size("words") > 0)
+    asked = asked.withColumn("call", F.array_join("words", "/"))
+    rows = asked.select("method", "call", "words").distinct()
     each = rows.select("method", "call", F.posexplode("words").alias("nth", "word"))
     w = F.col("word")
     n = F.length(w)
@@ -91,10 +124,7 @@ def named_answers(calls: DataFrame, names: DataFrame, endpoints: DataFrame) -> D
     plural = F.when(to_ies, F.concat(F.substr(w, F.lit(1), n - 1), F.lit("ies"))).otherwise(F.concat(w, F.lit("s")))
     each = each.withColumn("variant", F.explode(F.array_distinct(F.array(w, F.replace(w, F.lit("_"), F.lit("")), _singular(w), plural)))).filter("variant <> ''")
     known = names.filter("name <> ''").withColumn("lower", F.lower("name"))
-    size = F.length("lower")
-    starts = F.sequence(F.lit(1), size)
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.substr("lower", i, k))))
-    part = known.select("lower").distinct().withColumn("variant", F.explode(F.array_distinct(F.filter(pieces, lambda x: (F.length(x) > 2) | (x == F.col("lower"))))))
+    part = _held_words(known, each, most)
     boost = (F.col("nth") + 1) * POSITION
     score = F.when(F.col("variant") == F.col("lower"), EXACT + boost).otherwise(PART + boost + 2 * F.length("variant") + F.when(F.startswith("lower", F.col("variant")), START).otherwise(0))
     hits = each.join(part, "variant").withColumn("score", score).groupBy("method", "call", "lower").agg(F.max("score").alias("score"), F.countDistinct("word").alias("words_met"))
@@ -126,7 +156,7 @@ def named_answers(calls: DataFrame, names: DataFrame, endpoints: DataFrame) -> D
     scored = found.withColumn("total", total).filter(F.col("total") >= ACCEPTED)
     top = scored.groupBy("method", "call").agg(F.max("total").alias("total"))
     one = scored.join(top, ["method", "call", "total"]).groupBy("method", "call").agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n"), F.first("total").alias("score"))
-    return one.filter("n = 1").select("method", "call", "target", "score")
+    return asked.select("method", "call", "asked").join(one.filter("n = 1"), ["method", "call"]).select("method", F.col("asked").alias("call"), "target", "score")
 
 
 def best_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:

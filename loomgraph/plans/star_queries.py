@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import columns as C
-from loomgraph.operators import changes, resolve, rollup, traverse
+from loomgraph.operators import changes, intervals, resolve, rollup, traverse
 from loomgraph import storage
 from loomgraph.operators.adjacency import Adjacency
-from loomgraph.operators.urls import best_routes
+from loomgraph.operators.urls import best_routes, named_answers
 from loomgraph.plans.code_graph import Graph, facts, nodes_of
 from loomgraph.plans.questions import CodeStructure
 from loomgraph.plans.star_graph import EDGES_SQL, PATHS_SQL, URL_PATH_SQL, edges, node, paths, table, url_path
@@ -109,6 +109,42 @@ def more_beyond_depth(spark, sf_dir):
     return more.agg(F.count(F.lit(1)).alias("beyond")).select("beyond", (F.col("beyond") > 0).alias("more"))
 
 
+@query("""
+    WITH w AS (SELECT lower(replace(p_name, ' ', '_')) || '_' || p_partkey AS w FROM part)
+    SELECT method, '/' || w AS call, 'm.py:' || verb || w AS target, 95 + 2 * length(w) AS score
+    FROM w, (VALUES ('GET', 'get_'), ('POST', 'create_'), ('DELETE', 'delete_')) AS v(method, verb)""")
+def named_answers_parts(spark, sf_dir):
+    """Calls that no URL fits, against five functions for each part: of all names that hold the word, the verb and the whole tail decide."""
+    w = table(spark, sf_dir, "part").select(F.lower(F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string"))).alias("w"))
+    name = F.explode(F.transform(F.array(*map(F.lit, ("get_", "create_", "update_", "delete_", "parse_"))), lambda v: F.concat(v, F.col("w"))))
+    names = w.select(name.alias("name")).select(F.concat(F.lit("m.py:"), "name").alias("target"), "name", F.lit("m.py").alias("file"), F.lit("Function").alias("kind"))
+    calls = w.select(F.explode(F.array(*map(F.lit, ("GET", "POST", "DELETE")))).alias("method"), F.concat(F.lit("/"), "w").alias("call"))
+    return named_answers(calls, names, spark.createDataFrame([], "target string, method string"))
+
+
+@query(f"""
+    WITH RECURSIVE {EDGES_SQL},
+      up AS (SELECT src, dst FROM edges WHERE edge_class = 'structural'),
+      walk AS (SELECT src AS node, dst AS ancestor, 1 AS distance FROM up UNION ALL SELECT w.node, up.dst, distance + 1 FROM walk w JOIN up ON up.src = w.ancestor)
+    SELECT w.node, w.ancestor, w.distance FROM walk w UNION ALL
+    SELECT 'order/' || o_orderkey, 'customer/' || o_custkey, 1 FROM orders UNION ALL
+    SELECT 'order/' || o_orderkey, w.ancestor, w.distance + 1 FROM orders JOIN walk w ON w.node = 'customer/' || o_custkey""")
+def interval_labels(spark, sf_dir):
+    """Orders in customers, these and suppliers in nations and regions: which of the asked pairs are of a node and what is above it, told by two labels."""
+    up = edges(spark, sf_dir).filter("edge_class = 'structural'").select(F.col("src").alias("child"), F.col("dst").alias("parent"))
+    orders = table(spark, sf_dir, "orders")
+    up = up.union(orders.select(node("order", "o_orderkey"), node("customer", "o_custkey")))
+    own = intervals.labels(up)
+    nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    ends = nation.select("n_nationkey", F.explode(F.array(node("nation", "n_nationkey"), node("region", "n_regionkey"))).alias("ancestor"))
+    held = customer.select(node("customer", "c_custkey").alias("node"), F.col("c_nationkey").alias("n_nationkey"))
+    held = held.union(supplier.select(node("supplier", "s_suppkey"), "s_nationkey"))
+    held = held.union(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(node("order", "o_orderkey"), "c_nationkey"))
+    held = held.union(orders.select(node("order", "o_orderkey"), (F.col("o_orderkey") % 25).cast("int")))  # most of these are not above it
+    asked = held.join(ends, "n_nationkey").select("node", "ancestor")
+    return intervals.above(asked.union(up.toDF("node", "ancestor")), own)
+
+
 #: Orders call the return flags of their lines, customers their orders; each flag has a large part of all edges.
 _FLAGS_SQL = """
     calls AS (SELECT DISTINCT 'order/' || l_orderkey AS src, 'flag/' || l_returnflag AS dst FROM lineitem

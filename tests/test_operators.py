@@ -106,3 +106,19 @@ def test_debounce_keeps_the_last_event(spark):
     rows = [("a", "update", 0.0), ("a", "update", 0.3), ("a", "delete", 0.6), ("a", "update", 2.0), ("b", "delete", 0.1)]
     events = spark.createDataFrame(rows, "path string, action string, s double").withColumn("ts", F.timestamp_seconds("s"))
     assert sorted((r["path"], r["action"], r["events"]) for r in debounced(events).collect()) == [("a", "delete", 3), ("a", "update", 1), ("b", "delete", 1)]
+
+
+def test_names_that_hold_words_are_found_alike_by_automaton_and_by_parts(spark):
+    from loomgraph.operators.urls import named_answers
+
+    rnd = random.Random(5)
+    words = ["get", "user", "users", "order_item", "city", "cities", "a", "go", "box", "boxes", "x-ray", "ü"]
+    verbs = ["get_", "list_", "create_", "delete_", "", "fetch_all_"]
+    names = [(f"{rnd.choice(['a.py', 'modules/user/b.py', 'tests/c.ts', 'models.py'])}:{n}", n, rnd.choice(["a.py", "modules/user/b.py", "tests/c.ts", "models.py"]), rnd.choice(["Function", "Class"])) for n in {rnd.choice(verbs) + rnd.choice(words).replace("-", "_") + rnd.choice(["", "s", "_by_id"]) for _ in range(60)}]
+    calls = [(rnd.choice(["GET", "POST", "DELETE"]), "/" + "/".join(rnd.choice([*words, "{id}", "api", "Users"]) for _ in range(rnd.randint(1, 3)))) for _ in range(80)] + [("GET", "/"), ("GET", "/{id}")]
+    c = spark.createDataFrame(calls, "method string, call string")
+    n = spark.createDataFrame(names, "target string, name string, file string, kind string")
+    e = spark.createDataFrame([(names[0][0], "get"), (names[1][0], "POST")], "target string, method string")
+    one, two = ({tuple(r) for r in named_answers(c, n, e, most).select("method", "call", "target", "score").collect()} for most in (1000, 3))
+    assert one == two and len(one) > 5
+    assert named_answers(c.limit(0), n, e).collect() == [] and named_answers(c, n.limit(0), e).collect() == []
