@@ -28,7 +28,7 @@ from loomgraph.plans.linking import differing, link
 from loomgraph.plans.questions import CodeStructure, lookup_keys, transparent
 from loomgraph.sources.feed import ChangeFeed
 from loomgraph.sources.languages import settings_of
-from loomgraph.sources.listing import listing_table
+from loomgraph.sources.listing import existing, listing_table
 from loomgraph.sources.workspace import CODE, OWN, TEXT, read_paths, unreadable
 from loomgraph.storage import cut
 from loomgraph.streaming.debounce import settled
@@ -94,6 +94,13 @@ class WorkspaceIndex:
     def _table(self, state: str, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{state}/{name}")
 
+    def _nodes(self, state: str) -> DataFrame:
+        """The nodes of a state, with a bare one for each file that is imported but not in the workspace."""
+        p = F.col("path")
+        stubs = self._table(state, "stubs").select("path").distinct()
+        stubs = stubs.select(p.alias("id"), F.lit("File").alias("kind"), F.element_at(F.split(p, "/"), -1).alias("name"), p.alias("qualified"), p.alias("file"))
+        return self._table(state, "nodes").unionByName(stubs, allowMissingColumns=True)
+
     # seals and leases
 
     def _files(self, state: str) -> DataFrame:
@@ -146,7 +153,7 @@ class WorkspaceIndex:
     def graph(self, state: str | None = None) -> Graph:
         state = state or self.usable()[0]
         named = self._table(state, "named"), Adjacency(self.spark, f"{self.folder}/{state}/steps"), self._table(state, "keys")
-        return Graph(self._table(state, "nodes"), self._table(state, "edges"), self._table(state, "facts").filter("error IS NOT NULL").select("path", "error"), named)
+        return Graph(self._nodes(state), self._table(state, "edges"), self._table(state, "facts").filter("error IS NOT NULL").select("path", "error"), named)
 
     def structure(self) -> CodeStructure:
         state, damaged = self.usable()
@@ -194,9 +201,10 @@ class WorkspaceIndex:
             moved = differing(before("facts").select("path"), own.select("path"))
             changes = {"old": before, "changed": replaced.withColumnRenamed("path", "owner"), "moved": cut(moved)}
         keep = lambda name, rows: cut(rows, f"{self.folder}/{state}/{name}")
-        edges, self.linked = link(own, with_folders(nodes, own), keep, **changes) if usable else link(own, with_folders(nodes, own), keep)
+        changes = changes if usable else {}
+        edges, self.linked = link(own, with_folders(nodes, own), keep, there=lambda paths: existing(paths, self.root), **changes)
         edges.write.parquet(f"{self.folder}/{state}/edges")
-        nodes = self._table(state, "nodes")
+        nodes = self._nodes(state)
         named, steps = transparent(Graph(nodes, self._table(state, "edges"), nodes.limit(0)))
         named.repartitionByRange("file", "id").sortWithinPartitions("file", "id").write.parquet(f"{self.folder}/{state}/named")
         keys = lookup_keys(self._table(state, "named"))

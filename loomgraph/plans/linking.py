@@ -25,7 +25,7 @@ from loomgraph.plans import code_graph as G
 from loomgraph.storage import cut
 
 #: What a state keeps for linking.
-TABLES = ("asked", "where", "offers", "meanings", "bases", "above", "links", "wanted", "targets")
+TABLES = ("asked", "where", "offers", "meanings", "bases", "above", "links", "wanted", "targets", "stubs")
 KEY = ["kind", "key"]
 
 
@@ -70,6 +70,21 @@ def wanted_of(found: DataFrame, where: DataFrame, calls: DataFrame, asking: Data
     return out.filter("key IS NOT NULL").distinct()
 
 
+def stubs_of(found: DataFrame, where: DataFrame, there: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """owner, path: files that Python files import and that exist (there), but aren't in the workspace, such as those of left-out folders.
+
+    A module is looked for from the workspace's root only, as a file and as a package.
+    """
+    python = found.filter(F.endswith("path", F.lit(".py"))).select(F.col("path").alias("owner"), F.explode("imports.module").alias("module"))
+    open_ = python.filter("module <> ''").distinct().join(where, "module", "left_anti")
+    base = F.regexp_replace(F.regexp_replace("module", r"^\./", ""), "/$", "")
+    tried = open_.select("owner", F.explode(F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))).alias("path"))
+    if there is None:
+        return tried.limit(0)
+    tried = cut(tried)
+    return tried.join(there(tried.select("path").distinct()), "path").select("owner", "path").join(found.select("path"), "path", "left_anti").select("owner", "path")
+
+
 class _Stages:
     """One pass through the stages; old(name) gives a table of the state before, keep(name, rows) writes one of this state."""
 
@@ -143,12 +158,13 @@ def meanings_again(old: DataFrame, offers: DataFrame, offers_before: DataFrame,
 NODE = ["id", "kind", "name", "qualified", "file"]
 
 
-def link(found: DataFrame, nodes: DataFrame, keep: Callable[[str, DataFrame], DataFrame], old: Callable[[str], DataFrame] | None = None, changed: DataFrame | None = None, moved: DataFrame | None = None) -> tuple[DataFrame, int | None]:
+def link(found: DataFrame, nodes: DataFrame, keep: Callable[[str, DataFrame], DataFrame], old: Callable[[str], DataFrame] | None = None, changed: DataFrame | None = None, moved: DataFrame | None = None, there: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, int | None]:
     """The edges of a state, and how many files were linked again (None: all).
 
     found, nodes: facts and nodes of the state; nodes don't know the prefixes of their routes yet.
     keep(name, rows) writes nodes, with them, and each of TABLES, and returns the table. With the state before: old(name), which has nodes too, changed, the
-    files (owner) whose facts are others or gone, and moved, those (path) that came or went.
+    files (owner) whose facts are others or gone, and moved, those (path) that came or went. there: which of some
+    paths exist; of those that are imported and not in the workspace, stubs keep the owner and the path.
     """
     s = _Stages(old, keep, found, nodes)
     asked = s.kept("asked", changed, G.asked_of(s.of(changed, found)))
@@ -219,6 +235,9 @@ def link(found: DataFrame, nodes: DataFrame, keep: Callable[[str, DataFrame], Da
     if not asking.isEmpty():
         answered, open_ = G.requests(asking, nodes, targets)
         links = links.unionByName(G.as_links(answered, "request", "generated"))
+    stubs = s.kept("stubs", touched, stubs_of(again, where, there))
+    imported = s.of(touched, stubs, "owner").select("owner", F.col("path").alias("src"), F.col("owner").alias("dst"))
+    links = links.unionByName(G.as_links(imported, "stub", "structural"))
     folders = G.as_links(G.containment(nodes.filter("kind = 'Folder'")), "within", "structural")
     of_folders = found.sparkSession.range(1).select(F.lit("").alias("owner"))
     links = s.kept("links", None if touched is None else touched.union(of_folders), links.unionByName(folders))

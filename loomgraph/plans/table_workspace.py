@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph import storage
 from loomgraph.plans.code_graph import Graph, build
 from loomgraph.plans.questions import CodeStructure
 from loomgraph.plans.star_graph import table
@@ -223,12 +224,12 @@ def files(spark: SparkSession, sf_dir: str, web: bool = False) -> DataFrame:
     return filled(keys, SUPPLIER).union(filled(nations, NATION)).union(filled(r.select(F.col("r_regionkey").alias("R")), REGION)).union(fixed)
 
 
-_BUILT: dict[tuple[str, str, bool], Graph] = {}
+_BUILT: dict[tuple, Graph] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str, web: bool = False) -> Graph:
-    """The graph of files(), built once in a session for each folder of tables, as an index is."""
-    key = (spark.sparkContext.applicationId, sf_dir, web)
+    """The graph of files(), built once in a session for each state of the tables, as an index is."""
+    key = (spark.sparkContext.applicationId, sf_dir, web, *(storage.signature(spark, f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation", "region")))
     if key not in _BUILT:
         _BUILT[key] = build(files(spark, sf_dir, web))
     return _BUILT[key]

@@ -77,3 +77,18 @@ def listing_table(spark: SparkSession, root: str, extra: tuple[str, ...] = (), e
         if not (n := left.count()):
             return out
         level = left.repartition(min(n, 4 * spark.sparkContext.defaultParallelism), "path")
+
+
+def existing(paths: DataFrame, root: str) -> DataFrame:
+    """path of those files (path) that exist below root, left-out folders included; looked up by tasks."""
+    uri = as_uri(root)
+
+    def run(batches):
+        store, base = workspace.store_of(uri)
+        for batch in batches:
+            infos = store.get_file_info([f"{base}/{p}" for p in batch.column(0).to_pylist()])
+            there = pa.array([i.type == fs.FileType.File for i in infos], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(there)], ["path"])
+
+    reachable(paths.sparkSession)
+    return paths.select("path").mapInArrow(run, "path string")

@@ -65,6 +65,12 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(p, True)
 
 
+def signature(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a file or folder has changed last, and its bytes."""
+    store, p = _at(spark, path)
+    return store.getFileStatus(p).getModificationTime(), store.getContentSummary(p).getLength()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder, which is meant for few of them; none if there is no such folder."""
     store, p = _at(spark, path)

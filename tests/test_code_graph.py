@@ -293,3 +293,16 @@ def test_mounts_and_package_files(spark):
     assert ("use.py:ask", "api/users.py:who") in edges
     assert ("web.ts:a", "api/users.py:/users") in edges and ("web.ts:b", "site/shop.py:cart/<int:pk>/") in edges
     assert ("site/shop.py:cart/<int:pk>/", "site/shop.py:cart") in edges
+
+
+def test_maps_stop_at_their_limit(spark):
+    """300 entries of a folder, in the order of a walk; 300 symbols of a file, whatever holds them."""
+    many = {f"pkg/f{i:03}.py": "x = 1\n" for i in range(305)} | {"pkg/sub/g.py": "y = 1\n"}
+    many["big.py"] = "".join(f"class C{i}:\n    def m(self):\n        return 1\n" for i in range(160))
+    s = CodeStructure(build_from(spark, many))
+    answer = s.code_map("pkg", 2)
+    assert answer["meta"]["truncated"] and answer["meta"]["files"] == 306 and "capped at 300" in answer["meta"]["warnings"][-1]
+    assert len(answer["files"]) + len(answer["folders"]) + len(answer["folders"][0]["files"]) == 300 and answer["files"][-1]["path"] == "pkg/f297.py"
+    answer = s.code_map("big.py")
+    assert answer["meta"]["symbols"] == 320 and answer["meta"]["truncated"]
+    assert sum(1 + len(x.get("members", ())) for x in answer["symbols"]) == 300

@@ -119,3 +119,14 @@ def test_random_changes_equal_cold_builds(spark, tmp_path, seed):
     for i in range(4):
         path = f"{rnd.choice(names)}.py"
         life.change({path: None if (life.root / path).exists() and rnd.random() < 0.3 else source()}, i == 3)
+
+
+def test_imported_files_outside_the_workspace_have_a_bare_node(spark, tmp_path):
+    life = Life(spark, tmp_path, {"a.py": "import os\nfrom migrations.m1 import x\nfrom migrations import m2\n", "migrations/m1.py": "x = 1\n", "migrations/__init__.py": ""})
+    nodes = lambda: {(r["id"], r["kind"], r["name"]) for r in life.index.graph().nodes.filter("id like 'migrations%'").collect()}
+    assert nodes() == {("migrations/m1.py", "File", "m1.py"), ("migrations/__init__.py", "File", "__init__.py")}
+    of_file = life.index.structure().lookup_symbol("a.py")["relationships"]
+    assert of_file["imports"] == ["migrations/__init__.py", "migrations/m1.py"]
+    life.write({"a.py": "import os\n"})
+    life.index.refresh()
+    assert nodes() == set()
