@@ -28,9 +28,9 @@ def stats(edges: DataFrame) -> DataFrame:
 
 
 def around(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node: the other ends of all edges, of any class, into or out of nodes (column node, few and distinct)."""
-    into = edges.join(F.broadcast(nodes.select(F.col("node").alias("dst"))), "dst", "left_semi").select(F.col("src").alias("node"))
-    from_ = edges.join(F.broadcast(nodes.select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node"))
+    """node: the other ends of all edges, of any class, into or out of nodes (column node)."""
+    into = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+    from_ = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
     return into.union(from_).distinct()
 
 

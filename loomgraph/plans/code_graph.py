@@ -335,10 +335,8 @@ def links_of(found: DataFrame, nodes: DataFrame, where: DataFrame, calls: DataFr
     whole = imports.select("path", "module").union(imports.filter("symbol IS NOT NULL").select("path", F.concat(F.regexp_replace("module", "/$", ""), F.lit("/"), "symbol")))
     imported = whole.join(where, "module").filter("module_file <> path").select(owner, F.col("module_file").alias("src"), F.col("path").alias("dst"), seq).distinct()
 
-    relations = found.select("path", F.explode("relations").alias("r")).select("path", F.concat("path", F.lit(":"), "r.owner").alias("holder"), F.col("r.model").alias("model"))
-    models = nodes.filter("kind = 'Class'").select(F.col("name").alias("model"), "id", F.col("file").alias("model_file"))
-    named = relations.join(models, "model").withColumn("tier", resolve.unless(F.startswith("holder", F.concat("model_file", F.lit(":")))))
-    related = resolve.unique_target(resolve.lowest_tier(named, ["path", "holder", "model"], "tier"), ["path", "holder", "model"], "id").filter("id <> holder").select(owner, F.col("id").alias("src"), F.col("holder").alias("dst"), seq).distinct()
+    classes = nodes.filter("kind = 'Class'")
+    related = named_targets(variants_of(relations_of(found), found), classes, where).filter("target <> source").select(owner, F.col("target").alias("src"), F.col("source").alias("dst"), seq).distinct()
 
     line = nodes.filter("kind = 'Class'").select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).alias("distance")).unionByName(above)
     members = calls.filter("kind IN ('member', 'super') AND ref_kind = 'Class'").join(line, F.col("ref") == F.col("node")).filter("kind = 'member' OR distance > 0")
@@ -350,11 +348,8 @@ def links_of(found: DataFrame, nodes: DataFrame, where: DataFrame, calls: DataFr
     called = plain.unionByName(near).filter("caller <> callee").groupBy(owner, F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.min("seq").cast("long").alias("seq"))
 
     own = nodes.join(found.select(F.col("path").alias("file")), "file", "left_semi").filter("kind IN ('Route', 'Middleware')")
-    routed = own.filter("kind = 'Route'").select(F.col("id").alias("src"), "file", F.posexplode("handlers").alias("nth", "handler"))
-    views = nodes.filter("kind IN ('Function', 'Class')").select(F.col("id").alias("view"), F.col("file").alias("view_file"), "qualified", "name")
-    fits = routed.join(views, F.col("name") == handler_name(F.col("handler"))).withColumn("tier", F.when((F.col("view_file") == F.col("file")) & (F.col("qualified") == F.col("handler")), 0).when(F.col("view_file") == F.col("file"), 1).otherwise(2))
-    by = ["file", "src", "handler"]
-    handled = resolve.unique_target(resolve.lowest_tier(fits, by, "tier"), by, "view").select(F.col("file").alias("owner"), "src", F.col("view").alias("dst"), seq).distinct()
+    views = nodes.filter("kind IN ('Function', 'Class')")
+    handled = named_targets(variants_of(handlers_of(own), found), views, where).select(owner, F.col("source").alias("src"), F.col("target").alias("dst"), seq).distinct()
 
     wrapping = own.filter("kind = 'Middleware' AND var IS NOT NULL").select(F.col("id").alias("src"), "file", "var")
     wrapped = resolve.or_fallback(wrapping, own.filter("kind = 'Route' AND var <> ''").select(F.col("id").alias("dst"), "file", "var"), ["file"], "var", F.col("var") == "app")
@@ -368,8 +363,57 @@ def links_of(found: DataFrame, nodes: DataFrame, where: DataFrame, calls: DataFr
     return out
 
 
-def handler_name(handler):
-    return F.element_at(F.split(handler, r"\."), -1)
+def relations_of(found: DataFrame) -> DataFrame:
+    """path, source, name: the classes that declare a relation, and what they say of the other side."""
+    return found.select("path", F.explode("relations").alias("r")).select("path", F.concat("path", F.lit(":"), "r.owner").alias("source"), F.col("r.model").alias("name"))
+
+
+def handlers_of(nodes: DataFrame) -> DataFrame:
+    """path, source, name: routes and what they say of their handlers."""
+    return nodes.filter("kind = 'Route'").select(F.col("file").alias("path"), F.col("id").alias("source"), F.explode("handlers").alias("name"))
+
+
+def variants_of(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """asked (path, source, name) with the names that each could have elsewhere, in order, and the module that it is imported from.
+
+    A name is tried as it stands, then by its last part and by its first one, where a view that a class makes is its
+    class; a name that the file imports is tried by what it is called there before its parts.
+    """
+    imports = found.select("path", F.explode("imports").alias("i")).select("path", "i.*").filter("alias IS NOT NULL")
+    bound = imports.groupBy("path", F.col("alias").alias("head")).agg(F.min(F.struct("line", "module", "symbol")).alias("b")).select("path", "head", F.col("b.module").alias("module"), F.col("b.symbol").alias("symbol"))
+    parts = F.split("name", r"\.")
+    head, tail, several = parts[0], F.element_at(parts, -1), F.size(parts) > 1
+    rows = asked.filter("name IS NOT NULL AND name <> ''").withColumn("head", head).join(bound, ["path", "head"], "left")
+    plain = F.array(F.col("name"), F.when(~several, F.col("symbol")), tail, F.when(several, head))
+    names = F.when(several & (tail == "as_view"), F.array(F.col("name"), head, tail)).otherwise(plain)
+    deeper = F.when(several & F.col("symbol").isNotNull(), F.concat_ws("/", F.regexp_replace("module", "/$", ""), "symbol")).otherwise(F.col("module"))
+    return rows.select("path", "source", "name", F.array_distinct(F.array_compact(names)).alias("variants"), deeper.alias("module"), F.when(several, head).alias("hint"))
+
+
+#: What a candidate's place tells, that it is in the imported module, in the same folder, in a file of the name before the dot.
+IN_MODULE, IN_FOLDER, IN_HINT = 10, 4, 3
+
+
+def named_targets(asked: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
+    """path, source, name, target: the one node that each row of variants_of() means, where that is clear.
+
+    A definition of that very name in the file itself goes first. Else the candidates of the first variant that has
+    any count; of several, the one whose place tells most, if it tells anything and no other tells as much.
+    """
+    key = ["path", "source", "name"]
+    index = nodes.select(F.col("id").alias("target"), F.col("name").alias("as"), "qualified", "file")
+    tried = asked.select(*key, "module", "hint", F.posexplode("variants").alias("nth", "as")).join(index, "as")
+    here = tried.filter((F.col("file") == F.col("path")) & (F.col("qualified") == F.col("name")) & (F.col("nth") == 0)).select(*key, "target")
+    rest = resolve.lowest_tier(tried.join(here.select(*key), key, "left_anti"), key, "nth")
+    rest = rest.join(where.withColumnRenamed("module_file", "expected"), "module", "left")
+    folder = lambda c: F.regexp_replace(c, "[^/]*$", "")
+    plus = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.\w+$", "")
+    score = plus(F.col("file") == F.col("expected"), IN_MODULE) + plus(folder(F.col("file")) == folder(F.col("path")), IN_FOLDER) + plus(stem == F.col("hint"), IN_HINT)
+    scored = rest.select(*key, "target", score.alias("score"))
+    alone = resolve.unique_target(scored, key, "target").select(*key, "target")
+    best = resolve.best_scored(scored.join(alone.select(*key), key, "left_anti"), key, "score", "target").filter("target IS NOT NULL").select(*key, "target")
+    return here.union(alone).union(best)
 
 
 def as_links(rows: DataFrame, how: str, edge_class: str) -> DataFrame:

@@ -54,7 +54,7 @@ def module_keys(paths: DataFrame) -> DataFrame:
     return python.union(script).distinct()
 
 
-def wanted_of(found: DataFrame, where: DataFrame, calls: DataFrame, asking: DataFrame, open_: DataFrame) -> DataFrame:
+def wanted_of(found: DataFrame, nodes: DataFrame, where: DataFrame, calls: DataFrame, asking: DataFrame, open_: DataFrame) -> DataFrame:
     """owner, kind, key: what the links of files were resolved with."""
     refs = [found.select("path", F.explode(c).alias("x")).select("path", "x.module", "x.symbol") for c in ("references", "base_refs")]
     named = refs[0].union(refs[1]).join(where, "module", "left")
@@ -63,8 +63,8 @@ def wanted_of(found: DataFrame, where: DataFrame, calls: DataFrame, asking: Data
     out = row(named.withColumn("file", file).filter("file IS NOT NULL"), "path", "name", _key("file", "symbol"))
     members = calls.filter("kind IN ('member', 'super') AND ref_kind = 'Class'")
     out = out.union(row(members, "path", "line", F.col("ref"))).union(row(members, "path", "member", _key("ref", "member")))
-    out = out.union(row(found.select("path", F.explode("relations.model").alias("m")), "path", "model", F.col("m")))
-    out = out.union(row(found.select("path", F.explode("routes.handler").alias("h")).filter("h IS NOT NULL"), "path", "handler", G.handler_name(F.col("h"))))
+    for kind, asked in (("model", G.relations_of(found)), ("handler", G.handlers_of(nodes))):
+        out = out.union(row(G.variants_of(asked, found).select("path", F.explode("variants").alias("v")), "path", kind, F.col("v")))
     url = urls.asked_keys(asking.select("owner", "call", "folded").distinct())
     out = out.union(row(url, "owner", "url", _key("kind", "key"))).union(row(open_, "owner", "named", F.lit("")))
     return out.filter("key IS NOT NULL").distinct()
@@ -241,5 +241,5 @@ def link(found: DataFrame, nodes: DataFrame, keep: Callable[[str, DataFrame], Da
     folders = G.as_links(G.containment(nodes.filter("kind = 'Folder'")), "within", "structural")
     of_folders = found.sparkSession.range(1).select(F.lit("").alias("owner"))
     links = s.kept("links", None if touched is None else touched.union(of_folders), links.unionByName(folders))
-    s.kept("wanted", touched, wanted_of(again, where, calls, asking, open_))
+    s.kept("wanted", touched, wanted_of(again, own_nodes, where, calls, asking, open_))
     return G.edges_from(links), None if touched is None else touched.count()

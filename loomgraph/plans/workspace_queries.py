@@ -457,10 +457,12 @@ def web_requests_by_name(spark, sf_dir):
     return _requests(spark, sf_dir, "byName")
 
 
-@query("SELECT NULL::VARCHAR AS src, NULL::VARCHAR AS dst WHERE false")
+@query(expected("src VARCHAR, answers BIGINT", supplier=[(f"{CALLER}:wrongMethod%S", 0), (f"{CALLER}:byBuilder%S", 1), (f"{CALLER}:byName%S", 1)]))
 def web_requests_of_other_methods(spark, sf_dir):
-    """A URL that a route has for other methods only is never guessed by name."""
-    return _requests(spark, sf_dir, "wrongMethod")
+    """How many answers callers have: a URL that a route has for other methods only is never guessed by name."""
+    src = graph(spark, sf_dir, True).nodes.filter("kind = 'Function'").select(F.col("id").alias("src")).filter(F.startswith("src", F.lit("web/src/c")) & F.col("src").rlike(":(wrongMethod|byBuilder|byName)[0-9]+$"))
+    met = _requests(spark, sf_dir, "").groupBy("src").agg(F.count(F.lit(1)).alias("answers"))
+    return src.join(met, "src", "left").select("src", F.coalesce("answers", F.lit(0)).cast("long").alias("answers"))
 
 
 @query(expected("id VARCHAR, decorators VARCHAR", supplier=[(f"{NEST}:Cats%S", "Controller"), (f"{NEST}:Cats%S.find%S", "Get")]))

@@ -306,3 +306,14 @@ def test_maps_stop_at_their_limit(spark):
     answer = s.code_map("big.py")
     assert answer["meta"]["symbols"] == 320 and answer["meta"]["truncated"]
     assert sum(1 + len(x.get("members", ())) for x in answer["symbols"]) == 300
+
+
+def test_the_place_of_a_candidate_decides_among_several(spark):
+    """A model is looked for in the imported module, then in the same folder; where that tells nothing, it stays open."""
+    model = "from django.db import models\nclass Item(models.Model):\n    pass\n"
+    use = "from django.db import models\n{}class Order(models.Model):\n    item = models.ForeignKey({}, on_delete=1)\n"
+    sources = {"shop/items.py": model, "stock/items.py": model, "stock/order.py": use.format("", "'Item'"), "far/order.py": use.format("from shop.items import Item\n", "Item"), "other/order.py": use.format("", "'Item'")}
+    edges = {(r["src"], r["dst"]) for r in build_from(spark, sources).edges.filter("src LIKE '%:Item'").collect()}
+    assert ("stock/items.py:Item", "stock/order.py:Order") in edges
+    assert ("shop/items.py:Item", "far/order.py:Order") in edges
+    assert not {e for e in edges if e[1] == "other/order.py:Order"}

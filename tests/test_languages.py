@@ -50,3 +50,13 @@ def test_callbacks_of_a_definition(spark):
     assert len(under) == 2 and all("named" not in x for x in under)
     assert s.symbols_in_file("a.ts").count() == s.symbols_in_file("a.ts", False).count() + 3
     assert s.code_map("a.ts")["meta"]["inline_callbacks"] == 3
+
+
+def test_an_index_takes_further_languages(spark, tmp_path):
+    from loomgraph.plans.index import WorkspaceIndex
+
+    (tmp_path / "a.ini").write_text("[one]\nx=1\n")
+    (tmp_path / "b.ini2").write_text("[two]\n")
+    ini = {"name": "ini", "extensions": [".ini"], "reader": "tests.test_languages:read_ini"}
+    index = WorkspaceIndex(spark, str(tmp_path), str(tmp_path / "index"), languages=[ini])
+    assert index.refresh()["parsed"] == 1 and index.structure().contains("a.ini:one")
