@@ -48,6 +48,8 @@ class Settings:
     cells: int = 1 << 27
     #: Bytes of text that a shard holds.
     shard: int = 4 << 20
+    #: Phrases in an automaton, which takes up to some hundred bytes for each.
+    automaton: int = 200_000
 
 
 def shards(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[dict[str, bytes]]:
@@ -206,14 +208,20 @@ def candidates(own: Shard, short: np.ndarray, long: np.ndarray, cells: int, long
     return out
 
 
-def overlapping(tokens: list[str], phrases: list[str]) -> np.ndarray:
-    """How often each phrase occurs in the tokens, overlaps included. Each is guarded by a space on both sides."""
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, p in enumerate(phrases):
-        machine.add_word(f" {p} ", i)
-    machine.make_automaton()
-    text = f" {' '.join(tokens)} "
-    return np.bincount(np.fromiter(map(itemgetter(1), machine.iter(text)), np.int64), minlength=len(phrases))
+def overlapping(tokens: list[str], phrases: list[str], most: int) -> np.ndarray:
+    """How often each phrase occurs in the tokens, overlaps included. Each is guarded by a space on both sides.
+
+    An automaton holds `most` phrases; with more, the text is scanned several times.
+    """
+    text, out = f" {' '.join(tokens)} ", np.zeros(len(phrases), np.int64)
+    for at in range(0, len(phrases), most):
+        some = phrases[at : at + most]
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, p in enumerate(some):
+            machine.add_word(f" {p} ", i)
+        machine.make_automaton()
+        out[at : at + most] = np.bincount(np.fromiter(map(itemgetter(1), machine.iter(text)), np.int64), minlength=len(some))
+    return out
 
 
 def _counted(docs: DataFrame, s: Settings) -> DataFrame:
@@ -227,7 +235,7 @@ def _counted(docs: DataFrame, s: Settings) -> DataFrame:
             for lang, raw in shard.items():
                 own = Shard(lang, raw)
                 found = candidates(own, short.value, long.value, s.cells, s.longest)
-                n = overlapping(own.tokens, found) if found else np.zeros(0, np.int64)
+                n = overlapping(own.tokens, found, s.automaton) if found else np.zeros(0, np.int64)
                 words = np.bincount(own.ids, minlength=len(own.words))
                 some = np.unique(own.ids[_set(short.value, own.cells(1, s.cells)) & own.real])
                 names = [*found, *(own.words[i] for i in some.tolist()), ""]

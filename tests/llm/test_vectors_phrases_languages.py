@@ -121,7 +121,7 @@ def test_phrases_equal_plain_counts(spark, cells, shard):
     words = ["a", "A", "b", "é", "日本", "a.b", "x\x00", "-", "ab", "\x1c", "new", "york"]
     docs = [(rnd.choice(["en", "fr", None, "und"]), "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "  ", "\t", "\n", ", "]) for _ in range(rnd.randint(0, 60)))) for _ in range(150)]
     docs += [("en", None), ("en", ""), ("fr", "a a a a a a a a"), ("en", "new york " * 50)]
-    s = phrases.Settings(least=4, top=40, cells=cells, shard=shard)
+    s = phrases.Settings(least=4, top=40, cells=cells, shard=shard, automaton=7)
     df = spark.createDataFrame([(i % 9 or None, *d) for i, d in enumerate(docs)], "doc_id long, lang string, text string")
     got = rows(phrases.collocations(df.withColumns({"n": F.lit("x"), "phrase": F.lit("y"), "size": F.lit(1)}), s))
     assert sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in got) == plain_phrases(docs, s)
