@@ -122,3 +122,17 @@ def test_names_that_hold_words_are_found_alike_by_automaton_and_by_parts(spark):
     one, two = ({tuple(r) for r in named_answers(c, n, e, most).select("method", "call", "target", "score").collect()} for most in (1000, 3))
     assert one == two and len(one) > 5
     assert named_answers(c.limit(0), n, e).collect() == [] and named_answers(c, n.limit(0), e).collect() == []
+
+
+def test_large_groups_are_dealt_out_to_many_tasks(spark):
+    left = spark.createDataFrame([("a", i) for i in range(300)] + [("b", 1), ("c", 2), (None, 3)], "k string, x int")
+    right = spark.createDataFrame([("a", i) for i in range(90)] + [("b", i) for i in range(5)] + [(None, 1)], "k string, y int")
+    got = resolve.all_pairs(left, right, ["k"], 32)
+    want = {("a", i, j) for i in range(300) for j in range(90)} | {("b", 1, j) for j in range(5)}
+    assert got.count() == len(want) and {tuple(r) for r in got.select("k", "x", "y").collect()} == want
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 10 and max(r["count"] for r in sizes) < got.count() / 4
+    m = spark.createDataFrame([(i, "f", "app" if i < 90 else "v") for i in range(100)], "id int, file string, var string")
+    c = spark.createDataFrame([(i, "f", "v" if i < 5 else "w") for i in range(80)], "route int, file string, var string")
+    found = {tuple(r) for r in resolve.or_fallback(m, c, ["file"], "var", F.col("var") == "app").select("id", "route").collect()}
+    assert found == {(i, j) for i in range(90) for j in range(80)} | {(i, j) for i in range(90, 100) for j in range(5)}
