@@ -87,3 +87,23 @@ def test_urls_and_hrefs_meet_the_routes_of_all_pages(spark, tmp_path):
     folder = stored(spark, tmp_path, pages=(rows, "page_id long, url string, html string"))
     got = [tuple(r) for r in QUERIES["url_match_scored"](spark, folder).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_more_inherited_callers_than_an_answer_shows(spark, tmp_path):
+    import duckdb
+
+    from loomgraph.plans import workspace_queries
+
+    folder = stored(
+        spark,
+        tmp_path,
+        supplier=([(k, 3) for k in range(1, 61)], "s_suppkey long, s_nationkey int"),
+        nation=([(3, 1)], "n_nationkey int, n_regionkey int"),
+        region=([(1, "r")], "r_regionkey int, r_name string"),
+    )
+    db = duckdb.connect()
+    for t in ("supplier", "nation", "region"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    for name in ("lookup_inherited_callers", "graph_calls_by_name"):
+        got = sorted(map(tuple, workspace_queries.QUERIES[name](spark, folder).collect()))
+        assert got == sorted(db.execute(workspace_queries.ORACLE_SQL[name]).fetchall()) and len(got) > 60
