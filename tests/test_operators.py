@@ -136,3 +136,17 @@ def test_large_groups_are_dealt_out_to_many_tasks(spark):
     c = spark.createDataFrame([(i, "f", "v" if i < 5 else "w") for i in range(80)], "route int, file string, var string")
     found = {tuple(r) for r in resolve.or_fallback(m, c, ["file"], "var", F.col("var") == "app").select("id", "route").collect()}
     assert found == {(i, j) for i in range(90) for j in range(80)} | {(i, j) for i in range(90, 100) for j in range(5)}
+
+
+def test_many_words_make_no_row_for_each_part_of_a_name(spark):
+    from loomgraph.operators import urls
+
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghé_") for _ in range(rnd.randint(1, 12)))
+    words = sorted({word() for _ in range(150)})
+    names = sorted({word() + rnd.choice(words) + word() for _ in range(300)} | set(words[:20]))
+    got = urls._held_words(spark.createDataFrame([(n,) for n in names], "lower string"), spark.createDataFrame([(w,) for w in words], "variant string"), 10)
+    rows = [tuple(r) for r in got.collect()]
+    want = {(n, w) for n in names for w in words if w in n and (len(w) > 2 or w == n)}
+    assert len(rows) == len(set(rows)) and want <= set(rows) and len(want) > 300
+    assert len(rows) < 0.2 * sum(len(n) * (len(n) + 1) // 2 for n in names)
