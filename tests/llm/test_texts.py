@@ -211,6 +211,13 @@ def test_repeated_bytes_of_crowds_and_of_an_id_with_different_texts(spark):
         assert got == want
 
 
+def test_anchors_stay_whole_beside_settled_runs(spark):
+    big = (1 << 62) + 1
+    rows_ = [(None, None, 1, 0, 0, 5), (big, 7, 1, 0, 9, 1), (big, 8, 2, 0, 9, 1), (big + 1, 9, 3, 0, 9, 1)]
+    found = repeated_bytes._settled(spark.createDataFrame(rows_, repeated_bytes.ROWS).coalesce(1)).filter("anchor IS NOT NULL").collect()
+    assert {r["anchor"] for r in found} <= {big} and {r["doc"] for r in found} <= {1, 2} and len(found) == 2
+
+
 def test_repeated_bytes_take_odd_rows(spark):
     assert len(rows(repeated_bytes.repeated_bytes(documents(spark)))) == len(ODD)
     assert rows(repeated_bytes.repeated_bytes(empty(spark))) == []
