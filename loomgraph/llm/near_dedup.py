@@ -6,8 +6,8 @@ with at most `errors` differing slots; enumerating which slots those are gives t
 signatures certainly meet. Documents with equal sets are one node. Under each key the nodes are paired
 with the key's smallest node first, in rows that grow with the nodes and not with their pairs; pairs with
 close signatures are confirmed on full sets. Keys whose nodes are all joined by that have nothing left to
-find. What the other keys connect is a candidate part; any two nodes that share a key and aren't joined
-are in one. Parts are gone through block by block: of the pairs with close signatures those are confirmed
+find. Of the other keys, nodes with close signatures that aren't joined yet are connected; what that connects
+is a candidate part, and any two nodes that share a key and have close signatures are in one. Parts are gone through block by block: of the pairs with close signatures those are confirmed
 that join what isn't joined yet, so a block gives fewer links than it has nodes, however many pairs are
 similar.
 """
@@ -304,6 +304,56 @@ def shared_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
     return out
 
 
+def spanned(ok: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join what the symmetric matrix ok joins, fewer than it has rows."""
+    left, out = ok.any(axis=1), []
+    while left.any():
+        root = int(left.argmax())
+        left[root], front = False, np.array([root])
+        while len(front):
+            front = np.nonzero(ok[front].any(axis=0) & left)[0]
+            left[front] = False
+            out += [(root, i) for i in front.tolist()]
+    return out
+
+
+def _closest(rows: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) that join those nodes of a key (rows: key, node, label) that have close signatures and different labels.
+
+    Only signatures move, and a key larger than a block is gone through block by block. Keys alone would join
+    more and more unlike nodes as documents grow, and with them the sets that confirmed() deals out.
+    """
+    packed, _ = _packed(rows.join(nodes.select("node", F.col("sig").alias("set")), "node"), "key", s)
+    dealt = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("pack", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "key", "node", "label", F.col("set").alias("sig"))
+
+    def compare(t: pd.DataFrame) -> pd.DataFrame:
+        t, across = t.sort_values("key", kind="stable"), t["x"].iloc[0] != t["y"].iloc[0]
+        sig = np.frombuffer(b"".join(t["sig"]), np.uint16).reshape(len(t), -1)
+        key, node, label, own = (t[c].to_numpy() for c in ("key", "node", "label", "own"))
+        _, begin, many = np.unique(key, return_index=True, return_counts=True)
+        few, found = np.repeat(many <= 64, many), []
+        for d in range(1, 64):  # small keys: all rows with the d-th behind them at once
+            i = np.nonzero(few[:-d] & (key[:-d] == key[d:]))[0]
+            if not len(i):
+                break
+            i = i[(label[i] != label[i + d]) & (own[i] != own[i + d] if across else True)]
+            i = i[(sig[i] != sig[i + d]).sum(axis=1) <= s.far]
+            found += zip(node[i].tolist(), node[i + d].tolist())
+        for at, n in zip(begin[many > 64].tolist(), many[many > 64].tolist()):
+            here = slice(at, at + n)
+            far = np.zeros((n, n), np.uint8)
+            for column in sig[here].T:
+                far += column[:, None] != column[None, :]
+            ok = (far <= s.far) & (label[here, None] != label[None, here])
+            if across:
+                ok &= own[here, None] != own[None, here]
+            found += [(node[at + i], node[at + j]) for i, j in spanned(ok)]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("pack", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+
+
 def confirmed(candidates: DataFrame, nodes: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) on full sets that join what all links within each part of candidates (node, part, label) join.
 
@@ -342,13 +392,16 @@ def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
     links = written(_stars(pairs, sets, s), "near-stars")
     # nodes with one label are linked with one node, so a key whose nodes all have it can't join anything
     joined = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hub"))
-    labelled = shared.join(joined, "node", "left").select("key", "node", F.coalesce("hub", "node").alias("label"))
-    open_ = labelled.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    left = written(labelled.join(open_, F.col("key") == F.col("of")).select("node", "label", "least").distinct(), "near-open")
+    # all pairs with a key's first node are settled by that
+    labelled = shared.filter("node <> first").join(joined, "node", "left").select("key", "node", F.coalesce("hub", "node").alias("label"))
+    sums = (F.sum(F.xxhash64("node", F.lit(i)) % (1 << 40)).alias(f"h{i}") for i in range(3))
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n"), *sums).filter("least <> most")
+    once = open_.groupBy("n", "h0", "h1", "h2").agg(F.min("key").alias("of")).select("of")  # keys of the same nodes, as a family has, are gone through once
+    left = written(labelled.join(once, F.col("key") == F.col("of"), "left_semi").select("key", "node", "label"), "near-open")
     more = None
     if not left.isEmpty():
-        near = components(left.select(F.col("least").alias("a"), F.col("label").alias("b")))
-        candidates = left.select("node", "label").distinct().join(near.withColumnRenamed("node", "label"), "label")
+        near = components(written(_closest(left, nodes, s), "near-closest"))
+        candidates = left.select("node", "label").distinct().join(near, "node")
         more = written(confirmed(written(candidates, "near-candidates"), nodes, sets, s), "near-links")
     parts = components(links.union(more) if more else links)
     least = parts.join(nodes.select("node", "doc_id"), "node").groupBy(F.col("part").alias("of")).agg(F.min("doc_id").alias("least"))
